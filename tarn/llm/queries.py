@@ -9,6 +9,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents whose fingerprints link at four or fewer differing bits."""
+    from tarn.llm.simhash import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"), shingle=4, radius=4)
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded bytes of every whole text, as digests."""
     import public_tokenizers
@@ -19,6 +26,6 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
-QUERIES = {"op7_byte_bpe": op7_byte_bpe}
+QUERIES = {"op1_simhash": op1_simhash, "op7_byte_bpe": op7_byte_bpe}
 
 ORACLES: dict[str, str] = {}

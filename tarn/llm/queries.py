@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +27,22 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op7_byte_bpe": op7_byte_bpe}
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secret spans of every whole text, plain and linked."""
+    from tarn.llm.secrets import _order, scan, shown
+
+    found = scan(_table(spark, sf_dir, "documents"), keep=["doc_id"])
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
+    return found.select(
+        "doc_id",
+        count(0).alias("n_assign"),
+        count(1).alias("n_access"),
+        count(2).alias("n_hex"),
+        F.sha2(shown(F.col("base")), 256).alias("base_sha256"),
+        shown(F.array_sort(F.concat("base", "linked"), _order)).alias("spans"),
+    )
+
+
+QUERIES = {"op10_secrets": op10_secrets, "op1_simhash": op1_simhash, "op7_byte_bpe": op7_byte_bpe}
 
 ORACLES: dict[str, str] = {}

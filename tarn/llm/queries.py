@@ -17,6 +17,25 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), shingle=4, radius=4)
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captures of every page, written as archives, read back and assembled."""
+    from tarn.llm.warc import captures
+
+    whole = captures(_table(spark, sf_dir, "pages"))
+    return whole.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "complete")
+
+
+OP2_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+s AS (SELECT page_id, strlen(h) AS n, sha1(h) AS d FROM p),
+w AS (SELECT *, CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY d) ELSE page_id END AS first FROM s)
+SELECT page_id, n::BIGINT AS payload_bytes, d AS payload_digest,
+  CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN first <> page_id THEN first END AS refers_to, true AS complete
+FROM w
+"""
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded bytes of every whole text, as digests."""
     import public_tokenizers
@@ -43,6 +62,6 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op10_secrets": op10_secrets, "op1_simhash": op1_simhash, "op7_byte_bpe": op7_byte_bpe}
+QUERIES = {"op2_warc": op2_warc, "op10_secrets": op10_secrets, "op1_simhash": op1_simhash, "op7_byte_bpe": op7_byte_bpe}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_warc": OP2_SQL}

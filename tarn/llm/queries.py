@@ -36,6 +36,20 @@ FROM w
 """
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors linked at cosine 0.9 and their components."""
+    from tarn.llm.crosspolytope import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "embeddings"), least=0.9)
+
+
+def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten nearest vectors of every hundredth, by Euclidean distance."""
+    from tarn.llm.crosspolytope import nearest
+
+    return nearest(_table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, k=10)
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded bytes of every whole text, as digests."""
     import public_tokenizers
@@ -62,6 +76,6 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op2_warc": op2_warc, "op10_secrets": op10_secrets, "op1_simhash": op1_simhash, "op7_byte_bpe": op7_byte_bpe}
+QUERIES = {"op4_embedding_dedup": op4_embedding_dedup, "op8_nearest": op8_nearest, "op2_warc": op2_warc, "op10_secrets": op10_secrets, "op1_simhash": op1_simhash, "op7_byte_bpe": op7_byte_bpe}
 
 ORACLES: dict[str, str] = {"op2_warc": OP2_SQL}

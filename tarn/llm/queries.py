@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -36,6 +36,18 @@ FROM w
 """
 
 
+def _remainder() -> Column:
+    """crc32 of the id's digits, modulo five."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
+
+
+def op3_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code length of every whole text under a byte-context model of the training rows."""
+    from tarn.llm.ppm import score_texts
+
+    return score_texts(_table(spark, sf_dir, "documents"), _remainder() == 1)
+
+
 def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors linked at cosine 0.9 and their components."""
     from tarn.llm.crosspolytope import near_duplicates
@@ -76,6 +88,6 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op4_embedding_dedup": op4_embedding_dedup, "op8_nearest": op8_nearest, "op2_warc": op2_warc, "op10_secrets": op10_secrets, "op1_simhash": op1_simhash, "op7_byte_bpe": op7_byte_bpe}
+QUERIES = {"op3_ppm": op3_ppm, "op4_embedding_dedup": op4_embedding_dedup, "op8_nearest": op8_nearest, "op2_warc": op2_warc, "op10_secrets": op10_secrets, "op1_simhash": op1_simhash, "op7_byte_bpe": op7_byte_bpe}
 
 ORACLES: dict[str, str] = {"op2_warc": OP2_SQL}

@@ -55,6 +55,16 @@ def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "embeddings"), least=0.9)
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every whole text, learned from the labelled rows that are not held out."""
+    from tarn.llm.crf import predicted, score_texts, train
+
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    scored = score_texts(docs, train(docs, labels.where(_remainder() != 0)))
+    held_out = F.coalesce(_remainder() == 0, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", predicted(F.col("score")).alias("predicted"))
+
+
 def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten nearest vectors of every hundredth, by Euclidean distance."""
     from tarn.llm.crosspolytope import nearest
@@ -88,6 +98,6 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op3_ppm": op3_ppm, "op4_embedding_dedup": op4_embedding_dedup, "op8_nearest": op8_nearest, "op2_warc": op2_warc, "op10_secrets": op10_secrets, "op1_simhash": op1_simhash, "op7_byte_bpe": op7_byte_bpe}
+QUERIES = {"op6_quality": op6_quality, "op3_ppm": op3_ppm, "op4_embedding_dedup": op4_embedding_dedup, "op8_nearest": op8_nearest, "op2_warc": op2_warc, "op10_secrets": op10_secrets, "op1_simhash": op1_simhash, "op7_byte_bpe": op7_byte_bpe}
 
 ORACLES: dict[str, str] = {"op2_warc": OP2_SQL}

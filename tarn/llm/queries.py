@@ -55,6 +55,43 @@ def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "embeddings"), least=0.9)
 
 
+#: Target token shares of the languages.
+TARGETS = {"en": 0.4, "de": 0.2, "es": 0.2, "fr": 0.2}
+
+
+def domain_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str):
+    """A classifier of languages, learned from the texts of the labelled table's documents."""
+    from tarn.llm.mixing import fit_classifier
+
+    chosen = _table(spark, sf_dir, "labels").select("doc_id").where("doc_id is not null").distinct()
+    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED)
+    labelled = docs.join(F.broadcast(chosen), "doc_id", "left_semi")  # at most LABELLED ids
+    return fit_classifier(labelled, list(TARGETS), domain_col="lang", sample=LABELLED)
+
+
+#: Labelled documents that the classifier of languages learns from.
+LABELLED = 2000
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Domain posteriors and the rate of every document that bring the token shares to their targets."""
+    from tarn.llm.mixing import fit_rates, memberships, with_rates
+
+    docs = _table(spark, sf_dir, "documents")
+    members = memberships(docs, domain_classifier(spark, docs, sf_dir))
+    rated = with_rates(members, fit_rates(members, list(TARGETS.values())), len(TARGETS))
+    return rated.select("doc_id", "n_tokens", "rate", *(F.element_at("p", i + 1).alias(f"p_{d}") for i, d in enumerate(TARGETS)))
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every whole text under the unigram reading of a public vocabulary."""
+    import public_tokenizers
+
+    from tarn.llm.counts import count_tokens
+
+    return count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every whole text, learned from the labelled rows that are not held out."""
     from tarn.llm.crf import predicted, score_texts, train
@@ -98,6 +135,6 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op6_quality": op6_quality, "op3_ppm": op3_ppm, "op4_embedding_dedup": op4_embedding_dedup, "op8_nearest": op8_nearest, "op2_warc": op2_warc, "op10_secrets": op10_secrets, "op1_simhash": op1_simhash, "op7_byte_bpe": op7_byte_bpe}
+QUERIES = {"op5_mixing": op5_mixing, "op9_token_counts": op9_token_counts, "op6_quality": op6_quality, "op3_ppm": op3_ppm, "op4_embedding_dedup": op4_embedding_dedup, "op8_nearest": op8_nearest, "op2_warc": op2_warc, "op10_secrets": op10_secrets, "op1_simhash": op1_simhash, "op7_byte_bpe": op7_byte_bpe}
 
 ORACLES: dict[str, str] = {"op2_warc": OP2_SQL}

@@ -121,7 +121,7 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secret spans of every whole text, plain and linked."""
-    from tarn.llm.secrets import _order, scan, shown
+    from tarn.llm.secrets import in_order, scan, shown
 
     found = scan(_table(spark, sf_dir, "documents"), keep=["doc_id"])
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
@@ -131,7 +131,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         count(1).alias("n_access"),
         count(2).alias("n_hex"),
         F.sha2(shown(F.col("base")), 256).alias("base_sha256"),
-        shown(F.array_sort(F.concat("base", "linked"), _order)).alias("spans"),
+        shown(F.array_sort(F.concat("base", "linked"), in_order)).alias("spans"),
     )
 
 

@@ -129,7 +129,7 @@ def scan(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None,
     parts = scan_parts(docs, text_col, keep)
     with_weak = parts.where(F.size("weak") > 0).join(link_parts(parts, scope), "row_no", "left")
     none = F.array().cast(SPAN)
-    ordered = lambda c: F.array_sort(c, lambda x, y: _order(x, y))
+    ordered = lambda c: F.array_sort(c, lambda x, y: in_order(x, y))
     out = parts.where(F.size("weak") == 0).select("kept", "base", none.alias("linked")).unionByName(
         with_weak.select("kept", "base", F.coalesce("linked", none).alias("linked"))
     )
@@ -137,7 +137,7 @@ def scan(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None,
     return out.select(*names, ordered("base").alias("base"), ordered("linked").alias("linked"))
 
 
-def _order(x: Column, y: Column) -> Column:
+def in_order(x: Column, y: Column) -> Column:
     less = (x["start"] < y["start"]) | ((x["start"] == y["start"]) & (x["kind"] < y["kind"]))
     same = (x["start"] == y["start"]) & (x["kind"] == y["kind"]) & (x["end"] == y["end"])
     return F.when(same, 0).when(less, -1).otherwise(1)

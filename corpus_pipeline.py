@@ -1,11 +1,84 @@
-"""The corpus pipeline: quality, near-duplicates, secrets, mixture and encoding, each over all that is left."""
+"""The corpus pipeline: quality, near-duplicates, secrets, mixture and encoding, each over all that is left.
 
-STAGES = []
+Every stage takes ``(spark, docs, sf_dir)`` and works on the whole of what its predecessor kept. All but
+the last return the columns of ``docs``; the last returns ``doc_id, n_tokens, ids, decoded_sha256``.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tarn.llm import bpe, crf, mixing, secrets, simhash
+from tarn.llm.queries import TARGETS, domain_classifier
+from tarn.plans.scratch import cut
+
+#: A text below this score is rejected.
+LEAST_QUALITY = 0.3
+RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents whose lines look bad. Learns from ``labels``, as far as those documents are here."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    learned = labels.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
+    return crf.keep_good(docs, crf.train(docs, learned), LEAST_QUALITY)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each group: the one of the smallest id, once if its id is repeated.
+
+    A row without an id is a document of its own.
+    """
+    key = F.coalesce(F.col("doc_id"), -1 - F.monotonically_increasing_id())
+    keyed = docs.withColumn("group key", key)
+    groups = simhash.near_duplicates(keyed, shingle=4, radius=4, id_col="group key")
+    # repeated rows of one id need not be alike; they are one document here, and the smallest id of its groups decides
+    first = groups.groupBy("doc_id").agg(F.min("component_id").alias("component_id")).where("doc_id = component_id")
+    kept = keyed.join(first.select(F.col("doc_id").alias("group key")), "group key", "left_semi")
+    return kept.dropDuplicates(["group key"]).select(*docs.columns)
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replace every secret, plain or linked, by a mark; ``n_chars`` follows the text."""
+    found = secrets.scan(docs, keep=docs.columns)
+    spans = F.array_sort(F.concat("base", "linked"), secrets.in_order)
+    clean = found.withColumn("text", secrets.redact(F.col("text"), spans))
+    some = F.size("base") + F.size("linked") > 0
+    return clean.withColumn("n_chars", F.when(some, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Draw documents so that the languages' token shares meet their targets; a document may be drawn repeatedly."""
+    model = domain_classifier(spark, docs, sf_dir)
+    rates = mixing.fit_rates(mixing.memberships(docs, model), list(TARGETS.values()))
+    return mixing.draw(docs, model, rates)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every text, and the digest of the bytes that they decode to."""
+    ids = bpe.encode_texts(docs, RANKS, public_tokenizers.PATTERN)
+    whole = bpe.decode_ids(ids, RANKS, public_tokenizers.PATTERN, ["doc_id", "ids"])
+    n_tokens = (F.octet_length("ids") / 4).cast("long").alias("n_tokens")
+    return whole.select("doc_id", n_tokens, "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+STAGES = [
+    ("quality", quality),
+    ("near_duplicates", near_duplicates),
+    ("secrets", redact_secrets),
+    ("mixing", mixture),
+    ("encode", encode),
+]
+
+#: The classifiers and the fingerprints have no SQL; tests/llm/test_pipeline.py holds the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; what a stage keeps is written before the next reads it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

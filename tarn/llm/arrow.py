@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -49,5 +50,13 @@ def map_texts(
 
 
 def large_text(column: pa.Array) -> pa.Array:
-    """Texts with 64-bit offsets, null as empty."""
-    return pc.fill_null(column.cast(pa.large_string()), "")
+    """Texts with 64-bit offsets from zero, null as empty.
+
+    Offsets of a slice start elsewhere, which some kernels (``ascii_lower`` among them) mishandle.
+    """
+    texts = pc.fill_null(column.cast(pa.large_string()), "")
+    n = len(texts)
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + n + 1] if n else np.zeros(1, np.int64)
+    data = texts.buffers()[2]
+    data = data.slice(int(offsets[0]), int(offsets[-1] - offsets[0])) if data is not None else pa.py_buffer(b"")
+    return pa.LargeStringArray.from_buffers(n, pa.py_buffer(offsets - offsets[0]), data)

@@ -1,0 +1,160 @@
+"""Text expressions: tokens, anchors, links, front matter, snippets, redaction. All stay in the JVM."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+#: Closed-class words that a query may drop.
+STOPWORDS = (
+    "a an and are as at be been but by can could did do does for from had has have how i if in into is it its "
+    "me my of on or our should so than that the their them then there these they this to us was we were what "
+    "when where which who whom why will with would you your about"
+).split()
+#: Words that say nothing about a trigger.
+TRIGGER_STOPWORDS = (
+    "this that with from into your have were will what when where which while does about these their such than "
+    "then them they some each over more most very just like make made used using should would could shall must "
+    "need want help talk show tell give look find know think session skill please before after during across "
+    "through being doing going right really actually"
+).split()
+MAX_TOKENS = 32
+NON_WORD = r"[^\p{L}\p{N}_]+"
+
+
+def tokens(text: Column) -> Column:
+    """Lower-cased word tokens, repeats kept."""
+    return F.filter(F.split(F.lower(text), NON_WORD, -1), lambda t: t != "")
+
+
+def query_tokens(text: Column) -> Column:
+    """Distinct tokens of a query in order of first appearance."""
+    return F.array_distinct(tokens(text))
+
+
+def query_tokens_stop(text: Column) -> Column:
+    """Query tokens without closed-class words; words with a digit stay, an emptied query stays whole."""
+    unique = query_tokens(text)
+    stop = F.array(*map(F.lit, STOPWORDS))
+    kept = F.filter(unique, lambda t: ~F.array_contains(stop, t) | t.rlike(r"\p{N}"))
+    return F.slice(F.when(F.size(kept) > 0, kept).otherwise(unique), 1, MAX_TOKENS)
+
+
+def front_matter(text: Column) -> Column:
+    """What stands between the opening ``---`` and the line that closes it; null without both."""
+    return F.when(text.startswith("---"), F.nullif(F.regexp_extract(text, r"(?s)\A---(.*?)\n---", 1), F.lit("")))
+
+
+def front_value(front: Column, key: str) -> Column:
+    """A scalar of the front matter: column-0 key, one matching pair of quotes stripped, empty or folded as empty."""
+    raw = F.trim(F.regexp_extract(front, rf"(?m)^{key}:[ \t]*(.*)$", 1))
+    bare = F.when(raw.rlike(r"""^(".*"|'.*')$"""), F.substring(raw, F.lit(2), F.greatest(F.length(raw) - 2, F.lit(0)))).otherwise(raw)
+    return F.when(raw.rlike(r"^[>|][+-]?$"), F.lit("")).otherwise(bare)
+
+
+def excluded(text: Column) -> Column:
+    """Whether the front matter excludes a note from search."""
+    return F.coalesce(F.lower(front_value(front_matter(text), "search")) == "exclude", F.lit(False))
+
+
+def anchors(text: Column) -> Column:
+    """Sorted distinct anchors, code spans and wikilinks aside."""
+    bare = F.regexp_replace(F.regexp_replace(text, "`[^`]*`", ""), r"\[\[[^\]]*\]\]", "")
+    return F.array_sort(F.array_distinct(F.regexp_extract_all(bare, F.lit(r"\^([a-z][a-z0-9-]*)"), F.lit(1))))
+
+
+def wikilinks(text: Column) -> Column:
+    """Distinct link targets in order."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"\[\[([^\]|#]+)"), F.lit(1)))
+
+
+def slugify(text: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), "^-+|-+$", "")
+
+
+def base_block(block: Column) -> Column:
+    """A block id without its part number."""
+    return F.regexp_replace(block, r"-p[0-9]+$", "")
+
+
+def chunk_text(title: Column, slug: Column, heading: Column, content: Column) -> Column:
+    """What is embedded for a chunk."""
+    words = F.translate(slug, "-", " ")
+    named = F.when(F.coalesce(title, F.lit("")) != "", F.concat(title, F.lit(" ("), words, F.lit(")"))).otherwise(words)
+    return F.concat(named, F.lit(" — "), heading, F.lit("\n\n"), content)
+
+
+def doc_text(title: Column, body: Column) -> Column:
+    return F.trim(F.concat(F.coalesce(title, F.lit("")), F.lit(" "), F.coalesce(body, F.lit(""))))
+
+
+def normalize(text: Column) -> Column:
+    """Lower case, no punctuation, single spaces."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}_\s]", ""), r"\s+", " "))
+
+
+def token_estimate(text: Column) -> Column:
+    return F.floor((F.length(text) + 3) / 4).cast("long")
+
+
+def token_length(text: Column) -> Column:
+    """Words times 1.4, at least one."""
+    words = F.size(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
+    return F.greatest(F.lit(1), F.ceil(words * F.lit(1.4))).cast("long")
+
+
+def last_sentence(text: Column) -> Column:
+    """The last sentence that holds a word; the whole text if none does."""
+    parts = F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+|\n+"), lambda s: F.trim(s)), lambda s: s.rlike(r"[\p{L}\p{N}_]"))
+    return F.when(F.size(parts) > 0, F.element_at(parts, -1)).otherwise(text)
+
+
+def match_snippet(content: Column, query: Column, width: int = 500) -> Column:
+    """A window around the median first position of the query's words; the head if none occurs."""
+    low = F.lower(content)
+    words = F.filter(F.split(F.lower(query), r"\s+"), lambda w: F.length(w) >= 3)
+    at = F.array_sort(F.filter(F.transform(words, lambda w: F.instr(low, w) - 1), lambda p: p >= 0))
+    centre = F.element_at(at, F.floor(F.size(at) / 2).cast("int") + 1)
+    start = F.greatest(F.lit(0), F.least(centre - width // 3, F.length(content) - width))
+    cut = F.substring(content, start + 1, F.lit(width))
+    around = F.when(start > 0, F.concat(F.lit("…"), cut)).otherwise(cut)
+    return F.when(F.length(content) <= width, content).when(F.size(at) > 0, around).otherwise(F.substring(content, 1, width))
+
+
+def late_windows(n: Column, cap: int) -> Column:
+    """Token ranges of ``cap`` with half overlap; the last ends at ``n``."""
+    stride = max(1, cap // 2)
+    last = F.ceil((n - cap) / stride).cast("int")
+    starts = F.sequence(F.lit(0), F.greatest(last, F.lit(0)))
+    return F.when(n <= cap, F.array(F.struct(F.lit(0).cast("long").alias("lo"), n.cast("long").alias("hi")))).otherwise(
+        F.transform(starts, lambda i: F.struct((i * stride).cast("long").alias("lo"), F.least(i * stride + cap, n).cast("long").alias("hi")))
+    )
+
+
+#: Redaction families, most specific first; those with exceptions are in ``redact``.
+REDACTIONS = [
+    ("private-key", r"(?s)-----BEGIN [A-Z ]*PRIVATE KEY-----.*?(?:-----END [A-Z ]*PRIVATE KEY-----|\z)", "[REDACTED:private-key]"),
+    (
+        "token",
+        r"\b(?:sk-ant-[A-Za-z0-9_-]{10,}|sk-[A-Za-z0-9_-]{20,}|gh[pousr]_[A-Za-z0-9]{20,}|github_pat_[A-Za-z0-9_]{20,}"
+        r"|xox[abprs]-[A-Za-z0-9-]{10,}|AKIA[0-9A-Z]{16}|AIza[0-9A-Za-z_-]{30,}|hf_[A-Za-z0-9]{20,}|glpat-[A-Za-z0-9_-]{15,}"
+        r"|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})",
+        "[REDACTED:token]",
+    ),
+    ("bearer", r"(?i)\b(Bearer|Basic)\s+[A-Za-z0-9._~+/=-]{16,}", "$1 [REDACTED]"),
+    ("tailnet-host", r"\b[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.ts\.net\b", "[REDACTED:tailnet-host]"),
+    (
+        "secret-assignment",
+        r"""(?i)\b([A-Z0-9_]*(?:TOKEN|SECRET|PASSWORD|PASSWD|API_?KEY|PRIVATE_?KEY|CREDENTIAL)[A-Z0-9_]*)\s*([=:])\s*["']?[^\s"'`,;]{6,}""",
+        "$1$2[REDACTED]",
+    ),
+]
+
+
+def redact(text: Column) -> tuple[Column, Column]:
+    """The text with each family replaced in turn, and how many replacements were made."""
+    count = F.lit(0).cast("long")
+    for _, pattern, mark in REDACTIONS:
+        count = count + F.regexp_count(text, F.lit(pattern)).cast("long")
+        text = F.regexp_replace(text, pattern, mark)
+    return text, count

@@ -1,0 +1,124 @@
+"""Exact vector search and vector transforms, in double precision."""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+#: Queries of one block; a block is what is broadcast.
+BLOCK = 4096
+
+
+def dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+
+
+def l2(a: Column, b: Column) -> Column:
+    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once a row: a lambda evaluates what it closes over for every element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def l2_normalize(v: Column) -> Column:
+    """A zero vector stays zero."""
+    unit = lambda w: let(F.sqrt(dot(w, w)), lambda n: F.when(n > 0, F.transform(w, lambda x: x / n)).otherwise(w))
+    return let(v, unit)
+
+
+def matryoshka(v: Column, width: int, layer_norm: bool = True) -> Column:
+    """Optional layer norm (population variance, eps 1e-5), the first ``width`` components, unit length."""
+    if not layer_norm:
+        return l2_normalize(F.slice(v, 1, width))
+    centred = lambda w: let(F.aggregate(w, F.lit(0.0), lambda s, x: s + x) / F.size(w), lambda m: F.transform(w, lambda x: x - m))
+    scaled = lambda c: let(F.sqrt(dot(c, c) / F.size(c) + 1e-5), lambda d: F.transform(F.slice(c, 1, width), lambda x: x / d))
+    return l2_normalize(let(let(v, centred), scaled))
+
+
+def non_finite(v: Column) -> Column:
+    return F.exists(v, lambda x: F.isnan(x) | (F.abs(x) == float("inf")))
+
+
+def knn_sql(queries: DataFrame, corpus: DataFrame, k: int, ties=None) -> DataFrame:
+    """Declarative form: every query against every vector, for query sets of a size that was checked.
+
+    ``queries (qid, qvec)``, ``corpus (id, vector)``; returns ``qid, id, rank (from 0), distance``, ties by id.
+    """
+    if queries.count() > BLOCK:
+        return knn_blocked(queries, corpus, k)
+    pairs = corpus.join(F.broadcast(queries), F.lit(True)).select("qid", "id", F.round(l2(F.col("qvec"), F.col("vector")), 9).alias("distance"))
+    order = W.partitionBy("qid").orderBy("distance", *(ties or ["id"]))
+    return pairs.withColumn("rank", (F.row_number().over(order) - 1).cast("long")).where(F.col("rank") < k).select("qid", "id", "rank", "distance")
+
+
+def knn_blocked(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
+    """Arrow form: query blocks of a fixed size go to every partition of the corpus, each returns its best ``k``.
+
+    A partition keeps ``k`` rows a query, whatever its size; the blocks are taken in turn. Matrix products
+    find the candidates within a slack of the k-th, exact distances settle them.
+    """
+    numbered = queries.select("qid", "qvec").orderBy("qid")
+    found = None
+    blocks = numbered.toArrow().to_batches(max_chunksize=BLOCK) if queries.count() else []
+    for block in blocks:
+        qid = block.column(0).to_numpy()
+        q = block.column(1).flatten().to_numpy().reshape(len(qid), -1)
+        sent = corpus.sparkSession.sparkContext.broadcast((qid, q))
+
+        def best(batches, sent=sent):
+            qid, q = sent.value
+            held_d, held_i = np.full((len(qid), k), np.inf), np.full((len(qid), k), np.iinfo(np.int64).max)
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                ids, x = batch.column(0).to_numpy(), batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1)
+                near = (q * q).sum(1)[:, None] + (x * x).sum(1)[None] - 2 * q @ x.T
+                top = min(k, len(ids)) - 1
+                bound = np.minimum(np.partition(near, top, 1)[:, top], held_d.max(1) ** 2) + 1e-4
+                for r in np.flatnonzero((near <= bound[:, None]).any(1)):
+                    c = np.flatnonzero(near[r] <= bound[r])
+                    exact = np.round(np.sqrt(((q[r] - x[c]) ** 2).sum(1)), 9)
+                    d, i = np.r_[held_d[r], exact], np.r_[held_i[r], ids[c]]
+                    order = np.lexsort((i, d))[:k]
+                    held_d[r], held_i[r] = d[order], i[order]
+            real = np.isfinite(held_d)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qid, real.sum(1))), pa.array(held_i[real]), pa.array(held_d[real])], ["qid", "id", "distance"])
+
+        part = corpus.select(F.col("id").cast("long"), "vector").mapInArrow(best, "qid long, id long, distance double")
+        found = part if found is None else found.unionAll(part)
+    if found is None:
+        found = corpus.sparkSession.createDataFrame([], "qid long, id long, distance double")
+    order = W.partitionBy("qid").orderBy("distance", "id")
+    return found.withColumn("rank", (F.row_number().over(order) - 1).cast("long")).where(F.col("rank") < k).select("qid", "id", "rank", "distance")
+
+
+def maxsim(query_tokens: DataFrame, doc_tokens: DataFrame) -> DataFrame:
+    """``qid, doc, score``: over the query's token vectors, the sum of the best dot product with the document's.
+
+    ``query_tokens (qid, t, qvec)`` is small and broadcast by the caller's choice; ``doc_tokens (doc, vector)``.
+    """
+    pairs = doc_tokens.join(query_tokens, F.lit(True)).groupBy("qid", "doc", "t").agg(F.max(dot(F.col("qvec"), F.col("vector"))).alias("m"))
+    return pairs.groupBy("qid", "doc").agg(F.sum("m").alias("score"))
+
+
+def assign_windows(spans: DataFrame, lo: Column, hi: Column) -> DataFrame:
+    """Add ``window``: of ``windows`` that hold (lo, hi), the one that leaves most on its shorter side, the first of equals."""
+    fit = F.filter("windows", lambda w: (w["lo"] <= lo) & (hi <= w["hi"]))
+    rated = F.transform(fit, lambda w: F.struct(F.least(lo - w["lo"], w["hi"] - hi).alias("margin"), (-w["lo"]).alias("early"), w.alias("w")))
+    return spans.withColumn("window", F.array_max(rated)["w"]).where("window IS NOT NULL")
+
+
+def plan_subbatches(lengths: list[int], most: int, budget: int, attention: int) -> list[list[int]]:
+    """Indices in batches, longest first; a batch's size follows from its longest member."""
+    order, out = sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)), []
+    while order:
+        longest = max(1, lengths[order[0]])
+        n = max(1, min(most, budget // longest, attention // longest**2))
+        out.append(order[:n])
+        order = order[n:]
+    return out

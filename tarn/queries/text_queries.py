@@ -1,0 +1,481 @@
+"""Sources, parsers, chunkers and text transforms."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from tarn.functions import chunking as C
+from tarn.functions import text as X
+from tarn.queries import fixture, query
+from tarn.sources.tables import SECTIONS_SQL, TEXT_QUERIES_SQL, containment_qrels, sections, table, text_queries, QRELS_SQL
+
+#: Markdown notes that both engines read as literals.
+NOTES = """(VALUES
+(1, 'alpha', 'public', '---
+type: note
+title: "Alpha note"
+search: "Exclude"
+sensitivity: public
+supersedes: [beta, dir/gamma.md, [[delta]]]
+superseded_by: 
+valid_until: 2024-05-01
+updated: 2024-01-02
+---
+# Alpha one
+
+Intro text here ^intro
+
+## Setup steps ^setup
+
+Do it. See [[beta#^x]] and [[gamma|G]] and [[beta]].
+
+```
+## not a heading
+```
+
+## Usage/Notes
+
+Run it `^code` now ^run-it
+^renamed
+
+## Empty
+
+## Data Flow
+
+### Inner
+a to b ^flow-a'),
+(2, 'beta', 'restricted', '# Beta title
+
+Body of beta with [[alpha]] only.'),
+(3, 'gamma', 'odd', '---
+title: Gamma
+search: include
+supersedes:
+  - alpha
+  - x.md
+modified: 2023-13-40
+updated: 2023-02-03
+---
+plain gamma text'),
+(4, 'delta', '', 'no title, no heading, ^lonely')
+) AS notes(id, slug, sensitivity, content)"""
+
+
+def notes(spark):
+    return fixture(spark, NOTES).withColumn("id", F.col("id").cast("long"))
+
+
+@query("scan_documents", "SELECT doc_id, lang, source, length(text)::BIGINT AS n FROM documents")
+def scan_documents(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", "lang", "source", F.length("text").cast("long").alias("n"))
+
+
+@query("filter_excluded", f"SELECT id::BIGINT AS id, slug FROM {NOTES} WHERE NOT coalesce(content LIKE '---%' AND regexp_matches(lower(content), '\\nsearch: *[\"'']?exclude[\"'']? *\\n'), false)")
+def filter_excluded(spark, sf):
+    return notes(spark).where(~X.excluded(F.col("content"))).select("id", "slug")
+
+
+@query("scan_modified_since", "SELECT event_id, event_type FROM events WHERE ts > TIMESTAMP '2024-01-20 00:00:00'")
+def scan_modified_since(spark, sf):
+    return table(spark, sf, "events").where("ts > timestamp_ntz'2024-01-20 00:00:00'").select("event_id", "event_type")
+
+
+@query("frontmatter_title", f"SELECT id::BIGINT AS id, coalesce(nullif(trim(regexp_extract(content, '\\ntitle: *\"?([^\"\\n]*)\"?\\n', 1)), ''), '') AS title FROM {NOTES}")
+def frontmatter_title(spark, sf):
+    return notes(spark).select("id", F.coalesce(X.front_value(X.front_matter(F.col("content")), "title"), F.lit("")).alias("title"))
+
+
+@query("first_h1")
+def first_h1(spark, sf):
+    """The first level-one heading outside a fence."""
+    lines = notes(spark).select("id", F.posexplode(F.split("content", "\n")).alias("i", "line"))
+    fence = F.sum(F.ltrim("line").startswith("```").cast("int")).over(W.partitionBy("id").orderBy("i")) % 2 == 1
+    hits = lines.withColumn("fence", fence).where(~F.col("fence") & F.col("line").startswith("# "))
+    return hits.groupBy("id").agg(F.min_by(F.trim(F.substring(F.col("line"), F.lit(3), F.length("line"))), "i").alias("title"))
+
+
+@query("parse_frontmatter")
+def parse_frontmatter(spark, sf):
+    """Freshness keys: inline or block lists of slugs, dates that parse, ``modified`` before ``updated``."""
+    front = X.front_matter(F.col("content"))
+    inline = F.filter(F.split(F.regexp_replace(X.front_value(front, "supersedes"), r"^\[|\]$", ""), ","), lambda s: F.trim(s) != "")
+    block = F.regexp_extract_all(F.regexp_extract(front, r"(?s)\nsupersedes:[ \t]*\n((?:[ \t]+- [^\n]*\n?)+)", 1), F.lit(r"- ([^\n]*)"), F.lit(1))
+    slug = lambda s: F.regexp_replace(F.regexp_replace(F.regexp_replace(F.trim(s), r"^\[\[|\]\]$|[\[\]]", ""), r"^.*/", ""), r"\.md$", "")
+    day = lambda key: F.regexp_extract(X.front_value(front, key), r"^\d{4}-\d{2}-\d{2}", 0)
+    date = lambda key: F.try_to_timestamp(day(key), F.lit("yyyy-MM-dd")).cast("date").cast("string")
+    return notes(spark).select(
+        "id",
+        F.coalesce(F.transform(F.when(F.size(inline) > 0, inline).otherwise(block), slug), F.array().cast("array<string>")).alias("supersedes"),
+        F.nullif(slug(X.front_value(front, "superseded_by")), F.lit("")).alias("superseded_by"),
+        date("valid_until").alias("valid_until"),
+        F.coalesce(date("modified"), date("updated")).alias("modified"),
+    )
+
+
+@query("sensitivity_class", f"SELECT id::BIGINT AS id, CASE WHEN sensitivity IN ('public', 'unpublished', 'restricted') THEN sensitivity ELSE 'unpublished' END AS sensitivity FROM {NOTES}")
+def sensitivity_class(spark, sf):
+    known = F.col("sensitivity").isin("public", "unpublished", "restricted")
+    return notes(spark).select("id", F.when(known, F.col("sensitivity")).otherwise("unpublished").alias("sensitivity"))
+
+
+JSONL = """(VALUES (1, '{"ts": 5, "q": "a b", "slugs": ["x", "y"], "sid": "s1"}'), (2, '{"ts": 6, "kind": "read", "slug": "x", "sid": "s1"}'),
+(3, 'not json'), (4, '{"ts": 7, "kind": "read"}'), (5, '{"ts": 8, "q": "c"}'), (6, '{"ts": 9, "q": "d", "slugs": []}')) AS log(i, line)"""
+
+
+@query(
+    "hitlog_scan",
+    f"""WITH j AS (SELECT i, try_cast(line AS JSON) AS j FROM {JSONL} WHERE json_valid(line))
+    SELECT i::BIGINT AS i, CASE WHEN (j->>'kind') = 'read' THEN 'read' ELSE 'search' END AS kind, (j->>'ts')::BIGINT AS ts FROM j
+    WHERE ((j->>'kind') = 'read' AND (j->>'slug') IS NOT NULL) OR (coalesce(j->>'kind', '') <> 'read' AND (j->>'q') IS NOT NULL AND (j->'slugs') IS NOT NULL)""",
+)
+def hitlog_scan(spark, sf):
+    """Well-formed log lines: searches with query and slugs, reads with a slug."""
+    from tarn.sources.logs import parse_hit_log
+
+    return parse_hit_log(fixture(spark, JSONL), "line").select(F.col("i").cast("long").alias("i"), "kind", "ts")
+
+
+LATEST = "(SELECT user_id AS qid, event_type AS system, event_id AS seq, value AS score FROM events)"
+
+
+@query("querylog_latest", f"SELECT system, qid, seq, score FROM {LATEST} QUALIFY row_number() OVER (PARTITION BY system, qid ORDER BY seq DESC) = 1")
+def querylog_latest(spark, sf):
+    """The last entry of every (system, query) wins."""
+    log = table(spark, sf, "events").select(F.col("user_id").alias("qid"), F.col("event_type").alias("system"), F.col("event_id").alias("seq"), F.col("value").alias("score"))
+    return log.groupBy("system", "qid").agg(F.max(F.struct("seq", "score")).alias("last")).select("system", "qid", "last.*")
+
+
+@query("run_file_roundtrip", "SELECT item_id::VARCHAR AS qid, (item_id * 7 % 50)::VARCHAR AS doc, 1::BIGINT AS rank, round(length(text) / 10.0, 4)::DOUBLE AS score FROM benchmark")
+def run_file_roundtrip(spark, sf):
+    """A run written as a space-separated file and read back."""
+    from tarn.plans.scratch import scratch_path
+    from tarn.sources.runs import read_run, write_run
+
+    b = table(spark, sf, "benchmark")
+    run = b.select(F.col("item_id").cast("string").alias("qid"), (F.col("item_id") * 7 % 50).cast("string").alias("doc"), F.lit(1).cast("long").alias("rank"), F.round(F.length("text") / 10.0, 4).cast("double").alias("score"))
+    path = scratch_path(spark, "run")
+    write_run(run, path, "bm25")
+    return read_run(spark, path).select("qid", "doc", "rank", "score")
+
+
+GRADES = "(SELECT conv_id AS qid, turn AS doc_id, (CASE WHEN role = 'user' THEN 1 WHEN role = 'system' THEN -1 ELSE 0 END)::BIGINT AS grade FROM conversations)"
+
+
+@query("scorable_queries", f"SELECT qid, count(*) FILTER (WHERE grade > 0)::BIGINT AS positives FROM {GRADES} GROUP BY qid HAVING count(*) FILTER (WHERE grade > 0) > 0")
+def scorable_queries(spark, sf):
+    """Queries with a positive judgement; negative grades count as zero."""
+    c = table(spark, sf, "conversations").select(F.col("conv_id").alias("qid"), F.when(F.col("role") == "user", 1).when(F.col("role") == "system", -1).otherwise(0).alias("grade"))
+    return c.withColumn("grade", F.greatest("grade", F.lit(0))).groupBy("qid").agg(F.sum((F.col("grade") > 0).cast("long")).alias("positives")).where("positives > 0")
+
+
+@query(
+    "select_capped",
+    f"""WITH rel AS (SELECT DISTINCT doc_id FROM {QRELS_SQL}), n AS (SELECT 200 - count(*) AS room FROM rel),
+    fill AS (SELECT d.doc_id FROM documents d ANTI JOIN rel USING (doc_id) ORDER BY doc_id LIMIT (SELECT greatest(room, 0) FROM n))
+    SELECT doc_id FROM rel UNION ALL SELECT doc_id FROM fill""",
+)
+def select_capped(spark, sf):
+    """Every relevant document, then others in corpus order up to the cap."""
+    relevant = containment_qrels(spark, sf).select("doc_id").distinct()
+    docs = table(spark, sf, "documents").select("doc_id")
+    room = max(0, 200 - relevant.count())
+    return relevant.unionByName(docs.join(relevant, "doc_id", "left_anti").orderBy("doc_id").limit(room))
+
+
+@query(
+    "dataset_adapter",
+    "SELECT CAST(b.item_id AS BIGINT) AS qid, CAST(d.doc_id AS BIGINT) AS doc_id, CAST(l.quality AS BIGINT) AS grade, CAST(l.toxic = 1 AS BOOLEAN) AS flagged FROM benchmark b JOIN documents d ON contains(d.text, b.text) JOIN labels l ON l.doc_id = d.doc_id",
+)
+def dataset_adapter(spark, sf):
+    """Queries, judgements and flags of a held-out set, joined by id."""
+    labels = table(spark, sf, "labels").select("doc_id", F.col("quality").cast("long").alias("grade"), (F.col("toxic") == 1).alias("flagged"))
+    return containment_qrels(spark, sf).select("qid", "doc_id").join(labels, "doc_id").select("qid", "doc_id", "grade", "flagged")
+
+
+@query(
+    "flatten_sessions",
+    """WITH c AS (SELECT conv_id AS qid, turn - turn % 2 AS sid, turn, role, text FROM conversations),
+    s AS (SELECT qid, sid, list(struct_pack(t := turn, r := role, x := text) ORDER BY turn) AS turns FROM c GROUP BY qid, sid),
+    z AS (SELECT qid, list(sid ORDER BY sid) AS ids, list(turns ORDER BY sid) AS sessions FROM s GROUP BY qid),
+    u AS (SELECT qid, unnest(list_zip(ids, sessions)) AS p FROM z),
+    v AS (SELECT qid, p[1] AS sid, unnest(p[2]) AS t FROM u)
+    SELECT qid, sid, t.t AS turn, t.r AS role, length(t.x)::BIGINT AS n FROM v""",
+)
+def flatten_sessions(spark, sf):
+    """Parallel arrays of session ids and sessions, zipped and flattened to turns."""
+    c = table(spark, sf, "conversations").withColumn("sid", F.col("turn") - F.col("turn") % 2)
+    s = c.groupBy(F.col("conv_id").alias("qid"), "sid").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    z = s.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("sid", "turns"))).alias("p")).select("qid", F.col("p.sid").alias("ids"), F.col("p.turns").alias("sessions"))
+    flat = z.select("qid", F.explode(F.arrays_zip("ids", "sessions")).alias("p")).select("qid", F.col("p.ids").alias("sid"), F.explode("p.sessions").alias("t"))
+    return flat.select("qid", "sid", "t.turn", "t.role", F.length("t.text").cast("long").alias("n"))
+
+
+EVIDENCE = "(VALUES (1, 'D1:3; D:2:11'), (2, 'none'), (3, 'D4:1D5:2, D9:99')) AS e(i, evidence)"
+
+
+@query("parse_evidence", f"SELECT i::BIGINT AS i, unnest(regexp_extract_all(evidence, 'D:?(\\d+):(\\d+)', 1))::BIGINT AS session, unnest(regexp_extract_all(evidence, 'D:?(\\d+):(\\d+)', 2))::BIGINT AS turn FROM {EVIDENCE}")
+def parse_evidence(spark, sf):
+    pattern = F.lit(r"D:?(\d+):(\d+)")
+    both = F.arrays_zip(F.regexp_extract_all("evidence", pattern, F.lit(1)).alias("s"), F.regexp_extract_all("evidence", pattern, F.lit(2)).alias("t"))
+    found = fixture(spark, EVIDENCE).select(F.col("i").cast("long").alias("i"), F.explode(both).alias("p"))
+    return found.select("i", F.col("p")["s"].cast("long").alias("session"), F.col("p")["t"].cast("long").alias("turn"))
+
+
+TRANSCRIPT = """(VALUES (1, '{"type": "user", "message": {"content": "hello there"}}'), (2, '{"type": "user", "isMeta": true, "message": {"content": "meta"}}'),
+(3, '{"type": "assistant", "message": {"content": [{"type": "text", "text": "part one"}, {"type": "tool_use", "name": "t"}, {"type": "text", "text": "part two"}]}}'),
+(4, '{"type": "system", "message": {"content": "no"}}'), (5, '{"type": "user", "isSidechain": true, "message": {"content": "side"}}')) AS t(i, line)"""
+
+
+@query(
+    "transcript_user_texts",
+    f"""WITH j AS (SELECT i, line::JSON AS j FROM {TRANSCRIPT})
+    SELECT i::BIGINT AS i, j->>'type' AS role, left(CASE WHEN json_type(j->'message'->'content') = 'VARCHAR' THEN j->'message'->>'content'
+      ELSE array_to_string(list_transform(list_filter((j->'message'->'content')::JSON[], lambda b: b->>'type' = 'text'), lambda b: b->>'text'), chr(10)) END, 500) AS text
+    FROM j WHERE j->>'type' IN ('user', 'assistant') AND coalesce(j->>'isMeta', 'false') <> 'true' AND coalesce(j->>'isSidechain', 'false') <> 'true'""",
+)
+def transcript_user_texts(spark, sf):
+    from tarn.sources.logs import parse_transcript
+
+    return parse_transcript(fixture(spark, TRANSCRIPT), "line").select(F.col("i").cast("long").alias("i"), "role", "text")
+
+
+MANIFEST = """(VALUES (1, 'head
+### one
+type | One title
+Blocks: a, b
+### two
+type | Two
+')) AS m(i, content)"""
+
+
+@query("manifest_blocks")
+def manifest_blocks(spark, sf):
+    """(slug, block) pairs of a manifest, cut before every level-three heading."""
+    parts = fixture(spark, MANIFEST).select(F.posexplode(F.split("content", r"(?m)^(?=### )")).alias("pos", "block")).where(F.col("block").startswith("### "))
+    return parts.select(F.col("pos").cast("long").alias("pos"), F.trim(F.regexp_extract("block", "^### ([^\n]*)", 1)).alias("slug"), F.trim("block").alias("block"))
+
+
+@query("manifest_titles", f"SELECT x[1] AS slug, x[2] AS title FROM (SELECT unnest(list_zip(regexp_extract_all(content, '### ([^\\n]*)\\n[^|\\n]*\\| ([^\\n]*)', 1), regexp_extract_all(content, '### ([^\\n]*)\\n[^|\\n]*\\| ([^\\n]*)', 2))) AS x FROM {MANIFEST})")
+def manifest_titles(spark, sf):
+    return manifest_blocks(spark, sf).select("slug", F.regexp_extract("block", r"\n[^|\n]*\| ([^\n]*)", 1).alias("title"))
+
+
+RESULTS = "(SELECT doc_id AS qid, (doc_id % 7) / 6.0 AS ndcg, CASE WHEN doc_id % 50 = 0 THEN NULL ELSE n_chars END AS cost FROM documents)"
+
+
+@query("result_schema_check", f"SELECT count(*)::BIGINT AS n, count(*) FILTER (WHERE ndcg < 0 OR ndcg > 1)::BIGINT AS out_of_range, count(*) FILTER (WHERE cost IS NULL)::BIGINT AS no_cost FROM {RESULTS}")
+def result_schema_check(spark, sf):
+    d = table(spark, sf, "documents").select((F.col("doc_id") % 7 / 6.0).alias("ndcg"), F.when(F.col("doc_id") % 50 != 0, F.col("n_chars")).alias("cost"))
+    count = lambda c: F.sum(F.coalesce(c.cast("long"), F.lit(0))).alias
+    return d.agg(F.count("*").alias("n"), count((F.col("ndcg") < 0) | (F.col("ndcg") > 1))("out_of_range"), count(F.col("cost").isNull())("no_cost"))
+
+
+@query(
+    "chunk_headings",
+    f"""WITH b AS (SELECT slug, trim(CASE WHEN content LIKE '---%' THEN regexp_replace(content, '(?s)\\A---.*?\\n---', '') ELSE content END) AS body FROM {NOTES}),
+    l AS (SELECT slug, unnest(string_split(body, chr(10))) AS line, generate_subscripts(string_split(body, chr(10)), 1) AS i FROM b),
+    f AS (SELECT *, sum(CASE WHEN ltrim(line) LIKE '```%' THEN 1 ELSE 0 END) OVER (PARTITION BY slug ORDER BY i) % 2 = 1 AS fence FROM l),
+    h AS (SELECT *, line LIKE '## %' AND NOT fence AS is_h FROM f),
+    p AS (SELECT *, sum(is_h::INT) OVER (PARTITION BY slug ORDER BY i) AS part FROM h),
+    g AS (SELECT slug, part, max(CASE WHEN is_h THEN trim(regexp_replace(line, '^[# ]+', '')) END) AS raw,
+      arg_max(regexp_replace(trim(line), '^\\^+', ''), i) FILTER (WHERE NOT is_h AND trim(line) LIKE '^%' AND length(trim(line)) > 1) AS renamed,
+      regexp_replace(regexp_replace(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT is_h), ''), '\\A\\s+', ''), '\\s+\\z', '') AS content FROM p GROUP BY slug, part)
+    SELECT slug, part::BIGINT AS part, CASE WHEN raw IS NULL THEN 'Overview' WHEN regexp_matches(raw, '\\s\\^\\S+$') THEN trim(regexp_extract(raw, '^(.*?)\\s+\\^(\\S+)$', 1)) ELSE raw END AS heading,
+      coalesce(renamed, CASE WHEN raw IS NULL THEN 'overview' WHEN regexp_matches(raw, '\\s\\^\\S+$') THEN regexp_extract(raw, '^(.*?)\\s+\\^(\\S+)$', 2) ELSE regexp_replace(lower(raw), '[ /]', '-', 'g') END) AS block_id, content
+    FROM g WHERE content <> ''""",
+)
+def chunk_headings(spark, sf):
+    return C.heading_sections(notes(spark))
+
+
+@query("split_text")
+def split_text(spark, sf):
+    """Documents cut to parts of at most 2,000 characters."""
+    parts = table(spark, sf, "documents").select("doc_id", F.posexplode(C.split_text("text")).alias("pos", "part"))
+    return parts.select("doc_id", F.col("pos").cast("long").alias("pos"), F.length("part").cast("long").alias("n"), F.sha1("part").alias("sha"))
+
+
+@query("anchor_groups")
+def anchor_groups(spark, sf):
+    got = notes(spark).select("id", F.posexplode(C.group_anchors("content")).alias("pos", "g"))
+    return got.select("id", F.col("pos").cast("long").alias("pos"), F.col("g.id").alias("anchor"), F.length("g.text").cast("long").alias("n"))
+
+
+@query("pack_parts")
+def pack_parts(spark, sf):
+    got = table(spark, sf, "documents").select("doc_id", F.posexplode(C.packed("text")).alias("pos", "part"))
+    return got.select("doc_id", (F.col("pos") + 1).cast("long").alias("part"), F.length("part").cast("long").alias("n"))
+
+
+@query(
+    "chunk_ids",
+    """SELECT doc_id, source, CASE WHEN n = 1 THEN lang ELSE lang || '-' || n END AS block_id
+    FROM (SELECT *, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) AS n FROM documents)""",
+)
+def chunk_ids(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", "source", "lang")
+    return C.unique_ids(d, "source", "lang", F.col("doc_id")).select("doc_id", "source", "block_id")
+
+
+@query("extract_anchors", f"SELECT id::BIGINT AS id, array_to_string(list_sort(list_distinct(regexp_extract_all(regexp_replace(regexp_replace(content, '`[^`]*`', '', 'g'), '\\[\\[[^\\]]*\\]\\]', '', 'g'), '\\^([a-z][a-z0-9-]*)', 1))), ',') AS anchors FROM {NOTES}")
+def extract_anchors(spark, sf):
+    return notes(spark).select("id", F.array_join(X.anchors(F.col("content")), ",").alias("anchors"))
+
+
+@query(
+    "extract_wikilinks",
+    f"""WITH l AS (SELECT id, regexp_extract_all(content, '\\[\\[([^\\]|#]+)', 1) AS x FROM {NOTES}),
+    e AS (SELECT id, unnest(x) AS slug, generate_subscripts(x, 1) AS i FROM l)
+    SELECT id::BIGINT AS id, slug, min(i)::BIGINT AS first_at FROM e GROUP BY id, slug""",
+)
+def extract_wikilinks(spark, sf):
+    found = F.regexp_extract_all("content", F.lit(r"\[\[([^\]|#]+)"), F.lit(1))
+    n = notes(spark).select("id", F.explode(X.wikilinks(F.col("content"))).alias("slug"), found.alias("found"))
+    return n.select("id", "slug", F.array_position("found", F.col("slug")).cast("long").alias("first_at"))
+
+
+@query("chunk_text", f"SELECT id, title || ' (' || replace(slug, '-', ' ') || ') — ' || heading || chr(10) || chr(10) || content AS chunk FROM {SECTIONS_SQL}")
+def chunk_text(spark, sf):
+    return sections(spark, sf).select("id", X.chunk_text(F.col("title"), F.col("slug"), F.col("heading"), F.col("content")).alias("chunk"))
+
+
+@query("truncate_stats", "SELECT count(*)::BIGINT AS n, sum((length(text) > 3072)::INT)::BIGINT AS truncated, sum(length(left(text, 3072)))::BIGINT AS chars FROM documents")
+def truncate_stats(spark, sf):
+    cap = 512 * 6
+    t = F.length("text")
+    return table(spark, sf, "documents").agg(F.count("*").alias("n"), F.sum((t > cap).cast("long")).alias("truncated"), F.sum(F.length(F.substring("text", 1, cap))).cast("long").alias("chars"))
+
+
+@query("doc_text", f"SELECT id, trim(title || ' ' || content) AS doc FROM {SECTIONS_SQL}")
+def doc_text(spark, sf):
+    return sections(spark, sf).select("id", X.doc_text(F.col("title"), F.col("content")).alias("doc"))
+
+
+WINDOWS_SQL = """(SELECT doc_id, n, unnest(CASE WHEN n <= 256 THEN [0] ELSE list_transform(range(0, ceil((n - 256) / 128.0)::BIGINT + 1), lambda i: i * 128) END)::BIGINT AS lo
+    FROM (SELECT doc_id, len(string_split(text, ' '))::BIGINT AS n FROM documents))"""
+
+
+@query("late_windows", f"SELECT doc_id, lo, least(lo + 256, n)::BIGINT AS hi FROM {WINDOWS_SQL}")
+def late_windows(spark, sf):
+    n = F.size(F.split("text", " ", -1)).cast("long")
+    return table(spark, sf, "documents").select("doc_id", F.explode(X.late_windows(n, 256)).alias("w")).select("doc_id", "w.lo", "w.hi")
+
+
+@query(
+    "late_assign",
+    f"""WITH w AS (SELECT doc_id, n, lo, least(lo + 256, n) AS hi FROM {WINDOWS_SQL}),
+    s AS (SELECT doc_id, unnest(range(0, n, 100))::BIGINT AS a, n FROM (SELECT DISTINCT doc_id, n FROM w)),
+    f AS (SELECT s.doc_id, a, lo, least(a - lo, hi - least(a + 100, s.n)) AS margin FROM s JOIN w ON w.doc_id = s.doc_id AND a >= lo AND least(a + 100, s.n) <= hi)
+    SELECT doc_id, a, lo AS window_lo FROM f QUALIFY row_number() OVER (PARTITION BY doc_id, a ORDER BY margin DESC, lo) = 1""",
+)
+def late_assign(spark, sf):
+    """Each span of a hundred tokens goes to the window where it stands most central."""
+    from tarn.operators.vectors import assign_windows
+
+    n = F.size(F.split("text", " ", -1)).cast("long")
+    d = table(spark, sf, "documents").select("doc_id", n.alias("n"), X.late_windows(n, 256).alias("windows"))
+    spans = d.select("doc_id", "windows", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(100).cast("long"))).alias("a"))
+    return assign_windows(spans, F.col("a"), F.least(F.col("a") + 100, F.col("n"))).select("doc_id", "a", F.col("window")["lo"].alias("window_lo"))
+
+
+@query(
+    "match_snippet",
+    f"""WITH p AS (SELECT d.doc_id, d.text AS c, q.qid, q.query FROM documents d JOIN {TEXT_QUERIES_SQL} q ON q.qid = d.doc_id % 40),
+    w AS (SELECT *, list_sort(list_filter(list_transform(list_filter(string_split_regex(lower(query), '\\s+'), lambda w: length(w) >= 3), lambda w: instr(lower(c), w) - 1), lambda i: i >= 0)) AS hits FROM p),
+    s AS (SELECT *, greatest(0, least(hits[len(hits) // 2 + 1] - 166, length(c) - 500)) AS start FROM w)
+    SELECT doc_id, qid, CASE WHEN length(c) <= 500 THEN c WHEN len(hits) = 0 THEN left(c, 500) WHEN start > 0 THEN '…' || substr(c, start + 1, 500) ELSE substr(c, start + 1, 500) END AS snippet FROM s""",
+)
+def match_snippet(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", "text", (F.col("doc_id") % 40).alias("qid"))
+    return d.join(F.broadcast(text_queries(spark, sf)), "qid").select("doc_id", "qid", X.match_snippet(F.col("text"), F.col("query")).alias("snippet"))
+
+
+@query(
+    "manifest_build",
+    f"""SELECT slug, CASE WHEN slug LIKE 'g%' THEN 'papers' ELSE 'entries' END AS output,
+    array_to_string(list_sort(list_distinct(regexp_extract_all(content, '\\[\\[([^\\]|#]+)', 1))), ', ') AS links FROM {NOTES}""",
+)
+def manifest_build(spark, sf):
+    routed = F.when(F.col("slug").startswith("g"), "papers").otherwise("entries")
+    return notes(spark).select("slug", routed.alias("output"), F.array_join(F.array_sort(X.wikilinks(F.col("content"))), ", ").alias("links"))
+
+
+@query("dataflow_section", f"SELECT id::BIGINT AS id, trim(regexp_replace(regexp_extract(content || chr(10) || '## ', '(?s)## Data Flow\\n(.*?)\\n## ', 1), '(^|\\n)###', '\\1####', 'g')) AS flow FROM {NOTES} WHERE content LIKE '%## Data Flow%'")
+def dataflow_section(spark, sf):
+    """What stands under the data-flow heading, inner headings one level down."""
+    flow = F.regexp_extract(F.concat("content", F.lit("\n## ")), r"(?s)## Data Flow\n(.*?)\n## ", 1)
+    return notes(spark).where(F.col("content").contains("## Data Flow")).select("id", F.trim(F.regexp_replace(flow, r"(^|\n)###", "$1####")).alias("flow"))
+
+
+@query(
+    "redact_counts",
+    """WITH a AS (SELECT doc_id, text, len(regexp_extract_all(text, '(?s)-----BEGIN [A-Z ]*PRIVATE KEY-----.*?(?:-----END [A-Z ]*PRIVATE KEY-----|\\z)')) AS n FROM documents),
+    b AS (SELECT doc_id, '(?i)\\b([A-Z0-9_]*(?:TOKEN|SECRET|PASSWORD|PASSWD|API_?KEY|PRIVATE_?KEY|CREDENTIAL)[A-Z0-9_]*)\\s*([=:])\\s*["'']?[^\\s"''`,;]{6,}' AS p,
+      '\\bAKIA[0-9A-Z]{16}' AS t, '(?i)\\b(Bearer|Basic)\\s+[A-Za-z0-9._~+/=-]{16,}' AS r, text, n FROM a)
+    SELECT doc_id, (n + len(regexp_extract_all(text, t)) + len(regexp_extract_all(text, r)) + len(regexp_extract_all(regexp_replace(regexp_replace(text, t, '[REDACTED:token]', 'g'), r, '\\1 [REDACTED]', 'g'), p)))::BIGINT AS n FROM b""",
+)
+def redact_counts(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", X.redact(F.col("text"))[1].alias("n"))
+
+
+BLOCKS = "(VALUES ('setup-p2'), ('setup'), ('a-p'), ('x-p10-p3')) AS b(block)"
+
+
+@query("base_block", f"SELECT block, regexp_replace(block, '-p[0-9]+$', '') AS base FROM {BLOCKS}")
+def base_block(spark, sf):
+    return fixture(spark, BLOCKS).select("block", X.base_block(F.col("block")).alias("base"))
+
+
+@query("slugify", "SELECT page_id, regexp_replace(regexp_replace(lower(url), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM pages")
+def slugify(spark, sf):
+    return table(spark, sf, "pages").select("page_id", X.slugify(F.col("url")).alias("slug"))
+
+
+@query("normalize_text", "SELECT conv_id, turn, trim(regexp_replace(regexp_replace(lower(text), '[^\\p{L}\\p{N}_\\s]', '', 'g'), '\\s+', ' ', 'g')) AS norm FROM conversations")
+def normalize_text(spark, sf):
+    return table(spark, sf, "conversations").select("conv_id", "turn", X.normalize(F.col("text")).alias("norm"))
+
+
+@query("session_units", "SELECT conv_id, string_agg(role || ': ' || text, chr(10) || chr(10) ORDER BY turn) AS body, count(*)::BIGINT AS turns FROM conversations GROUP BY conv_id")
+def session_units(spark, sf):
+    from tarn.operators.memory import session_units
+
+    return session_units(table(spark, sf, "conversations"))
+
+
+@query("turn_units", "SELECT conv_id, turn, role AS header, trim(text) AS body FROM conversations WHERE trim(text) <> ''")
+def turn_units(spark, sf):
+    return table(spark, sf, "conversations").where(F.trim("text") != "").select("conv_id", "turn", F.col("role").alias("header"), F.trim("text").alias("body"))
+
+
+@query("unit_chunks")
+def unit_chunks(spark, sf):
+    """Session units cut by size; every chunk repeats the header and names its owner."""
+    from tarn.operators.memory import session_units
+
+    units = session_units(table(spark, sf, "conversations"))
+    chunks = units.select("conv_id", F.posexplode(C.split_text("body")).alias("pos", "part"))
+    return chunks.select("conv_id", F.col("pos").cast("long").alias("pos"), F.length(F.concat(F.lit("session\n"), "part")).cast("long").alias("n"))
+
+
+@query("token_estimate", "SELECT doc_id, ((length(text) + 3) // 4)::BIGINT AS tokens FROM documents")
+def token_estimate(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", X.token_estimate(F.col("text")).alias("tokens"))
+
+
+@query("token_lengths", "SELECT doc_id, greatest(1, ceil(len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')) * 1.4::DOUBLE))::BIGINT AS tokens FROM documents")
+def token_lengths(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", X.token_length(F.col("text")).alias("tokens"))
+
+
+@query("keyword_cache", "SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z]{3,}')))[1:50], ' ') AS words FROM documents")
+def keyword_cache(spark, sf):
+    """First fifty of a text's sorted distinct words of three letters or more."""
+    words = F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0))))
+    return table(spark, sf, "documents").select("doc_id", F.array_join(F.slice(words, 1, 50), " ").alias("words"))
+
+
+@query("last_sentence", "SELECT conv_id, turn, coalesce(list_filter(list_transform(string_split_regex(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), '[\\n\\x01]+'), lambda s: trim(s)), lambda s: regexp_matches(s, '[\\p{L}\\p{N}_]'))[-1], text) AS last FROM conversations")
+def last_sentence(spark, sf):
+    return table(spark, sf, "conversations").select("conv_id", "turn", X.last_sentence(F.col("text")).alias("last"))

@@ -220,13 +220,13 @@ def aurc(spark, sf):
 
 
 @query("confidence_signals", f"""WITH r AS {RUN_A}, e AS (SELECT *, exp(score - max(score) OVER (PARTITION BY qid)) AS e FROM r), p AS (SELECT *, e / sum(e) OVER (PARTITION BY qid) AS p FROM e)
-    SELECT qid, max(score) AS top1, round(max(score) - coalesce(max(score) FILTER (WHERE rank = 1), 0), 6) AS margin, round(sum(p * ln(p)), 6) AS neg_entropy, round(median(score), 6) AS med FROM p GROUP BY qid""")
+    SELECT qid, max(score) AS top1, round(max(score) - coalesce(max(score) FILTER (WHERE rank = 1), 0), 6) AS margin, round(sum(p * ln(p)), 6) + 0.0 AS neg_entropy, round(median(score), 6) AS med FROM p GROUP BY qid""")
 def confidence_signals(spark, sf):
     over = W.partitionBy("qid")
     r = bm25(spark, sf).withColumn("e", F.exp(F.col("score") - F.max("score").over(over)))
     r = r.withColumn("p", F.col("e") / F.sum("e").over(over))
     second = F.coalesce(F.max(F.when(F.col("rank") == 1, F.col("score"))), F.lit(0.0))
-    return r.groupBy("qid").agg(F.max("score").alias("top1"), F.round(F.max("score") - second, 6).alias("margin"), F.round(F.sum(F.col("p") * F.log("p")), 6).alias("neg_entropy"), F.round(F.median("score"), 6).alias("med"))
+    return r.groupBy("qid").agg(F.max("score").alias("top1"), F.round(F.max("score") - second, 6).alias("margin"), (F.round(F.sum(F.col("p") * F.log("p")), 6) + 0.0).alias("neg_entropy"), F.round(F.median("score"), 6).alias("med"))
 
 
 @query("split_sha256", "SELECT doc_id, CASE WHEN ('0x' || left(sha256(doc_id::VARCHAR), 2))::INT % 2 = 0 THEN 'dev' ELSE 'test' END AS split FROM documents")

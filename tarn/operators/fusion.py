@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tarn.functions.topk import top
+
 RRF_K = 60
 
 
@@ -17,8 +19,10 @@ def finite(c: Column) -> Column:
     return F.when(~F.isnan(c) & (F.abs(c) != float("inf")), c)
 
 
-def ranked(rows: DataFrame, *order) -> DataFrame:
-    """Number rows of each query from zero."""
+def ranked(rows: DataFrame, *order, k: int | None = None) -> DataFrame:
+    """Number rows of each query from zero, the first ``k`` only if given."""
+    if k is not None:
+        return top(rows, k, *order)
     return rows.withColumn("rank", (F.row_number().over(W.partitionBy("qid").orderBy(*order)) - 1).cast("long"))
 
 
@@ -104,7 +108,7 @@ def rescue(both: DataFrame, lex_norm: Column, at: int = 5, window: int = 20, max
     nth = F.row_number().over(W.partitionBy("qid", "strong").orderBy(F.col("lex_rank").asc_nulls_last()))
     rows = rows.withColumn("saved", F.col("strong") & (nth <= most))
     rows = rows.where(~F.col("has_dense") | F.col("dense_rank").isNotNull() | F.col("saved"))
-    rest = F.row_number().over(W.partitionBy("qid", "saved").orderBy(F.col("dense_rank").asc_nulls_last(), "lex_rank")) - 1
+    rest = F.row_number().over(W.partitionBy("qid", "saved").orderBy(F.when(F.col("saved"), F.col("lex_rank")).otherwise(F.col("dense_rank")).asc_nulls_last(), "lex_rank")) - 1
     rows = rows.withColumn("own", rest).withColumns({"n_saved": F.sum(F.col("saved").cast("int")).over(over), "n_rest": F.sum((~F.col("saved")).cast("int")).over(over)})
     put = F.least(F.lit(at), F.col("n_rest"))
     pos = F.when(F.col("saved"), put + F.col("own")).otherwise(F.col("own") + F.when(F.col("own") >= put, F.col("n_saved")).otherwise(0))

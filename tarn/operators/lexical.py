@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tarn.functions.text import query_tokens, tokens
+from tarn.functions.topk import top
 
 K1, B, IDF_FLOOR, DIGITS = 1.2, 0.75, 1e-6, 6
 
@@ -49,8 +50,7 @@ def bm25_topk(terms: DataFrame, docs: DataFrame, k: int, doc_id: str = "id", tex
     weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     rated = tf.join(df.crossJoin(F.broadcast(stats)).withColumn("idf", idf), "term").select("term", "doc_id", weight.alias("w"))
     scores = terms.join(rated, "term").groupBy("qid", "doc_id").agg(F.round(F.sum("w"), DIGITS).alias("score"))
-    order = W.partitionBy("qid").orderBy(F.desc("score"), "doc_id")
-    return scores.withColumn("rank", (F.row_number().over(order) - 1).cast("long")).where(F.col("rank") < k).select("qid", "doc_id", "rank", "score")
+    return top(scores, k, F.desc("score"), "doc_id").select("qid", "doc_id", "rank", "score")
 
 
 def idf_top_tokens(queries: DataFrame, docs: DataFrame, k: int, doc_id: str = "id", text: Column | None = None) -> DataFrame:
@@ -63,8 +63,8 @@ def idf_top_tokens(queries: DataFrame, docs: DataFrame, k: int, doc_id: str = "i
     df = docs.select(F.explode(F.array_distinct(tokens(text))).alias("term")).join(q.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
     found = q.join(df, "term")
     rarity = F.round(F.log(F.lit(n + 1.0) / (F.col("df") + 1)), 9)
-    top = found.withColumn("r", F.row_number().over(W.partitionBy("qid").orderBy(F.desc(rarity), "i"))).where(F.col("r") <= k)
-    return top.groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "term"))), lambda x: x["term"]), " ").alias("tokens"))
+    rarest = found.withColumn("r", F.row_number().over(W.partitionBy("qid").orderBy(F.desc(rarity), "i"))).where(F.col("r") <= k)
+    return rarest.groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "term"))), lambda x: x["term"]), " ").alias("tokens"))
 
 
 def search_fts(queries: DataFrame, docs: DataFrame, limit: int, decay: float = 1.0) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tarn.functions.topk import top as first_rows
+
 RRF_K = 60
 
 
@@ -17,8 +19,7 @@ def slug_decay(rows: DataFrame, decay: float, limit: int, slug: str = "slug") ->
     """
     nth = F.row_number().over(W.partitionBy("qid", slug).orderBy("rank")) - 1
     valued = rows.withColumn("value", F.round(1.0 / (F.col("rank") + RRF_K + 1) * F.pow(F.lit(decay), nth), 12))
-    pos = (F.row_number().over(W.partitionBy("qid").orderBy(F.desc("value"), "rank")) - 1).cast("long")
-    return valued.withColumn("pos", pos).where(F.col("pos") < limit).drop("value")
+    return first_rows(valued, limit, F.desc("value"), "rank", name="pos").drop("value")
 
 
 def rerank(rows: DataFrame, score: Column) -> DataFrame:
@@ -119,8 +120,7 @@ def expand_links(pool: DataFrame, sections: DataFrame, edges: DataFrame, top: in
     near = out.unionByName(into).groupBy("qid", F.col("found").alias("slug")).agg(F.min(F.struct("way", "n")).alias("first"))
     fresh = near.join(firsts.select("qid", "slug"), ["qid", "slug"], "left_anti")
     shown = fresh.join(sections.groupBy("slug").agg(F.min("id").alias("doc_id")), "slug")
-    order = F.row_number().over(W.partitionBy("qid").orderBy("first", "slug"))
-    return shown.withColumn("pos", (order - 1).cast("long")).where(F.col("pos") < most).select("qid", "slug", "doc_id", "pos")
+    return first_rows(shown, most, "first", "slug", name="pos").select("qid", "slug", "doc_id", "pos")
 
 
 def propagate_supersession(notes: DataFrame) -> DataFrame:

@@ -5,9 +5,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tarn.functions.topk import top
+
 #: Queries of one block; a block is what is broadcast.
 BLOCK = 4096
 
@@ -52,8 +53,7 @@ def knn_sql(queries: DataFrame, corpus: DataFrame, k: int, ties=None) -> DataFra
     if queries.count() > BLOCK:
         return knn_blocked(queries, corpus, k)
     pairs = corpus.join(F.broadcast(queries), F.lit(True)).select("qid", "id", F.round(l2(F.col("qvec"), F.col("vector")), 9).alias("distance"))
-    order = W.partitionBy("qid").orderBy("distance", *(ties or ["id"]))
-    return pairs.withColumn("rank", (F.row_number().over(order) - 1).cast("long")).where(F.col("rank") < k).select("qid", "id", "rank", "distance")
+    return top(pairs, k, "distance", *(ties or ["id"])).select("qid", "id", "rank", "distance")
 
 
 def knn_blocked(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
@@ -78,8 +78,8 @@ def knn_blocked(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
                     continue
                 ids, x = batch.column(0).to_numpy(), batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1)
                 near = (q * q).sum(1)[:, None] + (x * x).sum(1)[None] - 2 * q @ x.T
-                top = min(k, len(ids)) - 1
-                bound = np.minimum(np.partition(near, top, 1)[:, top], held_d.max(1) ** 2) + 1e-4
+                last = min(k, len(ids)) - 1
+                bound = np.minimum(np.partition(near, last, 1)[:, last], held_d.max(1) ** 2) + 1e-4
                 for r in np.flatnonzero((near <= bound[:, None]).any(1)):
                     c = np.flatnonzero(near[r] <= bound[r])
                     exact = np.round(np.sqrt(((q[r] - x[c]) ** 2).sum(1)), 9)
@@ -93,8 +93,7 @@ def knn_blocked(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
         found = part if found is None else found.unionAll(part)
     if found is None:
         found = corpus.sparkSession.createDataFrame([], "qid long, id long, distance double")
-    order = W.partitionBy("qid").orderBy("distance", "id")
-    return found.withColumn("rank", (F.row_number().over(order) - 1).cast("long")).where(F.col("rank") < k).select("qid", "id", "rank", "distance")
+    return top(found, k, "distance", "id").select("qid", "id", "rank", "distance")
 
 
 def maxsim(query_tokens: DataFrame, doc_tokens: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ def dense_leg(spark, sf):
     items = table(spark, sf, "benchmark").select(F.col("item_id").alias("id"))
     asked = v.join(items, "id").select(F.col("id").alias("qid"), F.col("vector").alias("qvec"))
     near = V.knn_blocked(asked, v, POOL + 1).where("qid <> id")
-    return X.ranked(near, "distance", "id").where(F.col("rank") < POOL).select("qid", F.col("id").alias("doc_id"), "rank", (-F.col("distance")).alias("score"))
+    return X.ranked(near, "distance", "id", k=POOL).select("qid", F.col("id").alias("doc_id"), "rank", (-F.col("distance")).alias("score"))
 
 
 def both(spark, sf):
@@ -62,7 +62,7 @@ def fuse_wrrf(spark, sf):
 def fuse_rrf3(spark, sf):
     """Three lists, the lexical one first; the third is the lexical pool by descending id."""
     lex = lexical_leg(spark, sf)
-    third = X.ranked(lex, F.desc("doc_id")).where("rank < 10")
+    third = X.ranked(lex, F.desc("doc_id"), k=10)
     return X.rrf_many([lex, dense_leg(spark, sf), third])
 
 
@@ -132,7 +132,7 @@ def fuse_convex_legmin(spark, sf):
     f"""WITH h AS (SELECT *, max(ls) OVER q AS hi, bool_or(dr IS NOT NULL) OVER q AS has_dense FROM {BOTH_SQL} WINDOW q AS (PARTITION BY qid)),
     c AS (SELECT *, has_dense AND lr < 3 AND CASE WHEN hi <= 0 THEN 0.0 ELSE ls / hi END >= 0.5 AND coalesce(dr, 20) >= 20 AS strong FROM h),
     s AS (SELECT *, coalesce(strong, false) AND row_number() OVER (PARTITION BY qid, coalesce(strong, false) ORDER BY lr NULLS LAST) <= 2 AS saved FROM c),
-    r AS (SELECT *, row_number() OVER (PARTITION BY qid, saved ORDER BY dr NULLS LAST, lr NULLS LAST) - 1 AS own FROM s WHERE NOT has_dense OR dr IS NOT NULL OR saved),
+    r AS (SELECT *, row_number() OVER (PARTITION BY qid, saved ORDER BY CASE WHEN saved THEN lr ELSE dr END NULLS LAST, lr NULLS LAST) - 1 AS own FROM s WHERE NOT has_dense OR dr IS NOT NULL OR saved),
     n AS (SELECT *, count(*) FILTER (WHERE saved) OVER (PARTITION BY qid) AS ns, count(*) FILTER (WHERE NOT saved) OVER (PARTITION BY qid) AS nr FROM r)
     SELECT qid, doc_id, (CASE WHEN saved THEN least(5, nr) + own ELSE own + CASE WHEN own >= least(5, nr) THEN ns ELSE 0 END END)::BIGINT AS rank FROM n""",
 )

@@ -118,7 +118,7 @@ def manifest_lookup(spark, sf):
     p = table(spark, sf, "pages").select("page_id", F.lower("url").alias("hay"))
     asked = F.explode(F.array(F.lit("example fr"), F.lit("m. net")))
     hits = p.withColumn("word", asked).where(F.forall(F.split("word", " "), lambda w: F.contains(F.col("hay"), w)))
-    return ranked(hits.withColumnRenamed("word", "qid"), "page_id").where("rank < 10").select(F.col("qid").alias("word"), "page_id")
+    return ranked(hits.withColumnRenamed("word", "qid"), "page_id", k=10).select(F.col("qid").alias("word"), "page_id")
 
 
 @query("fuzzy_slug", "SELECT DISTINCT lang || '-' || source AS slug FROM documents WHERE contains(lower(lang || '-' || source), 'n-src1') ORDER BY slug LIMIT 5")
@@ -163,4 +163,4 @@ def keyword_overlap_topk(spark, sf):
     q = q.select("qid", F.size("w").alias("n"), F.explode("w").alias("word"))
     d = table(spark, sf, "documents").where("doc_id < 100").select("doc_id", F.explode(X.query_tokens(F.substring("text", 1, 300))).alias("word"))
     shared = q.join(d, "word").groupBy("qid", "doc_id").agg(F.round(F.count("*") / F.first("n"), 9).alias("score"))
-    return ranked(shared, F.desc("score"), "doc_id").where("rank < 3").select("qid", "doc_id", "score")
+    return ranked(shared, F.desc("score"), "doc_id", k=3).select("qid", "doc_id", "score")

@@ -37,7 +37,7 @@ def knn_tie_order(spark, sf):
 
     pairs = vectors(spark, sf).join(F.broadcast(asked(spark, sf)), F.lit(True))
     rows = pairs.select("qid", "id", F.round(F.round(V.l2(F.col("qvec"), F.col("vector")), 9), 1).alias("d"))
-    return ranked(rows, "d", F.floor(F.col("id") / 1024), F.desc("id")).where("rank < 10").select("qid", "id", "rank")
+    return ranked(rows, "d", F.floor(F.col("id") / 1024), F.desc("id"), k=10).select("qid", "id", "rank")
 
 
 @query("cosine_from_l2", f"SELECT qid, id, round(1 - distance * distance / 2, 6) AS cosine FROM {KNN_SQL}")
@@ -79,7 +79,7 @@ def maxsim(spark, sf):
     v = vectors(spark, sf)
     q = v.where("id < 20").select(F.floor(F.col("id") / 4).alias("qid"), (F.col("id") % 4).alias("t"), F.col("vector").alias("qvec"))
     scores = V.maxsim(F.broadcast(q), v.select(F.floor(F.col("id") / 5).alias("doc"), "vector")).withColumn("score", F.round("score", 6))
-    return ranked(scores, F.desc("score"), "doc").where("rank < 10").select("qid", "doc", "score")
+    return ranked(scores, F.desc("score"), "doc", k=10).select("qid", "doc", "score")
 
 
 CACHE = "(SELECT DISTINCT sha256(text) AS hash FROM documents WHERE doc_id % 3 = 0)"

@@ -111,12 +111,12 @@ FRESH = "(SELECT *, doc_id % 5 = 0 AS superseded, DATE '2024-01-01' + (doc_id %
 MULT = "least(CASE WHEN superseded THEN 0.5 ELSE 1.0 END, CASE WHEN DATE '2024-04-01' > valid_until THEN 0.25 ELSE 1.0 END)"
 
 
-@query("freshness_demote", f"SELECT qid, doc_id, round(v, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY round(v, 6) DESC, rank) - 1 AS pos FROM (SELECT *, CASE WHEN s >= 0 THEN s * {MULT} ELSE s / {MULT} END AS v FROM {FRESH.format(B)})")
+@query("freshness_demote", f"SELECT qid, doc_id, round(v, 9) AS score, row_number() OVER (PARTITION BY qid ORDER BY round(v, 9) DESC, rank) - 1 AS pos FROM (SELECT *, CASE WHEN s >= 0 THEN s * {MULT} ELSE s / {MULT} END AS v FROM {FRESH.format(B)})")
 def freshness_demote(spark, sf):
     """Demotion after the cut; a negative score is divided, so that it falls too."""
     rows = bm25(spark, sf, 20).withColumn("valid_until", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 200).cast("int")))
     m = R.demotion(F.col("doc_id") % 5 == 0, F.col("valid_until"), F.lit("2024-04-01").cast("date"))
-    rows = rows.withColumn("score", F.round(R.scaled(F.col("score") - 3, m), 6)).withColumnRenamed("rank", "was")
+    rows = rows.withColumn("score", F.round(R.scaled(F.col("score") - 3, m), 9)).withColumnRenamed("rank", "was")
     return X.ranked(rows, F.desc("score"), "was").select("qid", "doc_id", "score", F.col("rank").alias("pos"))
 
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.plans.scratch import scratch_path
+from tarn.plans.scratch import cut, scratch_path
 
 END = "\r\n\r\n"
 #: Captures in an archive file at most: readers hold one file at a time.
@@ -202,7 +202,7 @@ def captures(pages: DataFrame, path: str | None = None, id_col: str = "page_id",
     spark = pages.sparkSession
     path = path or scratch_path(spark, "warc")
     write_archives(pages, path, id_col, url_col, payload_col)
-    whole = assemble(read_archives(spark, path, with_blocks=False))
+    whole = assemble(cut(read_archives(spark, path, with_blocks=False), "records"))  # the joins read the records four times
     revisit = F.col("response.type") == "revisit"
     head = F.col("response.fields")
     return whole.select(

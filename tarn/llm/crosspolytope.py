@@ -131,7 +131,7 @@ def nearest(
     vectors: DataFrame,
     queries: Column,
     k: int = 10,
-    tables: int = 8,
+    tables: int = 10,
     probes: int = 16,
     id_col: str = "vec_id",
     vector_col: str = "embedding",

@@ -2,16 +2,29 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one call of a worker sees, unless a single text is longer.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
+
+
+#: Rows and bytes of an Arrow batch on its way to a worker: long texts must not pile up.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's bounds on Arrow batches to these, unless they are lower already."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = re.fullmatch(r"(\d+)b?", spark.conf.get(key, None) or "")
+        if not now or not 0 < int(now[1]) <= most:
+            spark.conf.set(key, str(most))
 
 
 def slices(batch: pa.RecordBatch, column: int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -33,8 +46,9 @@ def map_texts(
     keep: list,
     schema: str,
     setup: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]],
+    limit: int = SLICE_BYTES,
 ) -> DataFrame:
-    """Run ``setup()``'s function over slices of ``(text, *keep)``; ``setup`` runs once a task.
+    """Run ``setup()``'s function over slices of ``(text, *keep)`` of ``limit`` bytes; ``setup`` runs once a task.
 
     Only the text and the kept columns leave the scan, so other columns never reach Python and may
     bear any name.
@@ -43,9 +57,11 @@ def map_texts(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = setup()
         for batch in batches:
-            for part in slices(batch, 0):
+            for part in slices(batch, 0, limit):
                 yield work(part)
+        pa.default_memory_pool().release_unused()
 
+    bound_batches(docs.sparkSession)
     return docs.select(F.col(text_col).cast("string").alias("text"), *keep).mapInArrow(run, schema)
 
 

@@ -44,6 +44,8 @@ SYMBOLS = 257
 LANE = 512
 #: Distinct grams a task holds before it sends them on.
 HELD = 1 << 22
+#: Bytes of text whose words are looked up together.
+BLOCK_BYTES = 8 << 20
 
 
 def _stream(texts: pa.Array, pad: int) -> tuple[np.ndarray, np.ndarray]:
@@ -176,7 +178,7 @@ class Model:
         return np.add.reduceat(out.T.ravel()[: len(columns)], begins, dtype=np.float64)
 
 
-def train(texts: DataFrame, order: int = 5, capacity: int = 15) -> Model:
+def train(texts: DataFrame, order: int = 5, capacity: int = 16) -> Model:
     """Fit a model on all of ``texts (text)``."""
     grams = gram_counts(texts, order)
     suffix = lambda k: F.struct(F.lit(k).alias("k"), F.col("gram").bitwiseAND(F.lit((1 << BITS * (k + 1)) - 1)).alias("key"))
@@ -280,7 +282,7 @@ def score_texts(
     docs: DataFrame,
     held_out: Column,
     order: int = 5,
-    capacity: int = 15,
+    capacity: int = 16,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -307,7 +309,7 @@ def score_texts(
 
         return work
 
-    blocks = cut(map_texts(rows, "text", [F.col("doc_id"), F.col("held_out")], BLOCK, setup), "blocks")
+    blocks = cut(map_texts(rows, "text", [F.col("doc_id"), F.col("held_out")], BLOCK, setup, BLOCK_BYTES), "blocks")
     words = blocks.where("shard >= 0").select("shard", "block", "words", "counts")
     answers = cut(words.groupBy("shard").applyInArrow(_answered, "block long, shard int, totals binary, known long"), "answers")
     heads = blocks.where("shard = -1").select("block", "per_word", "token_doc", "wide", "doc_ids", "held_out", "score", "n_tokens")

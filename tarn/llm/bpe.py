@@ -12,6 +12,7 @@ each on its own; columns other than the id and the text are not read; an empty t
 from __future__ import annotations
 
 import base64
+import functools
 import threading
 
 import numpy as np
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.arrow import map_texts
+from tarn.llm.arrow import bound_batches, map_texts
 
 #: Characters of a leaf. Shorter leaves only add joins; the ids never depend on it.
 LEAF = 2048
@@ -46,16 +47,21 @@ class ByteBPE:
     """Encoder and decoder for a rank file in tiktoken's format."""
 
     def __init__(self, ranks_path: str, pattern: str, leaf: int = LEAF):
-        import tiktoken
-
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-        self.leaf = leaf
-        self._piece = tiktoken.Encoding("tarn", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.leaf, self._pattern = leaf, pattern
         self._bytes = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
             self._bytes[rank] = token
 
+    @functools.cached_property
+    def _piece(self):
+        """The leaf encoder; workers that only decode never build it."""
+        import tiktoken
+
+        ranks = {token: rank for rank, token in enumerate(self._bytes) if token}
+        return tiktoken.Encoding("tarn", pat_str=self._pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
     @classmethod
     def cached(cls, ranks_path: str, pattern: str) -> ByteBPE:
         """One encoder a worker process."""
@@ -142,6 +148,7 @@ def decode_ids(encoded: DataFrame, ranks_path: str, pattern: str, keep: list[str
             out = [bpe.decode(np.frombuffer(b or b"", dtype="<u4").tolist()) for b in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(out, pa.binary())], [*keep, "decoded"])
 
+    bound_batches(encoded.sparkSession)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
     return encoded.select(F.col(ids_col).alias("ids_in"), *keep).mapInArrow(run, f"{fields}, decoded binary")
 

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.arrow import large_text, map_texts
+from tarn.llm.arrow import bound_batches, large_text, map_texts
 
 #: Byte classes whose shares are features of a line.
 CLASSES = [
@@ -218,6 +218,7 @@ def keep_good(docs: DataFrame, model: Model, least: float = 0.3, text_col: str =
                 good = model.score(large_text(part.column(text_at))) >= least
                 yield part.filter(pa.array(good))
 
+    bound_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)
 
 

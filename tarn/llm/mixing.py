@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.arrow import large_text, map_texts, slices
+from tarn.llm.arrow import bound_batches, large_text, map_texts, slices
 from tarn.plans.scratch import cut
 
 FEATURES = 2048
@@ -36,8 +36,8 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     lowered = pc.ascii_lower(texts)
     n = len(lowered)
     offsets = np.frombuffer(lowered.buffers()[1], np.int64)[lowered.offset : lowered.offset + n + 1]
-    data = np.frombuffer(lowered.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]].astype(np.int64)
-    doc = np.repeat(np.arange(n), np.diff(offsets))
+    data = np.frombuffer(lowered.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]].astype(np.int32)
+    doc = np.repeat(np.arange(n, dtype=np.int32), np.diff(offsets))
     x = np.zeros((n, FEATURES), np.float32)
     words = np.zeros(n, np.int64)
     if len(data):
@@ -47,7 +47,7 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
             a, b = np.searchsorted(doc[:-1], [lo, lo + 512])
             keep = within[a:b]
             rows = min(512, n - lo)
-            counts = np.bincount((doc[:-1][a:b][keep] - lo) * FEATURES + pair[a:b][keep], minlength=rows * FEATURES).reshape(rows, FEATURES)
+            counts = np.bincount((doc[:-1][a:b][keep] - lo).astype(np.int64) * FEATURES + pair[a:b][keep], minlength=rows * FEATURES).reshape(rows, FEATURES)
             x[lo : lo + rows] = counts / np.maximum(counts.sum(1, keepdims=True), 1)
         space = (data == 32) | ((data >= 9) & (data <= 13))
         begins = ~space
@@ -205,4 +205,5 @@ def draw(docs: DataFrame, model: Classifier, rates: Rates, id_col: str = "doc_id
                 yield part.select(range(odds_at)).take(rows)
 
     odds = F.pmod(F.xxhash64(id_col, F.lit(5)), F.lit(1 << 20)) / float(1 << 20)
+    bound_batches(docs.sparkSession)
     return docs.withColumn("odds of a copy", odds).mapInArrow(run, docs.schema)

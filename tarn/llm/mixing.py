@@ -129,7 +129,7 @@ class Rates:
         return r, y
 
 
-def fit_rates(members: DataFrame, target: list[float], pull: float = 1e-3, tolerance: float = 1e-4, rounds: int = 80) -> Rates:
+def fit_rates(members: DataFrame, target: list[float], pull: float = 1e-4, tolerance: float = 1e-4, rounds: int = 80) -> Rates:
     """Fit rates for ``members (n_tokens, p array<double>)`` so that expected token shares match ``target``."""
     k = len(target)
     target = np.asarray(target, float) / sum(target)

@@ -5,9 +5,11 @@ over the domains. Document rates ``r >= 0`` then minimise
 
     |a(r) - target|^2 / 2  +  pull / 2 * sum_d w_d (r_d - 1)^2,    a_k(r) = sum_d w_d r_d p_dk,
 
-with ``w_d`` the document's share of all tokens, by accelerated projected gradients in the metric of ``w``.
-A step needs only the ``K`` numbers ``a(r)``, one distributed sum; a document's rate is a fold over
-the history of those vectors, so no state of the documents is kept between steps.
+with ``w_d`` the document's share of all tokens. At the least value ``r_d = max(0, 1 - p_d . dual)`` for one
+vector ``dual`` of ``K`` numbers, which Newton steps find from the ``K x K`` sums over the documents at hand, so
+no state of the documents is kept between steps. Where that least value still misses a target, the pull is
+moved to the last ``dual`` and weakened (method of multipliers) until all targets are met. If they are out of
+reach, the rates of the full pull are returned, and a warning gives the residual.
 
 Defined results: a null or empty text has no tokens and no features, its posterior is the prior's; repeated
 rows are documents of their own; labelled rows without text or domain are ignored; with no labelled rows
@@ -17,6 +19,7 @@ named are not read; an empty table gives an empty one.
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,6 +32,8 @@ from tarn.llm.arrow import bound_batches, large_text, map_texts, slices
 from tarn.plans.scratch import cut
 
 FEATURES = 2048
+#: Lengths of a Newton step that one pass over the documents tries, each half the last.
+STEPS = 8
 
 
 def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -105,16 +110,17 @@ def fit_classifier(labelled: DataFrame, domains: list[str], sample: int = 2000,
 
 @dataclass
 class Rates:
-    """The history that determines every document's rate."""
+    """What determines every document's rate: the fitted ``dual``, or else a history of projected gradients."""
 
     gaps: list[np.ndarray]
     step: float
     pull: float
     residual: float = np.inf
+    dual: np.ndarray | None = None
 
     def __call__(self, p: np.ndarray) -> np.ndarray:
         """Rates of documents with posteriors ``p``."""
-        return self._fold(p)[0]
+        return self._fold(p)[0] if self.dual is None else np.maximum(0, 1 - p @ self.dual)
 
     def ahead(self, p: np.ndarray) -> np.ndarray:
         """Where the next gradient is taken."""
@@ -130,7 +136,10 @@ class Rates:
 
 
 def fit_rates(members: DataFrame, target: list[float], pull: float = 1e-4, tolerance: float = 1e-4, rounds: int = 80) -> Rates:
-    """Fit rates for ``members (n_tokens, p array<double>)`` so that expected token shares match ``target``."""
+    """Fit rates for ``members (n_tokens, p array<double>)`` so that expected token shares match ``target``.
+
+    Warns if a share misses its target by ``tolerance`` or more; ``residual`` of the result is the largest miss.
+    """
     k = len(target)
     target = np.asarray(target, float) / sum(target)
     total = float(members.agg(F.sum("n_tokens")).first()[0] or 0)
@@ -151,15 +160,45 @@ def fit_rates(members: DataFrame, target: list[float], pull: float = 1e-4, toler
         found = members.select("n_tokens", "p").mapInArrow(run, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).orderBy("i").collect()
         return np.array([r["v"] for r in found])
 
-    gram = sums(lambda w, p: ((p * w[:, None]).T @ p).ravel()).reshape(k, k)
-    rates = Rates([], 1 / (np.linalg.eigvalsh(gram).max() + pull), pull)
+    def at(duals: np.ndarray) -> list[tuple[float, np.ndarray, np.ndarray]]:
+        """Half the square sum of the rates, the shares and their slope, for each of ``duals``."""
+
+        def of(w, p):
+            out = []
+            for dual in duals:
+                r = np.maximum(0, 1 - p @ dual)
+                out += [[w @ (r * r) / 2], (w * r) @ p, ((p * (w * (r > 0))[:, None]).T @ p).ravel()]
+            return np.concatenate(out)
+
+        return [(x[0], x[1 : k + 1], x[k + 1 :].reshape(k, k)) for x in sums(of).reshape(len(duals), -1)]
+
+    def value(dual, half):
+        return target @ dual + weight / 2 * ((dual - centre) ** 2).sum() + half
+
+    dual, centre, weight = np.zeros(k), np.zeros(k), pull
+    half, shares, slope = at(dual[None])[0]
+    pulled = None  # the least value under the full pull
     for _ in range(rounds):
-        both = sums(lambda w, p: np.r_[(w * rates.ahead(p)) @ p, (w * rates(p)) @ p])
-        rates.residual = float(np.abs(both[k:] - target).max())
-        if rates.residual < tolerance:
+        residual = float(np.abs(shares - target).max())
+        if residual < tolerance:
             break
-        rates.gaps.append(both[:k] - target)
-    return rates
+        gradient = target - shares + weight * (dual - centre)
+        if np.abs(gradient).max() < tolerance / 10:
+            pulled = pulled or (dual, residual)
+            centre, weight = dual, weight / 10
+            if weight < pull * 1e-8:
+                break
+            gradient = target - shares
+        step = np.linalg.solve(slope + weight * np.eye(k), gradient)
+        tries = dual - np.outer(0.5 ** np.arange(STEPS), step)
+        there = at(tries)
+        best = int(np.argmin([value(d, h) for d, (h, _, _) in zip(tries, there)]))
+        dual, (half, shares, slope) = tries[best], there[best]
+    residual = float(np.abs(shares - target).max())
+    if residual >= tolerance:
+        dual, residual = pulled or (dual, residual)
+        warnings.warn(f"token shares miss their targets by up to {residual:.3g}", stacklevel=2)
+    return Rates([], 1.0, pull, residual, dual)
 
 
 def memberships(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,5 +1,8 @@
+import warnings
+
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from tarn.llm import mixing
@@ -67,3 +70,23 @@ def test_empty(spark):
     rates = mixing.fit_rates(nothing, [1, 1])
     assert mixing.with_rates(nothing, rates, 2).count() == 0
     assert mixing.draw(table.limit(0), model, rates).count() == 0
+
+
+@pytest.mark.parametrize("shares", [[97, 1, 1, 1], [900, 50, 49, 1], [997, 1, 1, 1], [99997, 1, 1, 1]])
+def test_rare_domains_reach_their_targets(spark, shares):
+    rows = [(n, [0.97 * (i == j) + 0.01 * (i != j) if n > 1 else float(i == j) for j in range(4)]) for i, n in enumerate(shares)]
+    target = np.array([0.4, 0.2, 0.2, 0.2])
+    members = spark.createDataFrame(rows, "n_tokens long, p array<double>")
+    with warnings.catch_warnings():
+        warnings.simplefilter("error", UserWarning)
+        rates = mixing.fit_rates(members, list(target))
+    w, p = np.array(shares) / sum(shares), np.array([p for _, p in rows])
+    assert np.abs((w * rates(p)) @ p - target).max() < 1e-4 and rates.residual < 1e-4
+    assert (rates(p) >= 0).all()
+
+
+def test_targets_out_of_reach_are_reported(spark):
+    members = spark.createDataFrame([(5, [1.0, 0.0, 0.0]), (5, [0.0, 1.0, 0.0])], "n_tokens long, p array<double>")
+    with pytest.warns(UserWarning, match="miss their targets by up to 0.2"):
+        rates = mixing.fit_rates(members, [0.4, 0.4, 0.2])
+    assert abs(rates.residual - 0.2) < 1e-3 and np.abs(rates(np.eye(3)[:2]) - 0.8).max() < 1e-3

@@ -10,6 +10,9 @@ components take no part, nor do rows without an id. Components are read in doubl
 
 from __future__ import annotations
 
+import functools
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -22,6 +25,8 @@ from tarn.plans.scratch import cut
 #: Stored vectors of a bucket that one task holds at once; larger buckets are dealt to several tasks.
 SLICE = 1024
 ROUNDS = 3
+#: Queries that one exact scan answers.
+SCANNED = 1024
 #: Bucket sizes are broadcast only where the number of possible buckets is below this.
 BROADCAST_ROWS = 1 << 18
 
@@ -141,11 +146,12 @@ def nearest(
     ``queries`` is a condition on ``id``, the rows that ask; every row is indexed in its home bucket of
     every table, and a query visits its ``probes`` nearest buckets. Distances are exact, on the original
     vectors; a row whose id equals the query's is not its neighbour; ties go to the smaller id. Repeated
-    rows of an id count once. The default of half the axes' directions a table suits vectors without
+    rows of an id count once, at their nearest. A query whose buckets hold fewer than ``k`` other ids, while the
+    table has more, is answered by an exact scan of all rows, ``SCANNED`` queries at a time. The default of half the axes' directions a table suits vectors without
     clusters, whose nearest neighbours are far; clustered data need fewer probes.
     """
     rows, dim, kind = prepared(vectors, id_col, vector_col)
-    rows = rows.withColumn("asks", F.coalesce(queries, F.lit(False)))
+    rows = cut(rows.dropDuplicates(["id", "vector"]).withColumn("asks", F.coalesce(queries, F.lit(False))), "vectors")
     hashes = CrossPolytope(dim, tables, 1, min(probes, 2 << max(0, (dim - 1).bit_length())))
 
     def deal(batches):
@@ -177,17 +183,52 @@ def nearest(
             x = _matrix(pa.concat_arrays([b.column("raw") for b in stored]), dim, kind)
             ids = np.concatenate([b.column("id").to_numpy() for b in stored])
             q, of = _matrix(asking.column("raw"), dim, kind), asking.column("id").to_numpy()
-            out = []
-            for lo in range(0, len(q), 64):
-                d = np.sqrt(((q[lo : lo + 64, None, :] - x[None]) ** 2).sum(2))
-                d[of[lo : lo + 64, None] == ids[None]] = np.inf
-                best = np.lexsort((np.broadcast_to(ids, d.shape), d), axis=1)[:, :k]
-                score = np.take_along_axis(d, best, 1)
-                real = np.isfinite(score)
-                out.append((np.repeat(of[lo : lo + 64], real.sum(1)), ids[best][real], score[real]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["query_id", "vec_id", "score"])
+            yield _best(q, of, x, ids, k)
 
     found = placed.repartition(*keys).sortWithinPartitions(*keys, "role").mapInArrow(search, "query_id long, vec_id long, score double")
+    top = cut(_ranked(found, k), "found")
+    least = min(k, rows.agg(F.count_distinct("id")).first()[0] - 1)
+    whole = top.where(F.col("rank") == least).select(F.col("query_id").alias("id"))
+    short = cut(rows.where("asks").join(whole, "id", "left_anti").select("id", "vector"), "short") if least > 0 else rows.limit(0)
+    waiting = short.select("id", "vector").toLocalIterator()
+    scans = []
+    while held := list(itertools.islice(waiting, SCANNED)):
+        scans.append(_scan(rows, np.array([r["vector"] for r in held]), np.array([r["id"] for r in held]), k, dim))
+    if not scans:
+        return top
+    exact = _ranked(functools.reduce(DataFrame.unionByName, scans), k)
+    return top.join(exact.select("query_id").distinct(), "query_id", "left_anti").select(*top.columns).unionByName(exact)
+
+
+def _best(q: np.ndarray, of: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> pa.RecordBatch:
+    """The ``k`` nearest ids of each query ``q`` of id ``of`` among the stored rows, each id at its nearest row."""
+    order = np.argsort(ids, kind="stable")
+    ids, x = ids[order], x[order]
+    first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+    ids, out = ids[first], []
+    for lo in range(0, len(q), 64):
+        d = np.minimum.reduceat(np.sqrt(((q[lo : lo + 64, None, :] - x[None]) ** 2).sum(2)), first, axis=1)
+        d[of[lo : lo + 64, None] == ids[None]] = np.inf
+        best = np.lexsort((np.broadcast_to(ids, d.shape), d), axis=1)[:, :k]
+        score = np.take_along_axis(d, best, 1)
+        real = np.isfinite(score)
+        out.append((np.repeat(of[lo : lo + 64], real.sum(1)), ids[best][real], score[real]))
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["query_id", "vec_id", "score"])
+
+
+def _scan(rows: DataFrame, q: np.ndarray, of: np.ndarray, k: int, dim: int) -> DataFrame:
+    """The ``k`` nearest of a block of queries in every piece of all rows."""
+
+    def run(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, SLICE):
+                piece = batch.slice(lo, SLICE)
+                yield _best(q, of, _arrays(piece, 1, dim), piece.column(0).to_numpy(), k)
+
+    return rows.select("id", "vector").mapInArrow(run, "query_id long, vec_id long, score double")
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
     once = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     order = W.partitionBy("query_id").orderBy("score", "vec_id")
     return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -73,3 +73,32 @@ def test_nearest_equals_brute_force(spark):
     assert cp.nearest(frame(spark, rows).limit(0), F.col("id") % 4 == 0).count() == 0
     few = cp.nearest(frame(spark, rows[:3]), F.col("id") == 2, probes=32).collect()
     assert len(few) == 2
+
+
+def brute_nearest(rows, query, k):
+    """Ids at their nearest rows, the query's rows aside."""
+    best = {}
+    for _, q in (r for r in rows if r[0] == query):
+        for i, v in rows:
+            if i != query:
+                d = float(np.sqrt(((np.array(q) - np.array(v)) ** 2).sum()))
+                best[i] = min(d, best.get(i, np.inf))
+    return sorted((d, i) for i, d in best.items())[:k]
+
+
+def test_repeated_rows_and_short_queries(spark, monkeypatch):
+    monkeypatch.setattr(cp, "SCANNED", 3, raising=False)
+    rng = np.random.default_rng(7)
+    near = rng.normal(size=64)
+    crowd = [(i, (near + rng.normal(size=64) * 0.3).tolist()) for i in range(60)]
+    crowd += [(i, (np.array(v) + 0.01).tolist()) for i, v in crowd[:20]]
+    crowd = [r for r in crowd for _ in range(10)]
+    few = [(i, rng.normal(size=64).tolist()) for i in range(8)]
+    for rows in (crowd, few):
+        table = spark.createDataFrame([(i, v, "") for i, v in rows], "vec_id long, embedding array<double>, bucket string")
+        got = cp.nearest(table, F.col("id") < 8, k=10).collect()
+        for q in range(8):
+            found = [(r.score, r.vec_id) for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q]
+            want = brute_nearest(rows, q, 10)
+            assert [i for _, i in found] == [i for _, i in want]
+            assert np.allclose([s for s, _ in found], [s for s, _ in want])

@@ -1,16 +1,15 @@
 """Language-model scores by prediction by partial matching, pretrained on the corpus.
 
-Training counts every (context, next byte) of up to ``order`` bytes in all training texts. The model keeps
-the contexts that hold at least one position in ``2**capacity``; by the pigeonhole principle no order has
-more than ``2**capacity`` of them, whatever the corpus, which bounds what is broadcast. Counts of a kept
-context are whole. Escapes follow method D (half a count of every distinct symbol goes to the escape), and
+Training counts every (context, next byte) of up to ``order`` bytes in all training texts, and every context
+takes part. Escapes follow method D (half a count of every distinct symbol goes to the escape), and
 symbols of a longer context are excluded from the shorter ones, so the probabilities of all continuations,
 the end of the text among them, sum to one.
 
-Because exclusion only ever adds the symbols of the context just left, every walk down the context trie
-depends on the deepest kept context alone. The trie is therefore compiled into an automaton whose states are
-kept contexts: one table gives the code length of a symbol, another the next state, and texts are
-scored in many lanes at once (a state is settled by the last ``order`` bytes).
+The code length of a symbol depends on it and the ``order`` before it, a gram. Blocks of texts send their
+distinct grams, with training counts, to shards of the trie; a shard holds all contexts that share their last
+``SPLIT`` symbols. Only contexts shorter than that, some 66,000 whatever the corpus, are broadcast. The shards
+answer with code lengths, and the blocks sum them. A ``capacity`` drops contexts of fewer than one position in
+``2**capacity``; ``train`` compiles such a bounded model into an automaton for use in one process.
 
 A unigram word score is computed beside it. Blocks of texts send their distinct words to shards of the
 vocabulary, the shards answer with training counts, and the blocks sum them; neither side ever holds
@@ -40,6 +39,8 @@ from tarn.plans.scratch import cut
 END, PAD = 256, 257
 BITS = 9
 SYMBOLS = 257
+#: Last symbols of a context that choose its shard of the trie.
+SPLIT = 2
 #: Positions of one lane when scoring.
 LANE = 512
 #: Distinct grams a task holds before it sends them on.
@@ -68,6 +69,16 @@ def _merged(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[starts], np.add.reduceat(counts, starts)
 
 
+def _grams(texts: pa.Array, order: int) -> np.ndarray:
+    """Each symbol of the texts and the ``order`` before it, packed."""
+    symbols, _ = _stream(texts, order)
+    wide = symbols.astype(np.int64)
+    gram = np.zeros(max(0, len(wide) - order), np.int64)
+    for k in range(order + 1):
+        gram = (gram << BITS) | wide[k : len(wide) - order + k]
+    return gram[symbols[order:] != PAD]
+
+
 def gram_counts(texts: DataFrame, order: int) -> DataFrame:
     """``(gram, n)`` over all rows of ``texts (text)``: ``order`` symbols and the one after them, packed."""
 
@@ -76,13 +87,7 @@ def gram_counts(texts: DataFrame, order: int) -> DataFrame:
         for batch in batches:
             lowered = pc.ascii_lower(large_text(batch.column(0)))
             for lo, hi in _pieces(lowered):
-                symbols, _ = _stream(lowered.slice(lo, hi - lo), order)
-                wide = symbols.astype(np.int64)
-                gram = np.zeros(max(0, len(wide) - order), np.int64)
-                for k in range(order + 1):
-                    gram = (gram << BITS) | wide[k : len(wide) - order + k]
-                gram = gram[symbols[order:] != PAD]
-                new, n = np.unique(gram, return_counts=True)
+                new, n = np.unique(_grams(lowered.slice(lo, hi - lo), order), return_counts=True)
                 keys, counts = _merged(np.r_[keys, new], np.r_[counts, n])
                 if len(keys) > HELD:
                     yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], ["gram", "n"])
@@ -194,16 +199,109 @@ def train(texts: DataFrame, order: int = 5, capacity: int = 16) -> Model:
     return Model([(ctx[k == i], key[k == i] & ((1 << BITS) - 1), n[k == i]) for i in range(order + 1)])
 
 
+# --- the whole trie in shards ----------------------------------------------------------------------
+
+
+def _low(n: int) -> int:
+    """Mask of the last ``n`` symbols."""
+    return (1 << BITS * n) - 1
+
+
+def _squeezed(x: np.ndarray) -> bytes:
+    raw = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def _spread(b: bytes, kind: str) -> np.ndarray:
+    raw = np.frombuffer(pa.decompress(b[8:], int.from_bytes(b[:8], "little"), "zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+class Level:
+    """Contexts of one length: counts of their symbols, and what each leaves of its parent after exclusion."""
+
+    def __init__(self, k: int, keys: np.ndarray, counts: np.ndarray, least: float, parent: Level | None):
+        starts = np.flatnonzero(np.r_[True, keys[1:] >> BITS != keys[:-1] >> BITS]) if len(keys) else np.empty(0, np.int64)
+        size = np.diff(np.r_[starts, len(keys)])
+        total = np.add.reduceat(counts, starts) if len(keys) else counts
+        keep = total >= least
+        every = np.repeat(keep, size)
+        self.keys, self.counts = keys[every], counts[every]
+        self.total, self.distinct = total[keep], size[keep]
+        self.context = (keys[starts] >> BITS)[keep]
+        if parent is None:
+            self.left, self.fresh = self.total, self.distinct
+        elif len(self.context):
+            above = np.searchsorted(parent.context, self.context & _low(k - 1))
+            shared = parent.counts[np.searchsorted(parent.keys, self.keys & _low(k))]
+            self.left = parent.total[above] - np.add.reduceat(shared, np.cumsum(self.distinct) - self.distinct)
+            self.fresh = parent.distinct[above] - self.distinct
+
+
+def _levels(keys: np.ndarray, counts: np.ndarray, ks: range, least: float, lower: list[Level]) -> list[Level]:
+    """Levels ``ks`` above ``lower`` from counted grams."""
+    found = {}
+    for k in reversed(ks):
+        keys = keys & _low(k + 1)
+        keys, counts = _merged(keys, counts) if len(keys) else (keys, counts)
+        found[k] = keys, counts
+    levels = list(lower)
+    for k in ks:
+        levels.append(Level(k, *found[k], least, levels[-1] if levels else None))
+    return levels
+
+
+def _costs(grams: np.ndarray, levels: list[Level]) -> np.ndarray:
+    """log10 probability of each gram's last symbol after the others."""
+    out, done, entered = np.zeros(len(grams)), np.zeros(len(grams), bool), np.zeros(len(grams), bool)
+    left, fresh = np.zeros(len(grams), np.int64), np.zeros(len(grams), np.int64)
+    for k in range(len(levels) - 1, -1, -1):
+        level = levels[k]
+        if not len(level.context):
+            continue
+        context, key = grams >> BITS & _low(k), grams & _low(k + 1)
+        i = np.minimum(np.searchsorted(level.context, context), len(level.context) - 1)
+        j = np.minimum(np.searchsorted(level.keys, key), len(level.keys) - 1)
+        there = level.context[i] == context
+        total, distinct = np.where(entered, left, level.total[i]), np.where(entered, fresh, level.distinct[i])
+        has = level.keys[j] == key
+        hit, miss = there & ~done & has, there & ~done & ~has & (distinct > 0)
+        out[hit] += np.log10(2 * level.counts[j[hit]] - 1) - np.log10(2 * total[hit])
+        out[miss] += np.log10(distinct[miss]) - np.log10(2 * total[miss])
+        done |= hit
+        entered |= there
+        if k:
+            left, fresh = np.where(there, level.left[i], left), np.where(there, level.fresh[i], fresh)
+    out[~done] -= np.log10(max(1, SYMBOLS - len(levels[0].keys)))
+    return out
+
+
+def _block_grams(texts: pa.Array, trains: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct grams of a block, and how often training texts have them."""
+    keys, counts = np.empty(0, np.int64), np.empty(0, np.int64)
+    lengths = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+    for lo, hi in _pieces(texts, 2 << 20):
+        grams = _grams(texts.slice(lo, hi - lo), order)
+        learned, n = np.unique(grams[np.repeat(trains[lo:hi], lengths[lo:hi])], return_counts=True)
+        new = np.unique(grams)
+        keys, counts = _merged(np.r_[keys, new, learned], np.r_[counts, np.zeros(len(new), np.int64), n])
+    return keys, counts
+
+
+def _gram_shard(keys: np.ndarray, order: int, shards: int) -> np.ndarray:
+    return ((keys >> BITS & _low(min(SPLIT, order))) * 2654435761 >> 9) % shards
+
+
 # --- unigram words beside the model ---------------------------------------------------------------
 
 BLOCK = (
-    "block long, shard int, words binary, counts binary, per_word binary, token_doc binary, wide boolean, "
-    "doc_ids array<bigint>, held_out array<boolean>, score array<double>, n_tokens array<bigint>, train_tokens long, train_docs long"
+    "block long, shard int, words binary, counts binary, grams binary, learned binary, texts binary, lengths binary, per_word binary, token_doc binary, wide boolean, "
+    "doc_ids array<bigint>, held_out array<boolean>, n_tokens array<bigint>, train_tokens long, train_docs long"
 )
 
 
-def _block_rows(block: int, ids: pa.Array, held: pa.Array, texts: pa.Array, score: np.ndarray, shards: int) -> pa.RecordBatch:
-    """A block's header row (shard -1) and one row for each shard that has words of it."""
+def _block_rows(block: int, ids: pa.Array, held: pa.Array, texts: pa.Array, order_of_grams: int, shards: int) -> pa.RecordBatch:
+    """A block's header row (shard -1) and one row for each shard that has words or grams of it."""
     lists = pc.ascii_split_whitespace(texts)
     tokens = lists.flatten()
     doc = np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64))
@@ -223,32 +321,47 @@ def _block_rows(block: int, ids: pa.Array, held: pa.Array, texts: pa.Array, scor
     token_doc = doc[np.argsort(codes, kind="stable")].astype("<u4" if wide else "<u2")
     per_word = np.bincount(codes, minlength=len(words)).astype("<i8")
     n_tokens = np.bincount(doc, minlength=len(texts)) + 1
+    lengths = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype("<i8")
     rows = [
         {
+            "texts": _squeezed(np.frombuffer(b"".join(texts.cast(pa.large_binary()).to_pylist()), np.uint8)), "lengths": _squeezed(lengths),
             "block": block, "shard": -1, "words": None, "counts": None, "per_word": per_word.astype("<u4").tobytes(), "token_doc": token_doc.tobytes(), "wide": wide,
-            "doc_ids": ids.to_pylist(), "held_out": held.to_pylist(), "score": score.tolist(), "n_tokens": n_tokens.tolist(),
+            "doc_ids": ids.to_pylist(), "held_out": held.to_pylist(), "n_tokens": n_tokens.tolist(),
             "train_tokens": int(n_tokens[trains].sum()), "train_docs": int(trains.sum()),
         }
     ]
     bounds = np.searchsorted(shard[order], np.arange(shards + 1))
-    for s in np.unique(shard):
+    keys, learned = _block_grams(texts, trains, order_of_grams)
+    held_by = _gram_shard(keys, order_of_grams, shards)
+    by_shard = np.argsort(held_by, kind="stable")
+    ends = np.searchsorted(held_by[by_shard], np.arange(shards + 1))
+    for s in range(shards):
         lo, hi = bounds[s], bounds[s + 1]
-        rows.append({"block": block, "shard": int(s), "words": b" ".join([words[i] for i in order[lo:hi]]), "counts": counts[lo:hi].tobytes()})
+        mine = by_shard[ends[s] : ends[s + 1]]
+        if lo == hi and not len(mine):
+            continue
+        rows.append(
+            {
+                "block": block, "shard": s, "words": b" ".join([words[i] for i in order[lo:hi]]), "counts": counts[lo:hi].tobytes(),
+                "grams": _squeezed(np.diff(keys[mine], prepend=0)), "learned": _squeezed(learned[mine].astype("<i4")),
+            }
+        )
     return pa.RecordBatch.from_pylist(rows, BLOCK_SCHEMA)
 
 
 BLOCK_SCHEMA = pa.schema(
     [
-        ("block", pa.int64()), ("shard", pa.int32()), ("words", pa.binary()), ("counts", pa.binary()), ("per_word", pa.binary()), ("token_doc", pa.binary()), ("wide", pa.bool_()),
-        ("doc_ids", pa.list_(pa.int64())), ("held_out", pa.list_(pa.bool_())), ("score", pa.list_(pa.float64())), ("n_tokens", pa.list_(pa.int64())),
+        ("block", pa.int64()), ("shard", pa.int32()), ("words", pa.binary()), ("counts", pa.binary()), ("grams", pa.binary()), ("learned", pa.binary()), ("texts", pa.binary()), ("lengths", pa.binary()), ("per_word", pa.binary()), ("token_doc", pa.binary()), ("wide", pa.bool_()),
+        ("doc_ids", pa.list_(pa.int64())), ("held_out", pa.list_(pa.bool_())), ("n_tokens", pa.list_(pa.int64())),
         ("train_tokens", pa.int64()), ("train_docs", pa.int64()),
     ]
 )
 
 
-def _answered(table: pa.Table) -> pa.Table:
-    """One shard of the vocabulary: training counts of every block's words, and how many words training knows."""
-    parts = [w.split(b" ") for w in table.column("words").to_pylist()]
+def _answered(table: pa.Table, order: int, low: tuple[np.ndarray, np.ndarray], least: float) -> pa.Table:
+    """One shard of the vocabulary and the trie: training counts of every block's words, how many words training
+    knows, and the code lengths of every block's grams."""
+    parts = [w.split(b" ") if w else [] for w in table.column("words").to_pylist()]
     words = pa.array(list(itertools.chain.from_iterable(parts)), pa.large_binary()).dictionary_encode()
     codes = words.indices.to_numpy(zero_copy_only=False)
     sent = np.frombuffer(b"".join(table.column("counts").to_pylist()), "<i8")
@@ -257,11 +370,22 @@ def _answered(table: pa.Table) -> pa.Table:
     bounds = np.cumsum([0, *map(len, parts)])
     per_row = [total[codes[lo:hi]].astype("<i8").tobytes() for lo, hi in itertools.pairwise(bounds)]
     known = [int((total > 0).sum())] + [0] * (len(parts) - 1)
-    return pa.table({"block": table.column("block"), "shard": table.column("shard"), "totals": pa.array(per_row, pa.binary()), "known": pa.array(known, pa.int64())})
+    asked = [np.cumsum(_spread(b, "<i8")) for b in table.column("grams").to_pylist()]
+    n = np.concatenate([_spread(b, "<i4") for b in table.column("learned").to_pylist()]).astype(np.int64)
+    keys = np.concatenate(asked)
+    split = min(SPLIT, order)
+    levels = _levels(keys[n > 0], n[n > 0], range(split, order + 1), least, _levels(*low, range(split), least, []))
+    costs = [_squeezed(_costs(g, levels).astype("<f4")) for g in asked]
+    return pa.table(
+        {
+            "block": table.column("block"), "shard": table.column("shard"), "totals": pa.array(per_row, pa.binary()), "known": pa.array(known, pa.int64()),
+            "costs": pa.array(costs, pa.binary()),
+        }
+    )
 
 
-def _summed(header: pa.Table, answers: pa.Table) -> pa.Table:
-    """Sums over the words of each document of one block."""
+def _summed(header: pa.Table, answers: pa.Table, order: int, shards: int) -> pa.Table:
+    """Sums over the words and the grams of each document of one block."""
     head = header.to_pylist()[0]
     answers = answers.sort_by("shard")
     totals = np.frombuffer(b"".join(answers.column("totals").to_pylist()), "<i8")
@@ -270,9 +394,22 @@ def _summed(header: pa.Table, answers: pa.Table) -> pa.Table:
     n = len(head["doc_ids"])
     logs = np.bincount(doc, weights=np.repeat(np.log10(totals + 0.5), per_word), minlength=n).astype(np.float64)
     known = np.bincount(doc, weights=np.repeat(totals > 0, per_word), minlength=n).astype(np.int64)
+    lengths, data = _spread(head["lengths"], "<i8"), _spread(head["texts"], "u1")
+    offsets = np.r_[0, np.cumsum(lengths)]
+    texts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+    # the grams that were asked, in the order of the shards; cheaper than to send them back
+    keys, _ = _block_grams(texts, np.zeros(n, bool), order)
+    costs = np.empty(len(keys), np.float32)
+    sent = [_spread(b, "<f4") for b in answers.column("costs").to_pylist()]
+    costs[np.argsort(_gram_shard(keys, order, shards), kind="stable")] = np.concatenate(sent)
+    score = np.zeros(n)
+    for lo, hi in _pieces(texts, 2 << 20):
+        at = costs[np.searchsorted(keys, _grams(texts.slice(lo, hi - lo), order))]
+        begins = offsets[lo:hi] - offsets[lo] + np.arange(hi - lo)
+        score[lo:hi] = np.add.reduceat(at, begins, dtype=np.float64)
     return pa.table(
         {
-            "doc_id": pa.array(head["doc_ids"], pa.int64()), "held_out": pa.array(head["held_out"], pa.bool_()), "score": pa.array(head["score"], pa.float64()),
+            "doc_id": pa.array(head["doc_ids"], pa.int64()), "held_out": pa.array(head["held_out"], pa.bool_()), "score": pa.array(score),
             "n_tokens": pa.array(head["n_tokens"], pa.int64()), "known_words": pa.array(known), "logs": pa.array(logs),
         }
     )
@@ -282,7 +419,7 @@ def score_texts(
     docs: DataFrame,
     held_out: Column,
     order: int = 5,
-    capacity: int = 16,
+    capacity: int | None = None,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -293,28 +430,40 @@ def score_texts(
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = rows.withColumn("held_out", F.coalesce(held_out, F.lit(False)))
-    model = train(rows.where(~F.col("held_out")).select("text"), order, capacity)
-    sent = spark.sparkContext.broadcast((model.column, model.cost, model.step, model.start, model.order))
     shards = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def setup():
-        own = Model.__new__(Model)
-        own.column, own.cost, own.step, own.start, own.order = sent.value
         number = itertools.count(TaskContext.get().partitionId() << 32)
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             lowered = pc.ascii_lower(large_text(batch.column(0)))
-            score = own.score(*_stream(lowered, 0))
-            return _block_rows(next(number), batch.column(1), batch.column(2), lowered, score, shards)
+            return _block_rows(next(number), batch.column(1), batch.column(2), lowered, order, shards)
 
         return work
 
     blocks = cut(map_texts(rows, "text", [F.col("doc_id"), F.col("held_out")], BLOCK, setup, BLOCK_BYTES), "blocks")
-    words = blocks.where("shard >= 0").select("shard", "block", "words", "counts")
-    answers = cut(words.groupBy("shard").applyInArrow(_answered, "block long, shard int, totals binary, known long"), "answers")
-    heads = blocks.where("shard = -1").select("block", "per_word", "token_doc", "wide", "doc_ids", "held_out", "score", "n_tokens")
-    sums = heads.groupBy("block").cogroup(answers.select("block", "shard", "totals").groupBy("block"))
-    scored = sums.applyInArrow(_summed, "doc_id long, held_out boolean, score double, n_tokens long, known_words long, logs double")
+    words = blocks.where("shard >= 0").select("shard", "block", "words", "counts", "grams", "learned")
+
+    def short(batches):
+        keys, counts = np.empty(0, np.int64), np.empty(0, np.int64)
+        for batch in batches:
+            for g, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                n = _spread(n, "<i4").astype(np.int64)
+                new = np.cumsum(_spread(g, "<i8"))[n > 0] & _low(min(SPLIT, order))
+                if len(new):
+                    keys, counts = _merged(np.r_[keys, new], np.r_[counts, n[n > 0]])
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], ["gram", "n"])
+
+    # at most 258 * 257 rows
+    low = words.select("grams", "learned").mapInArrow(short, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).orderBy("gram").toArrow()
+    low = low.column("gram").to_numpy(), low.column("n").to_numpy()
+    least = 0 if capacity is None else low[1].sum() / (1 << capacity)
+    sent = spark.sparkContext.broadcast((order, low, least))
+    answered = words.groupBy("shard").applyInArrow(lambda t: _answered(t, *sent.value), "block long, shard int, totals binary, known long, costs binary")
+    answers = cut(answered, "answers")
+    heads = blocks.where("shard = -1").select("block", "per_word", "token_doc", "wide", "doc_ids", "held_out", "n_tokens", "texts", "lengths")
+    sums = heads.groupBy("block").cogroup(answers.select("block", "shard", "totals", "costs").groupBy("block"))
+    scored = sums.applyInArrow(lambda h, a: _summed(h, a, order, shards), "doc_id long, held_out boolean, score double, n_tokens long, known_words long, logs double")
     n, ends = blocks.where("shard = -1").agg(F.sum("train_tokens"), F.sum("train_docs")).first()
     n, ends = n or 0, ends or 0
     distinct = (answers.agg(F.sum("known")).first()[0] or 0) + (ends > 0)

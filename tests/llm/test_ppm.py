@@ -94,3 +94,16 @@ def test_without_training(spark):
     got = {r.doc_id: r for r in ppm.score_texts(docs, F.lit(True), 2, 4).collect()}
     assert math.isclose(got[1].score, 3 * math.log10(1 / 257), rel_tol=1e-5)
     assert got[2].n_known == 0 and got[2].train_tokens == 0
+
+
+def test_every_context_counts(spark, monkeypatch):
+    rows = [(i, t) for i, t, _ in corpus()] + [(None, "the of and " * 20000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1
+    monkeypatch.setitem(globals(), "CAPACITY", 60)
+    brute = Brute([t for i, t in rows if not held(i)])
+    want = {i: brute.score(t) for i, t in rows if held(i)}
+    got = {r.doc_id: r.score for r in ppm.score_texts(docs, out, ORDER).collect() if r.held_out}
+    assert len(want) > 3 and got.keys() == want.keys()
+    for i, score in want.items():
+        assert math.isclose(got[i], score, rel_tol=1e-5), i

@@ -5,13 +5,15 @@ the nearest signed axis. Multiprobe ranks the other axes by how near they come.
 task draws the same rotations.
 
 Vectors that are null, empty, zero, of another length than the most, or that hold null or non-finite
-components take no part, nor do rows without an id. Components are read in double precision.
+components take no part, nor do rows without an id. Components are read in double precision. An empty
+table gives an empty result; only the id and the vector are read, so other columns may bear any name.
 """
 
 from __future__ import annotations
 
 import functools
 import itertools
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +26,12 @@ from tarn.plans.scratch import cut
 
 #: Stored vectors of a bucket that one task holds at once; larger buckets are dealt to several tasks.
 SLICE = 1024
+#: Asking rows that are compared with a slice at once: no more pairs than ``TILE * SLICE`` exist at a time.
+TILE = 64
+#: Rows whose buckets a task remembers while it tells where pairs meet first.
+REMEMBERED = 1 << 15
+#: Stored rows a bucket should hold on average; more rows get more rotations a table.
+FILL = 4
 ROUNDS = 3
 #: Queries that one exact scan answers.
 SCANNED = 1024
@@ -58,19 +66,48 @@ class CrossPolytope:
             x = hadamard(x * signs) / np.sqrt(self.width)
         return np.concatenate([x, -x], 1)
 
-    def buckets(self, unit: np.ndarray, table: int) -> np.ndarray:
+    def buckets(self, unit: np.ndarray, table: int, probes: int | None = None) -> np.ndarray:
         """Nearest buckets of each row, its home first, then probes by the closeness they lose."""
+        probes = probes or self.probes
         axes, loss = np.zeros((len(unit), 1), np.int64), np.zeros((len(unit), 1))
         for part in range(self.parts):
             s = self.scores(unit, table, part)
-            best = np.argsort(-s, axis=1, kind="stable")[:, : self.probes]
+            best = np.argsort(-s, axis=1, kind="stable")[:, :probes]
             lost = s.max(1, keepdims=True) - np.take_along_axis(s, best, 1)
             axes = (axes[:, :, None] * (2 * self.width) + best[:, None, :]).reshape(len(unit), -1)
             loss = (loss[:, :, None] + lost[:, None, :]).reshape(len(unit), -1)
-            order = np.argsort(loss, axis=1, kind="stable")[:, : self.probes]
+            order = np.argsort(loss, axis=1, kind="stable")[:, :probes]
             axes, loss = np.take_along_axis(axes, order, 1), np.take_along_axis(loss, order, 1)
         return axes
 
+    def homes(self, unit: np.ndarray, table: int) -> np.ndarray:
+        """The nearest bucket alone."""
+        bucket = np.zeros(len(unit), np.int64)
+        for part in range(self.parts):
+            bucket = bucket * (2 * self.width) + self.scores(unit, table, part).argmax(1)
+        return bucket
+
+    def needed(self, asking: np.ndarray, stored: np.ndarray) -> np.ndarray:
+        """How many probes a table the unit vector ``asking[i]`` needs to reach the home of ``stored[i]`` in some table."""
+        out = np.full(len(asking), np.iinfo(np.int64).max)
+        for table in range(self.tables):
+            lost, at = [], 0.0
+            for part in range(self.parts):
+                s = self.scores(asking, table, part)
+                home = self.scores(stored, table, part).argmax(1)
+                lost.append(s.max(1, keepdims=True) - s)
+                at = at + np.take_along_axis(lost[-1], home[:, None], 1)[:, 0]
+            for i in range(len(asking)):
+                out[i] = min(out[i], 1 + _below([x[i] for x in lost], at[i]))
+        return out
+
+
+def _below(lost: list[np.ndarray], bound: float) -> int:
+    """How many sums of one entry of each array lie below ``bound``, rounding aside."""
+    cut_at = (len(lost) + 1) // 2
+    halves = [functools.reduce(lambda x, y: (x[:, None] + y[None]).ravel(), part, np.zeros(1)) for part in (lost[:cut_at], lost[cut_at:])]
+    return int(np.searchsorted(np.sort(halves[0]), bound - 1e-12 - halves[1]).sum())
+
 
 def _matrix(column: pa.Array, dim: int, kind: str) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=kind).reshape(-1, dim).astype(np.float64)
@@ -91,26 +128,37 @@ def usable(vector: Column) -> Column:
     return F.coalesce(fine & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def prepared(vectors: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame, int, str]:
-    """``(id, vector array<double>)`` of the rows that take part, their length, and how a component packs without loss."""
+def prepared(vectors: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame, int, str, int]:
+    """``(id, vector array<double>)`` of the rows that take part, their length, how a component packs without loss, and how many."""
     kind = "<f4" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "<f8"
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))
+    rows = vectors.select(_named(id_col).cast("long").alias("id"), _named(vector_col).cast("array<double>").alias("vector"))
     rows = rows.where(F.col("id").isNotNull() & usable(F.col("vector")))
     lengths = rows.groupBy(F.size("vector").alias("dim")).count().orderBy(F.desc("count"), F.desc("dim")).first()
-    dim = lengths["dim"] if lengths else 1
-    return rows.where(F.size("vector") == dim), dim, kind
+    dim, n = (lengths["dim"], lengths["count"]) if lengths else (1, 0)
+    return rows.where(F.size("vector") == dim), dim, kind, n
+
+
+def _named(column: str) -> Column:
+    return F.col(f"`{column}`")
 
 
 def _arrays(batch: pa.RecordBatch, column: int, dim: int) -> np.ndarray:
     return batch.column(column).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
+def _pieces(batches, rows: int = 2048):
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+
+
 def _cells(batches, keys: list[str], held: int):
     """Stream rows sorted by ``keys`` and role: ``(key, stored rows, asking rows)``, the asking rows in pieces.
 
-    Stored rows (role 0) of a cell come first and are kept; a piece of asking rows has at most ``held`` rows.
+    Stored rows (role 0) of a cell come first and are gathered, as one table, which is the same object for
+    the whole cell; it is given first without asking rows, then with each piece of at most ``held`` of them.
     """
-    key, stored = None, []
+    key, gathered, whole = None, [], None
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -119,14 +167,28 @@ def _cells(batches, keys: list[str], held: int):
         for lo, hi in zip(starts, np.r_[starts[1:], len(cols)]):
             now = tuple(cols[lo, :-1])
             if now != key:
-                key, stored = now, []
+                if gathered:
+                    yield key, pa.Table.from_batches(gathered), None
+                key, gathered, whole = now, [], None
             if cols[lo, -1] == 0:
-                stored.append(batch.slice(lo, hi - lo))
-                # stored rows also meet one another: the cell is announced once they are complete
-                yield key, stored, None
-            elif stored:
+                gathered.append(batch.slice(lo, hi - lo))
+                continue
+            if gathered:
+                whole, gathered = pa.Table.from_batches(gathered), []
+                yield key, whole, None
+            if whole is not None:
                 for at in range(lo, hi, held):
-                    yield key, stored, batch.slice(at, min(held, hi - at))
+                    yield key, whole, batch.slice(at, min(held, hi - at))
+    if gathered:
+        yield key, pa.Table.from_batches(gathered), None
+
+
+def _cell_sizes(dealt: DataFrame, hashes: CrossPolytope, cells: int) -> DataFrame:
+    """``(t, cell, slices)`` of the cells that hold stored rows; broadcast where there cannot be many."""
+    home = F.sum((F.col("role") == 0).cast("long"))
+    sizes = dealt.groupBy("t", "cell").agg(home.alias("home"), F.count("*").alias("there"))
+    sizes = sizes.where("home > 0").select("t", "cell", "there", F.ceil(F.col("home") / SLICE).cast("int").alias("slices"))
+    return F.broadcast(sizes) if hashes.tables * cells <= BROADCAST_ROWS else sizes
 
 
 # --- nearest neighbours ---------------------------------------------------------------------------
@@ -137,53 +199,77 @@ def nearest(
     queries: Column,
     k: int = 10,
     tables: int = 10,
-    probes: int = 16,
+    probes: int | None = None,
+    recall: float = 0.96,
+    sample: int = 128,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
 ) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` nearest by Euclidean distance of each query row found.
 
-    ``queries`` is a condition on ``id``, the rows that ask; every row is indexed in its home bucket of
-    every table, and a query visits its ``probes`` nearest buckets. Distances are exact, on the original
-    vectors; a row whose id equals the query's is not its neighbour; ties go to the smaller id. Repeated
-    rows of an id count once, at their nearest. A query whose buckets hold fewer than ``k`` other ids, while the
-    table has more, is answered by an exact scan of all rows, ``SCANNED`` queries at a time. The default of half the axes' directions a table suits vectors without
-    clusters, whose nearest neighbours are far; clustered data need fewer probes.
+    ``queries`` is a condition on ``id``, the rows that ask; every row is indexed in its home bucket of every
+    table, and a query visits its ``probes`` nearest buckets a table. A bucket is an axis of each of so many
+    rotations that about ``FILL`` rows share one, so buckets multiply with the rows. Where ``probes`` is not
+    given, an exact scan for ``sample`` queries (hashed ids first) tells how many reach the share ``recall`` of their neighbours:
+    few in clustered data, many where neighbours are hardly nearer than other rows.
+
+    Distances are exact, on the original vectors; a row whose id equals the query's is not its neighbour; ties
+    go to the smaller id. Repeated rows of an id count once, at their nearest. A query that finds fewer than
+    ``k`` other ids, while the table has more, is answered by an exact scan of all rows, ``SCANNED`` at a time.
     """
-    rows, dim, kind = prepared(vectors, id_col, vector_col)
+    rows, dim, kind, n = prepared(vectors, id_col, vector_col)
     rows = cut(rows.dropDuplicates(["id", "vector"]).withColumn("asks", F.coalesce(queries, F.lit(False))), "vectors")
-    hashes = CrossPolytope(dim, tables, 1, min(probes, 2 << max(0, (dim - 1).bit_length())))
+    axes = 2 << max(0, (dim - 1).bit_length())
+    parts = max(1, math.ceil(math.log(max(n / FILL, 2)) / math.log(axes)))
+    hashes = CrossPolytope(dim, tables, parts, 1)
+    hashes.probes = min(axes**parts, probes or _probes(rows, hashes, k, dim, recall, sample))
+    names = ["t", "cell", "role", "id", "raw", "fine"]
 
     def deal(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in _pieces(batches):
             x = _arrays(batch, 1, dim)
             ids, asks = batch.column(0).to_numpy(), np.flatnonzero(batch.column(2).to_numpy(zero_copy_only=False))
-            raw = _packed(x, kind)
-            unit = _unit(x)
+            raw, unit = _packed(x, kind), _unit(x)
             for t in range(tables):
-                found = hashes.buckets(unit, t)
-                home = [np.full(len(x), t), found[:, 0], np.zeros(len(x), int), ids]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, home), raw], ["t", "bucket", "role", "id", "raw"])
-                if len(asks):
-                    n = found.shape[1]
-                    rows = np.repeat(asks, n)
-                    visit = [np.full(len(rows), t), found[asks].ravel(), np.ones(len(rows), int), ids[rows]]
-                    yield pa.RecordBatch.from_arrays([*map(pa.array, visit), raw.take(pa.array(rows))], ["t", "bucket", "role", "id", "raw"])
-
-    dealt = rows.select("id", "vector", "asks").mapInArrow(deal, "t long, bucket long, role long, id long, raw binary")
-    placed = _sliced(dealt, spread=F.col("role") == 1, copies=lambda n: F.sequence(F.lit(0), n - 1))
-    keys = ["t", "bucket", "slice"]
+                home = hashes.homes(unit, t)
+                own = [np.full(len(x), t), home // axes, np.zeros(len(x), int), ids]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, own), raw, _packed(home % axes, "<i4")], names)
+                for lo in range(0, len(asks), TILE):
+                    who = asks[lo : lo + TILE]
+                    found = np.sort(hashes.buckets(unit[who], t), 1)
+                    # a query goes once to a cell, with the buckets that it visits there
+                    at, first = np.divmod(np.arange(found.size), found.shape[1])
+                    cell, fine = np.divmod(found.ravel(), axes)
+                    begins = np.flatnonzero((first == 0) | np.r_[True, cell[1:] != cell[:-1]])
+                    visits = pa.array([f.astype("<i4").tobytes() for f in np.split(fine, begins[1:])], pa.binary())
+                    visit = [np.full(len(begins), t), cell[begins], np.ones(len(begins), int), ids[who][at[begins]]]
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, visit), raw.take(pa.array(who[at[begins]])), visits], names)
+
+    dealt = cut(rows.select("id", "vector", "asks").mapInArrow(deal, "t long, cell long, role long, id long, raw binary, fine binary"), "buckets")
+    own = F.pmod(F.xxhash64("id", "raw", F.lit(3)), F.col("slices")).cast("int")
+    met = dealt.join(_cell_sizes(dealt, hashes, axes ** (parts - 1)), ["t", "cell"]).withColumn("own", own)
+    slices = F.when(F.col("role") == 1, F.sequence(F.lit(0), F.col("slices") - 1)).otherwise(F.array("own"))
+    placed = met.select(*names, F.explode(slices).alias("slice"))
+    keys = ["t", "cell", "slice"]
 
     def search(batches):
+        last = None
         for _, stored, asking in _cells(batches, keys, SLICE):
             if asking is None:
                 continue
-            x = _matrix(pa.concat_arrays([b.column("raw") for b in stored]), dim, kind)
-            ids = np.concatenate([b.column("id").to_numpy() for b in stored])
+            if stored is not last:
+                last = stored
+                x, ids = _matrix(stored.column("raw"), dim, kind), stored.column("id").to_numpy()
+                fine = np.frombuffer(b"".join(stored.column("fine").to_pylist()), "<i4")
             q, of = _matrix(asking.column("raw"), dim, kind), asking.column("id").to_numpy()
-            yield _best(q, of, x, ids, k)
+            visits = [np.frombuffer(b, "<i4") for b in asking.column("fine").to_pylist()]
+            for lo in range(0, len(q), TILE):
+                some = visits[lo : lo + TILE]
+                open_ = np.zeros((len(some), axes), bool)
+                open_[np.repeat(np.arange(len(some)), [len(v) for v in some]), np.concatenate(some)] = True
+                a, b = np.nonzero(open_[:, fine])
+                if len(a):
+                    yield _best(q[lo : lo + TILE], of[lo : lo + TILE], x, ids, a, b, k)
 
     found = placed.repartition(*keys).sortWithinPartitions(*keys, "role").mapInArrow(search, "query_id long, vec_id long, score double")
     top = cut(_ranked(found, k), "found")
@@ -193,37 +279,55 @@ def nearest(
     waiting = short.select("id", "vector").toLocalIterator()
     scans = []
     while held := list(itertools.islice(waiting, SCANNED)):
-        scans.append(_scan(rows, np.array([r["vector"] for r in held]), np.array([r["id"] for r in held]), k, dim))
+        scans.append(cut(_scan(rows, np.array([r["vector"] for r in held]), np.array([r["id"] for r in held]), k, dim), "scanned"))
     if not scans:
         return top
     exact = _ranked(functools.reduce(DataFrame.unionByName, scans), k)
     return top.join(exact.select("query_id").distinct(), "query_id", "left_anti").select(*top.columns).unionByName(exact)
 
 
-def _best(q: np.ndarray, of: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> pa.RecordBatch:
-    """The ``k`` nearest ids of each query ``q`` of id ``of`` among the stored rows, each id at its nearest row."""
-    order = np.argsort(ids, kind="stable")
-    ids, x = ids[order], x[order]
-    first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
-    ids, out = ids[first], []
-    for lo in range(0, len(q), 64):
-        d = np.minimum.reduceat(np.sqrt(((q[lo : lo + 64, None, :] - x[None]) ** 2).sum(2)), first, axis=1)
-        d[of[lo : lo + 64, None] == ids[None]] = np.inf
-        best = np.lexsort((np.broadcast_to(ids, d.shape), d), axis=1)[:, :k]
-        score = np.take_along_axis(d, best, 1)
-        real = np.isfinite(score)
-        out.append((np.repeat(of[lo : lo + 64], real.sum(1)), ids[best][real], score[real]))
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["query_id", "vec_id", "score"])
+def _probes(rows: DataFrame, hashes: CrossPolytope, k: int, dim: int, recall: float, sample: int) -> int:
+    """Probes a table that reach ``recall`` of the true neighbours of a bounded sample of queries."""
+    asked = rows.where("asks").orderBy(F.xxhash64("id", F.lit(9)), "id", "vector").limit(sample).select("id", "vector").collect()
+    if not asked:
+        return 1
+    q, of = np.array([r["vector"] for r in asked]), np.array([r["id"] for r in asked])
+    true = _ranked(_scan(rows, q, of, k, dim), k).select(F.col("vec_id").alias("id"), "query_id")
+    # at most ``sample * k`` pairs
+    pairs = rows.join(F.broadcast(true), "id").groupBy("query_id", "id").agg(F.min("vector").alias("vector")).collect()
+    if not pairs:
+        return 1
+    where = {i: n for n, i in enumerate(of.tolist())}
+    asking = _unit(q)[[where[r["query_id"]] for r in pairs]]
+    need = np.sort(hashes.needed(asking, _unit(np.array([r["vector"] for r in pairs]))))
+    return int(need[math.ceil(recall * len(need)) - 1])
+
+
+def _best(q: np.ndarray, of: np.ndarray, x: np.ndarray, ids: np.ndarray, a: np.ndarray, b: np.ndarray, k: int) -> pa.RecordBatch:
+    """Of the pairs (query ``a``, stored row ``b``) the ``k`` nearest ids of each query, each id at its nearest row."""
+    d = np.concatenate([np.sqrt(((q[a[lo : lo + 65536]] - x[b[lo : lo + 65536]]) ** 2).sum(1)) for lo in range(0, len(a), 65536)])
+    keep = of[a] != ids[b]
+    a, vec, d = a[keep], ids[b[keep]], d[keep]
+    order = np.lexsort((d, vec, a))
+    a, vec, d = a[order], vec[order], d[order]
+    once = np.r_[True, (a[1:] != a[:-1]) | (vec[1:] != vec[:-1])][: len(a)]
+    a, vec, d = a[once], vec[once], d[once]
+    order = np.lexsort((vec, d, a))
+    a, vec, d = a[order], vec[order], d[order]
+    rank = np.arange(len(a)) - np.searchsorted(a, a)
+    a, vec, d = a[rank < k], vec[rank < k], d[rank < k]
+    return pa.RecordBatch.from_arrays([pa.array(of[a]), pa.array(vec), pa.array(d)], ["query_id", "vec_id", "score"])
 
 
 def _scan(rows: DataFrame, q: np.ndarray, of: np.ndarray, k: int, dim: int) -> DataFrame:
     """The ``k`` nearest of a block of queries in every piece of all rows."""
 
     def run(batches):
-        for batch in batches:
-            for lo in range(0, batch.num_rows, SLICE):
-                piece = batch.slice(lo, SLICE)
-                yield _best(q, of, _arrays(piece, 1, dim), piece.column(0).to_numpy(), k)
+        for piece in _pieces(batches, SLICE):
+            x, ids = _arrays(piece, 1, dim), piece.column(0).to_numpy()
+            for lo in range(0, len(q), TILE):
+                a, b = np.divmod(np.arange(len(q[lo : lo + TILE]) * len(x)), len(x))
+                yield _best(q[lo : lo + TILE], of[lo : lo + TILE], x, ids, a, b, k)
 
     return rows.select("id", "vector").mapInArrow(run, "query_id long, vec_id long, score double")
 
@@ -234,18 +338,6 @@ def _ranked(found: DataFrame, k: int) -> DataFrame:
     return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _sliced(dealt: DataFrame, spread: Column, copies) -> DataFrame:
-    """Add ``slice``: stored rows are dealt to slices of about ``SLICE`` rows, asking rows copied to those they must meet.
-
-    The sizes are broadcast: there are at most ``tables`` times twice the padded length of a vector.
-    """
-    dealt = cut(dealt, "buckets")
-    sizes = dealt.where("role = 0").groupBy("t", "bucket").agg(F.ceil(F.count("*") / SLICE).cast("int").alias("n"))
-    own = F.pmod(F.xxhash64("id", F.lit(3)), F.col("n")).cast("int")
-    joined = dealt.join(F.broadcast(sizes), ["t", "bucket"]).withColumn("own", own)
-    return joined.withColumn("slice", F.explode(F.when(spread, copies(F.col("n"))).otherwise(F.array("own")))).drop("n", "own")
-
-
 # --- near-duplicates ------------------------------------------------------------------------------
 
 
@@ -262,116 +354,138 @@ def near_duplicates(
     Equal vectors are one class. Each class is stored in its home bucket of two rotations a table and
     asks in its ``probes`` nearest buckets; pairs that meet are verified by cosine in double precision. A
     pair counts only at the first place where it meets, which both vectors' buckets tell, so links are
-    counted whole without sending pairs on; components travel as spanning links. Rows that take no part
+    counted whole without sending pairs on; components travel as spanning links. However alike the vectors of
+    a bucket are, a task holds the pairs of one tile at a time, as places in its slice. Rows that take no part
     have no links and are their own component; a row without an id has neither component nor mark.
     """
-    rows, dim, kind = prepared(vectors, id_col, vector_col)
-    classes = cut(rows.groupBy("vector").agg(F.min("id").alias("id"), F.count("*").alias("n")), "classes")
+    rows, dim, kind, _ = prepared(vectors, id_col, vector_col)
+    classes = rows.groupBy("vector").agg(F.min("id").alias("id"), F.count("*").alias("n"))
+    classes = cut(classes.withColumn("class", F.monotonically_increasing_id()), "classes")  # written, so the numbers stay
     hashes = CrossPolytope(dim, tables, 2, probes)
-    names = ["t", "bucket", "role", "id", "n", "raw"]
+    names = ["t", "cell", "role", "class", "n", "raw"]
 
     def deal(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in _pieces(batches):
             x = _arrays(batch, 2, dim)
-            raw = _packed(x, kind)
-            unit = _unit(x)
+            raw, unit = _packed(x, kind), _unit(x)
             for t in range(tables):
                 found = hashes.buckets(unit, t)
                 at = np.repeat(np.arange(len(x)), found.shape[1])
                 role = np.tile(np.minimum(np.arange(found.shape[1]), 1), len(x))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(at), t)), pa.array(found.ravel()), pa.array(role), *(c.take(pa.array(at)) for c in (batch.column(0), batch.column(1), raw))], names
-                )
-
-    dealt = cut(classes.select("id", "n", "vector").mapInArrow(deal, "t long, bucket long, role long, id long, n long, raw binary"), "buckets")
-    sizes = dealt.groupBy("t", "bucket").agg(F.count("*").alias("there"), F.sum((F.col("role") == 0).cast("int")).alias("home"))
-    sizes = sizes.where("there > 1 and home > 0").select("t", "bucket", F.ceil(F.col("home") / SLICE).cast("int").alias("slices"))
-    if tables * (2 * hashes.width) ** 2 <= BROADCAST_ROWS:  # there are no more buckets than that
-        sizes = F.broadcast(sizes)
-    met = dealt.join(sizes, ["t", "bucket"])
-    own = F.pmod(F.xxhash64("id", F.lit(3)), F.col("slices")).cast("int")
-    met = met.withColumn("own", own).withColumn(
-        "at",
-        F.explode(
-            F.when(F.col("role") == 1, F.transform(F.sequence(F.lit(0), F.col("slices") - 1), lambda s: F.struct(s.alias("slice"), F.lit(1).cast("long").alias("role")))).otherwise(
-                F.transform(F.sequence(F.lit(0), F.col("own")), lambda s: F.struct(s.alias("slice"), (s < F.col("own")).cast("long").alias("role")))
-            )
-        ),
-    )
-    placed = met.select("t", "bucket", F.col("at.slice").cast("long").alias("slice"), F.col("at.role").alias("role"), "id", "n", "raw")
-    keys = ["t", "bucket", "slice"]
+                own = (c.take(pa.array(at)) for c in (batch.column(0), batch.column(1), raw))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), t)), pa.array(found.ravel()), pa.array(role), *own], names)
+
+    dealt = cut(classes.select("class", "n", "vector").mapInArrow(deal, "t long, cell long, role long, class long, n long, raw binary"), "buckets")
+    sizes = _cell_sizes(dealt, hashes, (2 * hashes.width) ** 2).where("there > 1")
+    own = F.pmod(F.xxhash64("class", F.lit(3)), F.col("slices")).cast("int")
+    asks = F.transform(F.sequence(F.lit(0), F.col("slices") - 1), lambda s: F.struct(s.alias("slice"), F.lit(1).cast("long").alias("role")))
+    stays = F.transform(F.sequence(F.lit(0), F.col("own")), lambda s: F.struct(s.alias("slice"), (s < F.col("own")).cast("long").alias("role")))
+    met = dealt.join(sizes, ["t", "cell"]).withColumn("own", own).withColumn("at", F.explode(F.when(F.col("role") == 1, asks).otherwise(stays)))
+    placed = met.select("t", "cell", F.col("at.slice").cast("long").alias("slice"), F.col("at.role").alias("role"), "class", "n", "raw")
+    keys = ["t", "cell", "slice"]
 
     def link(batches):
-        pairs, size = [], 0
-        for (t, bucket, _), stored, asking in _cells(batches, keys, SLICE):
-            mine = stored[-1] if asking is None else asking
-            known = stored
-            x = _unit(_matrix(pa.concat_arrays([b.column("raw") for b in known]), dim, kind))
-            ids, n = (np.concatenate([b.column(c).to_numpy() for b in known]) for c in ("id", "n"))
-            y = _unit(_matrix(mine.column("raw"), dim, kind))
-            yid, yn = mine.column("id").to_numpy(), mine.column("n").to_numpy()
-            a, b = np.nonzero(y @ x.T >= least)
-            if asking is None:  # stored rows among themselves: each pair once, with what came before
-                before = len(ids) - len(yid)
-                keep = b < a + before
-                a, b = a[keep], b[keep]
-            keep = yid[a] != ids[b]
-            a, b = a[keep], b[keep]
-            if len(a):
-                pairs.append((np.full(len(a), t), np.full(len(a), bucket), yid[a], ids[b], yn[a], n[b], y[a], x[b]))
-                size += len(a)
-            if size >= 1 << 16:
-                yield _counted(pairs, hashes)
-                pairs, size = [], 0
-        if pairs:
-            yield _counted(pairs, hashes)
-
-    found = placed.repartition(*keys).sortWithinPartitions(*keys, "role").mapInArrow(link, "id long, links long, root long")
+        covers, last = Covers(hashes), None
+        for (t, cell, _), stored, asking in _cells(batches, keys, SLICE):
+            if stored is not last:
+                last, there = stored, Slice(stored, dim, kind)
+            here = there if asking is None else Slice(asking, dim, kind)
+            found = _linked(int(t), int(cell), there, here, covers, least)
+            if found is not None:
+                yield found
+
+    found = placed.repartition(*keys).sortWithinPartitions(*keys, "role").mapInArrow(link, "class long, links long, root long")
     found = cut(found, "links")
-    links = found.groupBy("id").agg(F.sum("links").alias("links"))
-    groups = connected_components(found.select(F.col("id").alias("src"), F.col("root").alias("dst")))
+    links = found.groupBy("class").agg(F.sum("links").alias("links"))
+    groups = connected_components(found.select(F.col("class").alias("src"), F.col("root").alias("dst")))
+    numbered = classes.join(groups, F.col("class") == F.col("vertex"), "left").withColumn("component", F.coalesce("component", "class"))
+    roots = numbered.groupBy("component").agg(F.min("id").alias("root"))
     labelled = (
-        classes.join(links, "id", "left")
-        .join(groups, F.col("id") == F.col("vertex"), "left")
-        .select("vector", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("component", "id").alias("root"))
+        numbered.join(roots, "component")
+        .join(links, "class", "left")
+        .select("vector", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("links"), "root")
     )
-    every = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"))
+    every = vectors.select(_named(id_col).cast("long").alias("vec_id"), _named(vector_col).cast("array<double>").alias("vector"))
     part = F.col("vec_id").isNotNull() & usable(F.col("vector")) & (F.size("vector") == dim)
-    joined = every.withColumn("vector", F.when(part, F.col("vector"))).join(labelled, "vector", "left")
-    root = F.coalesce("root", "vec_id")
-    return joined.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), root.alias("component_id"), (F.col("vec_id") == root).alias("kept"))
-
-
-def _counted(pairs: list[tuple], hashes: CrossPolytope) -> pa.RecordBatch:
-    """Of pairs found here, those that meet nowhere before; summed to links and a root for each id."""
-    t, bucket, a, b, na, nb, va, vb = (np.concatenate(c) for c in zip(*pairs))
-    ids, first = np.unique(np.concatenate([a, b]), return_index=True)
-    unit = np.concatenate([va, vb])[first]
-    less = a < b  # the smaller id's home is looked at first
-    lo = np.searchsorted(ids, np.where(less, a, b))
-    hi = np.searchsorted(ids, np.where(less, b, a))
-    new, open_ = np.zeros(len(a), bool), np.ones(len(a), bool)
-    for table in range(int(t.max()) + 1):
-        cover = hashes.buckets(unit, table)
-        at_lo = (cover[hi] == cover[lo, :1]).any(1)  # they meet in the home of the smaller id
-        at_hi = (cover[lo] == cover[hi, :1]).any(1)
-        here = open_ & (t == table)
-        new[here] = np.where(at_lo, cover[lo, 0], cover[hi, 0])[here] == bucket[here]
-        open_ &= ~(at_lo | at_hi) & (t > table)
-    u, v = np.searchsorted(ids, a[new]), np.searchsorted(ids, b[new])
-    links = np.zeros(len(ids), np.int64)
-    np.add.at(links, u, nb[new])
-    np.add.at(links, v, na[new])
-    label = np.arange(len(ids))
-    while True:
-        least = np.minimum(label[u], label[v])
-        if np.array_equal(least, label[u]) and np.array_equal(least, label[v]):
-            break
-        np.minimum.at(label, label[u], least)
-        np.minimum.at(label, label[v], least)
-        while not np.array_equal(label, up := label[label]):
-            label = up
+    # rows that take no part would all meet under one key
+    apart = every.where(~part).select("vec_id", F.lit(0).cast("long").alias("links"), F.col("vec_id").alias("root"))
+    joined = every.where(part).join(labelled, "vector").select("vec_id", "links", "root").unionByName(apart)
+    return joined.select("vec_id", F.col("links").cast("long").alias("n_links"), F.col("root").alias("component_id"), (F.col("vec_id") == F.col("root")).alias("kept"))
+
+
+class Slice:
+    """Rows of a cell: unit vectors, class numbers and how many rows each class stands for."""
+
+    def __init__(self, rows: pa.Table | pa.RecordBatch, dim: int, kind: str):
+        self.unit = _unit(_matrix(rows.column("raw"), dim, kind))
+        self.ids, self.n = (rows.column(c).to_numpy() for c in ("class", "n"))
+
+
+class Covers:
+    """Buckets of rows in every table, each row's home first; the last ``REMEMBERED`` rows are kept."""
+
+    def __init__(self, hashes: CrossPolytope):
+        self.hashes, self.known = hashes, {}
+
+    def __call__(self, rows: Slice, at: np.ndarray) -> np.ndarray:
+        """``(len(at), tables, probes)`` of the rows ``at``."""
+        new = [i for i in at.tolist() if rows.ids[i] not in self.known]
+        if len(self.known) + len(new) > REMEMBERED:
+            self.known = {}
+            new = at.tolist()
+        if new:
+            found = np.stack([self.hashes.buckets(rows.unit[new], t) for t in range(self.hashes.tables)], 1)
+            self.known.update(zip(rows.ids[new].tolist(), found))
+        return np.stack([self.known[i] for i in rows.ids[at].tolist()])
+
+
+def _linked(t: int, cell: int, there: Slice, here: Slice, covers: Covers, least: float) -> pa.RecordBatch | None:
+    """Links between the rows of two slices that meet first in this cell: each row's sum, and a root that it hangs on."""
+    same = there is here
+    size = len(there.ids)
+    ids = there.ids if same else np.concatenate([there.ids, here.ids])
+    links, label = np.zeros(len(ids), np.int64), np.arange(len(ids))
+    for lo in range(0, len(here.ids), TILE):
+        y = here.unit[lo : lo + TILE]
+        s = y @ there.unit.T
+        a, b = np.nonzero(s >= least - 1e-9)
+        sure = s[a, b] >= least + 1e-9
+        close = np.flatnonzero(~sure)  # products of matrices round by their shapes; sums of rows do not
+        sure[close] = (y[a[close]] * there.unit[b[close]]).sum(1) >= least
+        a, b = a[sure] + lo, b[sure]
+        if same:
+            a, b = a[b < a], b[b < a]
+        if not len(a):
+            continue
+        ua, ia = np.unique(a, return_inverse=True)
+        ub, ib = np.unique(b, return_inverse=True)
+        new = _meet_first(t, cell, here.ids[a] < there.ids[b], covers(here, ua), ia, covers(there, ub), ib)
+        a, b = a[new], b[new]
+        u = a if same else a + size
+        np.add.at(links, u, there.n[b])
+        np.add.at(links, b, here.n[a])
+        while True:
+            low = np.minimum(label[u], label[b])
+            if np.array_equal(low, label[u]) and np.array_equal(low, label[b]):
+                break
+            np.minimum.at(label, label[u], low)
+            np.minimum.at(label, label[b], low)
+            while not np.array_equal(label, up := label[label]):
+                label = up
     some = np.flatnonzero(links)
-    return pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(links[some]), pa.array(ids[label[some]])], ["id", "links", "root"])
+    if len(some):
+        return pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(links[some]), pa.array(ids[label[some]])], ["class", "links", "root"])
+
+
+def _meet_first(t: int, cell: int, less: np.ndarray, ca: np.ndarray, ia: np.ndarray, cb: np.ndarray, ib: np.ndarray) -> np.ndarray:
+    """Whether no earlier place has each pair: tables in turn, in each the home of the smaller class first (``less``: that of a)."""
+    new, open_ = np.zeros(len(less), bool), np.ones(len(less), bool)
+    for table in range(t + 1):
+        a, b = ca[ia, table], cb[ib, table]
+        home_a, home_b = (b == a[:, :1]).any(1), (a == b[:, :1]).any(1)
+        first = np.where(np.where(less, home_a, ~home_b), a[:, 0], b[:, 0])
+        meets = home_a | home_b
+        if table == t:
+            return open_ & meets & (first == cell)
+        open_ &= ~meets
+    return new

@@ -102,3 +102,69 @@ def test_repeated_rows_and_short_queries(spark, monkeypatch):
             want = brute_nearest(rows, q, 10)
             assert [i for _, i in found] == [i for _, i in want]
             assert np.allclose([s for s, _ in found], [s for s, _ in want])
+
+
+def table_of(spark, x):
+    rows = [(i, v.tolist(), "clash") for i, v in enumerate(x)]
+    return spark.createDataFrame(rows, "vec_id long, embedding array<float>, `a.b` string")
+
+
+def test_recall_at_the_defaults(spark):
+    """Without clusters and with them, ten neighbours of every twentieth vector against brute force."""
+    rng = np.random.default_rng(8)
+    loose = rng.normal(size=(2000, 64))
+    tight = rng.normal(size=(100, 64)).repeat(20, 0) + 0.3 * rng.normal(size=(2000, 64))
+    for x in (loose, tight):
+        x = x.astype(np.float32).astype(float)
+        got = cp.nearest(table_of(spark, x), F.col("id") % 20 == 0, k=10).collect()
+        hits = 0
+        for q in range(0, len(x), 20):
+            d = np.sqrt(((x - x[q]) ** 2).sum(1))
+            d[q] = np.inf
+            found = {r.vec_id: r.score for r in got if r.query_id == q}
+            assert len(found) == 10 and all(s == d[i] for i, s in found.items())
+            hits += len(found.keys() & set(np.argsort(d)[:10].tolist()))
+        assert hits >= 0.9 * 1000, hits
+
+
+def test_needed_probes_reach_the_home():
+    rng = np.random.default_rng(9)
+    x, y = cp._unit(rng.normal(size=(20, 16))), cp._unit(rng.normal(size=(20, 16)))
+    h = cp.CrossPolytope(16, 3, 2, 1)
+    need = h.needed(x, y)
+    for i, n in enumerate(need):
+        meets = [h.homes(y[i : i + 1], t)[0] in h.buckets(x[i : i + 1], t, int(n)) for t in range(3)]
+        fewer = [n > 1 and h.homes(y[i : i + 1], t)[0] in h.buckets(x[i : i + 1], t, int(n) - 1) for t in range(3)]
+        assert any(meets) and not any(fewer)
+
+
+def test_near_duplicates_of_64_dimensions(spark):
+    rng = np.random.default_rng(10)
+    near = rng.normal(size=64)
+    x = np.concatenate([rng.normal(size=(800, 64)), rng.normal(size=(60, 64)).repeat(5, 0) + 0.1 * rng.normal(size=(300, 64)), near + 0.05 * rng.normal(size=(1500, 64))])
+    x = x.astype(np.float32).astype(float)
+    got = {r.vec_id: r for r in cp.near_duplicates(table_of(spark, x)).collect()}
+    linked = cp._unit(x) @ cp._unit(x).T >= 0.9
+    label = np.array([row.argmax() for row in linked])
+    missed = sum(linked[i].sum() - 1 - got[i].n_links for i in range(len(x)))
+    assert missed <= 0.001 * linked.sum() and all(got[i].n_links <= linked[i].sum() - 1 for i in range(len(x)))
+    assert [got[i].component_id for i in range(len(x))] == label.tolist()
+
+
+def test_a_cell_of_near_copies_keeps_its_bound():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=64) + 0.05 * rng.normal(size=(2048, 64))
+    slices = [
+        cp.Slice(pa.table({"raw": cp._packed(x[lo : lo + 1024], "<f4"), "class": pa.array(range(lo, lo + 1024)), "n": pa.array([1] * 1024)}), 64, "<f4")
+        for lo in (0, 1024)
+    ]
+    h = cp.CrossPolytope(64, 10, 2, 6)
+    tracemalloc.start()
+    home = int(np.bincount(h.homes(slices[0].unit, 0)).argmax())
+    assert cp._linked(0, home, slices[0], slices[1], cp.Covers(h), 0.9).num_rows > 1000
+    assert tracemalloc.get_traced_memory()[1] < 100 << 20
+    tracemalloc.stop()

@@ -152,35 +152,39 @@ def _pieces(batches, rows: int = 2048):
             yield batch.slice(lo, rows)
 
 
-def _cells(batches, keys: list[str], held: int):
-    """Stream rows sorted by ``keys`` and role: ``(key, stored rows, asking rows)``, the asking rows in pieces.
+def _cells(batches, keys: list[str], held: int, columns):
+    """Stream rows sorted by ``keys`` and role: ``(key, stored, asking)``, both tuples of arrays, the asking rows in pieces.
 
-    Stored rows (role 0) of a cell come first and are gathered, as one table, which is the same object for
-    the whole cell; it is given first without asking rows, then with each piece of at most ``held`` of them.
+    ``columns`` makes arrays of a batch. Stored rows (role 0) of a cell come first and are gathered; they are the same
+    object for the whole cell, given first without asking rows, then with each piece of at most ``held`` of them.
     """
     key, gathered, whole = None, [], None
+
+    def joined():
+        return gathered[0] if len(gathered) == 1 else tuple(map(np.concatenate, zip(*gathered)))
+
     for batch in batches:
         if not batch.num_rows:
             continue
         cols = np.stack([batch.column(k).to_numpy() for k in [*keys, "role"]], 1)
+        arrays = columns(batch)
         starts = np.flatnonzero(np.r_[True, (cols[1:] != cols[:-1]).any(1)])
-        for lo, hi in zip(starts, np.r_[starts[1:], len(cols)]):
-            now = tuple(cols[lo, :-1])
-            if now != key:
+        for lo, hi, now in zip(starts.tolist(), [*starts[1:].tolist(), len(cols)], map(tuple, cols[starts].tolist())):
+            if now[:-1] != key:
                 if gathered:
-                    yield key, pa.Table.from_batches(gathered), None
-                key, gathered, whole = now, [], None
-            if cols[lo, -1] == 0:
-                gathered.append(batch.slice(lo, hi - lo))
+                    yield key, joined(), None
+                key, gathered, whole = now[:-1], [], None
+            if now[-1] == 0:
+                gathered.append(tuple(x[lo:hi] for x in arrays))
                 continue
             if gathered:
-                whole, gathered = pa.Table.from_batches(gathered), []
+                whole, gathered = joined(), []
                 yield key, whole, None
             if whole is not None:
                 for at in range(lo, hi, held):
-                    yield key, whole, batch.slice(at, min(held, hi - at))
+                    yield key, whole, tuple(x[at : min(hi, at + held)] for x in arrays)
     if gathered:
-        yield key, pa.Table.from_batches(gathered), None
+        yield key, joined(), None
 
 
 def _cell_sizes(dealt: DataFrame, hashes: CrossPolytope, cells: int) -> DataFrame:
@@ -252,24 +256,26 @@ def nearest(
     placed = met.select(*names, F.explode(slices).alias("slice"))
     keys = ["t", "cell", "slice"]
 
+    def columns(batch):
+        fine = np.empty(batch.num_rows, object)
+        fine[:] = batch.column("fine").to_pylist()
+        return _matrix(batch.column("raw"), dim, kind), batch.column("id").to_numpy(), fine
+
     def search(batches):
         last = None
-        for _, stored, asking in _cells(batches, keys, SLICE):
+        for _, stored, asking in _cells(batches, keys, TILE, columns):
             if asking is None:
                 continue
             if stored is not last:
-                last = stored
-                x, ids = _matrix(stored.column("raw"), dim, kind), stored.column("id").to_numpy()
-                fine = np.frombuffer(b"".join(stored.column("fine").to_pylist()), "<i4")
-            q, of = _matrix(asking.column("raw"), dim, kind), asking.column("id").to_numpy()
-            visits = [np.frombuffer(b, "<i4") for b in asking.column("fine").to_pylist()]
-            for lo in range(0, len(q), TILE):
-                some = visits[lo : lo + TILE]
-                open_ = np.zeros((len(some), axes), bool)
-                open_[np.repeat(np.arange(len(some)), [len(v) for v in some]), np.concatenate(some)] = True
-                a, b = np.nonzero(open_[:, fine])
-                if len(a):
-                    yield _best(q[lo : lo + TILE], of[lo : lo + TILE], x, ids, a, b, k)
+                last, (x, ids, homes) = stored, stored
+                fine = np.frombuffer(b"".join(homes.tolist()), "<i4")
+            q, of, visits = asking
+            visits = [np.frombuffer(b, "<i4") for b in visits]
+            open_ = np.zeros((len(visits), axes), bool)
+            open_[np.repeat(np.arange(len(visits)), [len(v) for v in visits]), np.concatenate(visits)] = True
+            a, b = np.nonzero(open_[:, fine])
+            if len(a):
+                yield _best(q, of, x, ids, a, b, k)
 
     found = placed.repartition(*keys).sortWithinPartitions(*keys, "role").mapInArrow(search, "query_id long, vec_id long, score double")
     top = cut(_ranked(found, k), "found")
@@ -384,13 +390,13 @@ def near_duplicates(
     placed = met.select("t", "cell", F.col("at.slice").cast("long").alias("slice"), F.col("at.role").alias("role"), "class", "n", "raw")
     keys = ["t", "cell", "slice"]
 
+    def columns(batch):
+        return _unit(_matrix(batch.column("raw"), dim, kind)), batch.column("class").to_numpy(), batch.column("n").to_numpy()
+
     def link(batches):
-        covers, last = Covers(hashes), None
-        for (t, cell, _), stored, asking in _cells(batches, keys, SLICE):
-            if stored is not last:
-                last, there = stored, Slice(stored, dim, kind)
-            here = there if asking is None else Slice(asking, dim, kind)
-            found = _linked(int(t), int(cell), there, here, covers, least)
+        covers = Covers(hashes)
+        for (t, cell, _), stored, asking in _cells(batches, keys, SLICE, columns):
+            found = _linked(t, cell, stored, stored if asking is None else asking, covers, least)
             if found is not None:
                 yield found
 
@@ -413,57 +419,53 @@ def near_duplicates(
     return joined.select("vec_id", F.col("links").cast("long").alias("n_links"), F.col("root").alias("component_id"), (F.col("vec_id") == F.col("root")).alias("kept"))
 
 
-class Slice:
-    """Rows of a cell: unit vectors, class numbers and how many rows each class stands for."""
-
-    def __init__(self, rows: pa.Table | pa.RecordBatch, dim: int, kind: str):
-        self.unit = _unit(_matrix(rows.column("raw"), dim, kind))
-        self.ids, self.n = (rows.column(c).to_numpy() for c in ("class", "n"))
-
-
 class Covers:
     """Buckets of rows in every table, each row's home first; the last ``REMEMBERED`` rows are kept."""
 
     def __init__(self, hashes: CrossPolytope):
         self.hashes, self.known = hashes, {}
 
-    def __call__(self, rows: Slice, at: np.ndarray) -> np.ndarray:
-        """``(len(at), tables, probes)`` of the rows ``at``."""
-        new = [i for i in at.tolist() if rows.ids[i] not in self.known]
+    def __call__(self, unit: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """``(rows, tables, probes)`` of rows and their ids."""
+        new = [i for i, own in enumerate(ids.tolist()) if own not in self.known]
         if len(self.known) + len(new) > REMEMBERED:
             self.known = {}
-            new = at.tolist()
+            new = list(range(len(ids)))
         if new:
-            found = np.stack([self.hashes.buckets(rows.unit[new], t) for t in range(self.hashes.tables)], 1)
-            self.known.update(zip(rows.ids[new].tolist(), found))
-        return np.stack([self.known[i] for i in rows.ids[at].tolist()])
-
-
-def _linked(t: int, cell: int, there: Slice, here: Slice, covers: Covers, least: float) -> pa.RecordBatch | None:
-    """Links between the rows of two slices that meet first in this cell: each row's sum, and a root that it hangs on."""
-    same = there is here
-    size = len(there.ids)
-    ids = there.ids if same else np.concatenate([there.ids, here.ids])
-    links, label = np.zeros(len(ids), np.int64), np.arange(len(ids))
-    for lo in range(0, len(here.ids), TILE):
-        y = here.unit[lo : lo + TILE]
-        s = y @ there.unit.T
+            found = np.stack([self.hashes.buckets(unit[new], t) for t in range(self.hashes.tables)], 1)
+            self.known.update(zip(ids[new].tolist(), found))
+        return np.stack([self.known[i] for i in ids.tolist()])
+
+
+def _linked(t: int, cell: int, there: tuple, here: tuple, covers: Covers, least: float) -> pa.RecordBatch | None:
+    """Links between two slices' rows (unit vectors, classes, how many rows a class stands for) that meet first in this
+    cell: each row's sum, and a root that it hangs on. ``here is there`` asks for the links within a slice."""
+    (x, x_ids, x_n), (z, z_ids, z_n) = there, here
+    same, size, links = there is here, len(x_ids), None
+    for lo in range(0, len(z_ids), TILE):
+        y = z[lo : lo + TILE]
+        s = y @ x.T
+        if not same and s.max() < least - 1e-9 or size < 2 and same:
+            continue
         a, b = np.nonzero(s >= least - 1e-9)
         sure = s[a, b] >= least + 1e-9
         close = np.flatnonzero(~sure)  # products of matrices round by their shapes; sums of rows do not
-        sure[close] = (y[a[close]] * there.unit[b[close]]).sum(1) >= least
+        sure[close] = (y[a[close]] * x[b[close]]).sum(1) >= least
         a, b = a[sure] + lo, b[sure]
         if same:
             a, b = a[b < a], b[b < a]
         if not len(a):
             continue
+        if links is None:
+            ids = x_ids if same else np.concatenate([x_ids, z_ids])
+            links, label = np.zeros(len(ids), np.int64), np.arange(len(ids))
         ua, ia = np.unique(a, return_inverse=True)
         ub, ib = np.unique(b, return_inverse=True)
-        new = _meet_first(t, cell, here.ids[a] < there.ids[b], covers(here, ua), ia, covers(there, ub), ib)
+        new = _meet_first(t, cell, z_ids[a] < x_ids[b], covers(z[ua], z_ids[ua]), ia, covers(x[ub], x_ids[ub]), ib)
         a, b = a[new], b[new]
         u = a if same else a + size
-        np.add.at(links, u, there.n[b])
-        np.add.at(links, b, here.n[a])
+        np.add.at(links, u, x_n[b])
+        np.add.at(links, b, z_n[a])
         while True:
             low = np.minimum(label[u], label[b])
             if np.array_equal(low, label[u]) and np.array_equal(low, label[b]):
@@ -472,7 +474,7 @@ def _linked(t: int, cell: int, there: Slice, here: Slice, covers: Covers, least:
             np.minimum.at(label, label[b], low)
             while not np.array_equal(label, up := label[label]):
                 label = up
-    some = np.flatnonzero(links)
+    some = np.flatnonzero(links) if links is not None else ()
     if len(some):
         return pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(links[some]), pa.array(ids[label[some]])], ["class", "links", "root"])
 

@@ -154,17 +154,12 @@ def test_near_duplicates_of_64_dimensions(spark):
 def test_a_cell_of_near_copies_keeps_its_bound():
     import tracemalloc
 
-    import pyarrow as pa
-
     rng = np.random.default_rng(11)
-    x = rng.normal(size=64) + 0.05 * rng.normal(size=(2048, 64))
-    slices = [
-        cp.Slice(pa.table({"raw": cp._packed(x[lo : lo + 1024], "<f4"), "class": pa.array(range(lo, lo + 1024)), "n": pa.array([1] * 1024)}), 64, "<f4")
-        for lo in (0, 1024)
-    ]
+    x = cp._unit(rng.normal(size=64) + 0.05 * rng.normal(size=(2048, 64)))
+    slices = [(x[lo : lo + 1024], np.arange(lo, lo + 1024), np.ones(1024, int)) for lo in (0, 1024)]
     h = cp.CrossPolytope(64, 10, 2, 6)
     tracemalloc.start()
-    home = int(np.bincount(h.homes(slices[0].unit, 0)).argmax())
+    home = int(np.bincount(h.homes(slices[0][0], 0)).argmax())
     assert cp._linked(0, home, slices[0], slices[1], cp.Covers(h), 0.9).num_rows > 1000
     assert tracemalloc.get_traced_memory()[1] < 100 << 20
     tracemalloc.stop()

@@ -6,25 +6,24 @@ symbols of a longer context are excluded from the shorter ones, so the probabili
 the end of the text among them, sum to one.
 
 The code length of a symbol depends on it and the ``order`` before it, a gram. Blocks of texts send their
-distinct grams, with training counts, to shards of the trie; a shard holds all contexts that share their last
-``SPLIT`` symbols. Only contexts shorter than that, some 66,000 whatever the corpus, are broadcast. The shards
-answer with code lengths, and the blocks sum them. A ``capacity`` drops contexts of fewer than one position in
-``2**capacity``; ``train`` compiles such a bounded model into an automaton for use in one process.
+distinct grams to shards of the trie; a shard holds all contexts that share their last ``SPLIT`` symbols. A task
+reads a shard as a stream, first what training texts hold, which builds the trie, then what is asked, block
+after block, so neither side is ever gathered whole. Only contexts shorter than ``SPLIT``, some 66,000 whatever
+the corpus, are broadcast. The shards answer with code lengths, and the blocks sum them.
 
-A unigram word score is computed beside it. Blocks of texts send their distinct words to shards of the
-vocabulary, the shards answer with training counts, and the blocks sum them; neither side ever holds
-the vocabulary or a word's documents whole.
+A unigram word score is computed beside it, in the same way: the shards hold parts of the vocabulary.
 
 Defined results: a null or empty text consists of its end alone; texts are lower-cased in A-Z only; a row
 without an id trains and is not held out; repeated rows count and are scored each; columns other than id
-and text are not read; an empty table gives an empty one; without training texts all symbols are equally
-likely.
+and text are not read, whatever their names; a very long text is a block of its own and is read in windows;
+an empty table gives an empty one; without training texts all symbols are equally likely.
 """
 
 from __future__ import annotations
 
 import itertools
 import zlib
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.arrow import large_text, map_texts
+from tarn.llm.arrow import bound_batches, large_text
 from tarn.plans.scratch import cut
 
 END, PAD = 256, 257
@@ -41,25 +40,37 @@ BITS = 9
 SYMBOLS = 257
 #: Last symbols of a context that choose its shard of the trie.
 SPLIT = 2
-#: Positions of one lane when scoring.
-LANE = 512
-#: Distinct grams a task holds before it sends them on.
-HELD = 1 << 22
-#: Bytes of text whose words are looked up together.
-BLOCK_BYTES = 8 << 20
+#: A block ends at so many bytes of text or distinct grams, unless a single text has more.
+BLOCK_BYTES, BLOCK_GRAMS = 32 << 20, 4 << 20
+#: Bytes of text, and positions, that are worked on at once.
+PIECE_BYTES, WINDOW = 2 << 20, 1 << 21
 
 
 def _stream(texts: pa.Array, pad: int) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols of all texts, each after ``pad`` starts and before an end; and where each text begins."""
+    """Symbols of all texts, each after ``pad`` starts and before an end; where each text begins, and the end of all."""
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     lengths = np.diff(offsets)
     begins = np.r_[0, np.cumsum(lengths + pad + 1)]
     out = np.full(begins[-1], PAD, np.uint16)
     data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
-    at = np.arange(len(data)) + np.repeat(begins[:-1] + pad - (offsets[:-1] - offsets[0]), lengths)
-    out[at] = data
+    for i in range(len(texts)):
+        out[begins[i] + pad : begins[i + 1] - 1] = data[offsets[i] - offsets[0] : offsets[i + 1] - offsets[0]]
     out[begins[1:] - 1] = END
-    return out, begins[:-1]
+    return out, begins
+
+
+def _windows(texts: pa.Array, order: int):
+    """``(grams, text)`` of successive windows: each symbol and the ``order`` before it, packed, and its text's number."""
+    symbols, begins = _stream(texts, order)
+    for lo in range(order, len(symbols), WINDOW):
+        hi = min(lo + WINDOW, len(symbols))
+        gram = np.zeros(hi - lo, np.int64)
+        for k in range(order + 1):
+            gram <<= BITS
+            gram |= symbols[lo - order + k : hi - order + k]
+        real = symbols[lo:hi] != PAD
+        text = np.repeat(np.arange(len(texts)), np.diff(np.clip(begins, lo, hi)))
+        yield gram[real], text[real]
 
 
 def _merged(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -69,37 +80,29 @@ def _merged(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[starts], np.add.reduceat(counts, starts)
 
 
-def _grams(texts: pa.Array, order: int) -> np.ndarray:
-    """Each symbol of the texts and the ``order`` before it, packed."""
-    symbols, _ = _stream(texts, order)
-    wide = symbols.astype(np.int64)
-    gram = np.zeros(max(0, len(wide) - order), np.int64)
-    for k in range(order + 1):
-        gram = (gram << BITS) | wide[k : len(wide) - order + k]
-    return gram[symbols[order:] != PAD]
+class Tally:
+    """Counted keys; new ones wait until they are as many as the old, so merging stays in proportion."""
 
+    def __init__(self):
+        self.keys, self.counts = np.empty(0, np.int64), np.empty(0, np.int64)
+        self.waiting, self.size = [], 0
 
-def gram_counts(texts: DataFrame, order: int) -> DataFrame:
-    """``(gram, n)`` over all rows of ``texts (text)``: ``order`` symbols and the one after them, packed."""
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        self.waiting.append((keys, counts))
+        self.size += len(keys)
+        if self.size > len(self.keys):
+            self.settle()
 
-    def run(batches):
-        keys, counts = np.empty(0, np.int64), np.empty(0, np.int64)
-        for batch in batches:
-            lowered = pc.ascii_lower(large_text(batch.column(0)))
-            for lo, hi in _pieces(lowered):
-                new, n = np.unique(_grams(lowered.slice(lo, hi - lo), order), return_counts=True)
-                keys, counts = _merged(np.r_[keys, new], np.r_[counts, n])
-                if len(keys) > HELD:
-                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], ["gram", "n"])
-                    keys, counts = keys[:0], counts[:0]
-        for lo in range(0, len(keys), 1 << 18):
-            yield pa.RecordBatch.from_arrays([pa.array(keys[lo : lo + (1 << 18)]), pa.array(counts[lo : lo + (1 << 18)])], ["gram", "n"])
+    def settle(self) -> tuple[np.ndarray, np.ndarray]:
+        """All distinct keys, ascending, and their counts."""
+        if self.size:
+            keys, counts = zip((self.keys, self.counts), *self.waiting)
+            self.keys, self.counts = _merged(np.concatenate(keys), np.concatenate(counts))
+        self.waiting, self.size = [], 0
+        return self.keys, self.counts
 
-    sent = texts.select(F.col("text").cast("string")).mapInArrow(run, "gram long, n long")
-    return sent.groupBy("gram").agg(F.sum("n").alias("n"))
 
-
-def _pieces(texts: pa.Array, limit: int = 8 << 20):
+def _pieces(texts: pa.Array, limit: int = PIECE_BYTES):
     lengths = pc.binary_length(texts).to_numpy(zero_copy_only=False)
     lo = total = 0
     for i, n in enumerate(lengths):
@@ -111,95 +114,7 @@ def _pieces(texts: pa.Array, limit: int = 8 << 20):
         yield lo, len(lengths)
 
 
-class Model:
-    """The compiled automaton: ``cost[state, column]`` in log10, ``step[state, column]``, and each symbol's column."""
-
-    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
-        """``levels[k]``: context, symbol and count of the entries of kept contexts of ``k`` symbols."""
-        seen = np.unique(np.concatenate([symbol for _, symbol, _ in levels] + [np.array([END])])).astype(np.int64)
-        self.column = np.full(SYMBOLS + 1, len(seen), np.uint8 if len(seen) < 256 else np.uint16)
-        self.column[seen] = np.arange(len(seen))
-        width = len(seen) + 1  # the last column stands for every symbol never seen
-        contexts = [np.unique(context) if k else np.zeros(1, np.int64) for k, (context, _, _) in enumerate(levels)]
-        first = np.cumsum([0, *map(len, contexts)])
-        costs, steps = [], []
-        for k, (context, symbol, count) in enumerate(levels):
-            own = contexts[k]
-            c = np.zeros((len(own), width))
-            c[np.searchsorted(own, context), self.column[symbol]] = count
-            if k:
-                parent = np.searchsorted(contexts[k - 1], own & ((1 << BITS * (k - 1)) - 1))
-                left = np.where(c > 0, 0, above[parent])
-                below = self._shared(left, beyond[parent])
-                step = steps[-1][parent]
-            else:
-                below = np.full((1, width), -np.log10(max(1, SYMBOLS - len(np.unique(symbol)))))
-                step = np.zeros((1, width), np.int32)
-            if k + 1 < len(levels):
-                longer = contexts[k + 1]
-                last = longer & ((1 << BITS) - 1)
-                at = np.flatnonzero(last != PAD)
-                step[np.searchsorted(own, longer[at] >> BITS), self.column[last[at]]] = first[k + 1] + at
-            costs.append(self._shared(c, below))
-            steps.append(step)
-            above, beyond = c, below
-        start, history = 0, 0
-        for k in range(1, len(levels)):
-            history = history << BITS | PAD
-            at = np.searchsorted(contexts[k], history)
-            if at < len(contexts[k]) and contexts[k][at] == history:
-                start = first[k] + at
-        self.cost = np.concatenate(costs).astype(np.float32)
-        self.step = np.concatenate(steps).astype(np.int32)
-        self.step[:, self.column[END]] = self.start = start
-        self.order = len(levels) - 1
-
-    @staticmethod
-    def _shared(counts: np.ndarray, below: np.ndarray) -> np.ndarray:
-        """Costs where ``counts`` has the symbol, else those of ``below`` after an escape; no counts, no escape cost."""
-        total, distinct = counts.sum(1, keepdims=True), (counts > 0).sum(1, keepdims=True)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            escape = np.where(distinct > 0, np.log10(distinct) - np.log10(2 * total), 0)
-            return np.where(counts > 0, np.log10(np.maximum(2 * counts - 1, 0)) - np.log10(2 * total), escape + below)
-
-    def score(self, symbols: np.ndarray, begins: np.ndarray) -> np.ndarray:
-        """log10 probability of each text of an unpadded stream."""
-        columns, width = self.column[symbols], self.cost.shape[1]
-        lanes = -(-len(columns) // LANE)
-        whole = np.full((lanes + 1) * LANE, self.column[END], columns.dtype)
-        whole[LANE : LANE + len(columns)] = columns  # an end before the first text: its state is the start
-        at = whole[LANE:].reshape(lanes, LANE).T.copy()
-        warm = whole[: lanes * LANE].reshape(lanes, LANE)[:, LANE - self.order - 1 :].T.copy()
-        cost, step = self.cost.ravel(), self.step.ravel()
-        state = np.zeros(lanes, np.int64)
-        for now in warm:
-            state = step[state * width + now].astype(np.int64)
-        out = np.empty((LANE, lanes), np.float32)
-        for i, now in enumerate(at):
-            state *= width
-            state += now
-            np.take(cost, state, out=out[i])
-            state = step[state].astype(np.int64)
-        return np.add.reduceat(out.T.ravel()[: len(columns)], begins, dtype=np.float64)
-
-
-def train(texts: DataFrame, order: int = 5, capacity: int = 16) -> Model:
-    """Fit a model on all of ``texts (text)``."""
-    grams = gram_counts(texts, order)
-    suffix = lambda k: F.struct(F.lit(k).alias("k"), F.col("gram").bitwiseAND(F.lit((1 << BITS * (k + 1)) - 1)).alias("key"))
-    levels = grams.select("n", F.explode(F.array(*map(suffix, range(order + 1)))).alias("s")).groupBy("s.k", "s.key").agg(F.sum("n").alias("n"))
-    levels = cut(levels, "grams")
-    positions = levels.where("k = 0").agg(F.sum("n")).first()[0] or 0
-    context = F.shiftright("key", BITS)
-    least = positions / (1 << capacity)
-    kept = levels.groupBy("k", context.alias("context")).agg(F.sum("n").alias("total")).where(F.col("total") >= least).drop("total")
-    # at most 2**capacity contexts an order, so both the broadcast and what comes to the driver are bounded
-    rows = levels.withColumn("context", context).join(F.broadcast(kept), ["k", "context"]).select("k", "context", "key", "n").toArrow()
-    k, ctx, key, n = (rows.column(c).to_numpy() for c in ("k", "context", "key", "n"))
-    return Model([(ctx[k == i], key[k == i] & ((1 << BITS) - 1), n[k == i]) for i in range(order + 1)])
-
-
-# --- the whole trie in shards ----------------------------------------------------------------------
+# --- the trie in shards ----------------------------------------------------------------------------
 
 
 def _low(n: int) -> int:
@@ -220,15 +135,12 @@ def _spread(b: bytes, kind: str) -> np.ndarray:
 class Level:
     """Contexts of one length: counts of their symbols, and what each leaves of its parent after exclusion."""
 
-    def __init__(self, k: int, keys: np.ndarray, counts: np.ndarray, least: float, parent: Level | None):
+    def __init__(self, k: int, keys: np.ndarray, counts: np.ndarray, parent: Level | None):
         starts = np.flatnonzero(np.r_[True, keys[1:] >> BITS != keys[:-1] >> BITS]) if len(keys) else np.empty(0, np.int64)
-        size = np.diff(np.r_[starts, len(keys)])
-        total = np.add.reduceat(counts, starts) if len(keys) else counts
-        keep = total >= least
-        every = np.repeat(keep, size)
-        self.keys, self.counts = keys[every], counts[every]
-        self.total, self.distinct = total[keep], size[keep]
-        self.context = (keys[starts] >> BITS)[keep]
+        self.keys, self.counts = keys, counts
+        self.total = np.add.reduceat(counts, starts) if len(keys) else counts
+        self.distinct = np.diff(np.r_[starts, len(keys)])
+        self.context = keys[starts] >> BITS
         if parent is None:
             self.left, self.fresh = self.total, self.distinct
         elif len(self.context):
@@ -238,7 +150,7 @@ class Level:
             self.fresh = parent.distinct[above] - self.distinct
 
 
-def _levels(keys: np.ndarray, counts: np.ndarray, ks: range, least: float, lower: list[Level]) -> list[Level]:
+def _levels(keys: np.ndarray, counts: np.ndarray, ks: range, lower: list[Level]) -> list[Level]:
     """Levels ``ks`` above ``lower`` from counted grams."""
     found = {}
     for k in reversed(ks):
@@ -247,7 +159,7 @@ def _levels(keys: np.ndarray, counts: np.ndarray, ks: range, least: float, lower
         found[k] = keys, counts
     levels = list(lower)
     for k in ks:
-        levels.append(Level(k, *found[k], least, levels[-1] if levels else None))
+        levels.append(Level(k, *found[k], levels[-1] if levels else None))
     return levels
 
 
@@ -276,194 +188,215 @@ def _costs(grams: np.ndarray, levels: list[Level]) -> np.ndarray:
     return out
 
 
-def _block_grams(texts: pa.Array, trains: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct grams of a block, and how often training texts have them."""
-    keys, counts = np.empty(0, np.int64), np.empty(0, np.int64)
-    lengths = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64) + 1
-    for lo, hi in _pieces(texts, 2 << 20):
-        grams = _grams(texts.slice(lo, hi - lo), order)
-        learned, n = np.unique(grams[np.repeat(trains[lo:hi], lengths[lo:hi])], return_counts=True)
-        new = np.unique(grams)
-        keys, counts = _merged(np.r_[keys, new, learned], np.r_[counts, np.zeros(len(new), np.int64), n])
-    return keys, counts
-
-
 def _gram_shard(keys: np.ndarray, order: int, shards: int) -> np.ndarray:
     return ((keys >> BITS & _low(min(SPLIT, order))) * 2654435761 >> 9) % shards
 
 
-# --- unigram words beside the model ---------------------------------------------------------------
+# --- blocks of texts -------------------------------------------------------------------------------
 
+#: A block's header (phase -1: its texts, and all its words and grams in the order of the shards) and, for each
+#: shard, what its training texts hold (phase 0, with counts) and what it asks (phase 1).
 BLOCK = (
-    "block long, shard int, words binary, counts binary, grams binary, learned binary, texts binary, lengths binary, per_word binary, token_doc binary, wide boolean, "
+    "block long, shard int, phase int, words binary, counts binary, grams binary, learned binary, texts binary, lengths binary, "
     "doc_ids array<bigint>, held_out array<boolean>, n_tokens array<bigint>, train_tokens long, train_docs long"
 )
-
-
-def _block_rows(block: int, ids: pa.Array, held: pa.Array, texts: pa.Array, order_of_grams: int, shards: int) -> pa.RecordBatch:
-    """A block's header row (shard -1) and one row for each shard that has words or grams of it."""
-    lists = pc.ascii_split_whitespace(texts)
-    tokens = lists.flatten()
-    doc = np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64))
-    real = pc.greater(pc.binary_length(tokens), 0)
-    doc, tokens = doc[real.to_numpy(zero_copy_only=False)], tokens.filter(real)
-    coded = tokens.dictionary_encode()
-    codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    words = coded.dictionary.cast(pa.large_binary()).to_pylist()
-    shard = np.fromiter((zlib.crc32(w) % shards for w in words), np.int64, len(words))
-    order = np.argsort(shard, kind="stable")
-    place = np.empty_like(order)
-    place[order] = np.arange(len(order))
-    codes = place[codes]
-    trains = ~held.to_numpy(zero_copy_only=False)
-    counts = np.bincount(codes[trains[doc]], minlength=len(words)).astype("<i8")
-    wide = len(texts) > 65535
-    token_doc = doc[np.argsort(codes, kind="stable")].astype("<u4" if wide else "<u2")
-    per_word = np.bincount(codes, minlength=len(words)).astype("<i8")
-    n_tokens = np.bincount(doc, minlength=len(texts)) + 1
-    lengths = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype("<i8")
-    rows = [
-        {
-            "texts": _squeezed(np.frombuffer(b"".join(texts.cast(pa.large_binary()).to_pylist()), np.uint8)), "lengths": _squeezed(lengths),
-            "block": block, "shard": -1, "words": None, "counts": None, "per_word": per_word.astype("<u4").tobytes(), "token_doc": token_doc.tobytes(), "wide": wide,
-            "doc_ids": ids.to_pylist(), "held_out": held.to_pylist(), "n_tokens": n_tokens.tolist(),
-            "train_tokens": int(n_tokens[trains].sum()), "train_docs": int(trains.sum()),
-        }
-    ]
-    bounds = np.searchsorted(shard[order], np.arange(shards + 1))
-    keys, learned = _block_grams(texts, trains, order_of_grams)
-    held_by = _gram_shard(keys, order_of_grams, shards)
-    by_shard = np.argsort(held_by, kind="stable")
-    ends = np.searchsorted(held_by[by_shard], np.arange(shards + 1))
-    for s in range(shards):
-        lo, hi = bounds[s], bounds[s + 1]
-        mine = by_shard[ends[s] : ends[s + 1]]
-        if lo == hi and not len(mine):
-            continue
-        rows.append(
-            {
-                "block": block, "shard": s, "words": b" ".join([words[i] for i in order[lo:hi]]), "counts": counts[lo:hi].tobytes(),
-                "grams": _squeezed(np.diff(keys[mine], prepend=0)), "learned": _squeezed(learned[mine].astype("<i4")),
-            }
-        )
-    return pa.RecordBatch.from_pylist(rows, BLOCK_SCHEMA)
-
-
 BLOCK_SCHEMA = pa.schema(
     [
-        ("block", pa.int64()), ("shard", pa.int32()), ("words", pa.binary()), ("counts", pa.binary()), ("grams", pa.binary()), ("learned", pa.binary()), ("texts", pa.binary()), ("lengths", pa.binary()), ("per_word", pa.binary()), ("token_doc", pa.binary()), ("wide", pa.bool_()),
-        ("doc_ids", pa.list_(pa.int64())), ("held_out", pa.list_(pa.bool_())), ("n_tokens", pa.list_(pa.int64())),
-        ("train_tokens", pa.int64()), ("train_docs", pa.int64()),
+        ("block", pa.int64()), ("shard", pa.int32()), ("phase", pa.int32()), ("words", pa.binary()), ("counts", pa.binary()), ("grams", pa.binary()),
+        ("learned", pa.binary()), ("texts", pa.binary()), ("lengths", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("held_out", pa.list_(pa.bool_())),
+        ("n_tokens", pa.list_(pa.int64())), ("train_tokens", pa.int64()), ("train_docs", pa.int64()),
     ]
 )
 
 
-def _answered(table: pa.Table, order: int, low: tuple[np.ndarray, np.ndarray], least: float) -> pa.Table:
-    """One shard of the vocabulary and the trie: training counts of every block's words, how many words training
-    knows, and the code lengths of every block's grams."""
-    parts = [w.split(b" ") if w else [] for w in table.column("words").to_pylist()]
-    words = pa.array(list(itertools.chain.from_iterable(parts)), pa.large_binary()).dictionary_encode()
-    codes = words.indices.to_numpy(zero_copy_only=False)
-    sent = np.frombuffer(b"".join(table.column("counts").to_pylist()), "<i8")
-    total = np.zeros(len(words.dictionary), np.int64)
-    np.add.at(total, codes, sent)
-    bounds = np.cumsum([0, *map(len, parts)])
-    per_row = [total[codes[lo:hi]].astype("<i8").tobytes() for lo, hi in itertools.pairwise(bounds)]
-    known = [int((total > 0).sum())] + [0] * (len(parts) - 1)
-    asked = [np.cumsum(_spread(b, "<i8")) for b in table.column("grams").to_pylist()]
-    n = np.concatenate([_spread(b, "<i4") for b in table.column("learned").to_pylist()]).astype(np.int64)
-    keys = np.concatenate(asked)
-    split = min(SPLIT, order)
-    levels = _levels(keys[n > 0], n[n > 0], range(split, order + 1), least, _levels(*low, range(split), least, []))
-    costs = [_squeezed(_costs(g, levels).astype("<f4")) for g in asked]
-    return pa.table(
-        {
-            "block": table.column("block"), "shard": table.column("shard"), "totals": pa.array(per_row, pa.binary()), "known": pa.array(known, pa.int64()),
-            "costs": pa.array(costs, pa.binary()),
-        }
-    )
-
-
-def _summed(header: pa.Table, answers: pa.Table, order: int, shards: int) -> pa.Table:
+def _words(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Distinct words of the texts, and of each token its word's number and its text's."""
+    lists = pc.ascii_split_whitespace(texts)
+    tokens = lists.flatten()
+    text = np.repeat(np.arange(len(texts), dtype=np.int32), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64))
+    real = pc.greater(pc.binary_length(tokens), 0)
+    coded = tokens.filter(real).dictionary_encode()
+    return coded.dictionary.cast(pa.large_binary()).to_pylist(), coded.indices.to_numpy(zero_copy_only=False), text[real.to_numpy(zero_copy_only=False)]
+
+
+class Block:
+    """Texts on their way to the shards."""
+
+    def __init__(self, order: int, shards: int):
+        self.order, self.shards = order, shards
+        self.texts, self.ids, self.held, self.n_tokens, self.size = [], [], [], [], 0
+        self.grams, self.words = Tally(), defaultdict(int)
+
+    def add(self, texts: pa.Array, ids: pa.Array, held: pa.Array) -> None:
+        trains = ~held.to_numpy(zero_copy_only=False)
+        words, word, text = _words(texts)
+        for w, n in zip(words, np.bincount(word[trains[text]], minlength=len(words)).tolist()):
+            self.words[w] += n
+        self.n_tokens.append(np.bincount(text, minlength=len(texts)) + 1)
+        for grams, text in _windows(texts, self.order):
+            learns = trains[text]
+            self.grams.add(*np.unique(grams[learns], return_counts=True))
+            asked = np.unique(grams[~learns])
+            self.grams.add(asked, np.zeros(len(asked), np.int64))
+        self.texts.append(texts.cast(pa.large_binary()))
+        self.ids.append(ids)
+        self.held.append(held)
+        self.size += int(pc.sum(pc.binary_length(texts)).as_py() or 0)
+
+    def full(self) -> bool:
+        return self.size >= BLOCK_BYTES or len(self.grams.keys) >= BLOCK_GRAMS
+
+    def rows(self, number: int):
+        """The header, then the rows of the shards, a few at a time."""
+        words = sorted(self.words, key=lambda w: zlib.crc32(w) % self.shards)
+        counts = np.array([self.words[w] for w in words], "<i8")
+        bounds = np.searchsorted([zlib.crc32(w) % self.shards for w in words], np.arange(self.shards + 1))
+        keys, learned = self.grams.settle()
+        held_by = _gram_shard(keys, self.order, self.shards)
+        order = np.argsort(held_by, kind="stable")
+        keys, learned = keys[order], learned[order]
+        ends = np.searchsorted(held_by[order], np.arange(self.shards + 1))
+        n_tokens, trains = np.concatenate(self.n_tokens), ~np.concatenate([h.to_numpy(zero_copy_only=False) for h in self.held])
+        texts = pa.chunked_array(self.texts)
+        data = np.frombuffer(b"".join(b for chunk in texts.chunks for b in chunk.to_pylist()), np.uint8)
+        head = {
+            "block": number, "shard": -1, "phase": -1, "texts": _squeezed(data), "lengths": _squeezed(pc.binary_length(texts).to_numpy().astype("<i8")),
+            "words": b" ".join(words), "grams": _squeezed(np.diff(keys, prepend=0)), "doc_ids": pa.chunked_array(self.ids).to_pylist(), "held_out": (~trains).tolist(),
+            "n_tokens": n_tokens.tolist(), "train_tokens": int(n_tokens[trains].sum()), "train_docs": int(trains.sum()),
+        }
+        del data
+        yield pa.RecordBatch.from_pylist([head], BLOCK_SCHEMA)
+        rows = []
+        for s in range(self.shards):
+            mine, own = slice(bounds[s], bounds[s + 1]), slice(ends[s], ends[s + 1])
+            for phase in (0, 1):
+                w, c, g, n = words[mine], counts[mine], keys[own], learned[own]
+                if not phase:
+                    w, c, g, n = [x for x, y in zip(w, c) if y], c[c > 0], g[n > 0], n[n > 0]
+                if w or len(g):
+                    row = {"block": number, "shard": s, "phase": phase, "words": b" ".join(w), "grams": _squeezed(np.diff(g, prepend=0))}
+                    rows.append(row if phase else row | {"counts": c.tobytes(), "learned": _squeezed(n.astype("<i8"))})
+            if len(rows) >= 64:
+                yield pa.RecordBatch.from_pylist(rows, BLOCK_SCHEMA)
+                rows = []
+        yield pa.RecordBatch.from_pylist(rows, BLOCK_SCHEMA)
+
+
+ANSWER = "block long, shard int, totals binary, known long, costs binary"
+
+
+class Shard:
+    """One shard's vocabulary and trie."""
+
+    def __init__(self, order: int, low: tuple[np.ndarray, np.ndarray]):
+        self.order, self.low = order, low
+        self.total, self.tally, self.levels = defaultdict(int), Tally(), None
+
+    def learn(self, words: bytes, counts: bytes, grams: bytes, learned: bytes) -> None:
+        for w, n in zip(words.split(b" ") if words else (), np.frombuffer(counts, "<i8").tolist()):
+            self.total[w] += n
+        self.tally.add(np.cumsum(_spread(grams, "<i8")), _spread(learned, "<i8"))
+
+    def answer(self, words: bytes, grams: bytes) -> tuple[bytes, bytes]:
+        if self.levels is None:
+            split = min(SPLIT, self.order)
+            self.levels = _levels(*self.tally.settle(), range(split, self.order + 1), _levels(*self.low, range(split), []))
+        totals = [self.total.get(w, 0) for w in words.split(b" ")] if words else []
+        return np.array(totals, "<i8").tobytes(), _squeezed(_costs(np.cumsum(_spread(grams, "<i8")), self.levels).astype("<f4"))
+
+
+def _summed(header: pa.Table, answers: pa.Table, order: int) -> pa.Table:
     """Sums over the words and the grams of each document of one block."""
-    head = header.to_pylist()[0]
+    head = {c: header.column(c)[0] for c in header.column_names}
     answers = answers.sort_by("shard")
     totals = np.frombuffer(b"".join(answers.column("totals").to_pylist()), "<i8")
-    per_word = np.frombuffer(head["per_word"], "<u4")
-    doc = np.frombuffer(head["token_doc"], "<u4" if head["wide"] else "<u2")
-    n = len(head["doc_ids"])
-    logs = np.bincount(doc, weights=np.repeat(np.log10(totals + 0.5), per_word), minlength=n).astype(np.float64)
-    known = np.bincount(doc, weights=np.repeat(totals > 0, per_word), minlength=n).astype(np.int64)
-    lengths, data = _spread(head["lengths"], "<i8"), _spread(head["texts"], "u1")
-    offsets = np.r_[0, np.cumsum(lengths)]
-    texts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
-    # the grams that were asked, in the order of the shards; cheaper than to send them back
-    keys, _ = _block_grams(texts, np.zeros(n, bool), order)
-    costs = np.empty(len(keys), np.float32)
-    sent = [_spread(b, "<f4") for b in answers.column("costs").to_pylist()]
-    costs[np.argsort(_gram_shard(keys, order, shards), kind="stable")] = np.concatenate(sent)
-    score = np.zeros(n)
-    for lo, hi in _pieces(texts, 2 << 20):
-        at = costs[np.searchsorted(keys, _grams(texts.slice(lo, hi - lo), order))]
-        begins = offsets[lo:hi] - offsets[lo] + np.arange(hi - lo)
-        score[lo:hi] = np.add.reduceat(at, begins, dtype=np.float64)
+    words = head["words"].as_py()
+    place = {w: i for i, w in enumerate(words.split(b" "))} if words else {}
+    lengths, data = _spread(head["lengths"].as_py(), "<i8"), _spread(head["texts"].as_py(), "u1")
+    n = len(lengths)
+    texts = pa.LargeStringArray.from_buffers(n, pa.py_buffer(np.r_[0, np.cumsum(lengths)]), pa.py_buffer(data))
+    keys = np.cumsum(_spread(head["grams"].as_py(), "<i8"))
+    costs = np.concatenate([np.empty(0, np.float32), *(_spread(b, "<f4") for b in answers.column("costs").to_pylist())])
+    ascending = np.argsort(keys)
+    keys, costs = keys[ascending], costs[ascending]
+    score, logs, known = np.zeros(n), np.zeros(n), np.zeros(n, np.int64)
+    for lo, hi in _pieces(texts):
+        piece = texts.slice(lo, hi - lo)
+        own, word, text = _words(piece)
+        there = totals[[place[w] for w in own]] if own else totals[:0]
+        logs[lo:hi] = np.bincount(text, weights=np.log10(there + 0.5)[word], minlength=hi - lo)
+        known[lo:hi] = np.bincount(text, weights=(there > 0)[word], minlength=hi - lo)
+        for grams, text in _windows(piece, order):
+            score[lo:hi] += np.bincount(text, weights=costs[np.searchsorted(keys, grams)], minlength=hi - lo)
     return pa.table(
         {
-            "doc_id": pa.array(head["doc_ids"], pa.int64()), "held_out": pa.array(head["held_out"], pa.bool_()), "score": pa.array(score),
-            "n_tokens": pa.array(head["n_tokens"], pa.int64()), "known_words": pa.array(known), "logs": pa.array(logs),
+            "doc_id": header.column("doc_ids").combine_chunks().flatten(), "held_out": header.column("held_out").combine_chunks().flatten(), "score": score,
+            "n_tokens": header.column("n_tokens").combine_chunks().flatten(), "known_words": known, "logs": logs,
         }
     )
 
 
-def score_texts(
-    docs: DataFrame,
-    held_out: Column,
-    order: int = 5,
-    capacity: int | None = None,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-) -> DataFrame:
+def score_texts(docs: DataFrame, held_out: Column, order: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every row.
 
     ``held_out`` is a condition on ``doc_id``; rows for which it is true are scored but not learned from.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{id_col}`").cast("long").alias("doc_id"))
     rows = rows.withColumn("held_out", F.coalesce(held_out, F.lit(False)))
     shards = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    def setup():
+    def deal(batches):
         number = itertools.count(TaskContext.get().partitionId() << 32)
-
-        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        block = Block(order, shards)
+        for batch in batches:
             lowered = pc.ascii_lower(large_text(batch.column(0)))
-            return _block_rows(next(number), batch.column(1), batch.column(2), lowered, order, shards)
-
-        return work
+            for lo, hi in _pieces(lowered):
+                block.add(lowered.slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo))
+                if block.full():
+                    yield from block.rows(next(number))
+                    block = Block(order, shards)
+        if block.texts:
+            yield from block.rows(next(number))
 
-    blocks = cut(map_texts(rows, "text", [F.col("doc_id"), F.col("held_out")], BLOCK, setup, BLOCK_BYTES), "blocks")
-    words = blocks.where("shard >= 0").select("shard", "block", "words", "counts", "grams", "learned")
+    bound_batches(spark)
+    blocks = cut(rows.mapInArrow(deal, BLOCK), "blocks")
+    sent = blocks.where("shard >= 0").select("shard", "phase", "block", "words", "counts", "grams", "learned")
 
     def short(batches):
-        keys, counts = np.empty(0, np.int64), np.empty(0, np.int64)
+        tally = Tally()
         for batch in batches:
             for g, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                n = _spread(n, "<i4").astype(np.int64)
-                new = np.cumsum(_spread(g, "<i8"))[n > 0] & _low(min(SPLIT, order))
-                if len(new):
-                    keys, counts = _merged(np.r_[keys, new], np.r_[counts, n[n > 0]])
+                keys = np.cumsum(_spread(g, "<i8")) & _low(min(SPLIT, order))
+                if len(keys):
+                    tally.add(*_merged(keys, _spread(n, "<i8")))
+        keys, counts = tally.settle()
         yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], ["gram", "n"])
 
     # at most 258 * 257 rows
-    low = words.select("grams", "learned").mapInArrow(short, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).orderBy("gram").toArrow()
-    low = low.column("gram").to_numpy(), low.column("n").to_numpy()
-    least = 0 if capacity is None else low[1].sum() / (1 << capacity)
-    sent = spark.sparkContext.broadcast((order, low, least))
-    answered = words.groupBy("shard").applyInArrow(lambda t: _answered(t, *sent.value), "block long, shard int, totals binary, known long, costs binary")
-    answers = cut(answered, "answers")
-    heads = blocks.where("shard = -1").select("block", "per_word", "token_doc", "wide", "doc_ids", "held_out", "n_tokens", "texts", "lengths")
+    low = sent.where("phase = 0").select("grams", "learned").mapInArrow(short, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).orderBy("gram").toArrow()
+    low = spark.sparkContext.broadcast((low.column("gram").to_numpy(), low.column("n").to_numpy()))
+
+    def answer(batches):
+        at, shard, out = None, None, []
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["shard"] != at:
+                    at, shard = row["shard"], Shard(order, low.value)
+                if row["phase"] == 0:
+                    shard.learn(row["words"], row["counts"], row["grams"], row["learned"])
+                    continue
+                known = len(shard.total) if shard.levels is None else 0
+                totals, costs = shard.answer(row["words"], row["grams"])
+                out.append((row["block"], at, totals, known, costs))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.binary()))], ["block", "shard", "totals", "known", "costs"])
+                out = []
+
+    answers = cut(sent.repartition("shard").sortWithinPartitions("shard", "phase", "block").mapInArrow(answer, ANSWER), "answers")
+    heads = blocks.where("shard = -1").select("block", "words", "grams", "doc_ids", "held_out", "n_tokens", "texts", "lengths")
     sums = heads.groupBy("block").cogroup(answers.select("block", "shard", "totals", "costs").groupBy("block"))
-    scored = sums.applyInArrow(lambda h, a: _summed(h, a, order, shards), "doc_id long, held_out boolean, score double, n_tokens long, known_words long, logs double")
+    scored = sums.applyInArrow(lambda h, a: _summed(h, a, order), "doc_id long, held_out boolean, score double, n_tokens long, known_words long, logs double")
     n, ends = blocks.where("shard = -1").agg(F.sum("train_tokens"), F.sum("train_docs")).first()
     n, ends = n or 0, ends or 0
     distinct = (answers.agg(F.sum("known")).first()[0] or 0) + (ends > 0)

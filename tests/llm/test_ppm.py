@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tarn.llm import ppm
 
-ORDER, CAPACITY = 3, 6
+ORDER = 3
 
 
 def lower(text):
@@ -24,8 +24,6 @@ class Brute:
             for i in range(ORDER, len(s)):
                 for k in range(ORDER + 1):
                     self.counts[tuple(s[i - k : i])][s[i]] += 1
-        n = sum(self.counts[()].values())
-        self.counts = {c: x for c, x in self.counts.items() if sum(x.values()) >= n / 2**CAPACITY or not c}
 
     def p(self, history, symbol):
         excluded, p = set(), 1.0
@@ -62,7 +60,7 @@ def test_equals_brute_force(spark):
     rows = corpus()
     docs = spark.createDataFrame(rows, "doc_id long, text string, score string")
     out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1
-    got = ppm.score_texts(docs, out, ORDER, CAPACITY).collect()
+    got = ppm.score_texts(docs, out, ORDER).collect()
     train = [t for i, t, _ in rows if not held(i)]
     brute = Brute(train)
     tokens = [w for t in train for w in [*lower(t).split(), b"\n"]]
@@ -78,29 +76,37 @@ def test_equals_brute_force(spark):
         assert math.isclose(g[5], w[5], rel_tol=1e-9)
         assert math.isclose(g[6], w[6], rel_tol=1e-5), (w, g)
     assert any(w[1] for w in want)
-    assert ppm.score_texts(docs.limit(0), out, ORDER, CAPACITY).count() == 0
+    assert ppm.score_texts(docs.limit(0), out, ORDER).count() == 0
 
 
 def test_probabilities_sum_to_one(spark):
-    docs = spark.createDataFrame([(t,) for _, t, _ in corpus()], "text string")
-    model = ppm.train(docs, ORDER, CAPACITY)
-    seen = model.cost.shape[1] - 1
-    total = (10.0 ** model.cost[:, :seen]).sum(1) + (257 - seen) * 10.0 ** model.cost[:, seen]
-    assert abs(total - 1).max() < 1e-4
+    texts = [t for _, t, _ in corpus()]
+    brute = Brute(texts)
+    docs = spark.createDataFrame([(-1 - i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    tails = [b"the o", b"", b"zz", "été".encode()]
+    asked = [(i * 300 + c, (t + bytes([c])).decode("latin-1")) for i, t in enumerate(tails) for c in range(128)]
+    every = docs.unionByName(spark.createDataFrame(asked, "doc_id long, text string"))
+    got = {r.doc_id: r.score for r in ppm.score_texts(every, F.col("doc_id") >= 0, ORDER).collect()}
+    for i, t in asked[:128:7]:
+        assert math.isclose(got[i], brute.score(t), rel_tol=1e-5)
+    for tail in tails:
+        s = [ppm.PAD] * ORDER + list(tail)
+        assert math.isclose(sum(brute.p(s, x) for x in range(257)), 1, rel_tol=1e-9)
 
 
 def test_without_training(spark):
     docs = spark.createDataFrame([(1, "ab"), (2, None)], "doc_id long, text string")
-    got = {r.doc_id: r for r in ppm.score_texts(docs, F.lit(True), 2, 4).collect()}
+    got = {r.doc_id: r for r in ppm.score_texts(docs, F.lit(True), 2).collect()}
     assert math.isclose(got[1].score, 3 * math.log10(1 / 257), rel_tol=1e-5)
     assert got[2].n_known == 0 and got[2].train_tokens == 0
 
 
 def test_every_context_counts(spark, monkeypatch):
-    rows = [(i, t) for i, t, _ in corpus()] + [(None, "the of and " * 20000)]
+    rows = [(i, t) for i, t, _ in corpus()] + [(None, "the of and " * 20000), (7777, "of the " * 20000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1
-    monkeypatch.setitem(globals(), "CAPACITY", 60)
+    monkeypatch.setattr(ppm, "WINDOW", 1000)
+    monkeypatch.setattr(ppm, "PIECE_BYTES", 3000)
     brute = Brute([t for i, t in rows if not held(i)])
     want = {i: brute.score(t) for i, t in rows if held(i)}
     got = {r.doc_id: r.score for r in ppm.score_texts(docs, out, ORDER).collect() if r.held_out}

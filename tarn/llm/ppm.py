@@ -41,7 +41,7 @@ SYMBOLS = 257
 #: Last symbols of a context that choose its shard of the trie.
 SPLIT = 2
 #: A block ends at so many bytes of text or distinct grams, unless a single text has more.
-BLOCK_BYTES, BLOCK_GRAMS = 32 << 20, 4 << 20
+BLOCK_BYTES, BLOCK_GRAMS = 32 << 20, 2 << 20
 #: Bytes of text, and positions, that are worked on at once.
 PIECE_BYTES, WINDOW = 2 << 20, 1 << 21
 
@@ -194,19 +194,19 @@ def _gram_shard(keys: np.ndarray, order: int, shards: int) -> np.ndarray:
 
 # --- blocks of texts -------------------------------------------------------------------------------
 
-#: A block's header (phase -1: its texts, and all its words and grams in the order of the shards) and, for each
-#: shard, what its training texts hold (phase 0, with counts) and what it asks (phase 1).
-BLOCK = (
-    "block long, shard int, phase int, words binary, counts binary, grams binary, learned binary, texts binary, lengths binary, "
-    "doc_ids array<bigint>, held_out array<boolean>, n_tokens array<bigint>, train_tokens long, train_docs long"
-)
+#: Of each block its texts, a piece a row (phase 3); all its words and grams in the order of the shards (phase 2); and for
+#: each shard what training texts hold, with counts (phase 0), and what is asked (phase 1).
 BLOCK_SCHEMA = pa.schema(
     [
-        ("block", pa.int64()), ("shard", pa.int32()), ("phase", pa.int32()), ("words", pa.binary()), ("counts", pa.binary()), ("grams", pa.binary()),
+        ("block", pa.int64()), ("phase", pa.int32()), ("at", pa.int32()), ("words", pa.binary()), ("counts", pa.binary()), ("grams", pa.binary()),
         ("learned", pa.binary()), ("texts", pa.binary()), ("lengths", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("held_out", pa.list_(pa.bool_())),
         ("n_tokens", pa.list_(pa.int64())), ("train_tokens", pa.int64()), ("train_docs", pa.int64()),
     ]
 )
+BLOCK = (
+    "block long, phase int, at int, words binary, counts binary, grams binary, learned binary, texts binary, lengths binary, "
+    "doc_ids array<bigint>, held_out array<boolean>, n_tokens array<bigint>, train_tokens long, train_docs long"
+)
 
 
 def _words(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
@@ -220,34 +220,41 @@ def _words(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
 
 
 class Block:
-    """Texts on their way to the shards."""
+    """What texts send to the shards; the texts themselves go on piece by piece."""
 
-    def __init__(self, order: int, shards: int):
-        self.order, self.shards = order, shards
-        self.texts, self.ids, self.held, self.n_tokens, self.size = [], [], [], [], 0
+    def __init__(self, number: int, order: int, shards: int):
+        self.number, self.order, self.shards = number, order, shards
+        self.pieces = self.size = 0
         self.grams, self.words = Tally(), defaultdict(int)
 
-    def add(self, texts: pa.Array, ids: pa.Array, held: pa.Array) -> None:
+    def add(self, texts: pa.Array, ids: pa.Array, held: pa.Array) -> pa.RecordBatch:
+        """Take a piece in; its row."""
         trains = ~held.to_numpy(zero_copy_only=False)
         words, word, text = _words(texts)
         for w, n in zip(words, np.bincount(word[trains[text]], minlength=len(words)).tolist()):
             self.words[w] += n
-        self.n_tokens.append(np.bincount(text, minlength=len(texts)) + 1)
+        n_tokens = np.bincount(text, minlength=len(texts)) + 1
         for grams, text in _windows(texts, self.order):
             learns = trains[text]
             self.grams.add(*np.unique(grams[learns], return_counts=True))
             asked = np.unique(grams[~learns])
             self.grams.add(asked, np.zeros(len(asked), np.int64))
-        self.texts.append(texts.cast(pa.large_binary()))
-        self.ids.append(ids)
-        self.held.append(held)
-        self.size += int(pc.sum(pc.binary_length(texts)).as_py() or 0)
+        lengths = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype("<i8")
+        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+        row = {
+            "block": self.number, "phase": 3, "at": self.pieces, "texts": _squeezed(data), "lengths": _squeezed(lengths), "doc_ids": ids.to_pylist(),
+            "held_out": (~trains).tolist(), "n_tokens": n_tokens.tolist(), "train_tokens": int(n_tokens[trains].sum()), "train_docs": int(trains.sum()),
+        }
+        self.pieces += 1
+        self.size += len(data)
+        return pa.RecordBatch.from_pylist([row], BLOCK_SCHEMA)
 
     def full(self) -> bool:
         return self.size >= BLOCK_BYTES or len(self.grams.keys) >= BLOCK_GRAMS
 
-    def rows(self, number: int):
-        """The header, then the rows of the shards, a few at a time."""
+    def rows(self):
+        """The rows of the shards and of the block, a few at a time."""
         words = sorted(self.words, key=lambda w: zlib.crc32(w) % self.shards)
         counts = np.array([self.words[w] for w in words], "<i8")
         bounds = np.searchsorted([zlib.crc32(w) % self.shards for w in words], np.arange(self.shards + 1))
@@ -256,17 +263,7 @@ class Block:
         order = np.argsort(held_by, kind="stable")
         keys, learned = keys[order], learned[order]
         ends = np.searchsorted(held_by[order], np.arange(self.shards + 1))
-        n_tokens, trains = np.concatenate(self.n_tokens), ~np.concatenate([h.to_numpy(zero_copy_only=False) for h in self.held])
-        texts = pa.chunked_array(self.texts)
-        data = np.frombuffer(b"".join(b for chunk in texts.chunks for b in chunk.to_pylist()), np.uint8)
-        head = {
-            "block": number, "shard": -1, "phase": -1, "texts": _squeezed(data), "lengths": _squeezed(pc.binary_length(texts).to_numpy().astype("<i8")),
-            "words": b" ".join(words), "grams": _squeezed(np.diff(keys, prepend=0)), "doc_ids": pa.chunked_array(self.ids).to_pylist(), "held_out": (~trains).tolist(),
-            "n_tokens": n_tokens.tolist(), "train_tokens": int(n_tokens[trains].sum()), "train_docs": int(trains.sum()),
-        }
-        del data
-        yield pa.RecordBatch.from_pylist([head], BLOCK_SCHEMA)
-        rows = []
+        rows = [{"block": self.number, "phase": 2, "at": -1, "words": b" ".join(words), "grams": _squeezed(np.diff(keys, prepend=0))}]
         for s in range(self.shards):
             mine, own = slice(bounds[s], bounds[s + 1]), slice(ends[s], ends[s + 1])
             for phase in (0, 1):
@@ -274,7 +271,7 @@ class Block:
                 if not phase:
                     w, c, g, n = [x for x, y in zip(w, c) if y], c[c > 0], g[n > 0], n[n > 0]
                 if w or len(g):
-                    row = {"block": number, "shard": s, "phase": phase, "words": b" ".join(w), "grams": _squeezed(np.diff(g, prepend=0))}
+                    row = {"block": self.number, "phase": phase, "at": s, "words": b" ".join(w), "grams": _squeezed(np.diff(g, prepend=0))}
                     rows.append(row if phase else row | {"counts": c.tobytes(), "learned": _squeezed(n.astype("<i8"))})
             if len(rows) >= 64:
                 yield pa.RecordBatch.from_pylist(rows, BLOCK_SCHEMA)
@@ -282,7 +279,7 @@ class Block:
         yield pa.RecordBatch.from_pylist(rows, BLOCK_SCHEMA)
 
 
-ANSWER = "block long, shard int, totals binary, known long, costs binary"
+ANSWER = "block long, at int, totals binary, known long, costs binary"
 
 
 class Shard:
@@ -305,35 +302,38 @@ class Shard:
         return np.array(totals, "<i8").tobytes(), _squeezed(_costs(np.cumsum(_spread(grams, "<i8")), self.levels).astype("<f4"))
 
 
-def _summed(header: pa.Table, answers: pa.Table, order: int) -> pa.Table:
-    """Sums over the words and the grams of each document of one block."""
-    head = {c: header.column(c)[0] for c in header.column_names}
-    answers = answers.sort_by("shard")
-    totals = np.frombuffer(b"".join(answers.column("totals").to_pylist()), "<i8")
-    words = head["words"].as_py()
-    place = {w: i for i, w in enumerate(words.split(b" "))} if words else {}
-    lengths, data = _spread(head["lengths"].as_py(), "<i8"), _spread(head["texts"].as_py(), "u1")
-    n = len(lengths)
-    texts = pa.LargeStringArray.from_buffers(n, pa.py_buffer(np.r_[0, np.cumsum(lengths)]), pa.py_buffer(data))
-    keys = np.cumsum(_spread(head["grams"].as_py(), "<i8"))
-    costs = np.concatenate([np.empty(0, np.float32), *(_spread(b, "<f4") for b in answers.column("costs").to_pylist())])
-    ascending = np.argsort(keys)
-    keys, costs = keys[ascending], costs[ascending]
-    score, logs, known = np.zeros(n), np.zeros(n), np.zeros(n, np.int64)
-    for lo, hi in _pieces(texts):
-        piece = texts.slice(lo, hi - lo)
-        own, word, text = _words(piece)
-        there = totals[[place[w] for w in own]] if own else totals[:0]
-        logs[lo:hi] = np.bincount(text, weights=np.log10(there + 0.5)[word], minlength=hi - lo)
-        known[lo:hi] = np.bincount(text, weights=(there > 0)[word], minlength=hi - lo)
-        for grams, text in _windows(piece, order):
-            score[lo:hi] += np.bincount(text, weights=costs[np.searchsorted(keys, grams)], minlength=hi - lo)
-    return pa.table(
-        {
-            "doc_id": header.column("doc_ids").combine_chunks().flatten(), "held_out": header.column("held_out").combine_chunks().flatten(), "score": score,
-            "n_tokens": header.column("n_tokens").combine_chunks().flatten(), "known_words": known, "logs": logs,
-        }
-    )
+class Sums:
+    """The answers to one block, and sums of them over each document."""
+
+    def __init__(self, words: bytes, grams: bytes, order: int):
+        self.order, self.keys = order, np.cumsum(_spread(grams, "<i8"))
+        self.place = {w: i for i, w in enumerate(words.split(b" "))} if words else {}
+        self.totals, self.costs = [], []
+
+    def add(self, totals: bytes, costs: bytes) -> None:
+        """The answer of the next shard."""
+        self.totals.append(np.frombuffer(totals, "<i8"))
+        self.costs.append(_spread(costs, "<f4"))
+
+    def of(self, row: dict) -> pa.RecordBatch:
+        """The documents of a piece."""
+        if isinstance(self.totals, list):
+            self.totals = np.concatenate([np.empty(0, np.int64), *self.totals])
+            ascending = np.argsort(self.keys)
+            self.costs = np.concatenate([np.empty(0, np.float32), *self.costs])[ascending]
+            self.keys = self.keys[ascending]
+        lengths, data = _spread(row["lengths"], "<i8"), _spread(row["texts"], "u1")
+        n = len(lengths)
+        texts = pa.LargeStringArray.from_buffers(n, pa.py_buffer(np.r_[0, np.cumsum(lengths)]), pa.py_buffer(data))
+        words, word, text = _words(texts)
+        there = self.totals[[self.place[w] for w in words]] if words else self.totals[:0]
+        logs = np.bincount(text, weights=np.log10(there + 0.5)[word], minlength=n).astype(np.float64)  # of no words the sums are integers
+        known = np.bincount(text, weights=(there > 0)[word], minlength=n).astype(np.int64)
+        score = np.zeros(n)
+        for grams, text in _windows(texts, self.order):
+            score += np.bincount(text, weights=self.costs[np.searchsorted(self.keys, grams)], minlength=n)
+        ids, held, n_tokens = pa.array(row["doc_ids"], pa.int64()), pa.array(row["held_out"], pa.bool_()), pa.array(row["n_tokens"], pa.int64())
+        return pa.RecordBatch.from_arrays([ids, held, pa.array(score), n_tokens, pa.array(known), pa.array(logs)], ["doc_id", "held_out", "score", "n_tokens", "known_words", "logs"])
 
 
 def score_texts(docs: DataFrame, held_out: Column, order: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -348,20 +348,22 @@ def score_texts(docs: DataFrame, held_out: Column, order: int = 5, id_col: str =
 
     def deal(batches):
         number = itertools.count(TaskContext.get().partitionId() << 32)
-        block = Block(order, shards)
+        block = None
         for batch in batches:
             lowered = pc.ascii_lower(large_text(batch.column(0)))
             for lo, hi in _pieces(lowered):
-                block.add(lowered.slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo))
+                block = block or Block(next(number), order, shards)
+                yield block.add(lowered.slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo))
                 if block.full():
-                    yield from block.rows(next(number))
-                    block = Block(order, shards)
-        if block.texts:
-            yield from block.rows(next(number))
+                    yield from block.rows()
+                    block = None
+        if block:
+            yield from block.rows()
+        pa.default_memory_pool().release_unused()
 
     bound_batches(spark)
     blocks = cut(rows.mapInArrow(deal, BLOCK), "blocks")
-    sent = blocks.where("shard >= 0").select("shard", "phase", "block", "words", "counts", "grams", "learned")
+    sent = blocks.where("phase < 2").select("at", "phase", "block", "words", "counts", "grams", "learned")
 
     def short(batches):
         tally = Tally()
@@ -381,8 +383,8 @@ def score_texts(docs: DataFrame, held_out: Column, order: int = 5, id_col: str =
         at, shard, out = None, None, []
         for batch in batches:
             for row in batch.to_pylist():
-                if row["shard"] != at:
-                    at, shard = row["shard"], Shard(order, low.value)
+                if row["at"] != at:
+                    at, shard = row["at"], Shard(order, low.value)
                 if row["phase"] == 0:
                     shard.learn(row["words"], row["counts"], row["grams"], row["learned"])
                     continue
@@ -390,14 +392,30 @@ def score_texts(docs: DataFrame, held_out: Column, order: int = 5, id_col: str =
                 totals, costs = shard.answer(row["words"], row["grams"])
                 out.append((row["block"], at, totals, known, costs))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.binary()))], ["block", "shard", "totals", "known", "costs"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.binary()))], ["block", "at", "totals", "known", "costs"])
                 out = []
 
-    answers = cut(sent.repartition("shard").sortWithinPartitions("shard", "phase", "block").mapInArrow(answer, ANSWER), "answers")
-    heads = blocks.where("shard = -1").select("block", "words", "grams", "doc_ids", "held_out", "n_tokens", "texts", "lengths")
-    sums = heads.groupBy("block").cogroup(answers.select("block", "shard", "totals", "costs").groupBy("block"))
-    scored = sums.applyInArrow(lambda h, a: _summed(h, a, order), "doc_id long, held_out boolean, score double, n_tokens long, known_words long, logs double")
-    n, ends = blocks.where("shard = -1").agg(F.sum("train_tokens"), F.sum("train_docs")).first()
+    answers = cut(sent.repartition("at").sortWithinPartitions("at", "phase", "block").mapInArrow(answer, ANSWER), "answers")
+    # of each block first its words and grams, then the shards' answers, then its texts
+    columns = ["block", "kind", "at", "words", "grams", "totals", "costs", "texts", "lengths", "doc_ids", "held_out", "n_tokens"]
+    own = blocks.where("phase >= 2").withColumn("kind", F.when(F.col("phase") == 2, 0).otherwise(2))
+    every = own.unionByName(answers.withColumn("kind", F.lit(1)), allowMissingColumns=True).select(columns)
+
+    def total(batches):
+        sums = None
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["kind"] == 0:
+                    sums = Sums(row["words"], row["grams"], order)
+                elif row["kind"] == 1:
+                    sums.add(row["totals"], row["costs"])
+                else:
+                    yield sums.of(row)
+        pa.default_memory_pool().release_unused()
+
+    scored = every.repartition("block").sortWithinPartitions("block", "kind", "at")
+    scored = scored.mapInArrow(total, "doc_id long, held_out boolean, score double, n_tokens long, known_words long, logs double")
+    n, ends = blocks.where("phase = 3").agg(F.sum("train_tokens"), F.sum("train_docs")).first()
     n, ends = n or 0, ends or 0
     distinct = (answers.agg(F.sum("known")).first()[0] or 0) + (ends > 0)
     base = F.col("logs") + F.lit(float(np.log10(ends + 0.5))) - F.col("n_tokens") * F.lit(float(np.log10(n + 0.5 * (distinct + 1))))

@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one call of a worker sees, unless a single text is longer.
@@ -27,6 +27,11 @@ def bound_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
+def named(column: str) -> Column:
+    """The column of this very name, dots and all."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def slices(batch: pa.RecordBatch, column: int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that each slice holds about ``limit`` bytes of the named column."""
     lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
@@ -62,7 +67,7 @@ def map_texts(
         pa.default_memory_pool().release_unused()
 
     bound_batches(docs.sparkSession)
-    return docs.select(F.col(text_col).cast("string").alias("text"), *keep).mapInArrow(run, schema)
+    return docs.select(named(text_col).cast("string").alias("text"), *keep).mapInArrow(run, schema)
 
 
 def large_text(column: pa.Array) -> pa.Array:

@@ -22,6 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tarn.functions.components import connected_components
+from tarn.llm.arrow import named
 from tarn.plans.scratch import cut
 
 #: Stored vectors of a bucket that one task holds at once; larger buckets are dealt to several tasks.
@@ -131,17 +132,13 @@ def usable(vector: Column) -> Column:
 def prepared(vectors: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame, int, str, int]:
     """``(id, vector array<double>)`` of the rows that take part, their length, how a component packs without loss, and how many."""
     kind = "<f4" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "<f8"
-    rows = vectors.select(_named(id_col).cast("long").alias("id"), _named(vector_col).cast("array<double>").alias("vector"))
+    rows = vectors.select(named(id_col).cast("long").alias("id"), named(vector_col).cast("array<double>").alias("vector"))
     rows = rows.where(F.col("id").isNotNull() & usable(F.col("vector")))
     lengths = rows.groupBy(F.size("vector").alias("dim")).count().orderBy(F.desc("count"), F.desc("dim")).first()
     dim, n = (lengths["dim"], lengths["count"]) if lengths else (1, 0)
     return rows.where(F.size("vector") == dim), dim, kind, n
 
 
-def _named(column: str) -> Column:
-    return F.col(f"`{column}`")
-
-
 def _arrays(batch: pa.RecordBatch, column: int, dim: int) -> np.ndarray:
     return batch.column(column).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
@@ -411,7 +408,7 @@ def near_duplicates(
         .join(links, "class", "left")
         .select("vector", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("links"), "root")
     )
-    every = vectors.select(_named(id_col).cast("long").alias("vec_id"), _named(vector_col).cast("array<double>").alias("vector"))
+    every = vectors.select(named(id_col).cast("long").alias("vec_id"), named(vector_col).cast("array<double>").alias("vector"))
     part = F.col("vec_id").isNotNull() & usable(F.col("vector")) & (F.size("vector") == dim)
     # rows that take no part would all meet under one key
     apart = every.where(~part).select("vec_id", F.lit(0).cast("long").alias("links"), F.col("vec_id").alias("root"))

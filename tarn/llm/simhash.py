@@ -1,23 +1,30 @@
 """SimHash fingerprints, and near-duplicate groups found with BK-trees.
 
-Fingerprints within ``radius`` bits agree on at least ``blocks - radius`` of ``blocks`` bit blocks
-(pigeonhole), so each choice of that many blocks is a table of shards and every link lies inside one
-shard. A shard's fingerprints form BK-trees whose children are keyed by their Hamming distance to the
-parent; a search follows only edges within the radius of the distance at hand. A shard of more than
-``cell`` fingerprints is cut into slices: each slice's tree is broadcast to the tasks that hold the
-queries of every other slice, so a tree has a proven bound and a hot shard spreads over many tasks.
-Each cell sends on a spanning forest of the links it found, never all pairs.
+Every fingerprint stands in several tables of shards, so that any two that may link share a shard. A shard's
+fingerprints form BK-trees whose children are keyed by their Hamming distance to the parent; a search follows
+only edges within the radius of the distance at hand. A shard of more than ``cell`` fingerprints is cut into
+slices of a tree each: a slice is searched where it is built, and its tree, as bytes of a proven bound, meets the
+other slices of its shard, broadcast where all such trees together stay below ``TREES_BYTES`` (measured before),
+joined otherwise. What a search sends on is a spanning forest of the links it found, never all pairs.
+
+``near_duplicates`` links fingerprints within ``radius`` bits. They agree on at least ``blocks - radius`` of
+``blocks`` bit blocks (pigeonhole), and each choice of that many blocks is a table, so no link is lost.
+
+``similar`` links texts by the Jaccard similarity of their shingle sets. Tables are keyed by pairs of least
+permuted shingle hashes, which texts of similarity s share with odds s * s a table; fingerprints within a wide
+radius make candidates, and every link is verified on the whole sets.
 
 Defined results: a null text counts as empty; a text without words has fingerprint zero and links like
-any other; a text with fewer words than a shingle is one shingle; repeated rows give repeated results;
-a null id takes part in its fingerprint's group and gets that group's component, which is null only if
-the whole group has no id; columns other than the id and the text are not read; an empty table gives an
-empty one.
+any other; a text with fewer words than a shingle is one shingle; a very long text is hashed in blocks;
+repeated rows give repeated results; a null id takes part in its fingerprint's group and gets that group's
+component, which is null only if the whole group has no id; columns other than the id and the text are not
+read, whatever their names; an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
 import itertools
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarn.functions.components import connected_components
-from tarn.llm.arrow import map_texts
+from tarn.llm.arrow import bound_batches, map_texts, named
 from tarn.plans.scratch import cut
 
 SEED = 42
@@ -35,22 +42,42 @@ BLOCK = 1 << 17
 #: Rows that a search task gathers before it builds a forest over them.
 FOREST = 1 << 15
 #: (query, node) pairs of one search front at most, unless a single cell needs more.
-FRONT = 1 << 21
+FRONT = 1 << 20
+#: Trees of sliced shards are broadcast up to this size.
+TREES_BYTES = 64 << 20
+#: Shingles that a slice of sets holds, unless a single text has more.
+SET_SIZE = 1 << 20
 
 
-def fingerprint(text: str, shingle: int) -> int:
-    """64-bit SimHash: a bit is set if it is set in over half the shingles' hashes."""
+def _hashes(text: str, shingle: int) -> Iterator[np.ndarray]:
+    """Hashes of a text's shingles, repeats included, in blocks."""
     words = text.encode().lower().split()  # bytes: only A-Z change, only ASCII white space splits
     if not words:
-        return 0
+        return
     grams = map(b" ".join, zip(*(words[i:] for i in range(shingle)))) if len(words) >= shingle else iter([b" ".join(words)])
-    n, ones = 0, np.zeros(64, np.int64)
     while len(h := np.fromiter(map(xxhash.xxh64_intdigest, itertools.islice(grams, BLOCK), itertools.repeat(SEED)), np.uint64)):
+        yield h
+
+
+def _majority(blocks) -> int:
+    """A bit is set if it is set in over half the hashes."""
+    n, ones = 0, np.zeros(64, np.int64)
+    for h in blocks:
         n += len(h)
         ones += np.unpackbits(h.astype("<u8").view(np.uint8), bitorder="little").reshape(-1, 64).sum(0, dtype=np.int64)
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str, shingle: int) -> int:
+    """64-bit SimHash: a bit is set if it is set in over half the shingles' hashes."""
+    return _majority(_hashes(text, shingle))
+
+
+def shingle_set(text: str, shingle: int) -> np.ndarray:
+    """Distinct hashes of a text's shingles, ascending."""
+    return np.unique(np.concatenate([np.empty(0, np.uint64), *_hashes(text, shingle)]))
+
+
 def fingerprints(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, fp)``, the fingerprint as a signed long."""
 
@@ -61,7 +88,7 @@ def fingerprints(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text
 
         return work
 
-    return map_texts(docs, text_col, [F.col(id_col).cast("long").alias("doc_id")], "doc_id long, fp long", setup)
+    return map_texts(docs, text_col, [named(id_col).cast("long").alias("doc_id")], "doc_id long, fp long", setup)
 
 
 def popcount(x: np.ndarray) -> np.ndarray:
@@ -103,101 +130,162 @@ class BKForest:
             q, node = np.repeat(q, n), self.children[np.repeat(low, n) + offset]
 
 
-def _labels(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Least index reachable in a small graph."""
-    label = np.arange(n)
-    while True:
-        least = np.minimum(label[u], label[v])
-        if np.array_equal(least, label[u]) and np.array_equal(least, label[v]):
-            return label
-        np.minimum.at(label, label[u], least)
-        np.minimum.at(label, label[v], least)
+def _fold(label: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Least index reachable, after the links ``(u, v)`` as well as those that ``label`` stands for."""
+    while len(u):
+        a, b = label[u], label[v]
+        apart = a != b
+        u, v, a, b = u[apart], v[apart], a[apart], b[apart]
+        label = label.copy()
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
         while not np.array_equal(label, up := label[label]):
             label = up
+    return label
+
+
+def _hung(label: np.ndarray, reps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    hung = np.flatnonzero(label != np.arange(len(label)))
+    return reps[hung], reps[label[hung]]
+
 
+def _alike(n: np.ndarray, u: np.ndarray, v: np.ndarray, least: float) -> np.ndarray:
+    """Whether sets of ``n`` members are near enough in size to be ``least`` similar."""
+    return np.minimum(n[u], n[v]) >= least * np.maximum(n[u], n[v]) - 1e-9
 
-def _forest_links(cells: np.ndarray, role: np.ndarray, fps: np.ndarray, reps: np.ndarray, radius: int):
-    """Spanning links of whole cells; rows of role 1 only ask, rows of role 0 are in the tree and ask if the cell is one slice with itself."""
+
+def _own_links(cells: np.ndarray, fps: np.ndarray, reps: np.ndarray, n: np.ndarray, radius: int, least: float):
+    """Spanning links inside whole cells, each of which is one tree."""
     starts = np.flatnonzero(np.r_[True, (cells[1:] != cells[:-1]).any(1)])
-    cell = np.zeros(len(fps), np.int64)
-    cell[starts[1:]] = 1
-    cell = np.cumsum(cell)
-    has_tree = role[starts] == 0  # rows of a cell are sorted by role
-    in_tree = np.flatnonzero(role == 0)
-    at = np.full(len(fps), -1)
-    at[in_tree] = np.arange(len(in_tree))
-    root = np.where(has_tree, at[starts], -1)
-    forest = BKForest(fps[in_tree], root[cell[in_tree]])
-    own = cells[:, 2] == cells[:, 3]
-    ask = np.flatnonzero(((role == 1) | own) & (root[cell] >= 0))
-    size = np.bincount(cell[in_tree], minlength=len(starts))[cell[ask]]
-    us, vs = [], []
-    done = np.cumsum(size)
-    lo = 0
-    while lo < len(ask):
+    sizes = np.diff(np.r_[starts, len(fps)])
+    root = np.repeat(starts, sizes)
+    forest = BKForest(fps, root)
+    done = np.cumsum(np.repeat(sizes, sizes))
+    label, lo = np.arange(len(fps)), 0
+    while lo < len(fps):
         hi = max(lo + 1, int(np.searchsorted(done, (done[lo - 1] if lo else 0) + FRONT, "right")))
-        for q, node in forest.within(fps[ask[lo:hi]], root[cell[ask[lo:hi]]], radius):
-            u, v = ask[lo:hi][q], in_tree[node]
-            keep = u != v
-            us.append(u[keep])
-            vs.append(v[keep])
+        for q, node in forest.within(fps[lo:hi], root[lo:hi], radius):
+            q = q + lo
+            keep = (q > node) & _alike(n, q, node, least)
+            label = _fold(label, q[keep], node[keep])
         lo = hi
-    if not us:
-        return reps[:0], reps[:0]
-    label = _labels(len(fps), np.concatenate(us), np.concatenate(vs))
-    hung = np.flatnonzero(label != np.arange(len(fps)))
-    return reps[hung], reps[label[hung]]
+    return _hung(label, reps)
 
 
-def links(fps: DataFrame, radius: int, blocks: int = 6, cell: int = 1024) -> DataFrame:
-    """``(src, dst)`` over ``rep`` ids that connect all of ``fps (fp, rep)`` within ``radius`` bits.
+TREE = [("fps", "<u8"), ("reps", "<i8"), ("n", "<i4"), ("children", "<i4"), ("key", "<i4")]
 
-    ``fp`` must be distinct. More ``blocks`` make more and smaller shards; the links stay complete.
+
+def _packed_tree(fps: np.ndarray, reps: np.ndarray, n: np.ndarray) -> bytes:
+    tree = BKForest(fps, np.zeros(len(fps), np.int64))
+    parts = {"fps": fps, "reps": reps, "n": n, "children": np.r_[0, tree.children], "key": np.r_[-1, tree.key]}
+    return b"".join(parts[name].astype(kind).tobytes() for name, kind in TREE)
+
+
+def _tree(raw: bytes) -> dict[str, np.ndarray]:
+    size, at, out = len(raw) // sum(np.dtype(kind).itemsize for _, kind in TREE), 0, {}
+    for name, kind in TREE:
+        out[name] = np.frombuffer(raw, kind, size, at)
+        at += out[name].nbytes
+    return out
+
+
+def _cross_links(a: bytes, b: bytes, radius: int, least: float):
+    """Spanning links between the rows of two slices: those of ``b`` ask the tree of ``a``."""
+    a, b = _tree(a), _tree(b)
+    tree = BKForest.__new__(BKForest)
+    tree.fps, tree.children, tree.key = a["fps"], a["children"][1:].astype(np.int64), a["key"][1:].astype(np.int64)
+    size = len(a["fps"])
+    n, label = np.concatenate([a["n"], b["n"]]), np.arange(size + len(b["fps"]))
+    for lo in range(0, len(b["fps"]), max(1, FRONT // size)):
+        asking = b["fps"][lo : lo + max(1, FRONT // size)]
+        for q, node in tree.within(asking, np.zeros(len(asking), np.int64), radius):
+            q = q + lo + size
+            keep = _alike(n, q, node, least)
+            label = _fold(label, q[keep], node[keep])
+    return _hung(label, np.concatenate([a["reps"], b["reps"]]))
+
+
+def _edges(src: np.ndarray, dst: np.ndarray) -> list[pa.Array]:
+    return [pa.array(src, pa.int64()), pa.array(dst, pa.int64())]
+
+
+def shard_links(keyed: DataFrame, radius: int, cell: int = 1024, least: float = 0.0) -> DataFrame:
+    """``(src, dst)`` that connect whatever the shards of ``keyed (t, key, fp, rep, n)`` hold within ``radius`` bits.
+
+    ``n`` is a size; sizes further apart than the share ``least`` do not link.
     """
-    if blocks <= radius:
-        raise ValueError("blocks must exceed radius")
-    edges = [round(64 * i / blocks) for i in range(blocks + 1)]
-    tables = []
-    for t, chosen in enumerate(itertools.combinations(range(blocks), blocks - radius)):
-        mask = sum(((1 << (edges[b + 1] - edges[b])) - 1) << edges[b] for b in chosen)
-        mask -= (mask >> 63) << 64
-        tables.append(F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(mask)).alias("key")))
-    keyed = fps.where("rep is not null").select("fp", "rep", F.explode(F.array(*tables)).alias("k")).select("k.t", "k.key", "fp", "rep")
-    sizes = keyed.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
-    slices = F.ceil(F.col("n") / cell).cast("int")
-    mine = F.pmod(F.xxhash64("fp", F.lit(7)), F.col("slices")).cast("int")
-    placed = keyed.join(sizes, ["t", "key"]).withColumn("slices", slices).withColumn("mine", mine)
-    placed = placed.select("t", "key", "fp", "rep", "mine", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("other"))
-    placed = placed.select(
-        "t", "key", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"),
-        (F.col("mine") > F.col("other")).cast("int").alias("role"), "fp", "rep",
-    )
-    dealt = placed.repartition("t", "key", "a", "b").sortWithinPartitions("t", "key", "a", "b", "role", "fp")
+    sizes = keyed.groupBy("t", "key").agg(F.count("*").alias("there")).where("there > 1")
+    slices = F.ceil(F.col("there") / cell).cast("int")
+    placed = keyed.join(sizes, ["t", "key"]).withColumn("slices", slices).withColumn("slice", F.pmod(F.xxhash64("fp", "rep", F.lit(7)), slices).cast("int"))
+    cells = ["t", "key", "slice"]
+    dealt = placed.select(*cells, "slices", "fp", "rep", F.col("n").cast("int").alias("n")).repartition(*cells).sortWithinPartitions(*cells, "fp")
 
-    def search(batches):
+    def build(batches):
         kept, rows = [], 0
 
         def found(table: pa.Table):
-            cols = [table.column(c).to_numpy() for c in ("t", "key", "a", "b")]
-            fp = table.column("fp").to_numpy().view(np.uint64)
-            out = _forest_links(np.stack(cols, 1), table.column("role").to_numpy(), fp, table.column("rep").to_numpy(), radius)
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["src", "dst"])
+            cols = {c: table.column(c).to_numpy() for c in table.column_names}
+            fps = cols["fp"].view(np.uint64)
+            places = np.stack([cols[c] for c in cells], 1)
+            src, dst = _own_links(places, fps, cols["rep"], cols["n"], radius, least)
+            none = pa.nulls(len(src), pa.int64())
+            yield pa.RecordBatch.from_arrays([*_edges(src, dst), none.cast(pa.int32()), none, none.cast(pa.int32()), pa.nulls(len(src), pa.binary())], names)
+            starts = np.flatnonzero(np.r_[True, (places[1:] != places[:-1]).any(1)])
+            for lo, hi in zip(starts, np.r_[starts[1:], len(places)]):
+                if cols["slices"][lo] > 1:
+                    tree = _packed_tree(fps[lo:hi], cols["rep"][lo:hi], cols["n"][lo:hi])
+                    t, key, part = places[lo].tolist()
+                    row = [pa.nulls(1, pa.int64())] * 2 + [pa.array([t], pa.int32()), pa.array([key], pa.int64()), pa.array([part], pa.int32()), pa.array([tree], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(row, names)
 
         for batch in batches:
             kept.append(batch)
             rows += batch.num_rows
             if rows >= FOREST:
                 table = pa.Table.from_batches(kept)
-                cells = np.stack([table.column(c).to_numpy() for c in ("t", "key", "a", "b")], 1)
-                border = np.flatnonzero((cells[1:] != cells[:-1]).any(1))
+                places = np.stack([table.column(c).to_numpy() for c in cells], 1)
+                border = np.flatnonzero((places[1:] != places[:-1]).any(1))
                 if len(border):
-                    yield found(table.slice(0, int(border[-1]) + 1))
+                    yield from found(table.slice(0, int(border[-1]) + 1))
                     table = table.slice(int(border[-1]) + 1)
                 kept, rows = table.to_batches(), table.num_rows
         if rows:
-            yield found(pa.Table.from_batches(kept))
+            yield from found(pa.Table.from_batches(kept))
+
+    names = ["src", "dst", "t", "key", "slice", "tree"]
+    built = cut(dealt.mapInArrow(build, "src long, dst long, t int, key long, slice int, tree binary"), "trees")
+    edges, trees = built.where("tree is null").select("src", "dst"), built.where("tree is not null").select("t", "key", "slice", "tree")
+    size = trees.agg(F.sum(F.octet_length("tree"))).first()[0]
+    if not size:
+        return edges
+    bound_batches(keyed.sparkSession)
+    asked = trees.select("t", "key", F.col("slice").alias("of"), F.col("tree").alias("other"))
+    if size <= TREES_BYTES:
+        asked = F.broadcast(asked)
+    met = trees.repartition(*cells).join(asked, ["t", "key"]).where("of < slice").select("other", "tree")
+
+    def cross(batches):
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                yield pa.RecordBatch.from_arrays(_edges(*_cross_links(a, b, radius, least)), ["src", "dst"])
+
+    return edges.unionByName(met.mapInArrow(cross, "src long, dst long"))
+
+
+def links(fps: DataFrame, radius: int, blocks: int = 6, cell: int = 1024) -> DataFrame:
+    """``(src, dst)`` over ``rep`` ids that connect all of ``fps (fp, rep)`` within ``radius`` bits.
 
-    return dealt.mapInArrow(search, "src long, dst long")
+    ``fp`` must be distinct. More ``blocks`` make more and smaller shards; the links stay complete.
+    """
+    if blocks <= radius:
+        raise ValueError("blocks must exceed radius")
+    edges = [round(64 * i / blocks) for i in range(blocks + 1)]
+    tables = []
+    for t, chosen in enumerate(itertools.combinations(range(blocks), blocks - radius)):
+        mask = sum(((1 << (edges[b + 1] - edges[b])) - 1) << edges[b] for b in chosen)
+        mask -= (mask >> 63) << 64
+        tables.append(F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(mask)).alias("key")))
+    keyed = fps.where("rep is not null").select("fp", "rep", F.explode(F.array(*tables)).alias("k"))
+    return shard_links(keyed.select("k.t", "k.key", "fp", "rep", F.lit(0).alias("n")), radius, cell)
 
 
 def near_duplicates(
@@ -216,3 +304,143 @@ def near_duplicates(
     labelled = distinct.join(groups, distinct.rep == groups.vertex, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     hexed = F.lpad(F.lower(F.hex("fp")), 16, "0")
     return own.join(labelled, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
+
+
+# --- similarity of shingle sets --------------------------------------------------------------------
+
+
+def _permuted(tables: int) -> list[tuple[int, int]]:
+    rng = np.random.default_rng(11)
+    return [(int(a), int(b) | 1) for a, b in rng.integers(0, 2**63, (2 * tables, 2), np.int64)]
+
+
+def sketches(docs: DataFrame, shingle: int, tables: int, id_col: str, text_col: str) -> DataFrame:
+    """``(id, digest, fp, n, keys)``: a digest of the shingle set, its fingerprint, its size and a shard key a table."""
+    permuted = _permuted(tables)
+
+    def setup():
+        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+            sets = [shingle_set(t or "", shingle) for t in batch.column(0).to_pylist()]
+            digests = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
+            fps = np.array([_majority(s[lo : lo + BLOCK] for lo in range(0, len(s), BLOCK)) for s in sets], np.uint64)
+            n = np.array([len(s) for s in sets], np.int64)
+            every = np.concatenate([s if len(s) else np.zeros(1, np.uint64) for s in sets])
+            begins = np.cumsum(np.maximum(n, 1)) - np.maximum(n, 1)
+            least = [np.minimum.reduceat((every ^ np.uint64(a)) * np.uint64(b), begins) for a, b in permuted]
+            keys = np.stack([(x * np.uint64(0x9E3779B97F4A7C15)) ^ y for x, y in zip(least[::2], least[1::2])], 1).view(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * tables, pa.int32()), pa.array(keys.ravel()))
+            return pa.RecordBatch.from_arrays([batch.column(1), pa.array(digests, pa.binary()), pa.array(fps.view(np.int64)), pa.array(n), lists], ["id", "digest", "fp", "n", "keys"])
+
+        return work
+
+    return map_texts(docs, text_col, [named(id_col).cast("long").alias("id")], "id long, digest binary, fp long, n long, keys array<long>", setup)
+
+
+def _verified(sets: list[np.ndarray], fps: np.ndarray, role: np.ndarray, same: bool, radius: int, least: float) -> np.ndarray:
+    """Least row that each row reaches over pairs of one cell whose sets are ``least`` similar.
+
+    Rows of role 0 form the tree; those of role 1 ask, or all do in a cell of one slice with itself. A pair that
+    is connected already is not compared.
+    """
+    label = np.arange(len(sets))
+    tree = np.flatnonzero(role == 0)
+    ask = tree if same else np.flatnonzero(role == 1)
+    if not len(tree) or not len(ask):
+        return label
+    n = np.array([len(s) for s in sets])
+    every, code, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    place = np.cumsum(count > 1) - 1
+    shared = (count > 1)[code]
+    row, code = np.repeat(np.arange(len(sets)), n)[shared], place[code][shared]
+    bits = np.zeros((len(sets), max(1, -(-int((count > 1).sum()) // 64))), np.uint64)
+    np.bitwise_or.at(bits, (row, code >> 6), np.uint64(1) << (code & 63).astype(np.uint64))
+    forest = BKForest(fps[tree], np.zeros(len(tree), np.int64))
+    most = max(1, (1 << 20) // bits.shape[1])
+    step = max(1, FRONT // len(tree))
+    for at in range(0, len(ask), step):
+        who = ask[at : at + step]
+        for q, node in forest.within(fps[who], np.zeros(len(who), np.int64), radius):
+            u, v = who[q], tree[node]
+            keep = _alike(n, u, v, least) & ((u > v) if same else True)
+            u, v = u[keep], v[keep]
+            lo, held = 0, 64
+            while lo < len(u):
+                x, y = u[lo : lo + held], v[lo : lo + held]
+                lo += held
+                open_ = label[x] != label[y]
+                x, y = x[open_], y[open_]
+                both = np.bitwise_count(bits[x] & bits[y]).sum(1, dtype=np.int64)
+                union = n[x] + n[y] - both
+                alike = both >= least * union
+                label = _fold(label, x[alike], y[alike])
+                held = min(2 * held, most)
+    return label
+
+
+def similar(
+    docs: DataFrame,
+    shingle: int = 5,
+    least: float = 0.8,
+    radius: int = 24,
+    tables: int = 10,
+    cell: int = 1024,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """``id, class_id, component_id``: one row per row of ``docs``, whose ids must be distinct and not null.
+
+    Equal shingle sets are one class, named by its smallest id. Classes link at a Jaccard similarity of ``least``
+    or more; the component is the smallest id reachable. Two classes of similarity 0.8 share no shard with odds
+    of 0.36 to the power of ``tables``, and stand further apart than ``radius`` bits with odds below one in a thousand.
+    """
+    own = cut(sketches(docs, shingle, tables, id_col, text_col), "sketches")
+    classes = cut(own.groupBy("digest").agg(F.min("id").alias("rep"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("keys").alias("keys")), "classes")
+    keyed = classes.where("n > 0").select(F.posexplode("keys").alias("t", "key"), "fp", "rep", "n")
+    near = connected_components(shard_links(keyed, radius, cell, least))
+
+    members = near.join(classes.select(F.col("rep").alias("vertex"), "fp", "n"), "vertex")
+    members = cut(members.select(F.col("vertex").alias("rep"), F.col("component").alias("group"), "fp", "n"), "members")
+    texts = docs.select(named(id_col).cast("long").alias("rep"), named(text_col).alias("text")).join(members.select("rep"), "rep")
+
+    def setup():
+        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+            sets = [shingle_set(t or "", shingle).astype("<u8").tobytes() for t in batch.column(0).to_pylist()]
+            return pa.RecordBatch.from_arrays([batch.column(1), pa.array(sets, pa.binary())], ["rep", "members"])
+
+        return work
+
+    sets = cut(map_texts(texts, "text", [F.col("rep")], "rep long, members binary", setup), "sets")
+    size = F.greatest(F.ceil(F.count("*") / (cell // 2)), F.ceil(F.sum("n") / SET_SIZE)).cast("int")
+    placed = members.join(members.groupBy("group").agg(size.alias("slices")), "group").withColumn("mine", F.pmod(F.xxhash64("rep", F.lit(7)), "slices").cast("int"))
+    placed = placed.select("group", "rep", "fp", "mine", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("other")).join(sets, "rep")
+    placed = placed.select(
+        "group", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"), (F.col("mine") > F.col("other")).cast("int").alias("role"), "rep", "fp", "members"
+    )
+    cells = ["group", "a", "b"]
+
+    def verify(batches):
+        key, rows = None, []
+
+        def found():
+            reps, fps, role = (np.array([r[c] for r in rows]) for c in ("rep", "fp", "role"))
+            members = [np.frombuffer(r["members"], "<u8") for r in rows]
+            label = _verified(members, fps.view(np.uint64), role, key[1] == key[2], radius, least)
+            return pa.RecordBatch.from_arrays(_edges(*_hung(label, reps)), ["src", "dst"])
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                now = row["group"], row["a"], row["b"]
+                if now != key:
+                    if len(rows) > 1:
+                        yield found()
+                    key, rows = now, []
+                rows.append(row)
+        if len(rows) > 1:
+            yield found()
+
+    bound_batches(docs.sparkSession)
+    linked = placed.repartition(*cells).sortWithinPartitions(*cells, "role", "rep").mapInArrow(verify, "src long, dst long")
+    groups = connected_components(linked)
+    labelled = classes.select("digest", "rep").join(groups, F.col("rep") == F.col("vertex"), "left")
+    labelled = labelled.select("digest", F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component_id"))
+    return own.select("id", "digest").join(labelled, "digest").select("id", "class_id", "component_id")

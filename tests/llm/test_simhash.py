@@ -89,3 +89,58 @@ def test_forest_finds_all():
     forest = simhash.BKForest(fps, roots)
     got = {(int(q), int(n)) for a, b in forest.within(fps, roots, 3) for q, n in zip(a, b)}
     assert got == {(i, j) for i in range(200) for j in range(200) if roots[i] == roots[j] and bin(int(fps[i] ^ fps[j])).count("1") <= 3}
+
+
+def test_broadcast_and_joined_trees_agree(spark, monkeypatch):
+    rnd = random.Random(8)
+    centre = rnd.getrandbits(62)
+    rows = sorted({centre ^ sum(1 << b for b in rnd.sample(range(64), rnd.choice([1, 3, 7]))) for _ in range(200)})
+    frame = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f, i) for i, f in enumerate(rows)], "fp long, rep long")
+    want = brute_components({i: f for i, f in enumerate(rows)}, 4)
+    for bound in (0, 1 << 26):
+        monkeypatch.setattr(simhash, "TREES_BYTES", bound)
+        label = simhash._fold(np.arange(len(rows)), *np.array([(e.src, e.dst) for e in simhash.links(frame, 4, cell=20).collect()]).T)
+        assert label.tolist() == [want[i] for i in range(len(rows))]
+
+
+def brute_sets(text, k=5):
+    words = "".join(c.lower() if "A" <= c <= "Z" else c for c in text).translate({i: " " for i in range(9, 14)}).split(" ")
+    words = [w for w in words if w]
+    return {" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()
+
+
+@pytest.mark.parametrize("cell", [6, 1024])
+def test_similar_equals_brute_force(spark, cell):
+    rnd = random.Random(12)
+    words = [f"w{i}" for i in range(3000)]
+    passage = [rnd.choice(words) for _ in range(60)]
+    texts = ["", None, "one two", "One  two", "one two three", "x " * 400, "x " * 900]
+    for _ in range(60):
+        base = [rnd.choice(words) for _ in range(rnd.choice([8, 40, 120, 400]))]
+        if rnd.random() < 0.3:
+            base = base[:20] + passage + base[20:]
+        for _ in range(rnd.choice([1, 1, 3, 10])):
+            copy = list(base)
+            for _ in range(rnd.randrange(0, 1 + len(copy) // 40)):
+                copy[rnd.randrange(len(copy))] = rnd.choice(words)
+            texts.append(" ".join(copy) + (" " + copy[0] if rnd.random() < 0.2 else ""))
+    docs = spark.createDataFrame([(i * 7 % 1009, t, "clash") for i, t in enumerate(texts)], "doc_id long, text string, `a.b` string")
+    sets = {i * 7 % 1009: brute_sets(t or "") for i, t in enumerate(texts)}
+    label = {i: i for i in sets}
+    alike = [(i, j) for i in sets for j in sets if i < j and (sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))]
+    assert len(alike) > 100
+    for _ in range(40):
+        for i, j in alike:
+            label[i] = label[j] = min(label[i], label[j])
+    got = {r.id: r for r in simhash.similar(docs, cell=cell).collect()}
+    assert {i: r.component_id for i, r in got.items()} == label
+    assert all(r.class_id == min(j for j in sets if sets[j] == sets[i]) for i, r in got.items())
+    assert simhash.similar(docs.limit(0)).count() == 0
+
+
+def test_very_long_text(spark):
+    long = " ".join(str(i * 7919 % 100003) for i in range(400_000))
+    docs = spark.createDataFrame([(1, long), (2, long + " end"), (3, "short")], "doc_id long, text string")
+    got = {r.doc_id: r for r in simhash.near_duplicates(docs, 4).collect()}
+    assert got[1].fingerprint == f"{brute_fingerprint(long):016x}"
+    assert {r.id: r.component_id for r in simhash.similar(docs).collect()} == {1: 1, 2: 1, 3: 3}

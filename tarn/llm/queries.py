@@ -137,7 +137,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _op10_sql() -> str:
     """The same spans in DuckDB: gaps and matches of each pattern, running positions, and a self-join for linking."""
-    from tarn.llm.secrets import ACCESS, ASSIGN, HEX, KINDS, LOGIN, WEAK
+    from tarn.llm.secrets import ACCESS, ASSIGN, HEX, KINDS, LOGIN, PASS, ROLES, WEAK
 
     quoted = lambda p: "'" + p.replace("'", "''") + "'"
     found = " UNION ALL ".join(
@@ -150,12 +150,14 @@ def _op10_sql() -> str:
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
 x AS ({found}),
 p AS (SELECT r, kind, s, sum(length(gap) + length(s)) OVER (PARTITION BY r, kind ORDER BY i) AS e FROM x),
-q AS (SELECT r, CASE WHEN kind < 3 THEN kind WHEN s LIKE 'http%' THEN 3 WHEN regexp_full_match(s, {quoted(LOGIN)}) THEN 4 ELSE 5 END AS kind, e - length(s) AS b, e
-  FROM p WHERE kind >= 2 OR (kind = 1 AND length(s) >= 16) OR (kind = 0 AND length(regexp_extract(s, {quoted(ASSIGN)}, 2)) >= 8)),
+q AS (SELECT r, CASE kind WHEN 0 THEN CASE WHEN length(regexp_extract(s, {quoted(ASSIGN)}, 2)) >= 8 THEN 0 ELSE 6 END
+    WHEN 1 THEN CASE WHEN length(s) >= 16 THEN 1 ELSE 7 END WHEN 2 THEN CASE WHEN length(s) >= 32 THEN 2 ELSE 8 END
+    ELSE CASE WHEN regexp_full_match(s, {quoted(LOGIN)}) THEN 4 WHEN regexp_full_match(s, {quoted(PASS)}) THEN 5 ELSE 3 END END AS kind,
+  e - length(s) AS b, e FROM p),
 a AS (SELECT * FROM q WHERE kind < 3 OR NOT EXISTS (SELECT 1 FROM q o WHERE o.r = q.r AND o.kind < 3 AND o.b < q.e AND q.b < o.e)),
-c AS (SELECT *, [2, 1, 2, 0, 1, 2][kind + 1] AS role FROM a),
+c AS (SELECT *, {list(ROLES)}[kind + 1] AS role FROM a),
 l AS (SELECT r, kind, b, e FROM c WHERE kind < 3 UNION SELECT w.r, w.kind, w.b, w.e FROM c w JOIN c o ON o.r = w.r AND w.kind >= 3
-  AND o.b <= w.e + 400 AND w.b <= o.e + 400 AND o.role <> w.role AND 2 IN (o.role, w.role)),
+  AND o.b <= w.e + 400 AND w.b <= o.e + 400 AND NOT (o.b < w.e AND w.b < o.e) AND o.role <> w.role AND 2 IN (o.role, w.role)),
 g AS (SELECT r, count(*) FILTER (WHERE kind = 0) AS n0, count(*) FILTER (WHERE kind = 1) AS n1, count(*) FILTER (WHERE kind = 2) AS n2,
   string_agg({names}[kind + 1] || ':' || b::BIGINT || ':' || e::BIGINT, ',' ORDER BY b, kind) FILTER (WHERE kind < 3) AS base,
   string_agg({names}[kind + 1] || ':' || b::BIGINT || ':' || e::BIGINT, ',' ORDER BY b, kind) AS spans FROM l GROUP BY r)

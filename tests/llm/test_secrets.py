@@ -1,4 +1,6 @@
+import random
 import re
+import time
 
 from tarn.llm import secrets
 
@@ -31,17 +33,29 @@ TEXTS = [
 ]
 
 
+TEXTS += [
+    "password: abc on db.internal:5432 and again " + "." * 500 + " db.internal",
+    "AKIA123 stands by secret=xy, deadbeefdeadbeef by ftp://files/x",
+    "access_key = AKIA12 alone",
+    "a" * 3000 + ".com " + "x-" * 2000 + " pwd=1",
+]
+
+
 def brute_linked(text, scope):
     base = brute_base(text)
     weak = []
     for m in re.finditer(secrets.WEAK, text):
-        kind = "endpoint" if m[0].startswith("http") else "login" if re.fullmatch(secrets.LOGIN, m[0]) else "pass"
-        if not any(s < m.end() and m.start() < e for _, s, e in base):
-            weak.append((kind, m.start(), m.end()))
-    role = {"assign": 2, "access": 1, "hex": 2, "endpoint": 0, "login": 1, "pass": 2}
-    near = lambda x, y: y[1] <= x[2] + scope and x[1] <= y[2] + scope
+        kind = "login" if re.fullmatch(secrets.LOGIN, m[0]) else "pass" if re.fullmatch(secrets.PASS, m[0]) else "endpoint"
+        weak.append((kind, m.start(), m.end()))
+    weak += [("short_assign", m.start(), m.end()) for m in re.finditer(secrets.ASSIGN, text) if len(m[2]) < 8]
+    weak += [("short_access", m.start(), m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) < 16]
+    weak += [("short_hex", m.start(), m.end()) for m in re.finditer("[0-9a-f]+", text) if 16 <= len(m[0]) < 32]
+    overlap = lambda x, y: x[1] < y[2] and y[1] < x[2]
+    weak = [w for w in weak if not any(overlap(w, b) for b in base)]
+    role = {"assign": 2, "access": 1, "hex": 2, "endpoint": 0, "login": 1, "pass": 2, "short_assign": 2, "short_access": 1, "short_hex": 2}
+    near = lambda x, y: y[1] <= x[2] + scope and x[1] <= y[2] + scope and not overlap(x, y)
     fits = lambda x, y: role[x[0]] != role[y[0]] and 2 in (role[x[0]], role[y[0]])
-    return [w for w in weak if any(near(w, p) and fits(w, p) for p in [*base, *weak])]
+    return sorted((w for w in weak if any(near(w, p) and fits(w, p) for p in [*base, *weak])), key=lambda w: (w[1], secrets.KINDS.index(w[0])))
 
 
 def test_scan_equals_brute_force(spark):
@@ -49,14 +63,16 @@ def test_scan_equals_brute_force(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, base string")
     got = secrets.scan(docs, keep=["doc_id", "text"]).collect()
     assert len(got) == len(rows)
-    linked = 0
+    linked, seen = 0, set()
     for r in got:
         text = r.text or ""
         spans = lambda xs: [(secrets.KINDS[s.kind], s.start, s.end) for s in xs]
         assert spans(r.base) == brute_base(text), text[:60]
         assert spans(r.linked) == brute_linked(text, 400), text[:60]
         linked += len(r.linked)
+        seen.update(s.kind for s in r.linked)
     assert linked > 400
+    assert seen == set(range(3, 9))
     assert secrets.scan(docs.limit(0), keep=["doc_id"]).count() == 0
 
 
@@ -69,3 +85,38 @@ def test_redact(spark):
     assert out[TEXTS[2]] == "é🙂 [secret]' and token=\"abc\" [secret] end"
     assert out[TEXTS[4]] == "[secret] x [secret]zz" + "a" * 31
     assert out[""] == ""
+
+
+def test_redact_many_spans(spark):
+    from pyspark.sql import functions as F
+
+    rnd = random.Random(2)
+    rows = []
+    for n in (1, 127, 128, 129, 1000):
+        text = "".join(rnd.choice("abcdé🙂 ") for _ in range(5 * n + 3))
+        spans = sorted((lo, lo + rnd.randrange(1, 9), 0) for lo in (rnd.randrange(len(text) - 9) if len(text) > 9 else 0 for _ in range(n)))
+        rows.append((text, [(a, min(b, len(text)), k) for a, b, k in spans]))
+    docs = spark.createDataFrame(rows, "text string, spans array<struct<start:bigint,end:bigint,kind:int>>")
+    got = {r.text: r.out for r in docs.select("text", secrets.redact(F.col("text"), F.col("spans"), "#").alias("out")).collect()}
+    for text, spans in rows:
+        out, at = "", 0
+        for a, b, _ in spans:
+            if a > at or not at:
+                out += text[at:a] + "#"
+            at = max(at, b)
+        assert got[text] == out + text[at:]
+
+
+def test_clashing_names_and_very_many_spans(spark):
+    """A hundred thousand spans in one text take seconds: work is in proportion to them."""
+    from pyspark.sql import functions as F
+
+    text = "pwd=ab1 login=zed token=abcdefgh9 " * 40_000
+    docs = spark.createDataFrame([(1, text, "u", "d", "n")], "doc_id long, text string, `_` string, `a.b` string, none string")
+    began = time.time()
+    found = secrets.scan_kept(docs, keep=docs.columns)
+    row = found.select(F.col("kept")["a.b"].alias("ab"), F.col("kept")["_"].alias("u"), F.size("base").alias("n"), F.size("linked").alias("m")).first()
+    assert (row.ab, row.u, row.n, row.m) == ("d", "u", 40_000, 80_000)
+    every = F.array_sort(F.concat("base", "linked"), secrets.in_order)
+    assert found.select(F.length(secrets.redact(F.col("kept")["text"], every)).alias("n")).first().n == len("[secret] [secret] [secret] ") * 40_000
+    assert time.time() - began < 120

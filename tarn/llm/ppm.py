@@ -102,6 +102,35 @@ class Tally:
         return self.keys, self.counts
 
 
+class Places:
+    """Where each of some distinct keys stands: a hash table of at most a quarter of its slots, so most are found at once."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = np.r_[keys, -1]
+        self.bits = max(4, int(4 * len(keys)).bit_length())
+        self.slots = np.full(1 << self.bits, len(keys), np.int32)
+        left, at = np.arange(len(keys), dtype=np.int32), self._slot(keys)
+        while len(left):
+            free = self.slots[at] == len(keys)
+            self.slots[at[free]] = left[free]  # of several at one free slot the last stays
+            out = self.slots[at] != left
+            left, at = left[out], (at[out] + 1) & ((1 << self.bits) - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).view(np.int64)
+
+    def __call__(self, asked: np.ndarray) -> np.ndarray:
+        """The place of each key asked for, all of which are there."""
+        at = self._slot(asked)
+        out = self.slots[at]
+        left = np.flatnonzero(self.keys[out] != asked)
+        while len(left):
+            at[left] = (at[left] + 1) & ((1 << self.bits) - 1)
+            out[left] = self.slots[at[left]]
+            left = left[self.keys[out[left]] != asked[left]]
+        return out
+
+
 def _pieces(texts: pa.Array, limit: int = PIECE_BYTES):
     lengths = pc.binary_length(texts).to_numpy(zero_copy_only=False)
     lo = total = 0
@@ -319,9 +348,8 @@ class Sums:
         """The documents of a piece."""
         if isinstance(self.totals, list):
             self.totals = np.concatenate([np.empty(0, np.int64), *self.totals])
-            ascending = np.argsort(self.keys)
-            self.costs = np.concatenate([np.empty(0, np.float32), *self.costs])[ascending]
-            self.keys = self.keys[ascending]
+            self.costs = np.concatenate([np.empty(0, np.float32), *self.costs])
+            self.places = Places(self.keys)
         lengths, data = _spread(row["lengths"], "<i8"), _spread(row["texts"], "u1")
         n = len(lengths)
         texts = pa.LargeStringArray.from_buffers(n, pa.py_buffer(np.r_[0, np.cumsum(lengths)]), pa.py_buffer(data))
@@ -331,7 +359,7 @@ class Sums:
         known = np.bincount(text, weights=(there > 0)[word], minlength=n).astype(np.int64)
         score = np.zeros(n)
         for grams, text in _windows(texts, self.order):
-            score += np.bincount(text, weights=self.costs[np.searchsorted(self.keys, grams)], minlength=n)
+            score += np.bincount(text, weights=self.costs[self.places(grams)], minlength=n)
         ids, held, n_tokens = pa.array(row["doc_ids"], pa.int64()), pa.array(row["held_out"], pa.bool_()), pa.array(row["n_tokens"], pa.int64())
         return pa.RecordBatch.from_arrays([ids, held, pa.array(score), n_tokens, pa.array(known), pa.array(logs)], ["doc_id", "held_out", "score", "n_tokens", "known_words", "logs"])
 

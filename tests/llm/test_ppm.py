@@ -3,6 +3,7 @@ import random
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tarn.llm import ppm
@@ -113,3 +114,10 @@ def test_every_context_counts(spark, monkeypatch):
     assert len(want) > 3 and got.keys() == want.keys()
     for i, score in want.items():
         assert math.isclose(got[i], score, rel_tol=1e-5), i
+
+
+def test_places():
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 5, 100_000):
+        keys = rng.permutation(np.unique(rng.integers(0, 2**54, n)))
+        assert (ppm.Places(keys)(np.r_[keys, keys[::-1]]) == np.r_[np.arange(len(keys)), np.arange(len(keys))[::-1]]).all()

@@ -2,6 +2,9 @@
 
 Every stage takes ``(spark, docs, sf_dir)`` and works on the whole of what its predecessor kept. All but
 the last return the columns of ``docs``; the last returns ``doc_id, n_tokens, ids, decoded_sha256``.
+
+All stages take columns of any name beside those of ``documents`` and pass them on; ids may be null or repeated, rows are
+told apart by where they stand; very long texts are worked on whole, in blocks; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -11,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarn.llm import bpe, crf, mixing, secrets, simhash
+from tarn.llm.arrow import named
 from tarn.llm.queries import TARGETS, domain_classifier
 from tarn.plans.scratch import cut
 
@@ -20,44 +24,61 @@ RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents whose lines look bad. Learns from ``labels``, as far as those documents are here."""
+    """Drop documents whose lines look bad. Learns from ``labels``, as far as those documents are here.
+
+    A null or empty text is one empty line and stays or goes by that line's score; repeated rows stay or go together; without
+    labelled rows every score is a half and all rows stay.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     learned = labels.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
     return crf.keep_good(docs, crf.train(docs, learned), LEAST_QUALITY)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group: the one of the smallest id, once if its id is repeated.
+    """Keep one document of each group of texts that share four fifths of their five-word shingles or more.
 
-    A row without an id is a document of its own.
+    It is the one of the smallest id, of the first row that bears it; rows without an id come last. Rows of one id are
+    documents of their own, and go only if their texts are alike. Texts without words, null ones too, are one group.
     """
-    key = F.coalesce(F.col("doc_id"), -1 - F.monotonically_increasing_id())
-    keyed = docs.withColumn("group key", key)
-    groups = simhash.near_duplicates(keyed, shingle=4, radius=4, id_col="group key")
-    # repeated rows of one id need not be alike; they are one document here, and the smallest id of its groups decides
-    first = groups.groupBy("doc_id").agg(F.min("component_id").alias("component_id")).where("doc_id = component_id")
-    kept = keyed.join(first.select(F.col("doc_id").alias("group key")), "group key", "left_semi")
-    return kept.dropDuplicates(["group key"]).select(*docs.columns)
+    row = "row number"
+    while row in docs.columns:
+        row += " "
+    rows = cut(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")  # written, so the numbers stay
+    groups = simhash.similar(rows, shingle=5, least=0.8, id_col=row)
+    ranked = groups.join(rows.select(F.col(row).alias("id"), F.col("doc_id")), "id").select("id", "component_id", F.struct(F.isnull("doc_id"), "doc_id", "id").alias("order"))
+    first = ranked.groupBy("component_id").agg(F.min("order").alias("first"))
+    dropped = cut(ranked.join(first, "component_id").where(F.col("id") != F.col("first.id")).select(F.col("id").alias(row)), "dropped")
+    return rows.join(dropped, row, "left_anti").select(*map(named, docs.columns))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replace every secret, plain or linked, by a mark; ``n_chars`` follows the text."""
-    found = secrets.scan(docs, keep=docs.columns)
-    spans = F.array_sort(F.concat("base", "linked"), secrets.in_order)
-    clean = found.withColumn("text", secrets.redact(F.col("text"), spans))
+    """Replace every secret, plain or linked, by a mark; ``n_chars`` follows the text.
+
+    Texts without secrets, null and empty ones among them, stay as they are; repeated rows are redacted each.
+    """
+    found = secrets.scan_kept(docs, keep=docs.columns)
+    kept = {c: F.col("kept")[c] for c in docs.columns}
+    clean = secrets.redact(kept["text"], F.array_sort(F.concat("base", "linked"), secrets.in_order))
     some = F.size("base") + F.size("linked") > 0
-    return clean.withColumn("n_chars", F.when(some, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    found = found.withColumn("clean", clean)
+    kept["text"] = F.col("clean")
+    if "n_chars" in kept:
+        kept["n_chars"] = F.when(some, F.length("clean")).otherwise(kept["n_chars"]).cast(docs.schema["n_chars"].dataType)
+    return found.select(*(value.alias(c) for c, value in kept.items()))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Draw documents so that the languages' token shares meet their targets; a document may be drawn repeatedly."""
+    """Draw documents so that the languages' token shares meet their targets; a document may be drawn repeatedly.
+
+    A null or empty text has no tokens and is drawn by its posterior as any other; repeated rows of an id are drawn alike.
+    """
     model = domain_classifier(spark, docs, sf_dir)
     rates = mixing.fit_rates(mixing.memberships(docs, model), list(TARGETS.values()))
     return mixing.draw(docs, model, rates)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every text, and the digest of the bytes that they decode to."""
+    """Token ids of every text, and the digest of the bytes that they decode to; a null or empty text has no tokens."""
     ids = bpe.encode_texts(docs, RANKS, public_tokenizers.PATTERN)
     whole = bpe.decode_ids(ids, RANKS, public_tokenizers.PATTERN, ["doc_id", "ids"])
     n_tokens = (F.octet_length("ids") / 4).cast("long").alias("n_tokens")
@@ -72,7 +93,7 @@ STAGES = [
     ("encode", encode),
 ]
 
-#: The classifiers and the fingerprints have no SQL; tests/llm/test_pipeline.py holds the stages against brute force.
+#: The classifiers and the shingle sets have no SQL; tests/llm/test_pipeline.py holds the stages against brute force.
 ORACLE_SQL = None
 
 

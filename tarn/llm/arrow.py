@@ -32,6 +32,11 @@ def named(column: str) -> Column:
     return F.col("`" + column.replace("`", "``") + "`")
 
 
+def by_place(rows: DataFrame) -> DataFrame:
+    """``rows`` with columns named by their places: Arrow functions do not take names with dots."""
+    return rows.toDF(*(f"c{i}" for i in range(len(rows.columns))))
+
+
 def slices(batch: pa.RecordBatch, column: int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that each slice holds about ``limit`` bytes of the named column."""
     lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)

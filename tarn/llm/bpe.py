@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.arrow import bound_batches, map_texts
+from tarn.llm.arrow import bound_batches, map_texts, named
 
 #: Characters of a leaf. Shorter leaves only add joins; the ids never depend on it.
 LEAF = 2048
@@ -135,12 +135,12 @@ def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "
         return work
 
     key = docs.schema[id_col].dataType.simpleString()
-    return map_texts(docs, text_col, [F.col(id_col).alias("doc_id")], f"doc_id {key}, ids binary", setup)
+    return map_texts(docs, text_col, [named(id_col).alias("doc_id")], f"doc_id {key}, ids binary", setup)
 
 
 def decode_ids(encoded: DataFrame, ranks_path: str, pattern: str, keep: list[str], ids_col: str = "ids") -> DataFrame:
     """``(*keep, decoded)``: the bytes that each row's packed ids stand for."""
-    kept = encoded.select(*keep)
+    kept = encoded.select(*map(named, keep))
 
     def run(batches):
         bpe = ByteBPE.cached(ranks_path, pattern)
@@ -150,7 +150,7 @@ def decode_ids(encoded: DataFrame, ranks_path: str, pattern: str, keep: list[str
 
     bound_batches(encoded.sparkSession)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
-    return encoded.select(F.col(ids_col).alias("ids_in"), *keep).mapInArrow(run, f"{fields}, decoded binary")
+    return encoded.select(named(ids_col).alias("ids_in"), *map(named, keep)).mapInArrow(run, f"{fields}, decoded binary")
 
 
 def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

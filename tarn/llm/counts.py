@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.arrow import large_text, map_texts
+from tarn.llm.arrow import large_text, map_texts, named
 
 #: Fixed value: the mark that stands for a space.
 MARK = "▁"
@@ -109,4 +109,4 @@ def count_tokens(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id",
         return work
 
     key = docs.schema[id_col].dataType.simpleString()
-    return map_texts(docs, text_col, [F.col(id_col).alias("doc_id")], f"doc_id {key}, n_tokens long", setup)
+    return map_texts(docs, text_col, [named(id_col).alias("doc_id")], f"doc_id {key}, n_tokens long", setup)

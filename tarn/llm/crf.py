@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.arrow import bound_batches, large_text, map_texts
+from tarn.llm.arrow import bound_batches, by_place, large_text, map_texts, named, slices
 
 #: Byte classes whose shares are features of a line.
 CLASSES = [
@@ -167,10 +167,10 @@ def fit(x: np.ndarray, label: np.ndarray, begins: np.ndarray, rounds: int = 150,
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = 3000, sample_lines: int = 256, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
     """Fit on the ``sample`` labelled rows whose hashed ids come first."""
-    chosen = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label"))
+    chosen = labels.select(named(id_col).cast("long").alias("doc_id"), named(label_col).cast("int").alias("label"))
     chosen = chosen.where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.max("label").alias("label"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    own = docs.select(named(id_col).cast("long").alias("doc_id"), named(text_col).cast("string").alias("text"))
     rows = own.join(F.broadcast(chosen), "doc_id")  # at most ``sample`` rows
 
     def setup():
@@ -202,24 +202,22 @@ def score_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
 
         return work
 
-    return map_texts(docs, text_col, [F.col(id_col).cast("long").alias("doc_id")], "doc_id long, score double", setup)
+    return map_texts(docs, text_col, [named(id_col).cast("long").alias("doc_id")], "doc_id long, score double", setup)
 
 
 def keep_good(docs: DataFrame, model: Model, least: float = 0.3, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose score is ``least`` or more, as they are."""
-    names = docs.columns
-    text_at = names.index(text_col)
+    text_at = docs.columns.index(text_col)
 
     def run(batches):
-        from tarn.llm.arrow import slices
-
         for batch in batches:
             for part in slices(batch, text_at):
                 good = model.score(large_text(part.column(text_at))) >= least
                 yield part.filter(pa.array(good))
 
     bound_batches(docs.sparkSession)
-    return docs.mapInArrow(run, docs.schema)
+    rows = by_place(docs)
+    return rows.mapInArrow(run, rows.schema).toDF(*docs.columns)
 
 
 def predicted(score: Column, least: float = 0.3) -> Column:

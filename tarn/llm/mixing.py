@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.arrow import bound_batches, large_text, map_texts, slices
+from tarn.llm.arrow import bound_batches, by_place, large_text, map_texts, named, slices
 from tarn.plans.scratch import cut
 
 FEATURES = 2048
@@ -77,7 +77,7 @@ class Classifier:
 
 def fit_classifier(labelled: DataFrame, domains: list[str], sample: int = 2000, text_col: str = "text", domain_col: str = "domain", rounds: int = 120) -> Classifier:
     """Fit on the ``sample`` rows of ``labelled`` whose hashed texts come first."""
-    rows = labelled.select(F.col(text_col).alias("text"), F.col(domain_col).alias("domain")).where("text is not null").where(F.col("domain").isin(domains))
+    rows = labelled.select(named(text_col).alias("text"), named(domain_col).alias("domain")).where("text is not null").where(F.col("domain").isin(domains))
     rows = rows.orderBy(F.xxhash64("text"), "domain").limit(sample)
 
     def setup():
@@ -214,7 +214,7 @@ def memberships(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text
         return work
 
     key = docs.schema[id_col].dataType.simpleString()
-    return cut(map_texts(docs, text_col, [F.col(id_col).alias("doc_id")], f"doc_id {key}, n_tokens long, p array<double>", setup), "members")
+    return cut(map_texts(docs, text_col, [named(id_col).alias("doc_id")], f"doc_id {key}, n_tokens long, p array<double>", setup), "members")
 
 
 def with_rates(members: DataFrame, rates: Rates, k: int) -> DataFrame:
@@ -232,8 +232,7 @@ def with_rates(members: DataFrame, rates: Rates, k: int) -> DataFrame:
 def draw(docs: DataFrame, model: Classifier, rates: Rates, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with each row as often as its rate says: its whole part, and once more by the hash of its id with
     the odds of the rest. Columns stay as they are."""
-    names = docs.columns
-    text_at, odds_at = names.index(text_col), len(names)
+    text_at, odds_at = docs.columns.index(text_col), len(docs.columns)
 
     def run(batches):
         for batch in batches:
@@ -243,6 +242,7 @@ def draw(docs: DataFrame, model: Classifier, rates: Rates, id_col: str = "doc_id
                 rows = pa.array(np.repeat(np.arange(part.num_rows), copies.astype(np.int64)))
                 yield part.select(range(odds_at)).take(rows)
 
-    odds = F.pmod(F.xxhash64(id_col, F.lit(5)), F.lit(1 << 20)) / float(1 << 20)
     bound_batches(docs.sparkSession)
-    return docs.withColumn("odds of a copy", odds).mapInArrow(run, docs.schema)
+    rows = by_place(docs)
+    odds = F.pmod(F.xxhash64(rows.columns[docs.columns.index(id_col)], F.lit(5)), F.lit(1 << 20)) / float(1 << 20)
+    return rows.withColumn("odds", odds).mapInArrow(run, rows.schema).toDF(*docs.columns)

@@ -5,15 +5,16 @@ and after it; neighbouring labels share a transition table. Forward-backward mar
 the length of their lines, make up a document's score. Forward and backward messages are prefix and suffix
 products of 2 x 2 matrices, taken by doubling over all lines of a batch at once: the matrix of a first
 line has equal rows, which forgets whatever came before it, so documents need no separate loops and a text
-of very many lines costs no more a line than a short one.
+of very many lines costs hardly more a line than a short one.
 
-Labels of documents stand for the labels of their lines in training, on a bounded sample of the labelled
-rows (``sample`` documents, ``sample_lines`` lines of each, evenly spaced). The model is a few dozen
-weights.
+In training the labels of lines are latent. Only documents are labelled, and the fit maximises the likelihood of
+their labels under the scores, so a document of mixed lines gets mixed marginals. It learns from ``sample`` labelled
+documents, with all their lines. The model is a few dozen weights.
 
 Defined results: a null or empty text is one empty line and gets a score like any other; repeated rows
 are scored each; rows of labels without id or label are ignored; without labelled rows all scores are 0.5;
-columns other than id and text are not read; an empty table gives an empty one.
+columns other than id and text are not read, whatever their names; very long texts are scored whole; an empty
+table gives an empty one.
 """
 
 from __future__ import annotations
@@ -87,10 +88,10 @@ def line_features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return x, chars, begins
 
 
-def _products(m: np.ndarray, suffix: bool) -> np.ndarray:
-    """Prefix (or suffix) products of 2 x 2 matrices ``m[:, i, j]``, each scaled to a largest entry of one."""
+def _products(m: np.ndarray, suffix: bool, longest: int) -> np.ndarray:
+    """Products of each of the 2 x 2 matrices ``m[:, i, j]`` and ``longest`` or more before (after) it, scaled to a largest entry of one."""
     p, step = m.copy(), 1
-    while step < len(p):
+    while step < min(len(p), longest):
         left, right = p[:-step], p[step:]
         new = np.empty_like(left)
         for i in (0, 1):
@@ -113,9 +114,10 @@ def marginals(u: np.ndarray, trans: np.ndarray, begins: np.ndarray):
     first[begins[:-1]] = True
     m[first] = node[first][:, None, :]
     m /= m.max((1, 2), keepdims=True)
-    ahead = _products(m, False)[:, 0, :]
+    longest = int(np.diff(begins).max(initial=1))
+    ahead = _products(m, False, longest)[:, 0, :]
     after = np.ones((len(u), 2))
-    after[:-1] = _products(m, True)[1:].sum(2)
+    after[:-1] = _products(m, True, longest)[1:].sum(2)
     last = np.zeros(len(u), bool)
     last[begins[1:] - 1] = True
     after[last] = 1
@@ -143,29 +145,49 @@ class Model:
         return np.add.reduceat(good * weight, begins[:-1]) / np.add.reduceat(weight, begins[:-1])
 
 
-def fit(x: np.ndarray, label: np.ndarray, begins: np.ndarray, rounds: int = 150, ridge: float = 1.0) -> Model:
-    """Maximise the penalised log-likelihood of the lines' labels by Adam on the whole sample."""
+#: Documents of so many lines or fewer are worked on together in training.
+CLASSES_OF_LENGTH = (4, 16, 64, 256, 1024, 1 << 62)
+TILT = 1e-3
+
+
+def likelihood(theta: np.ndarray, z: np.ndarray, weight: np.ndarray, begins: np.ndarray, label: np.ndarray) -> tuple[float, np.ndarray]:
+    """Log-likelihood of documents' labels, and its gradient.
+
+    A score is the mean of its lines' labels by ``weight``; how it changes with a weight of the field is the covariance of the two.
+    Potentials tilted along ``weight`` either way give the covariances with all of them at once.
+    """
+    u, trans = z @ theta[:WIDTH], theta[WIDTH:].reshape(2, 2)
+    (up, up_pairs), (down, down_pairs) = (marginals(u + tilt * weight, trans, begins) for tilt in (TILT, -TILT))
+    score = np.clip(np.add.reduceat((up + down) / 2 * weight, begins[:-1]), 1e-9, 1 - 1e-9)
+    slope = np.repeat((label - score) / (score * (1 - score)), np.diff(begins)) / (2 * TILT)
+    grad = np.r_[z.T @ (slope * (up - down)), np.tensordot(slope, up_pairs - down_pairs, 1).ravel()]
+    return float((label * np.log(score) + (1 - label) * np.log(1 - score)).sum()), grad
+
+
+def fit(x: np.ndarray, chars: np.ndarray, begins: np.ndarray, label: np.ndarray, rounds: int = 150, ridge: float = 0.3) -> Model:
+    """Maximise the penalised likelihood of the documents' labels by Adam on the whole sample."""
     mean, scale = (x.mean(0), x.std(0)) if len(x) else (np.zeros(WIDTH), np.ones(WIDTH))
     mean[-1], scale[scale < 1e-9] = 0, 1
-    z = (x - mean) / scale
-    n = max(1, len(x))
-    first = np.zeros(len(x), bool)
-    first[begins[:-1]] = True
-    inner = np.flatnonzero(~first)
-    seen = np.zeros((2, 2))
-    np.add.at(seen, (label[inner - 1], label[inner]), 1)
-    theta = np.zeros(WIDTH + 4)
+    z, sizes = (x - mean) / scale, np.diff(begins)
+    weight = (chars + 1.0) / np.repeat(np.add.reduceat(chars + 1.0, begins[:-1]), sizes) if len(x) else chars
+    parts, least = [], 0
+    for most in CLASSES_OF_LENGTH:  # long documents need more doublings
+        own = (sizes > least) & (sizes <= most)
+        if own.any():
+            rows = np.repeat(own, sizes)
+            parts.append((z[rows], weight[rows], np.r_[0, np.cumsum(sizes[own])], label[own]))
+        least = most
+    theta, n = np.zeros(WIDTH + 4), max(1, len(label))
     speed, spread = np.zeros_like(theta), np.zeros_like(theta)
     for i in range(1, rounds + 1 if len(x) else 1):
-        good, joint = marginals(z @ theta[:WIDTH], theta[WIDTH:].reshape(2, 2), begins)
-        grad = np.r_[z.T @ (label - good), (seen - joint.sum(0)).ravel()] / n - ridge * theta / n
+        grad = (sum(likelihood(theta, *part)[1] for part in parts) - ridge * theta) / n
         speed = 0.9 * speed + 0.1 * grad
         spread = 0.99 * spread + 0.01 * grad**2
         theta += 0.1 * (speed / (1 - 0.9**i)) / (np.sqrt(spread / (1 - 0.99**i)) + 1e-8)
     return Model(theta[:WIDTH], theta[WIDTH:].reshape(2, 2), mean, scale)
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 3000, sample_lines: int = 256, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
+def train(docs: DataFrame, labels: DataFrame, sample: int = 3000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
     """Fit on the ``sample`` labelled rows whose hashed ids come first."""
     chosen = labels.select(named(id_col).cast("long").alias("doc_id"), named(label_col).cast("int").alias("label"))
     chosen = chosen.where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.max("label").alias("label"))
@@ -175,22 +197,19 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 3000, sample_lines:
 
     def setup():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            x, _, begins = line_features(large_text(batch.column(0)))
-            out = []
-            for lo, hi in zip(begins, begins[1:]):
-                kept = np.unique(np.linspace(lo, hi - 1, min(hi - lo, sample_lines)).astype(np.int64))
-                out.append(x[kept].astype(np.float32).tobytes())
+            x, chars, begins = line_features(large_text(batch.column(0)))
+            lines = np.concatenate([x, chars[:, None]], 1).astype(np.float32)
+            out = [lines[lo:hi].tobytes() for lo, hi in zip(begins, begins[1:])]
             return pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(out, pa.binary())], ["doc_id", "label", "x"])
 
         return work
 
     got = map_texts(rows, "text", [F.col("doc_id"), F.col("label")], "doc_id long, label int, x binary", setup)
     found = got.groupBy("doc_id").agg(F.min_by(F.struct("label", "x"), "x").alias("r")).select("doc_id", "r.*").orderBy("doc_id").toArrow()
-    parts = [np.frombuffer(b, np.float32).reshape(-1, WIDTH) for b in found.column("x").to_pylist()]
-    sizes = [len(p) for p in parts]
-    x = np.concatenate(parts).astype(np.float64) if parts else np.zeros((0, WIDTH))
-    label = np.repeat(np.clip(found.column("label").to_numpy(), 0, 1), sizes).astype(np.int64)
-    return fit(x, label, np.cumsum([0, *sizes]))
+    parts = [np.frombuffer(b, np.float32).reshape(-1, WIDTH + 1) for b in found.column("x").to_pylist()]
+    lines = np.concatenate(parts).astype(np.float64) if parts else np.zeros((0, WIDTH + 1))
+    label = np.clip(found.column("label").to_numpy(), 0, 1).astype(np.float64)
+    return fit(lines[:, :-1], lines[:, -1], np.cumsum([0, *map(len, parts)]), label)
 
 
 def score_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

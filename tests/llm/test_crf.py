@@ -27,6 +27,47 @@ def test_marginals_equal_enumeration():
         assert np.allclose(joint[lo:hi], pairs / total)
 
 
+def test_gradient_equals_differences_of_the_enumerated_likelihood():
+    rng = np.random.default_rng(3)
+    begins, label = np.array([0, 1, 4, 8]), np.array([1.0, 0.0, 1.0])
+    z, chars = rng.normal(size=(8, crf.WIDTH)), rng.integers(0, 9, 8) + 1.0
+    weight = chars / np.repeat(np.add.reduceat(chars, begins[:-1]), np.diff(begins))
+    theta = rng.normal(size=crf.WIDTH + 4) * 0.3
+
+    def brute(theta):
+        u, trans, out = z @ theta[: crf.WIDTH], theta[crf.WIDTH :].reshape(2, 2), 0.0
+        for (lo, hi), y in zip(itertools.pairwise(begins), label):
+            total = score = 0.0
+            for labels in itertools.product((0, 1), repeat=hi - lo):
+                w = np.exp(np.dot(labels, u[lo:hi]) + sum(trans[a, b] for a, b in itertools.pairwise(labels)))
+                total, score = total + w, score + w * np.dot(labels, weight[lo:hi])
+            out += np.log(score / total if y else 1 - score / total)
+        return out
+
+    value, grad = crf.likelihood(theta, z, weight, begins, label)
+    assert np.isclose(value, brute(theta), rtol=1e-5)
+    for i in (0, 7, crf.WIDTH - 1, crf.WIDTH, crf.WIDTH + 1, crf.WIDTH + 2, crf.WIDTH + 3):
+        step = np.zeros_like(theta)
+        step[i] = 1e-5
+        assert np.isclose(grad[i], (brute(theta + step) - brute(theta - step)) / 2e-5, rtol=1e-4, atol=1e-6)
+
+
+def test_mixed_documents_get_mixed_marginals():
+    """Only documents are labelled, the good ones hold a bad line at times and the bad ones a good one; lines come apart."""
+    rng = np.random.default_rng(4)
+    texts, label = [], []
+    for _ in range(300):
+        q = int(rng.random() < 0.5)
+        texts.append("\n".join(str(rng.choice(GOOD if (rng.random() < 0.85) == bool(q) else BAD)) for _ in range(rng.integers(1, 9))))
+        label.append(q)
+    x, chars, begins = crf.line_features(pa.array(texts, pa.large_string()))
+    model = crf.fit(x, chars, begins, np.array(label, float))
+    lines = [GOOD[0], GOOD[1], GOOD[0], BAD[0], BAD[1], BAD[0]]
+    x, _, begins = crf.line_features(pa.array(["\n".join(lines)], pa.large_string()))
+    good, _ = crf.marginals((x - model.mean) / model.scale @ model.weights, model.trans, begins)
+    assert good[:2].min() > good[-2:].max() + 0.3, good
+
+
 def test_many_lines_stay_finite():
     texts = pa.array(["a\n" * 50000 + "B!!", "", "\n\n"], pa.large_string())
     x, chars, begins = crf.line_features(texts)

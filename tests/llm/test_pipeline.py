@@ -121,5 +121,5 @@ def test_clashing_columns(spark, tables, tmp_path):
 
 
 def test_quality_model_scores_nothing_as_anything():
-    model = crf.fit(np.zeros((0, crf.WIDTH)), np.zeros(0, int), np.zeros(1, int))
+    model = crf.fit(np.zeros((0, crf.WIDTH)), np.zeros(0), np.zeros(1, int), np.zeros(0))
     assert model.score(pa.array(["", "a"], pa.large_string())).tolist() == [0.5, 0.5]

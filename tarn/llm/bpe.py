@@ -1,12 +1,18 @@
 """Byte-level BPE encoding and decoding as a reduction over a tree of text halves.
 
 A text is halved until a piece is short, pieces are encoded on their own, and neighbours are joined by
-encoding a window around their border again. The window grows until both ends stand where *every* split
-of the text by the pattern has a border, whatever lies on the other side: tokens beyond such a place
-cannot change, so they are spliced as they are. Decoding concatenates bytes up the same kind of tree.
+encoding a window around their border again. The window grows until tokens outside provably stay as they are:
+
+* an end stands where *every* chain of matches of the pattern has a border, whatever lies on the other side; or
+* an end stands inside a long run of one class (letters, digits, marks, white space), which is one match, and the token
+  before it and the first one of the window are what their bytes together encode to. A sequence of tokens is the
+  encoding of its bytes if and only if that holds for every two neighbours, so nothing further out can change.
+
+Decoding concatenates bytes up the same kind of tree.
 
 Defined results: a null or empty text has no tokens and decodes to no bytes; repeated rows are encoded
-each on its own; columns other than the id and the text are not read; an empty table gives an empty one.
+each on its own; very long texts and runs of one character cost in proportion to their length, times the logarithm for
+copies of lists; columns other than the id and the text are not read, whatever their names; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -14,6 +20,7 @@ from __future__ import annotations
 import base64
 import functools
 import threading
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -26,21 +33,40 @@ from tarn.llm.arrow import bound_batches, map_texts, named
 LEAF = 2048
 #: First width, in characters, of the window on either side of a border.
 WINDOW = 32
-#: Full-width marks after which a letter always starts a new match of the pattern.
-MARKS = "。、，！？；："
+#: Characters around an end inside a run that must belong to it too: contractions and a run's last space behave otherwise.
+MARGIN = 4
+#: White space as patterns understand it, and letters younger than some tables of them.
+SPACES = frozenset("\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+YOUNG = range(0x2EBF0, 0x2EE5E)
 
 _loaded: dict[tuple[str, str], ByteBPE] = {}
 _lock = threading.Lock()
 
 
-def certain(text: str, p: int) -> bool:
-    """Whether every chain of matches over ``text`` has a border at ``p``.
+@functools.lru_cache(1 << 16)
+def kind(c: str) -> str:
+    """Class of a character in the pattern: S white space, L letter, N digit, O other; ? if tables may differ on it."""
+    if c in SPACES:
+        return "S"
+    major = unicodedata.category(c)
+    if major == "Cn" or ord(c) in YOUNG:
+        return "?"
+    return major[0] if major[0] in "LN" else "O"
+
+
+def certain(text: str, p: int, end: int) -> bool:
+    """Whether every chain of matches over ``text`` up to ``end`` has a border at ``p``.
 
-    No alternative of the pattern holds a non-space character followed by white space, and none looks
-    back; likewise none runs from a full-width mark into a letter.
+    No alternative of the pattern looks back, holds a non-space character followed by white space, mixes letters, digits
+    and marks (but for an apostrophe and letters), or goes on after white space other than one space before them.
+    White space before a word ends one character early.
     """
-    before, after = text[p - 1], text[p]
-    return (after in " \n\t\r" and not before.isspace()) or (before in MARKS and after.isalpha())
+    before, after = kind(text[p - 1]), kind(text[p])
+    if after == "S":
+        return before != "S" or p + 1 < end and kind(text[p + 1]) != "S"
+    if before == "S":
+        return text[p - 1] != " "
+    return before != after and "?" not in (before, after) and not (after == "L" and text[p - 1] == "'")
 
 
 class ByteBPE:
@@ -55,12 +81,21 @@ class ByteBPE:
             self._bytes[rank] = token
 
     @functools.cached_property
-    def _piece(self):
+    def _encoding(self):
         """The leaf encoder; workers that only decode never build it."""
         import tiktoken
 
         ranks = {token: rank for rank, token in enumerate(self._bytes) if token}
-        return tiktoken.Encoding("tarn", pat_str=self._pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        return tiktoken.Encoding("tarn", pat_str=self._pattern, mergeable_ranks=ranks, special_tokens={})
+
+    def _piece(self, text: str) -> list[int]:
+        return self._encoding.encode_ordinary(text)
+
+    @functools.cached_property
+    def _stays(self):
+        """Whether two neighbours inside a match stay as they are."""
+        whole = self._encoding._core_bpe.encode_single_piece
+        return functools.lru_cache(1 << 16)(lambda a, b: whole(self._bytes[a] + self._bytes[b]) == [a, b])
 
     @classmethod
     def cached(cls, ranks_path: str, pattern: str) -> ByteBPE:
@@ -81,27 +116,56 @@ class ByteBPE:
         return self._join(text, lo, mid, hi, self._range(text, lo, mid), self._range(text, mid, hi))
 
     def _join(self, text: str, lo: int, mid: int, hi: int, left: list[int], right: list[int]) -> list[int]:
-        p, q = self._grow(text, mid, lo, -1), self._grow(text, mid, hi, 1)
-        if p == q:
-            return left + right
-        return (
-            left[: len(left) - self._covering(left, len(text[p:mid].encode()), -1)]
-            + self._piece(text[p:q])
-            + right[self._covering(right, len(text[mid:q].encode()), 1) :]
-        )
-
-    @staticmethod
-    def _grow(text: str, mid: int, end: int, step: int) -> int:
-        """The certain border nearest to ``mid`` on one side; the side's own end if it has none."""
-        at, width = mid, WINDOW
-        while at != end:
-            stop = max(end, mid - width) if step < 0 else min(end, mid + width)
-            while at != stop:
-                if certain(text, at):
-                    return at
-                at += step
-            width *= 2
-        return end
+        before = after = WINDOW
+        while True:
+            p, i, outer = self._end(text, lo, mid, hi, left, before, -1)
+            q, j, next_ = self._end(text, lo, mid, hi, right, after, 1)
+            if p == q:
+                return left + right
+            new = self._piece(text[p:q])
+            good = outer is None or self._stays(outer, new[0]), next_ is None or self._stays(new[-1], next_)
+            if all(good):
+                return left[: len(left) - i] + new + right[j:]
+            before, after = before if good[0] else 2 * before, after if good[1] else 2 * after
+
+    def _end(self, text: str, lo: int, mid: int, hi: int, ids: list[int], width: int, step: int) -> tuple[int, int, int | None]:
+        """An end of the window on one side of ``mid``, about ``width`` characters away at most: where it stands, how many
+        of the side's tokens it covers, and the token beyond it if they are in one match."""
+        far = lo if step < 0 else hi
+        seen = lambda at: mid if at < mid else hi  # noqa: E731  # the side's own chain must have the border too
+        stop = max(lo, mid - width) if step < 0 else min(hi, mid + width)
+        for at in range(mid, stop, step):
+            if lo < at < hi and certain(text, at, seen(at)):
+                return at, self._covering(ids, len(text[min(at, mid) : max(at, mid)].encode()), step), None
+        if stop != far and (found := self._inside(text, lo, mid, hi, ids, width, step)):
+            return found
+        at = stop
+        while at != far:  # characters of unsure class, or a run that ends near by
+            if certain(text, at, seen(at)):
+                return at, self._covering(ids, len(text[min(at, mid) : max(at, mid)].encode()), step), None
+            at += step
+        return far, len(ids), None
+
+    def _inside(self, text: str, lo: int, mid: int, hi: int, ids: list[int], width: int, step: int) -> tuple[int, int, int] | None:
+        """An end between two tokens of a run of one class, if that goes on far enough."""
+        raw = b""
+        for n in range(1, len(ids)):
+            token = self._bytes[ids[n - 1] if step > 0 else ids[-n]]
+            raw = raw + token if step > 0 else token + raw
+            if len(raw) < width:
+                continue
+            try:
+                at = mid + step * len(raw.decode())
+            except UnicodeDecodeError:
+                continue  # between the bytes of a character
+            beyond = ids[n] if step > 0 else ids[-n - 1]
+            reach = len(self._bytes[beyond]) + MARGIN
+            first, last = (at - reach, at + MARGIN) if step < 0 else (at - MARGIN, at + reach)
+            kinds = {kind(c) for c in text[max(lo, first) : last]}
+            if first < lo or last > hi or len(kinds) > 1 or "?" in kinds:
+                return None
+            return at, n, beyond
+        return None
 
     def _covering(self, ids: list[int], n_bytes: int, step: int) -> int:
         """How many tokens at one end of ``ids`` make up ``n_bytes``."""

@@ -10,7 +10,8 @@ Defined results: a null payload is empty; a null URL is written as an empty targ
 shorter than ``least`` bytes stay responses, of longer ones the largest id is the response (every row of that id,
 if it is repeated); null ids are written as empty ids and read back null;
 columns other than those named are not read; an empty table gives an empty archive and an empty result.
-A record cut off by the end of its file raises ``ValueError``.
+A record cut off by the end of its file raises ``ValueError``. Archive files are bounded by bytes: pages of like size share
+a file, very long ones have one of their own. Columns other than those named may bear any name.
 """
 
 from __future__ import annotations
@@ -22,30 +23,34 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarn.llm.arrow import bound_batches, named
 from tarn.plans.scratch import cut, scratch_path
 
 END = "\r\n\r\n"
-#: Captures in an archive file at most: readers hold one file at a time.
-FILE_CAPTURES = 5000
+#: Payload bytes below which captures share a file, and how many do: readers hold one file at a time.
+SIZES = ((1 << 16, 1000), (1 << 20, 64), (1 << 62, 1))
 RECORDS = "record_id string, type string, concurrent_to array<string>, refers_to string, target string, date string, fields map<string,string>, block binary, block_sha1 string, block_bytes bigint"
 MIME = "application/http; msgtype="
 OK = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 
 
-def choose_revisits(pages: DataFrame, id_col: str, payload_col: str, least: int = 1000) -> DataFrame:
-    """``pages`` as ``(id, payload, digest, n_bytes, refers_to)``; ``refers_to`` names the response a revisit repeats."""
-    payload = F.coalesce(F.col(payload_col).cast("string"), F.lit(""))
-    rows = pages.select("*", payload.alias("payload"))
+def repeated(pages: DataFrame, id_col: str, payload_col: str, least: int = 1000) -> DataFrame:
+    """``(digest, response)`` of payloads of ``least`` bytes or more that several rows hold; the largest id is the response."""
+    payload = named(payload_col).cast("string")
+    rows = pages.where(F.octet_length(payload) >= least).select(F.sha1(payload).alias("digest"), named(id_col).alias("id"))
+    return rows.groupBy("digest").agg(F.max("id").alias("response"), F.count("*").alias("n")).where("n > 1").select("digest", "response")
+
+
+def choose_revisits(pages: DataFrame, first: DataFrame, id_col: str, url_col: str, payload_col: str, least: int = 1000) -> DataFrame:
+    """``(id, url, payload, digest, n_bytes, refers_to)``; ``refers_to`` names the response, of ``first``, that a revisit repeats."""
+    payload = F.coalesce(named(payload_col).cast("string"), F.lit(""))
+    rows = pages.select(named(id_col).alias("id"), named(url_col).cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumns({"digest": F.sha1("payload"), "n_bytes": F.octet_length("payload").cast("long")})
-    first = (
-        rows.where(F.col("n_bytes") >= least)
-        .groupBy("digest")
-        .agg(F.max(id_col).alias("response"), F.count("*").alias("n"))
-        .where("n > 1")
-        .select("digest", "response")
-    )
-    joined = rows.join(first, "digest", "left")
-    return joined.withColumn("refers_to", F.when(~F.col(id_col).eqNullSafe(F.col("response")), F.col("response"))).drop("response")
+    long = rows.where(F.col("n_bytes") >= least).join(first, "digest", "left")
+    refers = F.when(~F.col("id").eqNullSafe(F.col("response")), F.col("response"))
+    # short payloads, the many empty ones above all, do not meet under their digests
+    short = rows.where(F.col("n_bytes") < least).withColumn("refers_to", F.lit(None).cast(first.schema["response"].dataType))
+    return short.unionByName(long.withColumn("refers_to", refers).drop("response"))
 
 
 def _record(kind, record_id: Column, block: Column, headers: list[tuple[str, Column]]) -> Column:
@@ -57,12 +62,22 @@ def _record(kind, record_id: Column, block: Column, headers: list[tuple[str, Col
 
 
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 1000, date: str = "2024-01-01T00:00:00Z") -> None:
-    """Write three records a row below ``path`` as gzip archives."""
-    rows = choose_revisits(pages.select(id_col, url_col, payload_col), id_col, payload_col, least)
-    own = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    """Write three records a row below ``path`` as gzip archives, a folder for each class of ``SIZES``."""
+    first, above = cut(repeated(pages, id_col, payload_col, least), "responses"), -1
+    size = F.coalesce(F.octet_length(named(payload_col).cast("string")), F.lit(0))
+    for below, captures in SIZES:
+        some = choose_revisits(pages.where((size > above) & (size <= below)), first, id_col, url_col, payload_col, least)
+        lines = some.select(_records(date).alias("value")).write.option("lineSep", END).option("compression", "gzip")
+        lines.option("maxRecordsPerFile", captures).text(f"{path}/to-{below}")
+        above = below
+
+
+def _records(date: str) -> Column:
+    """The three records of a row of ``choose_revisits``."""
+    own = F.coalesce(F.col("id").cast("string"), F.lit(""))
     urn = lambda what, of: F.concat(F.lit(f"urn:x-capture:{what}:"), of)
     angled = lambda c: F.concat(F.lit("<"), c, F.lit(">"))
-    target = ("WARC-Target-URI", F.coalesce(F.regexp_replace(F.col(url_col), r"[\x00-\x20]", "%20"), F.lit("")))
+    target = ("WARC-Target-URI", F.coalesce(F.regexp_replace("url", r"[\x00-\x20]", "%20"), F.lit("")))
     stamp = ("WARC-Date", F.lit(date))
     revisit = F.col("refers_to").isNotNull()
     main = _record(
@@ -81,8 +96,7 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     request = _record(F.lit("request"), urn("request", own), F.lit("GET / HTTP/1.1\r\n\r\n"), [target, stamp, concurrent, ("Content-Type", F.lit(MIME + "request"))])
     about = F.concat(F.lit("capture-id: "), own, F.lit("\r\npayload-bytes: "), F.col("n_bytes").cast("string"), F.lit("\r\n"))
     metadata = _record(F.lit("metadata"), urn("metadata", own), about, [target, stamp, concurrent, ("Content-Type", F.lit("application/warc-fields"))])
-    whole = rows.select(F.concat_ws(END, main, request, metadata).alias("value"))
-    whole.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", FILE_CAPTURES).text(path)
+    return F.concat_ws(END, main, request, metadata)
 
 
 def parse(data: bytes):
@@ -169,6 +183,7 @@ def read_archives(spark: SparkSession, path: str, with_blocks: bool = True) -> D
                         rows = []
                 yield pa.RecordBatch.from_pylist(rows, SCHEMA)
 
+    bound_batches(spark)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return files.select("content").mapInArrow(run, RECORDS)
 

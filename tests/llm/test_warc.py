@@ -50,3 +50,18 @@ def test_blocks_and_foreign_archives(spark, tmp_path):
     assert got["r2"].request is None
     with pytest.raises(ValueError, match="cut off"):
         list(warc.parse(parts[1][:-20]))
+
+
+def test_files_are_bounded_by_bytes(spark, tmp_path, monkeypatch):
+    """Small pages share files, long ones do not; a long text comes back whole. Columns with dots do no harm."""
+    monkeypatch.setattr(warc, "SIZES", ((100, 5), (5000, 2), (1 << 62, 1)))
+    rows = [(i, "u", "s" * (i % 90), "x") for i in range(40)] + [(100 + i, "u", "m" * (2000 + i), "x") for i in range(9)] + [(200 + i, "u", "l" * (3_000_000 + i), "x") for i in range(2)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, `a.b` string").coalesce(1)
+    warc.write_archives(pages, f"file://{tmp_path}/w")
+    most = {}
+    for file in tmp_path.glob("w/*/*.gz"):
+        n = sum(dict(pairs)["warc-type"] == "response" for pairs, _ in warc.parse(file.read_bytes()))
+        most.setdefault(file.parent.name, []).append(n)
+    assert {k: (max(v), sum(v)) for k, v in most.items()} == {"to-100": (5, 40), "to-5000": (2, 9), f"to-{1 << 62}": (1, 2)}
+    got = {r.page_id: r for r in warc.captures(pages).collect()}
+    assert all(got[i].payload_digest == hashlib.sha1(h.encode()).hexdigest() for i, _, h, _ in rows) and len(got) == len(rows)

@@ -1,19 +1,31 @@
-"""Lexical search: inverted index, BM25 top-k for many queries at once, and small lookups.
+"""Lexical search: a standing index, BM25 top-k for many queries at once, and small lookups.
 
 BM25 is Robertson and Zaragoza's, k1 = 1.2 and b = 0.75, with an idf floor; scores are rounded so that ties
-are ties in every engine. Query terms meet the postings first, so only their postings are shuffled.
+are ties in every engine.
+
+The index holds a row a document (its terms by their 64-bit hashes, how often each occurs, its length) and a row a term.
+It is built in one scan of the texts, without a shuffle of postings. A search sends blocks of queries to the documents: a
+task scores those it reads and keeps its best ``k`` a query, so no more than that is ever shuffled, however common a term is.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import itertools
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tarn.functions.text import query_tokens, tokens
+from tarn.functions.text import query_tokens, query_tokens_stop, tokens
 from tarn.functions.topk import top
+from tarn.plans.scratch import cut, scratch_path
 
 K1, B, IDF_FLOOR, DIGITS = 1.2, 0.75, 1e-6, 6
+#: Distinct (query, term) pairs of a block of queries; a block is what is broadcast.
+BLOCK_TERMS = 1 << 18
 
 
 def postings(docs: DataFrame, doc_id: str, text: Column) -> DataFrame:
@@ -26,53 +38,182 @@ def doc_lengths(docs: DataFrame, doc_id: str, text: Column) -> DataFrame:
     return docs.select(F.col(doc_id).alias("doc_id"), F.size(tokens(text)).cast("long").alias("dl"))
 
 
-def query_terms(queries: DataFrame, most: int | None = 8, tokenise=query_tokens) -> DataFrame:
-    """``(qid, term)``: the first ``most`` distinct tokens of each query."""
+def query_terms(queries: DataFrame, most: int | None = None, tokenise=query_tokens) -> DataFrame:
+    """``(qid, term)``: the distinct tokens of each query, all of them unless ``most`` says otherwise."""
     t = tokenise(F.col("query"))
     return queries.select("qid", F.explode(F.slice(t, 1, most) if most else t).alias("term"))
 
 
-def bm25_topk(terms: DataFrame, docs: DataFrame, k: int, doc_id: str = "id", text: Column | None = None) -> DataFrame:
+@dataclass
+class Index:
+    """``docs (doc_id, dl, terms, tfs)`` and ``terms (h, df)``, and how many documents of what mean length there are."""
+
+    docs: DataFrame
+    terms: DataFrame
+    n: int
+    avgdl: float
+
+
+def write_index(docs: DataFrame, path: str, doc_id: str = "id", text: Column | None = None, tokenise=tokens) -> None:
+    """Build an index of ``docs`` below ``path``. The texts are read once; a document's terms never leave its row."""
+    hashed = F.transform(tokenise(F.col("content") if text is None else text), lambda t: F.xxhash64(t))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(hashed, F.array().cast("array<bigint>")).alias("ts"))
+
+    def count(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 512):
+                part = batch.slice(lo, 512)
+                sizes = np.diff(part.column(1).offsets.to_numpy())
+                doc, term = np.repeat(np.arange(len(sizes)), sizes), part.column(1).flatten().to_numpy()
+                order = np.lexsort((term, doc))
+                doc, term = doc[order], term[order]
+                starts = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (term[1:] != term[:-1])]) if len(doc) else np.empty(0, np.int64)
+                tf = np.diff(np.r_[starts, len(doc)]).astype(np.int32)
+                ends = pa.array(np.r_[0, np.cumsum(np.bincount(doc[starts], minlength=len(sizes)))], pa.int32())
+                lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (term[starts], tf)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes.astype(np.int64)), *lists], ["doc_id", "dl", "terms", "tfs"])
+
+    rows.mapInArrow(count, "doc_id long, dl long, terms array<long>, tfs array<int>").write.parquet(f"{path}/docs")
+    built = docs.sparkSession.read.parquet(f"{path}/docs")
+    built.select(F.explode("terms").alias("h")).groupBy("h").agg(F.count("*").alias("df")).write.parquet(f"{path}/terms")
+    built.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).write.parquet(f"{path}/stats")
+
+
+def read_index(spark: SparkSession, path: str) -> Index:
+    n, avgdl = spark.read.parquet(f"{path}/stats").first()
+    return Index(spark.read.parquet(f"{path}/docs"), spark.read.parquet(f"{path}/terms"), n, avgdl or 1.0)
+
+
+def build_index(docs: DataFrame, doc_id: str = "id", text: Column | None = None, tokenise=tokens) -> Index:
+    """An index for this application alone."""
+    path = scratch_path(docs.sparkSession, "index")
+    write_index(docs, path, doc_id, text, tokenise)
+    return read_index(docs.sparkSession, path)
+
+
+def bm25_topk(terms: DataFrame, index: Index, k: int) -> DataFrame:
     """``qid, doc_id, rank (from 0), score``: best ``k`` documents of each query, ties to the smaller id.
 
-    Only postings of the queries' own terms are built: documents are tokenised, and a semi-join with the
-    distinct terms precedes the count. Length statistics come from the same pass over the texts.
+    ``terms (qid, term)`` holds distinct terms of each query. Blocks of queries, ``BLOCK_TERMS`` of their terms at
+    a time, are broadcast in turn; documents without any term of a query are none of its results.
+    """
+    idf = F.greatest(F.log((index.n - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(IDF_FLOOR))
+    asked = terms.select("qid", F.xxhash64("term").alias("h"))
+    # broadcast by its size as a written table, joined otherwise
+    rated = cut(index.terms.join(cut(asked, "asked"), "h").select("qid", "h", idf.alias("idf")).orderBy("qid", "h"), "rated")
+    found = None
+    for block in _blocks(rated):
+        part = _best_of(block, index, k)
+        found = part if found is None else found.unionAll(part)
+    if found is None:
+        found = terms.sparkSession.createDataFrame([], "qid long, doc_id long, score double")
+    return top(found, k, F.desc("score"), "doc_id").select("qid", "doc_id", "rank", "score")
+
+
+def _blocks(rated: DataFrame):
+    """Whole queries, about ``BLOCK_TERMS`` rows at a time: query ids, and of each term its hash, query number and idf."""
+    held: list = []
+    if not rated.isEmpty():
+        rows = rated.orderBy("qid", "h").toLocalIterator(prefetchPartitions=True) if rated.count() > BLOCK_TERMS else iter(rated.orderBy("qid", "h").collect())
+        for _, query in itertools.groupby(rows, key=lambda r: r["qid"]):
+            held += query
+            if len(held) >= BLOCK_TERMS:
+                yield _arrays(held)
+                held = []
+    if held:
+        yield _arrays(held)
+
+
+def _arrays(rows: list) -> tuple[np.ndarray, ...]:
+    qids, number = np.unique(np.array([r["qid"] for r in rows]), return_inverse=True)
+    h, idf = np.array([r["h"] for r in rows]), np.array([r["idf"] for r in rows])
+    order = np.argsort(h, kind="stable")
+    return qids, h[order], number[order], idf[order]
+
+
+def _best_of(block: tuple[np.ndarray, ...], index: Index, k: int) -> DataFrame:
+    """Every task's best ``k`` documents of each query of a block."""
+    sent = index.docs.sparkSession.sparkContext.broadcast(block)
+    avgdl = index.avgdl
+
+    def run(batches):
+        qids, h, number, idf = sent.value
+        distinct, first = np.unique(h, return_index=True)
+        ends = np.r_[first[1:], len(h)]
+        best: list[tuple] = []
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 2048):
+                best.append(_scored(batch.slice(lo, 2048), distinct, first, ends, number, idf, len(qids), avgdl, k))
+                if len(best) == 16:
+                    best = [_top(best, k)]
+        if best:
+            q, doc, score = _top(best, k)
+            yield pa.RecordBatch.from_arrays([pa.array(qids[q]), pa.array(doc), pa.array(score)], ["qid", "doc_id", "score"])
+
+    return index.docs.mapInArrow(run, "qid long, doc_id long, score double")
+
+
+def _scored(batch: pa.RecordBatch, distinct, first, ends, number, idf, queries: int, avgdl: float, k: int) -> tuple:
+    """Best ``k`` of a batch of documents, for each query: their numbers, ids and scores."""
+    ids, dl = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+    terms, tf = batch.column(2).flatten().to_numpy(), batch.column(3).flatten().to_numpy()
+    doc = np.repeat(np.arange(len(ids)), np.diff(batch.column(2).offsets.to_numpy()))
+    at = np.minimum(np.searchsorted(distinct, terms), len(distinct) - 1)
+    hit = np.flatnonzero(distinct[at] == terms)
+    at, doc, tf = at[hit], doc[hit], tf[hit]
+    weight = tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl[doc] / avgdl))
+    order = np.argsort(at, kind="stable")
+    at, doc, weight = at[order], doc[order], weight[order]
+    lo, hi = (np.searchsorted(at, np.arange(len(distinct)), side) for side in ("left", "right"))
+    pairs = np.flatnonzero(np.repeat(hi - lo, ends - first))  # terms of queries that occur here
+    by = np.argsort(number[pairs], kind="stable")
+    pairs = pairs[by]
+    of = np.repeat(np.arange(len(distinct)), ends - first)[pairs]
+    out = []
+    for query, own in itertools.groupby(range(len(pairs)), key=lambda i: number[pairs[i]]):
+        own = list(own)
+        spans = [slice(lo[of[i]], hi[of[i]]) for i in own]
+        docs = np.concatenate([doc[s] for s in spans])
+        score = np.bincount(docs, np.concatenate([idf[pairs[i]] * weight[s] for i, s in zip(own, spans)]), len(ids))
+        there = np.unique(docs) if len(docs) < len(ids) else np.flatnonzero(np.bincount(docs, minlength=len(ids)))
+        value = np.round(score[there], DIGITS)
+        if len(there) > k:
+            keep = value >= np.partition(value, len(value) - k)[len(value) - k]
+            there, value = there[keep], value[keep]
+        out.append((np.full(len(there), query), ids[there], value))
+    if not out:
+        return np.empty(0, np.int64), ids[:0], np.empty(0)
+    return tuple(map(np.concatenate, zip(*out)))
+
+
+def _top(parts: list[tuple], k: int) -> tuple:
+    q, doc, score = map(np.concatenate, zip(*parts))
+    order = np.lexsort((doc, -score, q))
+    q, doc, score = q[order], doc[order], score[order]
+    keep = np.arange(len(q)) - np.searchsorted(q, q) < k
+    return q[keep], doc[keep], score[keep]
+
+
+def idf_top_tokens(queries: DataFrame, index: Index, k: int) -> DataFrame:
+    """``qid, tokens``: of a query with more than ``k`` tokens the rarest ``k`` that the index knows, in query order.
+
+    A query of fewer tokens keeps them all, and so does one none of whose tokens is known.
     """
-    text = F.col("content") if text is None else text
-    wanted = terms.select("term").distinct()
-    sized = docs.select(F.col(doc_id).alias("doc_id"), tokens(text).alias("ts"))
-    sized = sized.select("doc_id", F.size("ts").cast("long").alias("dl"), "ts")
-    stats = sized.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    matched = sized.select("doc_id", "dl", F.explode("ts").alias("term")).join(wanted, "term", "left_semi")
-    tf = matched.groupBy("term", "doc_id", "dl").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(IDF_FLOOR))
-    weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    rated = tf.join(df.crossJoin(F.broadcast(stats)).withColumn("idf", idf), "term").select("term", "doc_id", weight.alias("w"))
-    scores = terms.join(rated, "term").groupBy("qid", "doc_id").agg(F.round(F.sum("w"), DIGITS).alias("score"))
-    return top(scores, k, F.desc("score"), "doc_id").select("qid", "doc_id", "rank", "score")
-
-
-def idf_top_tokens(queries: DataFrame, docs: DataFrame, k: int, doc_id: str = "id", text: Column | None = None) -> DataFrame:
-    """``qid, tokens``: each query's ``k`` rarest tokens that occur at all, in query order."""
-    from tarn.functions.text import query_tokens_stop
-
-    text = F.col("content") if text is None else text
-    q = queries.select("qid", F.posexplode(query_tokens_stop(F.col("query"))).alias("i", "term"))
-    n = docs.count()
-    df = docs.select(F.explode(F.array_distinct(tokens(text))).alias("term")).join(q.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
-    found = q.join(df, "term")
-    rarity = F.round(F.log(F.lit(n + 1.0) / (F.col("df") + 1)), 9)
-    rarest = found.withColumn("r", F.row_number().over(W.partitionBy("qid").orderBy(F.desc(rarity), "i"))).where(F.col("r") <= k)
-    return rarest.groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "term"))), lambda x: x["term"]), " ").alias("tokens"))
-
-
-def search_fts(queries: DataFrame, docs: DataFrame, limit: int, decay: float = 1.0) -> DataFrame:
+    q = queries.select("qid", query_tokens_stop(F.col("query")).alias("ts")).select("qid", F.size("ts").alias("n"), F.posexplode("ts").alias("i", "term"))
+    found = cut(q.withColumn("h", F.xxhash64("term")), "tokens").join(index.terms, "h", "left")
+    rarity = F.round(F.log(F.lit(index.n + 1.0) / (F.col("df") + 1)), 9)
+    over = W.partitionBy("qid")
+    rated = found.withColumn("r", F.row_number().over(over.orderBy(F.desc_nulls_last(rarity), "i"))).withColumn("known", F.count("df").over(over))
+    kept = rated.where((F.col("n") <= k) | (F.col("known") == 0) | (F.col("df").isNotNull() & (F.col("r") <= k)))
+    return kept.groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "term"))), lambda x: x["term"]), " ").alias("tokens"))
+
+
+def search_fts(queries: DataFrame, docs: DataFrame, index: Index, limit: int, decay: float = 1.0) -> DataFrame:
     """Lexical search with snippets: ``qid, pos, id, slug, score, snippet``; under decay three times as many are fetched and re-picked."""
     from tarn.functions.text import match_snippet
     from tarn.operators.rank import slug_decay
 
-    pool = bm25_topk(query_terms(queries), docs, limit * 3 if decay < 1 else limit)
+    pool = bm25_topk(query_terms(queries), index, limit * 3 if decay < 1 else limit)
     rows = pool.join(docs.select(F.col("id").alias("doc_id"), "slug", "content"), "doc_id")
     picked = slug_decay(rows, decay, limit) if decay < 1 else rows.withColumn("pos", F.col("rank"))
     return picked.join(queries, "qid").select("qid", "pos", "doc_id", "slug", F.round("score", 3).alias("score"), match_snippet(F.col("content"), F.col("query")).alias("snippet"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tarn.functions import text as X
 from tarn.operators import lexical as L
+from tarn.plans import versioned
 from tarn.queries import query
 from tarn.sources.tables import SECTIONS_SQL, TEXT_QUERIES_SQL, sections, table, text_queries
 
@@ -13,7 +14,7 @@ SPLIT = "list_filter(string_split_regex(lower({}), '[^\\p{{L}}\\p{{N}}_]+'), lam
 STOP = "[" + ", ".join(f"'{w}'" for w in X.STOPWORDS) + "]"
 #: distinct tokens of the queries in order of appearance: qid, term, i
 TOKENS_SQL = f"(SELECT qid, term, min(i) AS i FROM (SELECT qid, unnest(ts) AS term, generate_subscripts(ts, 1) AS i FROM (SELECT qid, {SPLIT.format('query')} AS ts FROM {TEXT_QUERIES_SQL})) GROUP BY qid, term)"
-TERMS_SQL = f"(SELECT qid, term FROM {TOKENS_SQL} QUALIFY row_number() OVER (PARTITION BY qid ORDER BY i) <= 8)"
+TERMS_SQL = f"(SELECT qid, term FROM {TOKENS_SQL})"
 
 
 def bm25_sql(content: str = "text", k: int = 10) -> str:
@@ -25,8 +26,31 @@ def bm25_sql(content: str = "text", k: int = 10) -> str:
     SELECT qid, doc_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) - 1 AS rank FROM r QUALIFY rank < {k})"""
 
 
-def bm25(spark, sf, k: int = 10):
-    return L.bm25_topk(L.query_terms(text_queries(spark, sf)), sections(spark, sf), k)
+#: What an index may cover: the whole text, or a part of it.
+FIELDS = {
+    "text": F.col,
+    "head": lambda c: F.substring(c, 1, 200),
+    "body": lambda c: F.substring(c, 201, 1 << 30),
+    "opening": lambda c: F.substring(c, 1, 500),
+}
+
+
+def index(spark, sf, field: str = "text") -> L.Index:
+    """The standing index of a field of the documents; it is built if there is none for the files as they are."""
+    digest = versioned.identity(table(spark, sf, "documents"), "bm25", field)
+    path = versioned.ensure(spark, f"index-{field}", digest, lambda p: L.write_index(sections(spark, sf), p, text=FIELDS[field]("content")))
+    return L.read_index(spark, path)
+
+
+def bm25(spark, sf, k: int = 10, field: str = "text"):
+    return L.bm25_topk(L.query_terms(text_queries(spark, sf)), index(spark, sf, field), k)
+
+
+@query("build_index", f"SELECT count(*)::BIGINT AS docs, sum(dl)::BIGINT AS tokens, (SELECT count(DISTINCT term) FROM (SELECT unnest({SPLIT.format('text')}) AS term FROM documents))::BIGINT AS terms FROM (SELECT len({SPLIT.format('text')}) AS dl FROM documents)")
+def build_index(spark, sf):
+    """A fresh index: its documents, their tokens, and distinct terms."""
+    made = L.build_index(sections(spark, sf))
+    return made.docs.agg(F.count("*").alias("docs"), F.sum("dl").alias("tokens")).crossJoin(made.terms.agg(F.count("*").alias("terms")))
 
 
 @query("query_tokens", f"SELECT qid, string_agg(term, ' ' ORDER BY i) AS tokens FROM {TOKENS_SQL} GROUP BY qid")
@@ -71,28 +95,29 @@ DECAYED = f"""(SELECT qid, doc_id, lang || '-' || source AS slug, text, score, r
     SELECT qid, pos, doc_id, slug, round(score, 3) AS score, CASE WHEN length(text) <= 500 THEN text WHEN len(hits) = 0 THEN left(text, 500) WHEN start > 0 THEN '…' || substr(text, start + 1, 500) ELSE substr(text, start + 1, 500) END AS snippet FROM s""",
 )
 def search_fts(spark, sf):
-    return L.search_fts(text_queries(spark, sf), sections(spark, sf), 10, 0.5)
+    return L.search_fts(text_queries(spark, sf), sections(spark, sf), index(spark, sf), 10, 0.5)
 
 
 @query(
     "idf_top_tokens",
     f"""WITH k AS (SELECT *, NOT list_contains({STOP}, term) OR regexp_matches(term, '\\p{{N}}') AS kept FROM {TOKENS_SQL}),
-    f AS (SELECT term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest({SPLIT.format('text')}) AS term FROM documents) GROUP BY term),
-    r AS (SELECT qid, k.term, i FROM k JOIN f USING (term) WHERE kept QUALIFY row_number() OVER (PARTITION BY qid ORDER BY round(ln(((SELECT count(*) FROM documents) + 1.0) / (df + 1)), 9) DESC, i) <= 3)
-    SELECT qid, string_agg(term, ' ' ORDER BY i) AS tokens FROM r GROUP BY qid""",
+    a AS (SELECT *, count(*) FILTER (WHERE kept) OVER (PARTITION BY qid) AS kept_n FROM k),
+    t AS (SELECT *, count(*) OVER (PARTITION BY qid) AS n FROM (SELECT * FROM a WHERE kept OR kept_n = 0 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY i) <= 32)),
+    f AS (SELECT term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest({SPLIT.format('text')}) AS term FROM documents WHERE doc_id % 2 = 0) GROUP BY term),
+    j AS (SELECT qid, n, t.term, i, df, count(df) OVER (PARTITION BY qid) AS known,
+      row_number() OVER (PARTITION BY qid ORDER BY round(ln(((SELECT count(*) FROM documents WHERE doc_id % 2 = 0) + 1.0) / (df + 1)), 9) DESC NULLS LAST, i) AS r FROM t LEFT JOIN f USING (term))
+    SELECT qid, string_agg(term, ' ' ORDER BY i) AS tokens FROM j WHERE n <= 6 OR known = 0 OR (df IS NOT NULL AND r <= 6) GROUP BY qid""",
 )
 def idf_top_tokens(spark, sf):
-    return L.idf_top_tokens(text_queries(spark, sf), sections(spark, sf), 3)
+    """Against an index of every other document, so that some tokens are unknown."""
+    return L.idf_top_tokens(text_queries(spark, sf), L.build_index(sections(spark, sf).where("id % 2 = 0")), 6)
 
 
 @query("field_bm25", f"SELECT 'head' AS field, qid, doc_id, rank, score FROM {bm25_sql('left(text, 200)', 5)} UNION ALL SELECT 'body' AS field, qid, doc_id, rank, score FROM {bm25_sql('substr(text, 201)', 5)}")
 def field_bm25(spark, sf):
     """Two rankings, each by one field alone."""
-    terms, s = L.query_terms(text_queries(spark, sf)), sections(spark, sf)
-    head = L.bm25_topk(terms, s, 5, text=F.substring("content", 1, 200))
-    body = L.bm25_topk(terms, s, 5, text=F.substring("content", 201, 1 << 30))
-    named = lambda d, n: d.select(F.lit(n).alias("field"), "qid", "doc_id", "rank", "score")
-    return named(head, "head").unionAll(named(body, "body"))
+    named = lambda field: bm25(spark, sf, 5, field).select(F.lit(field).alias("field"), "qid", "doc_id", "rank", "score")
+    return named("head").unionAll(named("body"))
 
 
 @query("route", f"""WITH a AS {bm25_sql('left(text, 200)', 5)}, b AS {bm25_sql('substr(text, 201)', 5)},
@@ -102,8 +127,7 @@ def route(spark, sf):
     """The description leg and the body leg fused by rank; the best three."""
     from tarn.operators import fusion
 
-    terms, s = L.query_terms(text_queries(spark, sf)), sections(spark, sf)
-    both = fusion.legs(L.bm25_topk(terms, s, 5, text=F.substring("content", 1, 200)), L.bm25_topk(terms, s, 5, text=F.substring("content", 201, 1 << 30)))
+    both = fusion.legs(bm25(spark, sf, 5, "head"), bm25(spark, sf, 5, "body"))
     return fusion.rrf(both).where("rank < 3").withColumn("score", F.round("score", 4))
 
 
@@ -151,9 +175,10 @@ def trigger_accuracy(spark, sf):
 
 @query(
     "keyword_overlap_topk",
-    f"""WITH q AS (SELECT qid, list_distinct({SPLIT.format('query')}) AS w FROM {TEXT_QUERIES_SQL}), d AS (SELECT doc_id, list_distinct({SPLIT.format('left(text, 300)')}) AS w FROM documents WHERE doc_id < 100),
-    o AS (SELECT qid, doc_id, round(len(list_intersect(q.w, d.w)) / len(q.w)::DOUBLE, 9) AS score FROM q CROSS JOIN d)
-    SELECT qid, doc_id, score FROM o WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) <= 3""",
+    f"""WITH q AS (SELECT qid, w, count(*) OVER (PARTITION BY qid) AS n FROM (SELECT qid, unnest(list_distinct({SPLIT.format('query')})) AS w FROM {TEXT_QUERIES_SQL})),
+    d AS (SELECT doc_id, unnest(list_distinct({SPLIT.format('text')})) AS w FROM documents),
+    o AS (SELECT qid, doc_id, round(count(*) / max(n)::DOUBLE, 9) AS score FROM q JOIN d USING (w) GROUP BY qid, doc_id)
+    SELECT qid, doc_id, score FROM o QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) <= 3""",
 )
 def keyword_overlap_topk(spark, sf):
     """Shared words as a share of the query's key words; the best three blocks. An equi-join on words, no cross product."""
@@ -161,6 +186,6 @@ def keyword_overlap_topk(spark, sf):
 
     q = text_queries(spark, sf).select("qid", X.query_tokens(F.col("query")).alias("w"))
     q = q.select("qid", F.size("w").alias("n"), F.explode("w").alias("word"))
-    d = table(spark, sf, "documents").where("doc_id < 100").select("doc_id", F.explode(X.query_tokens(F.substring("text", 1, 300))).alias("word"))
+    d = table(spark, sf, "documents").select("doc_id", F.explode(X.query_tokens(F.col("text"))).alias("word"))
     shared = q.join(d, "word").groupBy("qid", "doc_id").agg(F.round(F.count("*") / F.first("n"), 9).alias("score"))
     return ranked(shared, F.desc("score"), "doc_id", k=3).select("qid", "doc_id", "score")

@@ -20,13 +20,12 @@ def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 SECTIONS_SQL = "(SELECT doc_id AS id, lang || '-' || source AS slug, 'Note ' || lang || '-' || source AS title, lang AS heading, text AS content FROM documents)"
 
 
-def text_queries(spark: SparkSession, sf_dir: str, words: int = 8) -> DataFrame:
-    """``qid, query``: the first words of every benchmark item."""
-    b = table(spark, sf_dir, "benchmark")
-    return b.select(F.col("item_id").alias("qid"), F.array_join(F.slice(F.split("text", " "), 1, words), " ").alias("query"))
+def text_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``qid, query``: every benchmark item's whole text."""
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
 
 
-TEXT_QUERIES_SQL = "(SELECT item_id AS qid, array_to_string(string_split(text, ' ')[1:8], ' ') AS query FROM benchmark)"
+TEXT_QUERIES_SQL = "(SELECT item_id AS qid, text AS query FROM benchmark)"
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

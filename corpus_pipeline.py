@@ -40,15 +40,20 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     It is the one of the smallest id, of the first row that bears it; rows without an id come last. Rows of one id are
     documents of their own, and go only if their texts are alike. Texts without words, null ones too, are one group.
     """
-    row = "row number"
-    while row in docs.columns:
-        row += " "
-    rows = cut(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")  # written, so the numbers stay
-    groups = simhash.similar(rows, shingle=5, least=0.8, id_col=row)
-    ranked = groups.join(rows.select(F.col(row).alias("id"), F.col("doc_id")), "id").select("id", "component_id", F.struct(F.isnull("doc_id"), "doc_id", "id").alias("order"))
-    first = ranked.groupBy("component_id").agg(F.min("order").alias("first"))
-    dropped = cut(ranked.join(first, "component_id").where(F.col("id") != F.col("first.id")).select(F.col("id").alias(row)), "dropped")
-    return rows.join(dropped, row, "left_anti").select(*map(named, docs.columns))
+    key = "key"
+    while key in docs.columns:
+        key += " "
+    # rows of one id are told apart by their texts; those that are alike in both are one document
+    own = F.struct(F.isnull("doc_id"), "doc_id", F.xxhash64("text", "doc_id"), F.xxhash64(F.lit(7), "doc_id", "text"))
+    rows = docs.withColumn(key, own)
+    groups = cut(simhash.similar(rows, shingle=5, least=0.8, id_col=key).select(F.col("id").alias(key), "component_id"), "groups")
+    first = F.col(key) == F.col("component_id")
+    dropped = cut(groups.where(~first).select(key), "dropped")
+    repeated = cut(groups.where(first).groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(key), "repeated")
+    kept = rows.join(dropped, key, "left_anti")
+    if not repeated.isEmpty():
+        kept = kept.join(repeated, key, "left_anti").unionByName(kept.join(repeated, key, "left_semi").dropDuplicates([key]))
+    return kept.select(*map(named, docs.columns))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -321,7 +321,6 @@ def sketches(docs: DataFrame, shingle: int, tables: int, id_col: str, text_col:
     def setup():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             sets = [shingle_set(t or "", shingle) for t in batch.column(0).to_pylist()]
-            digests = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
             fps = np.array([_majority(s[lo : lo + BLOCK] for lo in range(0, len(s), BLOCK)) for s in sets], np.uint64)
             n = np.array([len(s) for s in sets], np.int64)
             every = np.concatenate([s if len(s) else np.zeros(1, np.uint64) for s in sets])
@@ -329,11 +328,17 @@ def sketches(docs: DataFrame, shingle: int, tables: int, id_col: str, text_col:
             least = [np.minimum.reduceat((every ^ np.uint64(a)) * np.uint64(b), begins) for a, b in permuted]
             keys = np.stack([(x * np.uint64(0x9E3779B97F4A7C15)) ^ y for x, y in zip(least[::2], least[1::2])], 1).view(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * tables, pa.int32()), pa.array(keys.ravel()))
-            return pa.RecordBatch.from_arrays([batch.column(1), pa.array(digests, pa.binary()), pa.array(fps.view(np.int64)), pa.array(n), lists], ["id", "digest", "fp", "n", "keys"])
+            digests = pa.array([_digest(s) for s in sets], pa.binary())
+            return pa.RecordBatch.from_arrays([batch.column(1), digests, pa.array(fps.view(np.int64)), pa.array(n), lists], ["id", "digest", "fp", "n", "keys"])
 
         return work
 
-    return map_texts(docs, text_col, [named(id_col).cast("long").alias("id")], "id long, digest binary, fp long, n long, keys array<long>", setup)
+    kind = docs.select(named(id_col)).schema[0].dataType.simpleString()
+    return map_texts(docs, text_col, [named(id_col).alias("id")], f"id {kind}, digest binary, fp long, n long, keys array<long>", setup)
+
+
+def _digest(members: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(members.astype("<u8").tobytes())
 
 
 def _verified(sets: list[np.ndarray], fps: np.ndarray, role: np.ndarray, same: bool, radius: int, least: float) -> np.ndarray:
@@ -377,6 +382,78 @@ def _verified(sets: list[np.ndarray], fps: np.ndarray, role: np.ndarray, same: b
     return label
 
 
+def _cell_links(placed: DataFrame, radius: int, least: float) -> DataFrame:
+    """``(src, dst)`` that connect what the cells of ``placed (group, slice, role, rep, fp, members)`` hold in links.
+
+    Rows of role 0 are compared with each other if no row of role 1 is there, else those of role 1 with them, a slice's worth at a time.
+    """
+    bound_batches(placed.sparkSession)
+
+    def run(batches):
+        key, tree, asking, size, asked = None, [], [], 0, False
+
+        def found(rows):
+            reps, fps, role = (np.array([r[c] for r in rows]) for c in ("rep", "fp", "role"))
+            members = [np.frombuffer(r["members"], "<u8") for r in rows]
+            label = _verified(members, fps.view(np.uint64), role, not role.any(), radius, least)
+            return pa.RecordBatch.from_arrays(_edges(*_hung(label, reps)), ["src", "dst"])
+
+        def rest():
+            if asking and tree or len(tree) > 1 and not asked:
+                yield found(tree + asking)
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                now = row["group"], row["slice"]
+                if now != key:
+                    yield from rest()
+                    key, tree, asking, size, asked = now, [], [], 0, False
+                if row["role"] == 0:
+                    tree.append(row)
+                    continue
+                asking.append(row)
+                asked, size = True, size + len(row["members"]) // 8
+                if len(asking) >= 512 or size >= SET_SIZE:
+                    yield from rest()
+                    asking, size = [], 0
+        yield from rest()
+
+    cells = placed.select("group", "slice", "role", "rep", "fp", "members").repartition("group", "slice").sortWithinPartitions("group", "slice", "role", "rep")
+    return cells.mapInArrow(run, "src long, dst long")
+
+
+def _group_links(rows: DataFrame, radius: int, least: float) -> DataFrame:
+    """``(src, dst)`` that connect all links inside the groups of ``rows (group, slice, slices, rep, fp, members)``.
+
+    Each slice is compared with itself. Where a group has several, the least of each part found asks the other slices, which
+    joins most parts; then whatever is outside a group's largest part asks them too, so no link between parts is missed.
+    """
+    tree = rows.withColumn("role", F.lit(0))
+    edges = cut(_cell_links(tree, radius, least), "links")
+    sliced = rows.where("slices > 1")
+    if sliced.isEmpty():
+        return edges
+    others = F.explode(F.filter(F.sequence(F.lit(0), F.col("slices") - 1), lambda i: i != F.col("slice")))
+
+    def with_parts() -> DataFrame:
+        parts = connected_components(edges)
+        placed = sliced.drop("members").join(parts, F.col("rep") == F.col("vertex"), "left")
+        return placed.select("group", "rep", F.coalesce("component", "rep").alias("part"))
+
+    def asked(who: DataFrame) -> DataFrame:
+        """Links of ``who (group, rep)`` with the other slices of their groups."""
+        asks = sliced.join(who.select("rep"), "rep").withColumn("role", F.lit(1)).withColumn("slice", others)
+        there = tree.where("slices > 1").join(who.select("group").distinct(), "group", "left_semi")
+        return cut(_cell_links(there.unionByName(asks), radius, least), "links")
+
+    edges = edges.unionByName(asked(cut(with_parts().where("rep = part").select("group", "rep"), "asking")))
+    parts = cut(with_parts(), "parts")
+    sizes = parts.groupBy("group", "part").agg(F.count("*").alias("size"))
+    largest = sizes.groupBy("group").agg(F.max_by("part", F.struct("size", "part")).alias("largest"))
+    outside = cut(parts.join(largest, "group").where("part != largest").select("group", "rep"), "asking")
+    return edges if outside.isEmpty() else edges.unionByName(asked(outside))
+
+
 def similar(
     docs: DataFrame,
     shingle: int = 5,
@@ -387,60 +464,33 @@ def similar(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """``id, class_id, component_id``: one row per row of ``docs``, whose ids must be distinct and not null.
+    """``id, class_id, component_id``: one row per row of ``docs``; ids may be of any type that has an order.
 
     Equal shingle sets are one class, named by its smallest id. Classes link at a Jaccard similarity of ``least``
     or more; the component is the smallest id reachable. Two classes of similarity 0.8 share no shard with odds
     of 0.36 to the power of ``tables``, and stand further apart than ``radius`` bits with odds below one in a thousand.
     """
     own = cut(sketches(docs, shingle, tables, id_col, text_col), "sketches")
-    classes = cut(own.groupBy("digest").agg(F.min("id").alias("rep"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("keys").alias("keys")), "classes")
+    classes = own.groupBy("digest").agg(F.min("id").alias("id"), F.min("fp").alias("fp"), F.min("n").alias("n"), F.min("keys").alias("keys"))
+    classes = cut(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")  # written, so the numbers stay
     keyed = classes.where("n > 0").select(F.posexplode("keys").alias("t", "key"), "fp", "rep", "n")
     near = connected_components(shard_links(keyed, radius, cell, least))
 
-    members = near.join(classes.select(F.col("rep").alias("vertex"), "fp", "n"), "vertex")
-    members = cut(members.select(F.col("vertex").alias("rep"), F.col("component").alias("group"), "fp", "n"), "members")
-    texts = docs.select(named(id_col).cast("long").alias("rep"), named(text_col).alias("text")).join(members.select("rep"), "rep")
+    members = cut(near.join(classes.select(F.col("rep").alias("vertex"), "digest", "id", "fp", "n"), "vertex").withColumnsRenamed({"vertex": "rep", "component": "group"}), "members")
+    texts = docs.select(named(id_col).alias("id"), named(text_col).alias("text")).join(members.select("id").distinct(), "id", "left_semi")
 
     def setup():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            sets = [shingle_set(t or "", shingle).astype("<u8").tobytes() for t in batch.column(0).to_pylist()]
-            return pa.RecordBatch.from_arrays([batch.column(1), pa.array(sets, pa.binary())], ["rep", "members"])
+            sets = [shingle_set(t or "", shingle) for t in batch.column(0).to_pylist()]
+            return pa.RecordBatch.from_arrays([pa.array(list(map(_digest, sets)), pa.binary()), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], ["digest", "members"])
 
         return work
 
-    sets = cut(map_texts(texts, "text", [F.col("rep")], "rep long, members binary", setup), "sets")
+    sets = map_texts(texts, "text", [], "digest binary, members binary", setup).dropDuplicates(["digest"])
     size = F.greatest(F.ceil(F.count("*") / (cell // 2)), F.ceil(F.sum("n") / SET_SIZE)).cast("int")
-    placed = members.join(members.groupBy("group").agg(size.alias("slices")), "group").withColumn("mine", F.pmod(F.xxhash64("rep", F.lit(7)), "slices").cast("int"))
-    placed = placed.select("group", "rep", "fp", "mine", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("other")).join(sets, "rep")
-    placed = placed.select(
-        "group", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"), (F.col("mine") > F.col("other")).cast("int").alias("role"), "rep", "fp", "members"
-    )
-    cells = ["group", "a", "b"]
-
-    def verify(batches):
-        key, rows = None, []
-
-        def found():
-            reps, fps, role = (np.array([r[c] for r in rows]) for c in ("rep", "fp", "role"))
-            members = [np.frombuffer(r["members"], "<u8") for r in rows]
-            label = _verified(members, fps.view(np.uint64), role, key[1] == key[2], radius, least)
-            return pa.RecordBatch.from_arrays(_edges(*_hung(label, reps)), ["src", "dst"])
-
-        for batch in batches:
-            for row in batch.to_pylist():
-                now = row["group"], row["a"], row["b"]
-                if now != key:
-                    if len(rows) > 1:
-                        yield found()
-                    key, rows = now, []
-                rows.append(row)
-        if len(rows) > 1:
-            yield found()
-
-    bound_batches(docs.sparkSession)
-    linked = placed.repartition(*cells).sortWithinPartitions(*cells, "role", "rep").mapInArrow(verify, "src long, dst long")
-    groups = connected_components(linked)
-    labelled = classes.select("digest", "rep").join(groups, F.col("rep") == F.col("vertex"), "left")
-    labelled = labelled.select("digest", F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component_id"))
-    return own.select("id", "digest").join(labelled, "digest").select("id", "class_id", "component_id")
+    placed = members.join(members.groupBy("group").agg(size.alias("slices")), "group").withColumn("slice", F.pmod(F.xxhash64("rep", F.lit(7)), "slices").cast("int"))
+    rows = cut(placed.select("group", "slice", "slices", "rep", "fp", "digest").join(sets, "digest").drop("digest"), "sets")
+    groups = connected_components(_group_links(rows, radius, least))
+    labelled = classes.join(groups, F.col("rep") == F.col("vertex"), "left").select("digest", F.col("id").alias("class_id"), F.coalesce("component", "rep").alias("part"))
+    roots = labelled.groupBy("part").agg(F.min("class_id").alias("component_id"))
+    return own.select("id", "digest").join(labelled.join(roots, "part"), "digest").select("id", "class_id", "component_id")

@@ -124,6 +124,11 @@ def test_similar_equals_brute_force(spark, cell):
             for _ in range(rnd.randrange(0, 1 + len(copy) // 40)):
                 copy[rnd.randrange(len(copy))] = rnd.choice(words)
             texts.append(" ".join(copy) + (" " + copy[0] if rnd.random() < 0.2 else ""))
+    # a large group in which many are alike to some only
+    base = [rnd.choice(words) for _ in range(60)]
+    for _ in range(40):
+        at = rnd.randrange(50)
+        texts.append(" ".join([*base[:at], *(rnd.choice(words) for _ in range(rnd.choice([1, 1, 2, 3, 5]))), *base[at:]]))
     docs = spark.createDataFrame([(i * 7 % 1009, t, "clash") for i, t in enumerate(texts)], "doc_id long, text string, `a.b` string")
     sets = {i * 7 % 1009: brute_sets(t or "") for i, t in enumerate(texts)}
     label = {i: i for i in sets}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,3 +28,14 @@ def hash_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     j = old.withColumnRenamed("sha", "was").join(new, "key", "full_outer").where("NOT (was <=> sha)")
     state = F.when(F.col("sha").isNull(), "missing").when(F.col("was").isNull(), "extra").otherwise("changed")
     return j.select("key", state.alias("state"))
+
+
+def merge_shards(shards: list[tuple[DataFrame, dict]], keys: list[str]) -> DataFrame:
+    """The rows of all shards, each given with its configuration. Raises if configurations differ or a key is in two rows."""
+    if len({repr(sorted(config.items())) for _, config in shards}) > 1:
+        raise ValueError("shards of different configurations")
+    whole = functools.reduce(DataFrame.unionByName, (rows for rows, _ in shards))
+    twice = whole.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").limit(3).collect()
+    if twice:
+        raise ValueError(f"keys in more than one shard or row: {[tuple(r)[:-1] for r in twice]}")
+    return whole

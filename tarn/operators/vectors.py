@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarn.functions.topk import top
+from tarn.plans.scratch import cut
 
 #: Queries of one block; a block is what is broadcast.
 BLOCK = 4096
+#: Rows of either side that a product of matrices takes at once.
+TILE = 1024
+#: Pairs up to which the declarative form serves.
+PAIRS = 1 << 20
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -45,47 +52,73 @@ def non_finite(v: Column) -> Column:
     return F.exists(v, lambda x: F.isnan(x) | (F.abs(x) == float("inf")))
 
 
-def knn_sql(queries: DataFrame, corpus: DataFrame, k: int, ties=None) -> DataFrame:
-    """Declarative form: every query against every vector, for query sets of a size that was checked.
+def knn_sql(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
+    """Declarative form: every query against every vector. ``knn`` takes it for few pairs only.
 
     ``queries (qid, qvec)``, ``corpus (id, vector)``; returns ``qid, id, rank (from 0), distance``, ties by id.
     """
-    if queries.count() > BLOCK:
-        return knn_blocked(queries, corpus, k)
     pairs = corpus.join(F.broadcast(queries), F.lit(True)).select("qid", "id", F.round(l2(F.col("qvec"), F.col("vector")), 9).alias("distance"))
-    return top(pairs, k, "distance", *(ties or ["id"])).select("qid", "id", "rank", "distance")
+    return top(pairs, k, "distance", "id").select("qid", "id", "rank", "distance")
+
+
+def knn(queries: DataFrame, corpus: DataFrame, k: int, backend: str = "auto") -> DataFrame:
+    """Exact search by either form; ``auto`` counts the pairs and takes the declarative form below ``PAIRS``. Results are the same."""
+    if backend == "auto":
+        backend = "sql" if queries.count() * corpus.count() <= PAIRS else "blocked"
+    return {"sql": knn_sql, "blocked": knn_blocked}[backend](queries, corpus, k)
+
+
+def _blocks(rows: DataFrame, order: list[str], by: str, vector: str):
+    """Rows in blocks of about ``BLOCK`` that hold every ``by`` whole: the columns of ``order``, and the vectors as a matrix."""
+    held: list = []
+    for _, group in itertools.groupby(rows.select(*order, vector).orderBy(*order).toLocalIterator(), key=lambda r: r[by]):
+        held += group
+        if len(held) >= BLOCK:
+            yield *(np.array([r[c] for r in held]) for c in order), np.array([r[vector] for r in held])
+            held = []
+    if held:
+        yield *(np.array([r[c] for r in held]) for c in order), np.array([r[vector] for r in held])
 
 
-def knn_blocked(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
-    """Arrow form: query blocks of a fixed size go to every partition of the corpus, each returns its best ``k``.
+def _pieces(batches, rows: int = TILE):
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
 
-    A partition keeps ``k`` rows a query, whatever its size; the blocks are taken in turn. Matrix products
-    find the candidates within a slack of the k-th, exact distances settle them.
+
+def knn_blocked(queries: DataFrame, corpus: DataFrame, k: int, digits: int = 9, chunk: int | None = None) -> DataFrame:
+    """Arrow form: query blocks of a bounded size go to every partition of the corpus in turn, each returns its best ``k``.
+
+    A partition keeps ``k`` rows a query, whatever its size. Matrix products of ``TILE`` rows find the candidates within a slack
+    of the k-th, which grows with the vectors' lengths as rounding does; exact distances settle them. Distances have ``digits``
+    digits; of equal ones the smaller id comes first, or with ``chunk`` the smaller ``id // chunk`` and therein the larger id.
     """
-    numbered = queries.select("qid", "qvec").orderBy("qid")
+
+    def ties(ids: np.ndarray) -> tuple:
+        return (-ids, ids // chunk) if chunk else (ids,)
+
     found = None
-    blocks = numbered.toArrow().to_batches(max_chunksize=BLOCK) if queries.count() else []
-    for block in blocks:
-        qid = block.column(0).to_numpy()
-        q = block.column(1).flatten().to_numpy().reshape(len(qid), -1)
+    for qid, q in _blocks(queries.select("qid", "qvec"), ["qid"], "qid", "qvec"):
         sent = corpus.sparkSession.sparkContext.broadcast((qid, q))
 
         def best(batches, sent=sent):
             qid, q = sent.value
             held_d, held_i = np.full((len(qid), k), np.inf), np.full((len(qid), k), np.iinfo(np.int64).max)
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                ids, x = batch.column(0).to_numpy(), batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1)
-                near = (q * q).sum(1)[:, None] + (x * x).sum(1)[None] - 2 * q @ x.T
-                last = min(k, len(ids)) - 1
-                bound = np.minimum(np.partition(near, last, 1)[:, last], held_d.max(1) ** 2) + 1e-4
-                for r in np.flatnonzero((near <= bound[:, None]).any(1)):
-                    c = np.flatnonzero(near[r] <= bound[r])
-                    exact = np.round(np.sqrt(((q[r] - x[c]) ** 2).sum(1)), 9)
-                    d, i = np.r_[held_d[r], exact], np.r_[held_i[r], ids[c]]
-                    order = np.lexsort((i, d))[:k]
-                    held_d[r], held_i[r] = d[order], i[order]
+            for piece in _pieces(batches):
+                ids, x = piece.column(0).to_numpy(), piece.column(1).flatten().to_numpy().reshape(piece.num_rows, -1)
+                for lo in range(0, len(q), TILE):
+                    some = slice(lo, min(lo + TILE, len(q)))
+                    squares = (q[some] * q[some]).sum(1)[:, None] + (x * x).sum(1)[None]
+                    near = squares - 2 * q[some] @ x.T
+                    last = min(k, len(ids)) - 1
+                    kth = np.minimum(np.sqrt(np.maximum(np.partition(near, last, 1)[:, last], 0)) if last == k - 1 else np.inf, held_d[some].max(1))
+                    fits = near <= ((kth + 10.0**-digits) ** 2)[:, None] + 1e-12 * squares
+                    for r in np.flatnonzero(fits.any(1)):
+                        c = np.flatnonzero(fits[r])
+                        exact = np.round(np.round(np.sqrt(((q[lo + r] - x[c]) ** 2).sum(1)), 9), digits)
+                        d, i = np.r_[held_d[lo + r], exact], np.r_[held_i[lo + r], ids[c]]
+                        order = np.lexsort((*ties(i), d))[:k]
+                        held_d[lo + r], held_i[lo + r] = d[order], i[order]
             real = np.isfinite(held_d)
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qid, real.sum(1))), pa.array(held_i[real]), pa.array(held_d[real])], ["qid", "id", "distance"])
 
@@ -93,16 +126,66 @@ def knn_blocked(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
         found = part if found is None else found.unionAll(part)
     if found is None:
         found = corpus.sparkSession.createDataFrame([], "qid long, id long, distance double")
-    return top(found, k, "distance", "id").select("qid", "id", "rank", "distance")
+    order = (F.floor(F.col("id") / chunk), F.desc("id")) if chunk else ("id",)
+    return top(found, k, "distance", *order).select("qid", "id", "rank", "distance")
+
+
+def maxsim(query_tokens: DataFrame, doc_tokens: DataFrame, k: int) -> DataFrame:
+    """``qid, doc, rank, score``: over a query's token vectors, the sum of the best dot product with each document's; best ``k``.
+
+    ``query_tokens (qid, t, qvec)`` go in blocks of whole queries to the documents ``(doc, vector)``, whose vectors stand together.
+    """
+    placed = cut(doc_tokens.repartition("doc").sortWithinPartitions("doc"), "tokens")
+    dim_of = lambda batch: batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1)
+    found = None
+    for qid, _, q in _blocks(query_tokens, ["qid", "t"], "qid", "qvec"):
+        sent = doc_tokens.sparkSession.sparkContext.broadcast((qid, q))
+
+        def best(batches, sent=sent):
+            qid, q = sent.value
+            begins = np.flatnonzero(np.r_[True, qid[1:] != qid[:-1]])
+            kept = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
+
+            def rate(doc, x):
+                nonlocal kept
+                starts = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
+                score = np.round(np.add.reduceat(np.maximum.reduceat(q @ x.T, starts, axis=1), begins, axis=0), 6)
+                n, docs = np.repeat(np.arange(len(begins)), len(starts)), np.tile(doc[starts], len(begins))
+                kept = [np.r_[a, b] for a, b in zip(kept, (n, docs, score.ravel()))]
+                order = np.lexsort((kept[1], -kept[2], kept[0]))
+                first = np.arange(len(order)) - np.searchsorted(kept[0][order], kept[0][order]) < k
+                kept = [a[order][first] for a in kept]
+
+            doc = x = None
+            for piece in _pieces(batches):
+                now, y = piece.column(0).to_numpy(), dim_of(piece)
+                doc, x = (now, y) if doc is None else (np.r_[doc, now], np.r_[x, y])
+                whole = np.searchsorted(doc, doc[-1])  # the last document may go on
+                if whole:
+                    rate(doc[:whole], x[:whole])
+                    doc, x = doc[whole:], x[whole:]
+            if doc is not None:
+                rate(doc, x)
+            yield pa.RecordBatch.from_arrays([pa.array(qid[begins][kept[0]]), pa.array(kept[1]), pa.array(kept[2])], ["qid", "doc", "score"])
+
+        part = placed.select(F.col("doc").cast("long"), "vector").mapInArrow(best, "qid long, doc long, score double")
+        found = part if found is None else found.unionAll(part)
+    if found is None:
+        found = doc_tokens.sparkSession.createDataFrame([], "qid long, doc long, score double")
+    return top(found, k, F.desc("score"), "doc").select("qid", "doc", "rank", "score")
 
 
-def maxsim(query_tokens: DataFrame, doc_tokens: DataFrame) -> DataFrame:
-    """``qid, doc, score``: over the query's token vectors, the sum of the best dot product with the document's.
+def pooled(spans: DataFrame, tokens: DataFrame) -> DataFrame:
+    """``doc, span, vector``: the mean of a span's token vectors, as they are in the window it was assigned, of unit length.
 
-    ``query_tokens (qid, t, qvec)`` is small and broadcast by the caller's choice; ``doc_tokens (doc, vector)``.
+    ``spans (doc, span, lo, hi, window)`` come from ``assign_windows``; ``tokens (doc, window_lo, t, vector)`` hold each window's
+    own vectors. A span without a window or without tokens has none.
     """
-    pairs = doc_tokens.join(query_tokens, F.lit(True)).groupBy("qid", "doc", "t").agg(F.max(dot(F.col("qvec"), F.col("vector"))).alias("m"))
-    return pairs.groupBy("qid", "doc").agg(F.sum("m").alias("score"))
+    on = (F.col("s.doc") == F.col("t.doc")) & (F.col("s.window.lo") == F.col("t.window_lo")) & (F.col("t.t") >= F.col("s.lo")) & (F.col("t.t") < F.col("s.hi"))
+    inside = spans.alias("s").join(tokens.alias("t"), on).select("s.doc", "s.span", F.posexplode("t.vector").alias("c", "x"))
+    mean = inside.groupBy("doc", "span", "c").agg(F.avg("x").alias("x"))
+    vector = F.transform(F.array_sort(F.collect_list(F.struct("c", "x"))), lambda e: e["x"])
+    return mean.groupBy("doc", "span").agg(l2_normalize(vector).alias("vector"))
 
 
 def assign_windows(spans: DataFrame, lo: Column, hi: Column) -> DataFrame:
@@ -114,10 +197,10 @@ def assign_windows(spans: DataFrame, lo: Column, hi: Column) -> DataFrame:
 
 def plan_subbatches(lengths: list[int], most: int, budget: int, attention: int) -> list[list[int]]:
     """Indices in batches, longest first; a batch's size follows from its longest member."""
-    order, out = sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)), []
-    while order:
-        longest = max(1, lengths[order[0]])
+    order, out, at = sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)), [], 0
+    while at < len(order):
+        longest = max(1, lengths[order[at]])
         n = max(1, min(most, budget // longest, attention // longest**2))
-        out.append(order[:n])
-        order = order[n:]
+        out.append(order[at : at + n])
+        at += n
     return out

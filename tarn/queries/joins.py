@@ -127,12 +127,49 @@ def config_drift(spark, sf):
     return j.select("key", F.when(F.col("x").isNull(), "added").when(F.col("y").isNull(), "dropped").otherwise("changed").alias("drift"))
 
 
-@query("seal_counts", "SELECT count(*)::BIGINT AS docs, count(DISTINCT source)::BIGINT AS queries, sha256(string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id)) AS ids_sha FROM documents WHERE doc_id < 500")
+@query(
+    "seal_counts",
+    """WITH c AS (SELECT doc_id // 1000 AS chunk, sha256(string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id)) AS sha FROM documents GROUP BY 1)
+    SELECT (SELECT count(*) FROM documents)::BIGINT AS docs, (SELECT count(DISTINCT source) FROM documents)::BIGINT AS queries, sha256(string_agg(sha, ',' ORDER BY chunk)) AS ids_sha FROM c""",
+)
 def seal_counts(spark, sf):
-    """Counts and the digest of sorted ids that seal a set of a bounded size."""
-    d = table(spark, sf, "documents").where("doc_id < 500")
+    """Counts, and a digest over the digests of the sorted ids of every thousand, that seal a set."""
+    d = table(spark, sf, "documents")
     ids = F.array_join(F.transform(F.array_sort(F.collect_list("doc_id")), lambda i: i.cast("string")), ",")
-    return d.agg(F.count("*").alias("docs"), F.countDistinct("source").alias("queries"), F.sha2(ids, 256).alias("ids_sha"))
+    chunks = d.groupBy(F.floor(F.col("doc_id") / 1000).alias("chunk")).agg(F.sha2(ids, 256).alias("sha"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "sha"))), lambda c: c["sha"]), ",")
+    return d.agg(F.count("*").alias("docs"), F.countDistinct("source").alias("queries")).crossJoin(chunks.agg(F.sha2(whole, 256).alias("ids_sha")))
+
+
+@query("merge_shards", "SELECT source AS scope, count(*)::BIGINT AS n, sum(doc_id)::BIGINT AS ids FROM documents GROUP BY source")
+def merge_shards(spark, sf):
+    """Three shards of whole scopes pooled; the merge checks that they share a configuration and no row."""
+    d = table(spark, sf, "documents")
+    shards = [(d.where(F.pmod(F.xxhash64("source"), F.lit(3)) == i), {"model": "m", "k": 10}) for i in range(3)]
+    return O.merge_shards(shards, ["doc_id"]).groupBy(F.col("source").alias("scope")).agg(F.count("*").alias("n"), F.sum("doc_id").alias("ids"))
+
+
+@query("rebuild_decision", "SELECT * FROM (VALUES ('same files', false), ('changed files', true), ('other parameters', true)) AS t(change, rebuilt)")
+def rebuild_decision(spark, sf):
+    """A version stands as long as its files and parameters do; every change makes a new one beside it."""
+    from tarn.plans import versioned
+    from tarn.plans.scratch import scratch_path
+
+    path, name = scratch_path(spark, "source"), f"probe-{scratch_path(spark, 'x').rsplit('-', 1)[1]}"
+    built = []
+
+    def ensure(*parameters):
+        before = len(built)
+        source = spark.read.parquet(path)
+        versioned.ensure(spark, name, versioned.identity(source, *parameters), lambda to: (built.append(to), source.write.parquet(to)))
+        return len(built) > before
+
+    d = table(spark, sf, "region")
+    d.write.parquet(path)
+    ensure()
+    same = ensure()
+    d.write.mode("append").parquet(path)
+    return spark.createDataFrame([("same files", same), ("changed files", ensure()), ("other parameters", ensure("p"))], "change string, rebuilt boolean")
 
 
 @query("shard_coverage", "WITH g AS (SELECT source AS scope, count(DISTINCT doc_id % 3)::BIGINT AS shards, count(*)::BIGINT AS n FROM documents WHERE NOT (source = 'src7' AND doc_id % 3 <> 0) GROUP BY source) SELECT scope, shards, n, CASE WHEN shards < 3 THEN 'missing' ELSE 'duplicate' END AS state FROM g WHERE shards <> 1")

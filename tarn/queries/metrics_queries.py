@@ -11,11 +11,17 @@ from tarn.queries.lexical_queries import bm25, bm25_sql
 from tarn.sources.tables import QRELS_SQL, containment_qrels, table
 
 RUN = bm25_sql(k=10)
-NDCG_SQL = f"""(WITH j AS (SELECT r.qid, sum(g.grade / log2(r.rank + 2.0)) AS dcg FROM {RUN} r JOIN {QRELS_SQL} g ON g.qid = r.qid AND g.doc_id = r.doc_id GROUP BY r.qid),
+
+
+def ndcg_sql(run: str) -> str:
+    return f"""(WITH j AS (SELECT r.qid, sum(g.grade / log2(r.rank + 2.0)) AS dcg FROM {run} r JOIN {QRELS_SQL} g ON g.qid = r.qid AND g.doc_id = r.doc_id GROUP BY r.qid),
     i AS (SELECT qid, sum(grade / log2(i + 2.0)) AS idcg FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY grade DESC, doc_id) - 1 AS i FROM {QRELS_SQL}) WHERE i < 10 GROUP BY qid)
     SELECT i.qid, coalesce(dcg, 0.0) / idcg AS ndcg FROM i LEFT JOIN j USING (qid))"""
 
 
+NDCG_SQL = ndcg_sql(RUN)
+
+
 @query("ndcg10", f"SELECT qid, round(ndcg, 6) AS ndcg FROM {NDCG_SQL}")
 def ndcg10(spark, sf):
     return M.ndcg(bm25(spark, sf), containment_qrels(spark, sf)).select("qid", F.round("ndcg", 6).alias("ndcg"))

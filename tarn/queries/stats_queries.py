@@ -11,16 +11,17 @@ from tarn.operators import stats as S
 from tarn.queries import fixture, query
 from tarn.queries.lexical_queries import bm25, bm25_sql
 from tarn.queries.metrics_queries import LABELLED, NDCG_SQL, labelled
+from tarn.plans.scratch import cut
 from tarn.sources.tables import containment_qrels, table
 
 DRAW = "(('0x' || left(md5({}), 8))::BIGINT / 4294967296.0)"
-DIFF_SQL = "(SELECT item_id AS qid, ((item_id * 37 % 101) - 45) / 100.0::DOUBLE AS v, item_id % 6 AS cluster FROM benchmark WHERE item_id < 40)"
+DIFF_SQL = "(SELECT item_id AS qid, ((item_id * 37 % 101) - 45) / 100.0::DOUBLE AS v, item_id % 6 AS cluster FROM benchmark)"
 
 
 def diffs(spark, sf):
-    """Paired differences of forty queries in six clusters."""
+    """Paired differences of all queries, in six clusters."""
     i = F.col("item_id")
-    return table(spark, sf, "benchmark").where("item_id < 40").select(i.alias("qid"), ((i * 37 % 101 - 45) / 100.0).alias("v"), (i % 6).alias("cluster"))
+    return table(spark, sf, "benchmark").select(i.alias("qid"), ((i * 37 % 101 - 45) / 100.0).alias("v"), (i % 6).alias("cluster"))
 
 
 @query(
@@ -65,11 +66,63 @@ def cluster_sums(spark, sf):
 )
 def cluster_bootstrap_hash(spark, sf):
     """Whole clusters are drawn; the mean is the ratio of their sums to their counts."""
-    c = clusters(spark, sf).withColumn("i", F.row_number().over(W.orderBy("qid")) - 1)
-    k = c.count()
-    at = F.floor(S.draw(F.col("b"), F.col("i")) * k).cast("int")
-    drawn = c.select("i").crossJoin(spark.range(200).withColumnRenamed("id", "b")).select("b", at.alias("i")).join(c.select("i", "s", "n"), "i")
-    return S.interval(drawn.groupBy("b").agg((F.sum("s") / F.sum("n")).alias("mean")), 200)
+    drawn = S.cluster_means(clusters(spark, sf), 200, ["s", "n"])
+    return S.interval(drawn.select("b", (F.col("s") / F.col("n")).alias("mean")), 200)
+
+
+DRAWN = f"""n AS (SELECT row_number() OVER (ORDER BY qid) - 1 AS i, s, n FROM {CLUSTERS}), c AS (SELECT count(*) AS k FROM n),
+    m AS (SELECT b, sum(n2.s) AS s, sum(n2.n) AS n FROM range(200) r(b) CROSS JOIN n n1 CROSS JOIN c JOIN n n2 ON n2.i = floor({DRAW.format("b || ':' || n1.i")} * c.k)::BIGINT GROUP BY b)"""
+
+
+@query(
+    "cluster_bootstrap_p",
+    f"""WITH {DRAWN}, o AS (SELECT sum(s) / sum(n) AS o FROM n) SELECT round((SELECT o FROM o), 6) AS observed,
+    round((count(*) FILTER (WHERE abs(s / n - (SELECT o FROM o)) >= abs((SELECT o FROM o)) - 1e-9) + 1) / 201.0, 6)::DOUBLE AS p FROM m""",
+)
+def cluster_bootstrap_p(spark, sf):
+    """Two-sided p of the mean difference: resampled means, centred, against the observed one; counts plus one."""
+    c = clusters(spark, sf)
+    observed = c.agg((F.sum("s") / F.sum("n")).alias("o"))
+    means = S.cluster_means(c, 200, ["s", "n"]).crossJoin(F.broadcast(observed))  # one row
+    hit = F.sum((F.abs(F.col("s") / F.col("n") - F.col("o")) >= F.abs("o") - 1e-9).cast("long"))
+    return means.agg(F.round(F.max("o"), 6).alias("observed"), F.round((hit + 1) / 201, 6).alias("p"))
+
+
+@query(
+    "shared_draws",
+    f"""WITH {DRAWN}, k AS (SELECT s / n AS a, s / (n + 2) AS b FROM m), r AS (SELECT a, a - b AS d, row_number() OVER (ORDER BY a) - 1 AS ra, row_number() OVER (ORDER BY a - b) - 1 AS rd FROM k)
+    SELECT 'mean' AS metric, round(max(a) FILTER (WHERE ra = 5), 4) AS lo, round(max(a) FILTER (WHERE ra = 194), 4) AS hi FROM r
+    UNION ALL SELECT 'shift', round(max(d) FILTER (WHERE rd = 5), 4), round(max(d) FILTER (WHERE rd = 194), 4) FROM r""",
+)
+def shared_draws(spark, sf):
+    """Intervals of two ratios from one set of draws of clusters: a mean, and its difference from a shrunken one."""
+    m = S.cluster_means(clusters(spark, sf), 200, ["s", "n"])
+    a = F.col("s") / F.col("n")
+    of = lambda name, value: S.interval(m.select("b", value.alias("mean")), 200).select(F.lit(name).alias("metric"), "lo", "hi")
+    return of("mean", a).unionAll(of("shift", a - F.col("s") / (F.col("n") + 2)))
+
+
+@query(
+    "stratified_bootstrap",
+    f"""WITH n AS (SELECT cluster, v, row_number() OVER (PARTITION BY cluster ORDER BY qid) - 1 AS i, count(*) OVER (PARTITION BY cluster) AS n FROM {DIFF_SQL}),
+    m AS (SELECT b, avg(y.v) AS mean FROM range(200) r(b) CROSS JOIN n x JOIN n y ON y.cluster = x.cluster AND y.i = floor({DRAW.format("b || ':' || x.cluster || ':' || x.i")} * x.n)::BIGINT GROUP BY b)
+    SELECT round(mean, 4) AS lo FROM m QUALIFY row_number() OVER (ORDER BY mean) = 11""",
+)
+def stratified_bootstrap(spark, sf):
+    """Lower five per cent of the mean, resampled within clusters."""
+    return S.lower_bound(S.stratified_bootstrap(diffs(spark, sf), "cluster", "v", 200), 200)
+
+
+@query(
+    "swap_permutation",
+    f"""WITH d AS (SELECT qid, v - (qid * 53 % 97 - 48) / 100.0::DOUBLE AS v FROM {DIFF_SQL}), o AS (SELECT abs(avg(v)) AS o, count(*) AS n FROM d),
+    m AS (SELECT b, sum(CASE WHEN {DRAW.format("b || ':' || qid")} < 0.5 THEN -v ELSE v END) / (SELECT n FROM o) AS m FROM range(500) r(b) CROSS JOIN d GROUP BY b)
+    SELECT round((SELECT o FROM o), 6) AS observed, round((count(*) FILTER (WHERE abs(m) >= (SELECT o FROM o) - 1e-9) + 1) / 501.0, 6)::DOUBLE AS p FROM m""",
+)
+def swap_permutation(spark, sf):
+    """Two confidence signals of the same queries compared by swapping them at random."""
+    d = diffs(spark, sf).withColumn("w", (F.col("qid") * 53 % 97 - 48) / 100.0)
+    return S.swap_permutation(d, "v", "w", 500)
 
 
 @query(
@@ -102,7 +155,13 @@ def paired_clusters(spark, sf):
     return a.join(b, ["cluster", "qid"], "full_outer").groupBy("cluster").agg(F.count("*").alias("n"), F.bool_and(F.col("x").isNotNull() & F.col("y").isNotNull()).alias("matched"))
 
 
-@query("paired_drop")
+@query(
+    "paired_drop",
+    f"""WITH n AS (SELECT row_number() OVER (ORDER BY qid) - 1 AS i, v FROM {DIFF_SQL}), c AS (SELECT count(*) AS n FROM n),
+    m AS (SELECT b, avg(n2.v) AS mean FROM range(200) r(b) CROSS JOIN n n1 CROSS JOIN c JOIN n n2 ON n2.i = floor({DRAW.format("b || ':' || n1.i")} * c.n)::BIGINT GROUP BY b),
+    k AS (SELECT round(mean, 4) AS hi FROM m QUALIFY row_number() OVER (ORDER BY mean) = 195), w AS (SELECT count(*) FILTER (WHERE v < 0) AS lost, count(*) FILTER (WHERE v > 0) AS won, count(*) AS n FROM {DIFF_SQL})
+    SELECT lost::BIGINT AS lost, won::BIGINT AS won, n::BIGINT AS n, hi, lost - won >= greatest(2, ceil(n * 0.03)) AND hi < 0 AS drop FROM w CROSS JOIN k""",
+)
 def paired_drop(spark, sf):
     """A drop: net losses of at least three in a hundred (two at least) and an interval wholly below zero."""
     d = diffs(spark, sf)
@@ -145,17 +204,39 @@ def bh(spark, sf):
 FRIED = "(SELECT source AS block, lang AS system, round(avg(n_chars % 13), 1) AS v FROM documents GROUP BY source, lang)"
 
 
-@query("friedman_chi2", f"""WITH r AS (SELECT block, system, rank() OVER (PARTITION BY block ORDER BY v DESC) + (count(*) OVER (PARTITION BY block, v) - 1) / 2.0 AS r, count(*) OVER (PARTITION BY block) AS k FROM {FRIED}),
-    f AS (SELECT * FROM r WHERE k = 4), g AS (SELECT system, avg(r) AS mean_rank, count(*) AS n FROM f GROUP BY system), t AS (SELECT sum(c * c * c - c) AS t FROM (SELECT block, r, count(*) AS c FROM f GROUP BY block, r))
-    SELECT round(12.0 * max(n) / (4 * 5) * sum((mean_rank - 2.5) * (mean_rank - 2.5)) / (1 - (SELECT t FROM t) / (max(n) * 60.0)), 6)::DOUBLE AS chi2, max(n)::BIGINT AS blocks FROM g""")
+RANKS_SQL = f"""r AS (SELECT block, system, rank() OVER (PARTITION BY block ORDER BY v DESC) + (count(*) OVER (PARTITION BY block, v) - 1) / 2.0 AS r, count(*) OVER (PARTITION BY block) AS k FROM {FRIED}),
+    f AS (SELECT * FROM r WHERE k = 4), g AS (SELECT system, avg(r) AS mean_rank, count(*) AS n FROM f GROUP BY system)"""
+#: erfc by the midpoint rule
+TAIL_SQL = "(2 / sqrt(pi()) * list_sum(list_transform(range(0, 20000), lambda i: exp(-pow(sqrt(chi2 / 2) + (i + 0.5) * 0.0005, 2)) * 0.0005)) + sqrt(2 * chi2 / pi()) * exp(-chi2 / 2))"
+
+
+@query("friedman_chi2", f"""WITH {RANKS_SQL}, t AS (SELECT sum(c * c * c - c) AS t FROM (SELECT block, r, count(*) AS c FROM f GROUP BY block, r)),
+    x AS (SELECT (12.0 * max(n) / (4 * 5) * sum((mean_rank - 2.5) * (mean_rank - 2.5)) / (1 - (SELECT t FROM t) / (max(n) * 60.0)))::DOUBLE AS chi2, max(n)::BIGINT AS blocks FROM g)
+    SELECT round(chi2, 6) AS chi2, blocks, round({TAIL_SQL}, 6) AS p FROM x""")
 def friedman_chi2(spark, sf):
-    """The statistic with its tie correction, over blocks that have every system."""
-    v = table(spark, sf, "documents").groupBy(F.col("source").alias("block"), F.col("lang").alias("system")).agg(F.round(F.avg(F.col("n_chars") % 13), 1).alias("v"))
-    r = S.average_ranks(v, "block", "v").withColumn("k", F.count("*").over(W.partitionBy("block"))).where("k = 4")
+    """The statistic with its tie correction, over blocks that have every system, and its p of three degrees of freedom."""
+    r = system_ranks(spark, sf)
     ties = r.groupBy("block", "avg_rank").agg(F.count("*").alias("c")).agg(F.sum(F.col("c") * F.col("c") * F.col("c") - F.col("c")).alias("t"))
     g = r.groupBy("system").agg(F.avg("avg_rank").alias("m"), F.count("*").alias("n")).agg(F.sum((F.col("m") - 2.5) * (F.col("m") - 2.5)).alias("ss"), F.max("n").alias("n"))
     chi2 = 12.0 * F.col("n") / 20 * F.col("ss") / (1 - F.col("t") / (F.col("n") * 60.0))
-    return g.crossJoin(ties).select(F.round(chi2, 6).alias("chi2"), F.col("n").alias("blocks"))
+    return g.crossJoin(ties).select(chi2.alias("x"), F.col("n").alias("blocks")).select(F.round("x", 6).alias("chi2"), "blocks", F.round(S.chi2_tail(F.col("x"), 3), 6).alias("p"))
+
+
+def system_ranks(spark, sf):
+    v = table(spark, sf, "documents").groupBy(F.col("source").alias("block"), F.col("lang").alias("system")).agg(F.round(F.avg(F.col("n_chars") % 13), 1).alias("v"))
+    return S.average_ranks(v, "block", "v").withColumn("k", F.count("*").over(W.partitionBy("block"))).where("k = 4")
+
+
+@query("nemenyi", f"""WITH {RANKS_SQL} SELECT a.system AS system, b.system AS other, round(a.mean_rank - b.mean_rank, 6)::DOUBLE AS apart, round(2.569 * sqrt(4 * 5 / (6.0 * a.n)), 6)::DOUBLE AS critical,
+    abs(a.mean_rank - b.mean_rank) > 2.569 * sqrt(4 * 5 / (6.0 * a.n)) AS differs FROM g a JOIN g b ON a.system < b.system""")
+def nemenyi(spark, sf):
+    """Pairs of systems whose mean ranks are further apart than the critical difference."""
+    g = system_ranks(spark, sf).groupBy("system").agg(F.avg("avg_rank").alias("m"), F.count("*").alias("n"))
+    a, b = g.alias("a"), g.alias("b")
+    apart, critical = F.col("a.m") - F.col("b.m"), S.critical_difference(4, F.col("a.n"))
+    return a.join(b, F.col("a.system") < F.col("b.system")).select(
+        F.col("a.system").alias("system"), F.col("b.system").alias("other"), F.round(apart, 6).alias("apart"), F.round(critical, 6).alias("critical"), (F.abs(apart) > critical).alias("differs")
+    )
 
 
 RUN_A, RUN_B = bm25_sql(k=10), bm25_sql("left(text, 500)", 10)
@@ -184,9 +265,10 @@ def rank_flips(spark, sf):
 @query("platt_fit")
 def platt_fit(spark, sf):
     """Logistic calibration of the top score against answerability; the rows are one a query."""
-    top = bm25(spark, sf).groupBy("qid").agg(F.max("score").alias("s")).join(containment_qrels(spark, sf).select("qid").distinct().withColumn("y", F.lit(1.0)), "qid", "left").fillna({"y": 0.0}).orderBy("qid").toPandas()
-    scale, offset = S.platt(top["s"].to_numpy(), top["y"].to_numpy())
-    return spark.createDataFrame([(round(scale, 6), round(offset, 6), len(top))], "scale double, offset double, n long")
+    top = bm25(spark, sf).groupBy("qid").agg(F.max("score").alias("s")).join(containment_qrels(spark, sf).select("qid").distinct().withColumn("y", F.lit(1.0)), "qid", "left").fillna({"y": 0.0})
+    top = cut(top, "signals")
+    scale, offset = S.platt(top, "s", "y")
+    return spark.createDataFrame([(round(float(scale), 6), round(float(offset), 6), top.count())], "scale double, offset double, n long")
 
 
 PROBS = f"(SELECT doc_id AS qid, s / 97 AS p, quality FROM {LABELLED})"
@@ -244,13 +326,14 @@ def split_sha1(spark, sf):
     return table(spark, sf, "documents").select("doc_id", ((6 * lead + digit(F.substring(h, 40, 1))) % 10 < 7).alias("dev"))
 
 
-LINKS_SQL = "(SELECT doc_id AS src, doc_id + 7 AS dst FROM documents WHERE doc_id % 5 IN (1, 2) AND doc_id < 300)"
+LINKS_SQL = "(SELECT doc_id AS src, doc_id + 7 AS dst FROM documents WHERE n_chars % 5 IN (1, 2, 3))"
 
 
 @query("components", f"""WITH RECURSIVE e AS (SELECT src AS a, dst AS b FROM {LINKS_SQL} UNION SELECT dst, src FROM {LINKS_SQL}), r AS (SELECT a AS v, a AS c FROM e UNION SELECT e.b, r.c FROM r JOIN e ON r.v = e.a)
     SELECT v AS vertex, min(c) AS component FROM r GROUP BY v""")
 def components(spark, sf):
-    d = table(spark, sf, "documents").where("doc_id % 5 IN (1, 2) AND doc_id < 300").select(F.col("doc_id").alias("src"), (F.col("doc_id") + 7).alias("dst"))
+    """Chains of documents that a rule on their length links to the seventh after them."""
+    d = table(spark, sf, "documents").where("n_chars % 5 IN (1, 2, 3)").select(F.col("doc_id").alias("src"), (F.col("doc_id") + 7).alias("dst"))
     return connected_components(d)
 
 
@@ -274,11 +357,46 @@ def arm_choice(spark, sf):
     return g.crossJoin(F.broadcast(best)).select("arm", "passes", "ms", (F.col("passes") & (F.col("ms") == F.col("best"))).alias("chosen"))
 
 
-@query("tune_grid", f"SELECT CASE WHEN qid % 2 = 0 THEN 'even' ELSE 'odd' END AS dataset, round(avg(ndcg), 6) AS ndcg FROM {NDCG_SQL} GROUP BY 1")
+def _dev_sql(alpha: float) -> str:
+    from tarn.queries.fusion_queries import convex_sql
+    from tarn.queries.metrics_queries import ndcg_sql
+
+    return f"SELECT {alpha}::DOUBLE AS alpha, qid, ndcg FROM {ndcg_sql(f'(SELECT qid, doc_id, rank FROM {convex_sql(alpha, False)} WHERE rank < 10)')}"
+
+
+def _tune_sql() -> str:
+    return f"""WITH n AS ({' UNION ALL '.join(map(_dev_sql, ALPHAS))}), d AS (SELECT alpha, qid % 2 AS dataset, avg(ndcg) AS ndcg FROM n WHERE qid % 3 <> 0 GROUP BY ALL),
+    m AS (SELECT alpha, avg(ndcg) AS macro FROM d GROUP BY alpha) SELECT alpha, round(macro, 6) AS macro, row_number() OVER (ORDER BY round(macro, 9) DESC, alpha) = 1 AS chosen FROM m"""
+
+
+#: Weights of the lexical leg that tuning tries.
+ALPHAS = (0.0, 0.25, 0.5, 0.75, 1.0)
+
+
+@query("tune_grid", _tune_sql())
 def tune_grid(spark, sf):
-    """Dev means a dataset; grids of fusions take the best macro mean."""
-    n = M.ndcg(bm25(spark, sf), containment_qrels(spark, sf)).withColumn("dataset", F.when(F.col("qid") % 2 == 0, "even").otherwise("odd"))
-    return n.groupBy("dataset").agg(F.round(F.avg("ndcg"), 6).alias("ndcg"))
+    """The weight of the lexical leg with the best macro mean over the dev queries of two sets; of equals the lower weight.
+
+    Both legs are read once; every fusion of the grid is rated on them.
+    """
+    from tarn.queries.fusion_queries import both
+
+    pools, qrels = cut(both(spark, sf), "pools"), cut(containment_qrels(spark, sf), "qrels")
+    rated = None
+    for alpha in ALPHAS:
+        run = _convex(pools, alpha).where("rank < 10")
+        one = M.ndcg(run, qrels).select(F.lit(alpha).alias("alpha"), "qid", "ndcg")
+        rated = one if rated is None else rated.unionAll(one)
+    sets = rated.where("qid % 3 <> 0").groupBy("alpha", (F.col("qid") % 2).alias("dataset")).agg(F.avg("ndcg").alias("ndcg"))
+    macro = sets.groupBy("alpha").agg(F.avg("ndcg").alias("macro"))
+    first = F.row_number().over(W.orderBy(F.desc(F.round("macro", 9)), "alpha")) == 1  # one row a weight
+    return macro.select("alpha", F.round("macro", 6).alias("macro"), first.alias("chosen"))
+
+
+def _convex(pools, alpha):
+    from tarn.operators import fusion as X
+
+    return X.convex(pools, alpha, X.theoretical_min(F.col("lex"), 0.0), X.theoretical_min(F.col("dense"), -2.0), "zero")
 
 
 @query("pair_runs", f"WITH a AS (SELECT qid, max(score) AS x FROM {RUN_A} WHERE qid % 9 <> 0 GROUP BY qid), b AS (SELECT qid, max(score) AS y FROM {RUN_B} WHERE qid % 7 <> 0 GROUP BY qid) SELECT count(*) FILTER (WHERE x IS NOT NULL AND y IS NOT NULL)::BIGINT AS paired, count(*) FILTER (WHERE y IS NULL)::BIGINT AS only_a, count(*) FILTER (WHERE x IS NULL)::BIGINT AS only_b, round(avg(x - y), 6) AS diff FROM a FULL JOIN b USING (qid)")
@@ -299,11 +417,14 @@ def reproduce_compare(spark, sf):
     return j.select("name", F.coalesce(F.abs(F.col("value") - F.col("again")) <= 0.0005, F.lit(False)).alias("reproduced"))
 
 
-@query("noise_floor")
+@query(
+    "noise_floor",
+    f"""WITH {DRAWN}, r AS (SELECT s / n AS mean, row_number() OVER (ORDER BY s / n) - 1 AS r FROM m)
+    SELECT greatest(abs(round(max(mean) FILTER (WHERE r = 5), 4)), abs(round(max(mean) FILTER (WHERE r = 194), 4))) AS floor FROM r""",
+)
 def noise_floor(spark, sf):
     """The largest end of any interval in absolute value."""
-    ci = bootstrap_ci_mt(spark, sf)
-    return ci.agg(F.max(F.greatest(F.abs("lo"), F.abs("hi"))).alias("floor"))
+    return cluster_bootstrap_hash(spark, sf).agg(F.max(F.greatest(F.abs("lo"), F.abs("hi"))).alias("floor"))
 
 
 @query("stratified_sample_hash", "SELECT doc_id, lang FROM documents QUALIFY row_number() OVER (PARTITION BY lang ORDER BY md5('7:' || doc_id), doc_id) <= 5")
@@ -328,42 +449,49 @@ def candidate_deltas(spark, sf):
     return g.select("source", F.round(F.col("y") - F.col("x"), 6).alias("delta"), (F.col("y") >= F.col("x")).alias("eligible"))
 
 
-@query("split_assignment")
+@query(
+    "split_assignment",
+    """WITH c AS (SELECT lang AS bucket, source AS cluster, count(*) AS n, sha256(lang || '/' || source) AS h FROM documents GROUP BY ALL),
+    t AS (SELECT *, ('0x' || left(h, 2))::INT % 2 = 1 AS test FROM c),
+    r AS (SELECT *, sum(n) OVER (PARTITION BY bucket) AS whole, coalesce(sum(n) FILTER (WHERE test) OVER (PARTITION BY bucket), 0) AS there,
+      coalesce(sum(CASE WHEN test THEN 0 ELSE n END) OVER (PARTITION BY bucket ORDER BY h DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM t)
+    SELECT bucket, cluster, CASE WHEN test OR there + before < 0.15 * whole THEN 'test' ELSE 'dev' END AS split FROM r""",
+)
 def split_assignment(spark, sf):
-    """Hash split of clusters with a floor: the highest-hash dev clusters move until a bucket has 15 % in test.
-
-    Clusters are few (one row a cluster), so the sequential rule runs over them in one task a bucket.
-    """
-    import pandas as pd
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("h", ascending=False)
-        test = {r.cluster for r in pdf.itertuples() if int(r.h[:2], 16) % 2}
-        need = 0.15 * pdf["n"].sum()
-        for r in pdf.itertuples():
-            if pdf[pdf["cluster"].isin(test)]["n"].sum() >= need:
-                break
-            test.add(r.cluster)
-        return pd.DataFrame({"bucket": pdf["bucket"], "cluster": pdf["cluster"], "split": ["test" if c in test else "dev" for c in pdf["cluster"]]})
-
+    """Hash split of clusters with a floor: the highest-hash dev clusters move until a bucket has 15 % in test."""
     d = table(spark, sf, "documents").groupBy(F.col("lang").alias("bucket"), F.col("source").alias("cluster")).agg(F.count("*").alias("n"))
-    return d.withColumn("h", F.sha2(F.concat_ws("/", "bucket", "cluster"), 256)).groupBy("bucket").applyInPandas(run, "bucket string, cluster string, split string")
+    d = d.withColumn("h", F.sha2(F.concat_ws("/", "bucket", "cluster"), 256)).withColumn("test", F.conv(F.substring("h", 1, 2), 16, 10).cast("int") % 2 == 1)
+    bucket = W.partitionBy("bucket")
+    there = F.sum(F.when(F.col("test"), F.col("n")).otherwise(0)).over(bucket)
+    before = F.coalesce(F.sum(F.when(F.col("test"), 0).otherwise(F.col("n"))).over(bucket.orderBy(F.desc("h")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    moved = there + before < 0.15 * F.sum("n").over(bucket)
+    return d.select("bucket", "cluster", F.when(F.col("test") | moved, "test").otherwise("dev").alias("split"))
 
 
-@query("auroc_cluster_bootstrap")
+@query(
+    "auroc_cluster_bootstrap",
+    f"""WITH g AS (SELECT source, row_number() OVER (ORDER BY source) - 1 AS i FROM (SELECT DISTINCT source FROM {LABELLED})), k AS (SELECT count(*) AS k FROM g),
+    c AS (SELECT source, s, sum(quality) AS pos, count(*) AS n FROM {LABELLED} GROUP BY ALL),
+    d AS (SELECT b, g2.source FROM range(100) r(b) CROSS JOIN g g1 CROSS JOIN k JOIN g g2 ON g2.i = floor({DRAW.format("b || ':' || g1.i")} * k.k)::BIGINT),
+    v AS (SELECT b, s, sum(pos) AS pos, sum(n) AS n FROM d JOIN c USING (source) GROUP BY b, s),
+    r AS (SELECT *, sum(n) OVER (PARTITION BY b ORDER BY s) - (n - 1) / 2.0 AS rank FROM v),
+    a AS (SELECT b, (sum(pos * rank) - sum(pos) * (sum(pos) + 1) / 2.0) / nullif(sum(pos) * (sum(n) - sum(pos)), 0)::DOUBLE AS a FROM r GROUP BY b),
+    o AS (SELECT a, row_number() OVER (ORDER BY a) - 1 AS r FROM a WHERE a IS NOT NULL)
+    SELECT round(max(a) FILTER (WHERE r = 5), 4) AS lo, round(max(a) FILTER (WHERE r = 94), 4) AS hi, (SELECT k FROM k)::BIGINT AS clusters FROM o""",
+)
 def auroc_cluster_bootstrap(spark, sf):
     """Ninety-per-cent interval of the AUROC by whole clusters: counts a cluster and score value are drawn, not rows."""
-    import numpy as np
-
-    counts = labelled(spark, sf).groupBy("source", "s").agg(F.sum("quality").alias("pos"), F.count("*").alias("n")).orderBy("source", "s").toPandas()
-    groups = [g for _, g in counts.groupby("source")]
-    rng, out = np.random.default_rng(12345), []
-    for _ in range(200):
-        drawn = [groups[i] for i in rng.integers(0, len(groups), len(groups))]
-        s, pos, n = (np.concatenate([g[c].to_numpy() for g in drawn]) for c in ("s", "pos", "n"))
-        value, at = np.unique(s, return_inverse=True)
-        p, m = np.bincount(at, pos), np.bincount(at, n)
-        rank = np.cumsum(m) - (m - 1) / 2
-        out.append(((p * rank).sum() - p.sum() * (p.sum() + 1) / 2) / (p.sum() * (m.sum() - p.sum())))
-    lo, hi = np.quantile(out, [0.05, 0.95])
-    return spark.createDataFrame([(round(float(lo), 4), round(float(hi), 4), len(groups))], "lo double, hi double, clusters long")
+    rows = labelled(spark, sf)
+    counts = cut(rows.groupBy("source", "s").agg(F.sum("quality").alias("pos"), F.count("*").alias("n")), "counts")
+    names = S.numbered(counts.select("source").distinct(), "source").select("i", "source")
+    k = names.count()
+    at = F.floor(S.draw(F.col("b"), F.col("i")) * k).cast("long")
+    drawn = names.select("i").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(99)))).select("b", at.alias("i")).join(names, "i")
+    values = drawn.join(counts, "source").groupBy("b", "s").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n"))
+    upto = W.partitionBy("b").orderBy("s").rowsBetween(W.unboundedPreceding, W.currentRow)
+    ranked = values.withColumn("rank", F.sum("n").over(upto) - (F.col("n") - 1) / 2.0)
+    pos, n = F.sum("pos"), F.sum("n")
+    area = (F.sum(F.col("pos") * F.col("rank")) - pos * (pos + 1) / 2.0) / F.nullif((pos * (n - pos)).cast("double"), F.lit(0.0))
+    means = ranked.groupBy("b").agg(area.alias("mean")).where("mean IS NOT NULL").withColumn("r", F.row_number().over(W.orderBy("mean")) - 1)
+    end = lambda i: F.round(F.max(F.when(F.col("r") == i, F.col("mean"))), 4)
+    return means.agg(end(5).alias("lo"), end(94).alias("hi")).withColumn("clusters", F.lit(k).cast("long"))

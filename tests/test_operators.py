@@ -91,8 +91,28 @@ def test_split_by_size():
     assert chunking.pack_parts("a" * 25, 10) == ["a" * 10, "a" * 10, "a" * 5]
 
 
-def test_anchor_groups():
-    got = chunking.anchor_groups("lead\n\nnamed ^one\n\n### Sub ^sub\n\nbody\n\nmore ^two\n\n### Plain head\n\ntail `^no`")
+def test_parts_are_slices_of_whole_pieces():
+    """Cut points against their definition: a part takes pieces while they fit, the next begins ``overlap`` earlier."""
+    rnd = random.Random(6)
+    for _ in range(300):
+        sizes = [rnd.randrange(0, 12) for _ in range(rnd.randrange(1, 30))]
+        gap, limit, overlap = rnd.choice([0, 1, 2]), 25, rnd.choice([0, 4, 40])
+        ends = np.cumsum([n + gap for n in sizes]) - gap
+        bounds = chunking.part_bounds(ends, gap, limit, overlap)
+        assert bounds[0][0] == 0 and bounds[-1][1] == ends[-1]
+        for (lo, hi), (begin, end) in itertools.pairwise(bounds):
+            assert hi in ends and begin == (max(lo, hi - overlap) if overlap and hi > lo else hi + gap) and end > hi - 1
+            following = ends[ends.tolist().index(hi) + list(ends).count(hi)] if hi < ends[-1] else None
+            assert following is None or following > lo + limit, "one more piece would have fitted"
+    assert chunking.split_by_size("aaa bbb ccc ddd", 8, 0) == ["aaa bbb", "ccc ddd"]
+    assert chunking.split_by_size("aaa bbb ccc ddd", 8, 3) == ["aaa bbb", "bbb ccc", "ccc ddd"]
+    assert chunking.split_by_size("one.\n\ntwo two two\n\nsix", 11, 0) == ["one.", "two two two", "six"]
+
+
+def test_anchor_groups(spark):
+    content = "lead\n\nnamed ^one\n\n### Sub ^sub\n\nbody\n\nmore ^two\n\n### Plain head\n\ntail `^no`"
+    notes = spark.createDataFrame([(1, content), (2, "")], "id long, content string")
+    got = [(r.text, r.anchor) for r in chunking.anchor_groups(notes).where("id = 1").orderBy("pos").collect()]
     assert got == [("lead", None), ("named ^one", "one"), ("### Sub ^sub", "sub"), ("body", "sub-body"), ("more ^two", "two"), ("### Plain head\n\ntail `^no`", "plain-head")]
 
 
@@ -130,18 +150,88 @@ def test_knn_blocks_and_ties(spark, monkeypatch):
     assert vectors.knn_blocked(asked.limit(0), corpus, 7).count() == 0
 
 
-def test_statistics():
-    assert stats.chi2_sf(3.841458820694124, 1) == pytest.approx(0.05, abs=1e-9)
-    assert stats.chi2_sf(20.0, 4) == pytest.approx(0.000499399, abs=1e-8)
-    rng = np.random.default_rng(4)
-    s = rng.normal(size=4000)
-    y = (rng.random(4000) < 1 / (1 + np.exp(-(1.7 * s - 0.6)))).astype(float)
-    scale, offset = stats.platt(s, y)
-    assert scale == pytest.approx(1.7, abs=0.2) and offset == pytest.approx(-0.6, abs=0.15)
+def test_statistics(spark):
+    tails = [(3.841458820694124, 1, 0.05), (20.0, 4, 0.000499399), (7.814727903251178, 3, 0.05), (0.0, 5, 1.0), (18.307038053275146, 10, 0.05), (2.0, 2, 0.36787944)]
+    for x, df, p in tails:
+        got = spark.createDataFrame([(x,)], "x double").select(stats.chi2_tail(F.col("x"), df).alias("p")).first().p
+        assert got == pytest.approx(p, abs=1e-8)
     assert stats.bootstrap_mt([0.5] * 9, 100) == (0.5, 0.5)
     assert stats.permutation_mt([0.0] * 5, 50) == 1.0
 
 
+def test_seeded_resampling_equals_plain_loops():
+    values = [random.Random(8).random() - 0.4 for _ in range(23)]
+    rnd, means = random.Random(12345), []
+    for _ in range(400):
+        means.append(np.mean([values[rnd.randrange(23)] for _ in range(23)]))
+    means.sort()
+    assert stats.bootstrap_mt(values, 400) == (pytest.approx(means[10], abs=1e-4), pytest.approx(means[389], abs=1e-4))
+    rnd, hits = random.Random(12345), 0
+    for _ in range(300):
+        signs = [1 if rnd.random() < 0.5 else -1 for _ in values]
+        hits += abs(np.dot(signs, values)) >= abs(sum(values)) - 1e-9
+    assert stats.permutation_mt(values, 300) == pytest.approx((hits + 1) / 301)
+
+
+def test_platt_is_where_the_penalised_loss_is_flat(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=800) * 3 + 5
+    for y in ((rng.random(800) < 1 / (1 + np.exp(-(1.7 * x - 8)))).astype(float), (x > 5).astype(float)):
+        rows = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y)], "s double, y double")
+        scale, offset = stats.platt(rows, "s", "y")
+        z = (x - x.mean()) / x.std()
+        a, b = scale * x.std(), offset + scale * x.mean()
+        p = 1 / (1 + np.exp(-(a * z + b)))
+        assert abs((p - y) @ z + 1e-3 * a) < 1e-4 and abs((p - y).sum()) < 1e-4
+    assert stats.platt(rows.limit(0), "s", "y") == (0.0, 0.0)
+
+
+def test_numbers_and_running_means(spark):
+    rng = np.random.default_rng(3)
+    v = rng.integers(0, 40, 500)
+    rows = spark.createDataFrame([(i, int(a)) for i, a in enumerate(v)], "qid long, v long").repartition(7)
+    got = stats.running_mean(stats.numbered(rows, "v", "qid"), "v", "m").orderBy("i").collect()
+    order = np.lexsort((np.arange(500), v))
+    assert [r.qid for r in got] == order.tolist() and [r.i for r in got] == list(range(500))
+    assert np.allclose([r.m for r in got], np.cumsum(v[order]) / np.arange(1, 501))
+
+
+def test_bm25_equals_a_plain_loop(spark, monkeypatch):
+    from tarn.operators import lexical
+
+    rnd = random.Random(5)
+    docs = [(i, " ".join(rnd.choice("abcdefghij") for _ in range(rnd.randrange(0, 30)))) for i in range(120)] + [(500, None), (501, "a a a")]
+    queries = [(q, " ".join(rnd.choice("abcdefghijxyz") for _ in range(rnd.randrange(0, 14)))) for q in range(20)]
+    monkeypatch.setattr(lexical, "BLOCK_TERMS", 25)
+    index = lexical.build_index(spark.createDataFrame(docs, "id long, content string").repartition(3))
+    got = {}
+    for r in lexical.bm25_topk(lexical.query_terms(spark.createDataFrame(queries, "qid long, query string")), index, 6).collect():
+        got.setdefault(r.qid, {})[r["rank"]] = (r.doc_id, r.score)
+    words = {i: (t or "").split() for i, t in docs}
+    mean = np.mean([len(w) for w in words.values()])
+    for q, text in queries:
+        score = {}
+        for t in set(text.split()):
+            df = sum(t in w for w in words.values())
+            for i, w in words.items():
+                if t in w:
+                    idf = max(np.log((len(words) - df + 0.5) / (df + 0.5)), 1e-6)
+                    score[i] = score.get(i, 0) + idf * w.count(t) * 2.2 / (w.count(t) + 1.2 * (0.25 + 0.75 * len(w) / mean))
+        want = sorted((-round(s, 6), i) for i, s in score.items())[:6]
+        assert got.get(q, {}) == {r: (i, -s) for r, (s, i) in enumerate(want)}
+    assert lexical.bm25_topk(lexical.query_terms(spark.createDataFrame([], "qid long, query string")), index, 6).count() == 0
+
+
+def test_shards_of_one_configuration_without_repeats(spark):
+    from tarn.operators.logs import merge_shards
+
+    a, b = spark.range(3), spark.range(3, 5)
+    assert merge_shards([(a, {"k": 1}), (b, {"k": 1})], ["id"]).count() == 5
+    for shards in ([(a, {"k": 1}), (b, {"k": 2})], [(a, {}), (a, {})]):
+        with pytest.raises(ValueError):
+            merge_shards(shards, ["id"])
+
+
 def test_rerank_falls_back(spark):
     rows = [(1, 0, 0, 0.1), (1, 1, 1, 0.9), (2, 0, 0, 0.1), (2, 1, 1, float("nan")), (3, 0, 0, 0.5)]
     got = {(r.qid, r.doc_id): (r.pos, r.fallback) for r in rank.rerank(spark.createDataFrame(rows, RUN), F.col("score")).collect()}

@@ -55,6 +55,14 @@ def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "embeddings"), least=0.9)
 
 
+OP4_SQL = """
+WITH RECURSIVE v AS MATERIALIZED (SELECT vec_id, embedding::DOUBLE[] AS e, sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))) AS n FROM embeddings),
+p AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.9),
+r AS (SELECT vec_id AS v, vec_id AS c FROM v UNION SELECT p.b, r.c FROM r JOIN p ON r.v = p.a),
+g AS (SELECT v, min(c) AS component_id FROM r GROUP BY v), l AS (SELECT a, count(*) AS n FROM p GROUP BY a)
+SELECT vec_id, coalesce(l.n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM v JOIN g ON v.vec_id = g.v LEFT JOIN l ON l.a = v.vec_id
+"""
+
 #: Target token shares of the languages.
 TARGETS = {"en": 0.4, "de": 0.2, "es": 0.2, "fr": 0.2}
 
@@ -168,4 +176,4 @@ SELECT doc_id, coalesce(n0, 0)::BIGINT AS n_assign, coalesce(n1, 0)::BIGINT AS n
 
 QUERIES = {"op5_mixing": op5_mixing, "op9_token_counts": op9_token_counts, "op6_quality": op6_quality, "op3_ppm": op3_ppm, "op4_embedding_dedup": op4_embedding_dedup, "op8_nearest": op8_nearest, "op2_warc": op2_warc, "op10_secrets": op10_secrets, "op1_simhash": op1_simhash, "op7_byte_bpe": op7_byte_bpe}
 
-ORACLES: dict[str, str] = {"op2_warc": OP2_SQL, "op10_secrets": _op10_sql()}
+ORACLES: dict[str, str] = {"op2_warc": OP2_SQL, "op4_embedding_dedup": OP4_SQL, "op10_secrets": _op10_sql()}

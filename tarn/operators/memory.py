@@ -49,12 +49,13 @@ def any_of(text: Column, patterns: list[str]) -> Column:
     return text.rlike("|".join(patterns))
 
 
-def extract_facts(messages: DataFrame) -> DataFrame:
-    """``session, ts, fact, confidence`` of ``messages (session, ts, text)``: sentences that correct or describe architecture."""
+def extract_facts(messages: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """``session, ts, fact, confidence`` and the ``keep`` columns of ``messages (session, ts, text)``: sentences that correct or describe architecture."""
+    keep = keep or []
     some = messages.where((F.length("text") >= 20) & any_of(F.lower("text"), CORRECTIONS + ARCHITECTURE))
-    sentences = some.select("session", "ts", F.explode(F.split("text", r"[.!?\n]")).alias("raw")).withColumn("fact", F.trim("raw"))
+    sentences = some.select(*keep, "session", "ts", F.explode(F.split("text", r"[.!?\n]")).alias("raw")).withColumn("fact", F.trim("raw"))
     fit = any_of(F.lower("raw"), CORRECTIONS + ARCHITECTURE) & F.length("fact").between(21, 499)
-    return sentences.where(fit).select("session", "ts", "fact", F.when(any_of(F.lower("fact"), CORRECTIONS), 0.8).otherwise(0.5).alias("confidence"))
+    return sentences.where(fit).select(*keep, "session", "ts", "fact", F.when(any_of(F.lower("fact"), CORRECTIONS), 0.8).otherwise(0.5).alias("confidence"))
 
 
 def fingerprint(fact: Column) -> Column:

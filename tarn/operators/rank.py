@@ -146,3 +146,14 @@ def evidence(query: Column, slug: Column, title: Column, block: Column, content:
         .when((F.size(words) > 0) & holds(tokens(content)), "body-fts/probable")
         .otherwise("none/unknown")
     )
+
+
+def clamp_limit(limit: Column, default: int = 10, most: int = 100) -> Column:
+    """A whole number of results from one to ``most``; what is no number is the default."""
+    n = limit.try_cast("long")
+    return F.when(n.isNull(), default).otherwise(F.greatest(F.lit(1), F.least(n, F.lit(most)))).cast("long")
+
+
+def pool_size(limit: Column, rerank: Column, depth: Column) -> Column:
+    """Candidates that each leg fetches: twice the limit, or the re-ranker's depth if that is more."""
+    return F.when(rerank, F.greatest(limit * 2, depth)).otherwise(limit * 2).cast("long")

@@ -62,7 +62,7 @@ def query_tokens(spark, sf):
     "query_tokens_stop",
     f"""WITH k AS (SELECT *, NOT list_contains({STOP}, term) OR regexp_matches(term, '\\p{{N}}') AS kept FROM {TOKENS_SQL}),
     n AS (SELECT *, count(*) FILTER (WHERE kept) OVER (PARTITION BY qid) AS kept_n FROM k)
-    SELECT qid, string_agg(term, ' ' ORDER BY i) AS tokens FROM n WHERE kept OR kept_n = 0 GROUP BY qid""",
+    SELECT qid, string_agg(term, ' ' ORDER BY i) AS tokens FROM (SELECT * FROM n WHERE kept OR kept_n = 0 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY i) <= 32) GROUP BY qid""",
 )
 def query_tokens_stop(spark, sf):
     return text_queries(spark, sf).select("qid", F.array_join(X.query_tokens_stop(F.col("query")), " ").alias("tokens"))

@@ -204,3 +204,15 @@ def context_assembly(spark, sf):
     """Threshold, budget, then duplicates out."""
     kept = R.dedup(R.token_budget(pool(spark, sf).where("score >= 0.01"), F.length("content"), 2000), F.col("content"), F.col("slug"))
     return X.ranked(kept.withColumnRenamed("rank", "was"), "was").select("qid", "doc_id", F.col("rank").alias("pos"))
+
+
+LIMITS = "(VALUES ('5', true, 40), ('0', false, 40), ('-1', true, 10), ('1000', true, 40), ('ten', false, 40), (NULL, true, 3)) AS l(asked, rerank, depth)"
+
+
+@query("pool_sizes", f"WITH c AS (SELECT *, CASE WHEN try_cast(asked AS BIGINT) IS NULL THEN 10 ELSE greatest(1, least(try_cast(asked AS BIGINT), 100)) END AS n FROM {LIMITS}) SELECT asked, n::BIGINT AS n, (CASE WHEN rerank THEN greatest(2 * n, depth) ELSE 2 * n END)::BIGINT AS pool FROM c")
+def pool_sizes(spark, sf):
+    """Limits as asked for, clamped, and the pools that serve them."""
+    from tarn.queries import fixture
+
+    clamped = fixture(spark, LIMITS).withColumn("n", R.clamp_limit(F.col("asked")))
+    return clamped.select("asked", "n", R.pool_size(F.col("n"), F.col("rerank"), F.col("depth")).alias("pool"))

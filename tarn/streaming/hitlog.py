@@ -6,6 +6,10 @@ later than that are dropped and the state of a session stays as long as it can m
 
 from __future__ import annotations
 
+import collections
+import json
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,11 +32,75 @@ def attributed_reads(events: DataFrame, seconds: int = 600) -> DataFrame:
     return s.join(r, F.expr(on)).select("search_id", "read_id", "sid", "slug")
 
 
-def fact_counts(messages: DataFrame) -> DataFrame:
-    """Keyed state of extracted facts, updated with every trigger (``update`` or ``complete`` mode)."""
-    facts = memory.extract_facts(messages)
-    folded = facts.groupBy(memory.fingerprint(F.col("fact")).alias("fp"))
-    return folded.agg(F.min_by("fact", "ts").alias("fact"), F.approx_count_distinct("session").alias("sessions"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"))
+def _kept(state) -> list:
+    return json.loads(state.get[0]) if state.exists else []
+
+
+FACTS = "owner string, fp string, fact string, sessions long, first_seen long, last_seen long"
+
+
+def fact_state(messages: DataFrame, most: int = 100) -> DataFrame:
+    """Keyed state of extracted facts, one queue an owner, updated with every trigger (``update`` mode).
+
+    ``messages (owner, session, ts, text)``. A repeat in another session adds that session to the queued fact, as many as
+    there are; a queue keeps its ``most`` latest facts, and the first in goes first. Rows are the facts that a trigger touched.
+    """
+    found = memory.extract_facts(messages.select("session", "ts", "text", "owner"), keep=["owner"])
+
+    def fold(key, frames, state):
+        queue = _kept(state)
+        place, touched = {e["fp"]: e for e in queue}, {}
+        for row in pd.concat(frames).sort_values(["ts", "session", "fact"]).itertuples():
+            fp = row.fact[:80].lower()
+            entry = place.get(fp)
+            if entry is None:
+                entry = place[fp] = {"fp": fp, "fact": row.fact, "sessions": [], "first": int(row.ts), "last": int(row.ts)}
+                queue.append(entry)
+            if row.session not in entry["sessions"]:
+                entry["sessions"].append(row.session)
+            entry["last"] = max(entry["last"], int(row.ts))
+            touched[fp] = entry
+        queue = queue[-most:]
+        state.update((json.dumps(queue),))
+        left = {e["fp"] for e in queue}
+        rows = [(key[0], e["fp"], e["fact"], len(e["sessions"]), e["first"], e["last"]) for fp, e in touched.items() if fp in left]
+        yield pd.DataFrame(rows, columns=["owner", "fp", "fact", "sessions", "first_seen", "last_seen"])
+
+    return found.groupBy("owner").applyInPandasWithState(fold, FACTS, "queue string", "update", "NoTimeout")
+
+
+READS = "read_id long, sid long, slug long, search_id long"
+
+
+def preceding_searches(events: DataFrame, most: int = 20, seconds: int = 600) -> DataFrame:
+    """Each read with the latest of its session's ``most`` last searches that showed its slug within the bound, else null.
+
+    ``events (event_id, ts, sid, kind, slugs)``; a session's state is its ring of searches.
+    """
+
+    def fold(key, frames, state):
+        ring, out = collections.deque(_kept(state), maxlen=most), []
+        for row in pd.concat(frames).sort_values(["ts", "event_id"]).itertuples():
+            now, slugs = row.ts.timestamp(), [int(s) for s in row.slugs]
+            if row.kind == "search":
+                if slugs:
+                    ring.append([now, int(row.event_id), slugs])
+                continue
+            hit = next((i for at, i, shown in reversed(ring) if slugs[0] in shown and 0 <= now - at <= seconds), None)
+            out.append((int(row.event_id), key[0], slugs[0], hit))
+        state.update((json.dumps(list(ring)),))
+        yield pd.DataFrame(out, columns=["read_id", "sid", "slug", "search_id"]).astype({"search_id": "Int64"})
+
+    return events.groupBy("sid").applyInPandasWithState(fold, READS, "ring string", "append", "NoTimeout")
+
+
+def run_updates(stream: DataFrame, sink: str, checkpoint: str) -> None:
+    """Process what is there in ``update`` mode; every trigger's rows go to ``sink`` as parquet under its number, once."""
+
+    def write(rows: DataFrame, trigger: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{sink}/trigger={trigger}")
+
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode("update").trigger(availableNow=True).start().awaitTermination()
 
 
 def run_available(stream: DataFrame, sink: str, checkpoint: str) -> None:

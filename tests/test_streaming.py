@@ -20,3 +20,36 @@ def test_stream_equals_batch(spark, tmp_path):
     s, r = events.where("kind = 'search'"), events.where("kind = 'read'")
     want = {(x.event_id, x.read_id) for x in bounded_join(s, r, 600).collect()}
     assert got == want and len(want) > 20
+
+
+def test_fact_state_across_triggers(spark, tmp_path):
+    """Three files, a trigger each: sessions gather exactly, the first facts in go once a queue is full."""
+    said = "the api gateway of team {} uses docker and port 80"
+    files = [
+        [("o", "s1", i, said.format(i)) for i in range(4)],
+        [("o", "s2", 10, said.format(1)), ("o", "s1", 11, said.format(1)), ("p", "s9", 12, said.format(1))],
+        [("o", "s3", 20 + i, said.format(30 + i)) for i in range(4)] + [("o", "s3", 30, said.format(0))],
+    ]
+    schema = "owner string, session string, ts long, text string"
+    for n, rows in enumerate(files):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").json(f"{tmp_path}/in")
+        stream = spark.readStream.schema(schema).json(f"{tmp_path}/in")
+        hitlog.run_updates(hitlog.fact_state(stream, most=5), f"{tmp_path}/out", f"{tmp_path}/check")
+    rows = spark.read.parquet(f"{tmp_path}/out").collect()
+    seen = {(r.trigger, r.owner, r.fact.split()[5]): (r.sessions, r.first_seen, r.last_seen) for r in rows}
+    assert seen[0, "o", "1"] == (1, 1, 1) and seen[1, "o", "1"] == (2, 1, 11) and seen[1, "p", "1"] == (1, 12, 12)
+    # four facts are in, four more come: the first three go, and the one said again is queued anew no longer
+    assert {k[2] for k in seen if k[0] == 2 and k[1] == "o"} == {"30", "31", "32", "33"}
+
+
+def test_preceding_searches_keep_a_ring(spark, tmp_path):
+    start = datetime(2024, 1, 1)
+    schema = "event_id long, ts timestamp, sid long, kind string, slugs array<long>"
+    rows = [(i, start + timedelta(seconds=10 * i), 1, "search", [i, 99]) for i in range(6)]
+    rows += [(10, start + timedelta(seconds=70), 1, "read", [5]), (11, start + timedelta(seconds=71), 1, "read", [1]), (12, start + timedelta(seconds=72), 1, "read", [99])]
+    rows += [(13, start + timedelta(seconds=72), 2, "read", [99]), (14, start + timedelta(seconds=5000), 1, "read", [99])]
+    spark.createDataFrame(rows, schema).coalesce(1).write.json(f"{tmp_path}/in")
+    out = hitlog.preceding_searches(spark.readStream.schema(schema).json(f"{tmp_path}/in"), most=3)
+    hitlog.run_available(out, f"{tmp_path}/out", f"{tmp_path}/check")
+    got = {r.read_id: r.search_id for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert got == {10: 5, 11: None, 12: 5, 13: None, 14: None}

@@ -11,7 +11,8 @@ Scores that are integers add up exactly, so cutting changes nothing; for other s
 precision within a piece, as in a tokenizer that splits at spaces.
 
 Defined results: null and empty texts have no tokens; repeated rows are counted each; columns other than id
-and text are not read; an empty table gives an empty one.
+and text are not read, whatever their names; a very long text without spaces is one piece, of which a few scores are
+kept at a time; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -41,29 +42,32 @@ class Counter:
         for token, score in vocabulary:
             self._automaton.add_word(token, (len(token), score))
         self._automaton.make_automaton()
+        self._longest = max((len(token) for token, _ in vocabulary), default=1)
         self._unknown = min((score for _, score in vocabulary), default=0.0) - UNKNOWN_PENALTY
         self._memory: dict[str, int] = {}
 
     def piece(self, piece: str) -> int:
-        """Tokens of one piece, its mark included."""
-        n = len(piece)
-        score, count, unknown = [0.0] * (n + 1), [0] * (n + 1), [False] * (n + 1)
-        ends: list[list] = [[] for _ in range(n)]
-        for end, match in self._automaton.iter(piece):
-            ends[end].append(match)
-        for e, found in enumerate(ends, 1):
+        """Tokens of one piece, its mark included. Scores and counts of the longest token's length back are all that is kept."""
+        size = self._longest + 1
+        score, count = [0.0] * size, [0] * size
+        matches = self._automaton.iter(piece)  # by their ends, of equal ends the longer first
+        end, match = next(matches, (-1, None))
+        for e in range(1, len(piece) + 1):
             best, width, single = None, 0, False
-            for length, own in found:
-                s = score[e - length] + own
+            while end == e - 1:
+                length, own = match
+                s = score[(e - length) % size] + own
                 if best is None or s > best or (s == best and length > width):
                     best, width = s, length
                 single |= length == 1
-            if not single and (best is None or score[e - 1] + self._unknown > best):
-                score[e] = score[e - 1] + self._unknown
-                count[e] = count[e - 1] + len(piece[e - 1].encode())
+                end, match = next(matches, (-1, None))
+            last, here = (e - 1) % size, e % size
+            if not single and (best is None or score[last] + self._unknown > best):
+                score[here] = score[last] + self._unknown
+                count[here] = count[last] + len(piece[e - 1].encode())
                 continue
-            score[e], count[e] = best, count[e - width] + 1
-        return count[n]
+            score[here], count[here] = best, count[(e - width) % size] + 1
+        return count[len(piece) % size]
 
     def __call__(self, texts: pa.Array) -> np.ndarray:
         """Tokens of each text."""

@@ -47,3 +47,23 @@ def test_query(spark):
     want = sorted(((i, int(counter(pa.array([t or ""], pa.large_string()))[0])) for i, t, _ in rows), key=str)
     assert sorted(map(tuple, counts.count_tokens(docs, PATH).collect()), key=str) == want
     assert counts.count_tokens(docs.limit(0), PATH).count() == 0
+
+
+def test_a_long_piece_keeps_a_few_scores():
+    """The ring of scores against whole lists, and a piece of three million characters."""
+    rnd = random.Random(2)
+    vocabulary = [(t, rnd.choice([-1.0, -2.0, -3.0])) for t in {"".join(rnd.choice("abc▁") for _ in range(rnd.randrange(1, 6))) for _ in range(60)}]
+    counter = counts.Counter(vocabulary)
+    table, worst = dict(vocabulary), min(s for _, s in vocabulary) - 10
+    for _ in range(200):
+        piece = "".join(rnd.choice("abcé▁") for _ in range(rnd.randrange(1, 40)))
+        score, count = [0.0], [0]
+        for e in range(1, len(piece) + 1):
+            ways = [(score[e - w] + table[piece[e - w : e]], w, count[e - w] + 1) for w in range(1, min(6, e) + 1) if piece[e - w : e] in table]
+            if piece[e - 1] not in table:
+                ways.append((score[e - 1] + worst, 0.5, count[e - 1] + len(piece[e - 1].encode())))
+            best = max(ways, key=lambda w: w[:2])
+            score.append(best[0])
+            count.append(best[2])
+        assert counter.piece(piece) == count[-1], piece
+    assert counter.piece("ab" * 1_500_000) > 0

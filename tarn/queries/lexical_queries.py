@@ -68,6 +68,17 @@ def query_tokens_stop(spark, sf):
     return text_queries(spark, sf).select("qid", F.array_join(X.query_tokens_stop(F.col("query")), " ").alias("tokens"))
 
 
+@query("measured_search", f"SELECT qid, count(*)::BIGINT AS hits, true AS timed FROM {bm25_sql()} WHERE qid IN (SELECT item_id FROM benchmark ORDER BY item_id LIMIT 3) GROUP BY qid")
+def measured_search(spark, sf):
+    """Three searches one by one, their hits and whether their time was taken."""
+    from tarn.operators.measure import measured_search
+
+    standing, asked = index(spark, sf), text_queries(spark, sf)
+    digest = versioned.identity(table(spark, sf, "documents").unionByName(table(spark, sf, "benchmark"), allowMissingColumns=True), "bm25", 10)
+    rows = measured_search(lambda q: L.bm25_topk(L.query_terms(q), standing, 10), asked, "measured", digest, 3)
+    return rows.select("qid", "hits", (F.col("seconds") > 0).alias("timed"))
+
+
 @query("postings", f"SELECT term, doc_id, count(*)::BIGINT AS tf FROM (SELECT doc_id, unnest({SPLIT.format('text')}) AS term FROM documents) GROUP BY term, doc_id")
 def postings(spark, sf):
     return L.postings(table(spark, sf, "documents"), "doc_id", F.col("text"))

@@ -30,3 +30,18 @@ def parse_transcript(lines: DataFrame, column: str, limit: int = 500) -> DataFra
     listed = F.col("m.message.content").startswith("[")
     text = F.when(listed, F.array_join(F.transform(F.filter(blocks, lambda b: b["type"] == "text"), lambda b: b["text"]), "\n")).otherwise(F.col("m.message.content"))
     return rows.withColumns({"role": F.col("m.type"), "text": F.substring(text, 1, limit)}).drop("m", column)
+
+
+def append_log(rows: DataFrame, path: str, most: int = 5 << 20, keep: int = 1) -> None:
+    """Append JSON lines to the folder ``path``; one that holds ``most`` bytes or more is set aside as ``path.1`` first, older ones move on."""
+    spark = rows.sparkSession
+    here = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = here.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(here) and fs.getContentSummary(here).getLength() >= most:
+        at = lambda i: spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}.{i}")
+        fs.delete(at(keep), True)
+        for i in range(keep - 1, 0, -1):
+            if fs.exists(at(i)):
+                fs.rename(at(i), at(i + 1))
+        fs.rename(here, at(1))
+    rows.write.mode("append").json(path)

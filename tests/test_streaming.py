@@ -53,3 +53,25 @@ def test_preceding_searches_keep_a_ring(spark, tmp_path):
     hitlog.run_available(out, f"{tmp_path}/out", f"{tmp_path}/check")
     got = {r.read_id: r.search_id for r in spark.read.parquet(f"{tmp_path}/out").collect()}
     assert got == {10: 5, 11: None, 12: 5, 13: None, 14: None}
+
+
+def test_digests_move_on_by_files(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    sizes = []
+    for n, text in enumerate(["a\nb\n", "c\n", "a\nd\ne\n"]):
+        (tmp_path / "in" / f"{n}.txt").write_text(text)
+        if n == 1:
+            continue  # arrives with the next
+        lines = spark.readStream.text(f"{tmp_path}/in").select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("line"))
+        hitlog.digest_increments(lines, f"{tmp_path}/out", f"{tmp_path}/check")
+        sizes.append(sorted(r.lines for r in spark.read.parquet(f"{tmp_path}/out").collect()))
+    assert sizes == [[2], [1, 2, 3]]
+
+
+def test_log_is_set_aside_when_full(spark, tmp_path):
+    from tarn.sources.logs import append_log
+
+    path = f"file://{tmp_path}/log"
+    for _ in range(4):
+        append_log(spark.range(100).selectExpr("id", "'x' AS q"), path, most=3000)
+    assert spark.read.json(path).count() == 200 and spark.read.json(path + ".1").count() == 200

@@ -79,6 +79,37 @@ def measured_search(spark, sf):
     return rows.select("qid", "hits", (F.col("seconds") > 0).alias("timed"))
 
 
+#: The published examples of the stemmer.
+STEMS = (
+    "caresses:caress ponies:poni ties:ti cats:cat feed:feed agreed:agre plastered:plaster bled:bled motoring:motor sing:sing conflated:conflat troubled:troubl sized:size hopping:hop "
+    "tanned:tan falling:fall hissing:hiss fizzed:fizz failing:fail filing:file happy:happi sky:sky relational:relat conditional:condit rational:ration valenci:valenc digitizer:digit "
+    "radicalli:radic differentli:differ vileli:vile analogousli:analog vietnamization:vietnam predication:predic operator:oper feudalism:feudal decisiveness:decis hopefulness:hope "
+    "callousness:callous formaliti:formal sensitiviti:sensit sensibiliti:sensibl triplicate:triplic formative:form formalize:formal electriciti:electr electrical:electr goodness:good "
+    "revival:reviv allowance:allow inference:infer airliner:airlin gyroscopic:gyroscop adjustable:adjust defensible:defens irritant:irrit replacement:replac adjustment:adjust "
+    "dependent:depend adoption:adopt communism:commun activate:activ angulariti:angular homologous:homolog effective:effect bowdlerize:bowdler probate:probat rate:rate cease:ceas "
+    "controll:control roll:roll café:cafe Über:uber x2s:x2s"
+)
+STEMS_SQL = "(VALUES " + ", ".join("('{}', '{}')".format(*p.split(":")) for p in STEMS.split()) + ") AS s(word, stem)"
+
+
+@query("stem_tokens", f"SELECT word, stem FROM {STEMS_SQL}")
+def stem_tokens(spark, sf):
+    from tarn.functions.stemming import stemmed_tokens
+    from tarn.queries import fixture
+
+    return fixture(spark, STEMS_SQL).select("word", F.element_at(stemmed_tokens(F.col("word")), 1).alias("stem"))
+
+
+@query("bm25_stemmed")
+def bm25_stemmed(spark, sf):
+    """BM25 over stems without accents, from a standing index of its own."""
+    from tarn.functions.stemming import stemmed_query, stemmed_tokens
+
+    digest = versioned.identity(table(spark, sf, "documents"), "bm25", "stems")
+    path = versioned.ensure(spark, "index-stems", digest, lambda p: L.write_index(sections(spark, sf), p, tokenise=stemmed_tokens))
+    return L.bm25_topk(L.query_terms(text_queries(spark, sf), tokenise=stemmed_query), L.read_index(spark, path), 10)
+
+
 @query("postings", f"SELECT term, doc_id, count(*)::BIGINT AS tf FROM (SELECT doc_id, unnest({SPLIT.format('text')}) AS term FROM documents) GROUP BY term, doc_id")
 def postings(spark, sf):
     return L.postings(table(spark, sf, "documents"), "doc_id", F.col("text"))

@@ -222,6 +222,18 @@ def test_bm25_equals_a_plain_loop(spark, monkeypatch):
     assert lexical.bm25_topk(lexical.query_terms(spark.createDataFrame([], "qid long, query string")), index, 6).count() == 0
 
 
+def test_stemmed_search_matches_word_forms(spark):
+    from tarn.functions.stemming import stem, stemmed_query, stemmed_tokens
+    from tarn.operators import lexical
+
+    docs = spark.createDataFrame([(1, "Connected caf\u00e9s"), (2, "connections"), (3, "unrelated"), (4, None)], "id long, content string")
+    index = lexical.build_index(docs, tokenise=stemmed_tokens)
+    asked = spark.createDataFrame([(7, "connecting cafe"), (8, "x")], "qid long, query string")
+    got = lexical.bm25_topk(lexical.query_terms(asked, tokenise=stemmed_query), index, 5).collect()
+    assert [(r.qid, r.doc_id) for r in sorted(got, key=lambda r: r["rank"])] == [(7, 1), (7, 2)]
+    assert [stem(w) for w in ("generalizations", "oscillators", "is", "by", "ease", "controlling")] == ["gener", "oscil", "is", "by", "eas", "control"]
+
+
 def test_shards_of_one_configuration_without_repeats(spark):
     from tarn.operators.logs import merge_shards
 

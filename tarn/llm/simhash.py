@@ -476,20 +476,24 @@ def similar(
     keyed = classes.where("n > 0").select(F.posexplode("keys").alias("t", "key"), "fp", "rep", "n")
     near = connected_components(shard_links(keyed, radius, cell, least))
 
-    members = cut(near.join(classes.select(F.col("rep").alias("vertex"), "digest", "id", "fp", "n"), "vertex").withColumnsRenamed({"vertex": "rep", "component": "group"}), "members")
-    texts = docs.select(named(id_col).alias("id"), named(text_col).alias("text")).join(members.select("id").distinct(), "id", "left_semi")
+    members = near.join(classes.select(F.col("rep").alias("vertex"), "digest", "id", "fp", "n"), "vertex").withColumnsRenamed({"vertex": "rep", "component": "group"})
+    size = F.greatest(F.ceil(F.count("*") / (cell // 2)), F.ceil(F.sum("n") / SET_SIZE)).cast("int")
+    placed = members.join(members.groupBy("group").agg(size.alias("slices")), "group").withColumn("slice", F.pmod(F.xxhash64("rep", F.lit(7)), "slices").cast("int"))
+    placed = cut(placed.select("id", "digest", "group", "slice", "slices", "rep", "fp"), "members")  # broadcast by its size as a written table, joined otherwise
+    texts = docs.select(named(id_col).alias("id"), named(text_col).alias("text")).join(placed, "id")
 
     def setup():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             sets = [shingle_set(t or "", shingle) for t in batch.column(0).to_pylist()]
-            return pa.RecordBatch.from_arrays([pa.array(list(map(_digest, sets)), pa.binary()), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], ["digest", "members"])
+            same = pa.array([_digest(s) == d for s, d in zip(sets, batch.column(1).to_pylist())])  # rows of one id may differ
+            rows = [*batch.columns[2:], pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())]
+            return pa.RecordBatch.from_arrays(rows, [*carried, "members"]).filter(same)
 
         return work
 
-    sets = map_texts(texts, "text", [], "digest binary, members binary", setup).dropDuplicates(["digest"])
-    size = F.greatest(F.ceil(F.count("*") / (cell // 2)), F.ceil(F.sum("n") / SET_SIZE)).cast("int")
-    placed = members.join(members.groupBy("group").agg(size.alias("slices")), "group").withColumn("slice", F.pmod(F.xxhash64("rep", F.lit(7)), "slices").cast("int"))
-    rows = cut(placed.select("group", "slice", "slices", "rep", "fp", "digest").join(sets, "digest").drop("digest"), "sets")
+    carried = ["group", "slice", "slices", "rep", "fp"]
+    sets = map_texts(texts, "text", ["digest", *carried], "group long, slice int, slices int, rep long, fp long, members binary", setup)
+    rows = cut(sets.dropDuplicates(["rep"]), "sets")
     groups = connected_components(_group_links(rows, radius, least))
     labelled = classes.join(groups, F.col("rep") == F.col("vertex"), "left").select("digest", F.col("id").alias("class_id"), F.coalesce("component", "rep").alias("part"))
     roots = labelled.groupBy("part").agg(F.min("class_id").alias("component_id"))

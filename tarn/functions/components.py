@@ -40,7 +40,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", r
         both = now.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionAll(
             now.select(F.col("lo").alias("u"), F.col("hi").alias("v"))
         )
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        # as a table its size is known: it is broadcast, or joined in a way that splits a vertex of very many links
+        least = cut(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
         large = (
             now.select(F.col("lo").alias("u"), F.col("hi").alias("v"))
             .join(least, "u")

@@ -111,9 +111,10 @@ def last_sentence(text: Column) -> Column:
 
 def match_snippet(content: Column, query: Column, width: int = 500) -> Column:
     """A window around the median first position of the query's words; the head if none occurs."""
-    low = F.lower(content)
     words = F.filter(F.split(F.lower(query), r"\s+"), lambda w: F.length(w) >= 3)
-    at = F.array_sort(F.filter(F.transform(words, lambda w: F.instr(low, w) - 1), lambda p: p >= 0))
+    # the text is lower-cased once, as an element: a lambda evaluates what it closes over for every word
+    places = F.element_at(F.transform(F.array(F.lower(content)), lambda low: F.transform(words, lambda w: F.instr(low, w) - 1)), 1)
+    at = F.array_sort(F.filter(places, lambda p: p >= 0))
     centre = F.element_at(at, F.floor(F.size(at) / 2).cast("int") + 1)
     start = F.greatest(F.lit(0), F.least(centre - width // 3, F.length(content) - width))
     cut = F.substring(content, start + 1, F.lit(width))

@@ -98,11 +98,11 @@ def bm25_topk(terms: DataFrame, index: Index, k: int) -> DataFrame:
     a time, are broadcast in turn; documents without any term of a query are none of its results.
     """
     idf = F.greatest(F.log((index.n - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(IDF_FLOOR))
-    asked = terms.select("qid", F.xxhash64("term").alias("h"))
-    # broadcast by its size as a written table, joined otherwise
-    rated = cut(index.terms.join(cut(asked, "asked"), "h").select("qid", "h", idf.alias("idf")).orderBy("qid", "h"), "rated")
+    asked = cut(terms.select("qid", F.xxhash64("term").alias("h")), "asked")  # broadcast by its size as a written table, joined otherwise
+    rated = index.terms.join(asked, "h").select("qid", "h", idf.alias("idf"))
+    rows = sorted(rated.collect()) if asked.count() <= BLOCK_TERMS else rated.orderBy("qid", "h").toLocalIterator(prefetchPartitions=True)
     found = None
-    for block in _blocks(rated):
+    for block in _blocks(rows):
         part = _best_of(block, index, k)
         found = part if found is None else found.unionAll(part)
     if found is None:
@@ -110,16 +110,14 @@ def bm25_topk(terms: DataFrame, index: Index, k: int) -> DataFrame:
     return top(found, k, F.desc("score"), "doc_id").select("qid", "doc_id", "rank", "score")
 
 
-def _blocks(rated: DataFrame):
+def _blocks(rows):
     """Whole queries, about ``BLOCK_TERMS`` rows at a time: query ids, and of each term its hash, query number and idf."""
     held: list = []
-    if not rated.isEmpty():
-        rows = rated.orderBy("qid", "h").toLocalIterator(prefetchPartitions=True) if rated.count() > BLOCK_TERMS else iter(rated.orderBy("qid", "h").collect())
-        for _, query in itertools.groupby(rows, key=lambda r: r["qid"]):
-            held += query
-            if len(held) >= BLOCK_TERMS:
-                yield _arrays(held)
-                held = []
+    for _, query in itertools.groupby(rows, key=lambda r: r["qid"]):
+        held += query
+        if len(held) >= BLOCK_TERMS:
+            yield _arrays(held)
+            held = []
     if held:
         yield _arrays(held)
 

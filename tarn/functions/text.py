@@ -113,7 +113,7 @@ def match_snippet(content: Column, query: Column, width: int = 500) -> Column:
     """A window around the median first position of the query's words; the head if none occurs."""
     words = F.filter(F.split(F.lower(query), r"\s+"), lambda w: F.length(w) >= 3)
     # the text is lower-cased once, as an element: a lambda evaluates what it closes over for every word
-    places = F.element_at(F.transform(F.array(F.lower(content)), lambda low: F.transform(words, lambda w: F.instr(low, w) - 1)), 1)
+    places = once(F.lower(content), lambda low: F.transform(words, lambda w: F.instr(low, w) - 1))
     at = F.array_sort(F.filter(places, lambda p: p >= 0))
     centre = F.element_at(at, F.floor(F.size(at) / 2).cast("int") + 1)
     start = F.greatest(F.lit(0), F.least(centre - width // 3, F.length(content) - width))
@@ -169,22 +169,34 @@ def _spared(family: str, match: Column) -> Column:
     return ~match.rlike("[0-9]") | ~match.rlike("[A-Za-z]") | (hyphens > 6) | match.startswith("http") | match.startswith("claude-")
 
 
-def _replaced(text: Column, family: str, pattern: str, mark: str) -> tuple[Column, Column]:
-    """The text with each match that is not spared replaced by ``mark``, and their number."""
-    found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+def once(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once a row, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _replaced(state: Column, family: str, pattern: str, mark: str) -> Column:
+    """``state (t, n)`` after a family: its matches in the text ``t`` replaced, ``n`` greater by their number."""
+    if family not in ("email", "long-secret"):
+        more = F.regexp_count(state["t"], F.lit(pattern)).cast("long")
+        return F.struct(F.regexp_replace(state["t"], pattern, mark).alias("t"), (state["n"] + more).alias("n"))
     after = lambda g, m: F.concat(g, F.when(_spared(family, m), m).otherwise(mark))
-    whole = F.concat(F.array_join(F.zip_with(F.slice(gaps, 1, F.size(found)), found, after), ""), F.element_at(gaps, -1))
-    return F.when(F.size(found) > 0, whole).otherwise(text), F.size(F.filter(found, lambda m: ~_spared(family, m))).cast("long")
+
+    def put_together(p: Column) -> Column:
+        whole = F.concat(F.array_join(F.zip_with(F.slice(p["gaps"], 1, F.size(p["found"])), p["found"], after), ""), F.element_at(p["gaps"], -1))
+        more = F.size(F.filter(p["found"], lambda m: ~_spared(family, m))).cast("long")
+        return F.struct(whole.alias("t"), (state["n"] + more).alias("n"))
+
+    parts = F.struct(F.regexp_extract_all(state["t"], F.lit(pattern), F.lit(0)).alias("found"), F.split(state["t"], pattern, -1).alias("gaps"))
+    return once(parts, put_together)
+
+
+def _family(*family: str):
+    return lambda state: _replaced(state, *family)
 
 
 def redact(text: Column) -> tuple[Column, Column]:
     """The text with each family replaced in turn, and how many replacements were made."""
-    count = F.lit(0).cast("long")
+    state = F.struct(text.alias("t"), F.lit(0).cast("long").alias("n"))
     for family, pattern, mark in REDACTIONS:
-        if family not in ("email", "long-secret"):
-            count = count + F.regexp_count(text, F.lit(pattern)).cast("long")
-            text = F.regexp_replace(text, pattern, mark)
-            continue
-        text, more = _replaced(text, family, pattern, mark)
-        count = count + more
-    return text, count
+        state = once(state, _family(family, pattern, mark))
+    return state["t"], state["n"]

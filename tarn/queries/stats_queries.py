@@ -29,10 +29,10 @@ def diffs(spark, sf):
     f"""WITH n AS (SELECT row_number() OVER (ORDER BY qid) - 1 AS i, v FROM {DIFF_SQL}), c AS (SELECT count(*) AS n FROM n),
     m AS (SELECT b, avg(n2.v) AS mean FROM range(200) r(b) CROSS JOIN n n1 CROSS JOIN c JOIN n n2 ON n2.i = floor({DRAW.format("b || ':' || n1.i")} * c.n)::BIGINT GROUP BY b),
     k AS (SELECT mean, row_number() OVER (ORDER BY mean) - 1 AS r FROM m)
-    SELECT round(max(mean) FILTER (WHERE r = 5), 4) AS lo, round(max(mean) FILTER (WHERE r = 194), 4) AS hi FROM k""",
+    SELECT round(max(mean) FILTER (WHERE r = 5), 6) AS lo, round(max(mean) FILTER (WHERE r = 194), 6) AS hi FROM k""",
 )
 def bootstrap_ci_hash(spark, sf):
-    return S.interval(S.bootstrap_hash(diffs(spark, sf), "v", 200), 200)
+    return S.interval(S.bootstrap_hash(diffs(spark, sf), "v", 200), 200, 6)
 
 
 @query(
@@ -159,13 +159,13 @@ def paired_clusters(spark, sf):
     "paired_drop",
     f"""WITH n AS (SELECT row_number() OVER (ORDER BY qid) - 1 AS i, v FROM {DIFF_SQL}), c AS (SELECT count(*) AS n FROM n),
     m AS (SELECT b, avg(n2.v) AS mean FROM range(200) r(b) CROSS JOIN n n1 CROSS JOIN c JOIN n n2 ON n2.i = floor({DRAW.format("b || ':' || n1.i")} * c.n)::BIGINT GROUP BY b),
-    k AS (SELECT round(mean, 4) AS hi FROM m QUALIFY row_number() OVER (ORDER BY mean) = 195), w AS (SELECT count(*) FILTER (WHERE v < 0) AS lost, count(*) FILTER (WHERE v > 0) AS won, count(*) AS n FROM {DIFF_SQL})
+    k AS (SELECT round(mean, 6) AS hi FROM m QUALIFY row_number() OVER (ORDER BY mean) = 195), w AS (SELECT count(*) FILTER (WHERE v < 0) AS lost, count(*) FILTER (WHERE v > 0) AS won, count(*) AS n FROM {DIFF_SQL})
     SELECT lost::BIGINT AS lost, won::BIGINT AS won, n::BIGINT AS n, hi, lost - won >= greatest(2, ceil(n * 0.03)) AND hi < 0 AS drop FROM w CROSS JOIN k""",
 )
 def paired_drop(spark, sf):
     """A drop: net losses of at least three in a hundred (two at least) and an interval wholly below zero."""
     d = diffs(spark, sf)
-    ci = S.interval(S.bootstrap_hash(d, "v", 200), 200)
+    ci = S.interval(S.bootstrap_hash(d, "v", 200), 200, 6)
     lost = d.agg(F.sum((F.col("v") < 0).cast("long")).alias("lost"), F.sum((F.col("v") > 0).cast("long")).alias("won"), F.count("*").alias("n"))
     net = F.col("lost") - F.col("won")
     return lost.crossJoin(ci).select("lost", "won", "n", "hi", ((net >= F.greatest(F.lit(2), F.ceil(F.col("n") * 0.03))) & (F.col("hi") < 0)).alias("drop"))
@@ -299,13 +299,13 @@ def aurc(spark, sf):
 
 
 @query("confidence_signals", f"""WITH r AS {RUN_A}, e AS (SELECT *, exp(score - max(score) OVER (PARTITION BY qid)) AS e FROM r), p AS (SELECT *, e / sum(e) OVER (PARTITION BY qid) AS p FROM e)
-    SELECT qid, max(score) AS top1, round(max(score) - coalesce(max(score) FILTER (WHERE rank = 1), 0), 6) AS margin, round(sum(p * ln(p)), 6) + 0.0 AS neg_entropy, round(median(score), 6) AS med FROM p GROUP BY qid""")
+    SELECT qid, max(score) AS top1, round(max(score) - coalesce(max(score) FILTER (WHERE rank = 1), 0), 6) AS margin, round(sum(p * ln(p)), 6) + 0.0 AS neg_entropy, round(median(score), 7) AS med FROM p GROUP BY qid""")
 def confidence_signals(spark, sf):
     over = W.partitionBy("qid")
     r = bm25(spark, sf).withColumn("e", F.exp(F.col("score") - F.max("score").over(over)))
     r = r.withColumn("p", F.col("e") / F.sum("e").over(over))
     second = F.coalesce(F.max(F.when(F.col("rank") == 1, F.col("score"))), F.lit(0.0))
-    return r.groupBy("qid").agg(F.max("score").alias("top1"), F.round(F.max("score") - second, 6).alias("margin"), (F.round(F.sum(F.col("p") * F.log("p")), 6) + 0.0).alias("neg_entropy"), F.round(F.median("score"), 6).alias("med"))
+    return r.groupBy("qid").agg(F.max("score").alias("top1"), F.round(F.max("score") - second, 6).alias("margin"), (F.round(F.sum(F.col("p") * F.log("p")), 6) + 0.0).alias("neg_entropy"), F.round(F.median("score"), 7).alias("med"))
 
 
 @query("split_sha256", "SELECT doc_id, CASE WHEN ('0x' || left(sha256(doc_id::VARCHAR), 2))::INT % 2 = 0 THEN 'dev' ELSE 'test' END AS split FROM documents")

@@ -11,6 +11,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
@@ -45,6 +46,15 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def sized(table: DataFrame, most: int = 64 << 20) -> DataFrame:
+    """``table``, a written one, marked for broadcast if its files hold ``most`` bytes or fewer; it is joined by its keys otherwise."""
+    total = 0
+    for name in table.inputFiles():
+        path = table.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        total += path.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path).getLen()
+    return F.broadcast(table) if total <= most else table
+
+
 def clear(spark: SparkSession) -> None:
     """Delete all scratch tables of this application. Results that still read them must have been written before."""
     remove(spark, _own(spark))

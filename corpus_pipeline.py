@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tarn.llm import bpe, crf, mixing, secrets, simhash
 from tarn.llm.arrow import named
 from tarn.llm.queries import TARGETS, domain_classifier
-from tarn.plans.scratch import cut
+from tarn.plans.scratch import cut, sized
 
 #: A text below this score is rejected.
 LEAST_QUALITY = 0.3
@@ -48,8 +48,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     rows = docs.withColumn(key, own)
     groups = cut(simhash.similar(rows, shingle=5, least=0.8, id_col=key).select(F.col("id").alias(key), "component_id"), "groups")
     first = F.col(key) == F.col("component_id")
-    dropped = cut(groups.where(~first).select(key), "dropped")
-    repeated = cut(groups.where(first).groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(key), "repeated")
+    dropped = sized(cut(groups.where(~first).select(key).distinct(), "dropped"))
+    repeated = sized(cut(groups.where(first).groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(key), "repeated"))
     kept = rows.join(dropped, key, "left_anti")
     if not repeated.isEmpty():
         kept = kept.join(repeated, key, "left_anti").unionByName(kept.join(repeated, key, "left_semi").dropDuplicates([key]))

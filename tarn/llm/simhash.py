@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from tarn.functions.components import connected_components
 from tarn.llm.arrow import bound_batches, map_texts, named
-from tarn.plans.scratch import cut
+from tarn.plans.scratch import cut, sized
 
 SEED = 42
 #: Hashes whose bits are counted at once.
@@ -479,8 +479,11 @@ def similar(
     members = near.join(classes.select(F.col("rep").alias("vertex"), "digest", "id", "fp", "n"), "vertex").withColumnsRenamed({"vertex": "rep", "component": "group"})
     size = F.greatest(F.ceil(F.count("*") / (cell // 2)), F.ceil(F.sum("n") / SET_SIZE)).cast("int")
     placed = members.join(members.groupBy("group").agg(size.alias("slices")), "group").withColumn("slice", F.pmod(F.xxhash64("rep", F.lit(7)), "slices").cast("int"))
-    placed = cut(placed.select("id", "digest", "group", "slice", "slices", "rep", "fp"), "members")  # broadcast by its size as a written table, joined otherwise
-    texts = docs.select(named(id_col).alias("id"), named(text_col).alias("text")).join(placed, "id")
+    placed = cut(placed.select("id", "digest", "group", "slice", "slices", "rep", "fp"), "members")
+    # only texts of groups are joined: those whose hashed id is among the groups', which are broadcast up to a checked size
+    asked = sized(cut(placed.select(F.xxhash64("id").alias("h")).distinct(), "asking"))
+    texts = docs.select(named(id_col).alias("id"), named(text_col).alias("text")).withColumn("h", F.xxhash64("id")).join(asked, "h", "left_semi")
+    texts = texts.drop("h").join(sized(placed), "id")
 
     def setup():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:

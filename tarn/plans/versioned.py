@@ -7,6 +7,7 @@ leaves nothing that is read, and of two that build at once one wins and the othe
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import uuid
 from collections.abc import Callable
@@ -55,3 +56,13 @@ def ensure(spark: SparkSession, name: str, digest: str, build: Callable[[str], N
             if not old.endswith(digest):
                 remove(spark, old)
     return f"{root}/{digest}"
+
+
+def run_blocks(spark: SparkSession, name: str, blocks: dict[str, str], work: Callable[[str], DataFrame]) -> DataFrame:
+    """The rows of ``work(block)`` over all ``blocks``, which map their names to digests of what they depend on.
+
+    A block that was finished is read, not run: its version folder is the receipt. After a failure the next call goes on where
+    this one stopped. Versions of a block that its digest has left behind go.
+    """
+    done = [spark.read.parquet(ensure(spark, f"{name}/{b}", digest, lambda path, b=b: work(b).write.parquet(path), keep=1)) for b, digest in blocks.items()]
+    return functools.reduce(DataFrame.unionByName, done)

@@ -178,3 +178,23 @@ def shard_coverage(spark, sf):
     d = table(spark, sf, "documents").where("NOT (source = 'src7' AND doc_id % 3 <> 0)")
     g = d.groupBy(F.col("source").alias("scope")).agg(F.countDistinct(F.col("doc_id") % 3).alias("shards"), F.count("*").alias("n"))
     return g.where("shards <> 1").withColumn("state", F.when(F.col("shards") < 3, "missing").otherwise("duplicate"))
+
+
+@query("resume_blocks", "SELECT * FROM (VALUES ('first', 3, 25), ('again', 0, 25), ('one changed', 1, 25)) AS t(run, executed, n)")
+def resume_blocks(spark, sf):
+    """Blocks of a run: all are executed once, none again, and only the one whose inputs changed."""
+    from tarn.plans import versioned
+    from tarn.plans.scratch import scratch_path
+
+    name, nations, ran = f"probe-{scratch_path(spark, 'x').rsplit('-', 1)[1]}", table(spark, sf, "nation"), []
+
+    def work(block):
+        ran.append(block)
+        return nations.where(F.col("n_nationkey") % 3 == int(block))
+
+    rows = []
+    for run, digests in (("first", "aaa"), ("again", "aaa"), ("one changed", "aab")):
+        ran.clear()
+        n = versioned.run_blocks(spark, name, {str(i): f"{i}-{d}" for i, d in enumerate(digests)}, work).count()
+        rows.append((run, len(ran), n))
+    return spark.createDataFrame(rows, "run string, executed int, n int")

@@ -123,3 +123,21 @@ def digest_increments(lines: DataFrame, sink: str, checkpoint: str) -> None:
         files.withColumn("trigger", F.lit(trigger)).write.mode("overwrite").parquet(f"{sink}/part={trigger}")
 
     lines.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def embed_increments(chunks: DataFrame, cache: str, checkpoint: str, embed) -> None:
+    """Fill the cache ``(hash, vector)`` for what a stream of ``chunks (text)`` brings: each content is encoded once.
+
+    ``embed`` makes a vector column of a text column. A trigger's new hashes are those that no other part of the cache holds; it
+    writes them under its own number, so one that is taken again replaces what it wrote.
+    """
+
+    def write(rows: DataFrame, trigger: int) -> None:
+        spark = rows.sparkSession
+        new = rows.where("text IS NOT NULL").select(F.sha2("text", 256).alias("hash"), "text").dropDuplicates(["hash"])
+        known = spark.read.schema("hash string, vector array<double>, part long").parquet(cache) if trigger else None
+        if known is not None:
+            new = new.join(known.where(F.col("part") != trigger).select("hash"), "hash", "left_anti")
+        new.select("hash", embed(F.col("text")).alias("vector")).write.mode("overwrite").parquet(f"{cache}/part={trigger}")
+
+    chunks.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

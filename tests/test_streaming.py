@@ -75,3 +75,13 @@ def test_log_is_set_aside_when_full(spark, tmp_path):
     for _ in range(4):
         append_log(spark.range(100).selectExpr("id", "'x' AS q"), path, most=3000)
     assert spark.read.json(path).count() == 200 and spark.read.json(path + ".1").count() == 200
+
+
+def test_each_content_is_embedded_once(spark, tmp_path):
+    embed = lambda text: F.array(F.length(text).cast("double"))
+    counts = []
+    for n, rows in enumerate([["a", "bb", "a"], ["bb", "ccc", None], ["a"]]):
+        spark.createDataFrame([(r,) for r in rows], "text string").coalesce(1).write.mode("append").json(f"{tmp_path}/in")
+        hitlog.embed_increments(spark.readStream.schema("text string").json(f"{tmp_path}/in"), f"{tmp_path}/cache", f"{tmp_path}/check", embed)
+        counts.append(spark.read.parquet(f"{tmp_path}/cache").groupBy("part").count().orderBy("part").collect())
+    assert [[tuple(r) for r in c] for c in counts] == [[(0, 2)], [(0, 2), (1, 1)], [(0, 2), (1, 1)]]

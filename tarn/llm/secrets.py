@@ -170,6 +170,12 @@ def shown(spans: Column) -> Column:
 
 def redact(text: Column, spans: Column, mark: str = "[secret]") -> Column:
     """``text`` with each span, and whatever spans overlap or touch it, replaced by one mark. Spans must be sorted by start."""
+    # both are elements of an array: what is named in several places below is computed once a row
+    row = F.array(F.struct(text.alias("text"), spans.alias("spans")))
+    return F.when(F.size(spans) > 0, F.element_at(F.transform(row, lambda r: _redacted(r["text"], r["spans"], mark)), 1)).otherwise(text)
+
+
+def _redacted(text: Column, spans: Column, mark: str) -> Column:
     zero = F.lit(0).cast("long")
     last = lambda chunk: F.array_max(F.transform(chunk, lambda s: s["end"]))
     reach = F.aggregate(F.transform(_chunks(spans), last), F.array(zero), lambda acc, n: F.array_append(acc, F.greatest(F.element_at(acc, -1), n)))
@@ -188,6 +194,8 @@ def redact(text: Column, spans: Column, mark: str = "[secret]") -> Column:
         begin = F.struct(p["at"].alias("at"), F.array().cast("array<string>").alias("out"))
         return F.aggregate(p["spans"], begin, step, lambda acc: F.array_join(acc["out"], ""))
 
-    parts = F.zip_with(_chunks(spans), F.slice(reach, 1, F.size(reach) - 1), part)
-    tail = F.substring(text, F.element_at(reach, -1) + 1, F.lit(2147483647))
-    return F.when(F.size(spans) > 0, F.concat(F.array_join(F.transform(parts, replaced), ""), tail)).otherwise(text)
+    def whole(ends: Column) -> Column:
+        parts = F.zip_with(_chunks(spans), F.slice(ends, 1, F.size(ends) - 1), part)
+        return F.concat(F.array_join(F.transform(parts, replaced), ""), F.substring(text, F.element_at(ends, -1) + 1, F.lit(2147483647)))
+
+    return F.element_at(F.transform(F.array(reach), whole), 1)

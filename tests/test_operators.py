@@ -234,6 +234,30 @@ def test_stemmed_search_matches_word_forms(spark):
     assert [stem(w) for w in ("generalizations", "oscillators", "is", "by", "ease", "controlling")] == ["gener", "oscil", "is", "by", "eas", "control"]
 
 
+def test_batches_hold_their_budgets():
+    rnd = random.Random(7)
+    for _ in range(100):
+        lengths = [rnd.randrange(0, 300) for _ in range(rnd.randrange(0, 60))]
+        batches = vectors.plan_subbatches(lengths, 8, 1000, 90_000)
+        flat = [i for b in batches for i in b]
+        assert sorted(flat) == list(range(len(lengths))) and flat == sorted(flat, key=lambda i: (-lengths[i], i))
+        for n, b in enumerate(batches):
+            longest = max(1, lengths[b[0]])
+            fits = lambda size: size == 1 or (size <= 8 and size * longest <= 1000 and size * longest**2 <= 90_000)  # noqa: B023, E731
+            assert fits(len(b)) and (n == len(batches) - 1 or not fits(len(b) + 1))
+
+
+def test_repeated_requests(spark, tmp_path):
+    from tarn.queries.memory_queries import repeat_request
+
+    said = ["please run the nightly build", "thanks a lot for that", "Please, run the nightly build!", "short", "something else entirely now", "short"]
+    rows = [(1, 2 * i, "user", t) for i, t in enumerate(said)] + [(1, 1, "assistant", said[0]), (2, 0, "user", said[0])]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {(r.conv_id, r.turn): r.repeats for r in repeat_request(spark, str(tmp_path)).collect()}
+    # the third asks again what the first did; short ones never count, nor does the one right before
+    assert got == {(1, 0): False, (1, 2): False, (1, 4): True, (1, 6): False, (1, 8): False, (1, 10): False, (2, 0): False}
+
+
 def test_shards_of_one_configuration_without_repeats(spark):
     from tarn.operators.logs import merge_shards
 

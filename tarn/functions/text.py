@@ -115,11 +115,14 @@ def match_snippet(content: Column, query: Column, width: int = 500) -> Column:
     # the text is lower-cased once, as an element: a lambda evaluates what it closes over for every word
     places = once(F.lower(content), lambda low: F.transform(words, lambda w: F.instr(low, w) - 1))
     at = F.array_sort(F.filter(places, lambda p: p >= 0))
-    centre = F.element_at(at, F.floor(F.size(at) / 2).cast("int") + 1)
-    start = F.greatest(F.lit(0), F.least(centre - width // 3, F.length(content) - width))
-    cut = F.substring(content, start + 1, F.lit(width))
-    around = F.when(start > 0, F.concat(F.lit("…"), cut)).otherwise(cut)
-    return F.when(F.length(content) <= width, content).when(F.size(at) > 0, around).otherwise(F.substring(content, 1, width))
+
+    def around(at: Column) -> Column:
+        centre = F.element_at(at, F.floor(F.size(at) / 2).cast("int") + 1)
+        start = F.greatest(F.lit(0), F.least(centre - width // 3, F.length(content) - width))
+        mark = lambda start: F.concat(F.when(start > 0, "…").otherwise(""), F.substring(content, start + 1, F.lit(width)))
+        return F.when(F.size(at) > 0, once(start, mark)).otherwise(F.substring(content, 1, width))
+
+    return F.when(F.length(content) <= width, content).otherwise(once(at, around))
 
 
 def late_windows(n: Column, cap: int) -> Column:

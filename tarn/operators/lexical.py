@@ -212,9 +212,10 @@ def search_fts(queries: DataFrame, docs: DataFrame, index: Index, limit: int, de
     from tarn.operators.rank import slug_decay
 
     pool = bm25_topk(query_terms(queries), index, limit * 3 if decay < 1 else limit)
-    rows = pool.join(docs.select(F.col("id").alias("doc_id"), "slug", "content"), "doc_id")
+    rows = pool.join(docs.select(F.col("id").alias("doc_id"), "slug"), "doc_id")
     picked = slug_decay(rows, decay, limit) if decay < 1 else rows.withColumn("pos", F.col("rank"))
-    return picked.join(queries, "qid").select("qid", "pos", "doc_id", "slug", F.round("score", 3).alias("score"), match_snippet(F.col("content"), F.col("query")).alias("snippet"))
+    shown = picked.join(docs.select(F.col("id").alias("doc_id"), "content"), "doc_id").join(queries, "qid")
+    return shown.select("qid", "pos", "doc_id", "slug", F.round("score", 3).alias("score"), match_snippet(F.col("content"), F.col("query")).alias("snippet"))
 
 
 def trigger(prompt: Column, description: Column) -> Column:

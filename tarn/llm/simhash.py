@@ -498,6 +498,9 @@ def similar(
     sets = map_texts(texts, "text", ["digest", *carried], "group long, slice int, slices int, rep long, fp long, members binary", setup)
     rows = cut(sets.dropDuplicates(["rep"]), "sets")
     groups = connected_components(_group_links(rows, radius, least))
-    labelled = classes.join(groups, F.col("rep") == F.col("vertex"), "left").select("digest", F.col("id").alias("class_id"), F.coalesce("component", "rep").alias("part"))
-    roots = labelled.groupBy("part").agg(F.min("class_id").alias("component_id"))
-    return own.select("id", "digest").join(labelled.join(roots, "part"), "digest").select("id", "class_id", "component_id")
+    # most classes are alone and need no root; those of groups find it by a table of known size, so a large group stays spread
+    grouped = cut(groups.join(classes.select(F.col("rep").alias("vertex"), "id"), "vertex"), "grouped")
+    roots = sized(cut(grouped.groupBy("component").agg(F.min("id").alias("root")), "roots"))
+    own_root = sized(cut(grouped.join(roots, "component").select("vertex", "root"), "roots"))
+    labelled = classes.join(own_root, F.col("rep") == F.col("vertex"), "left").select("digest", F.col("id").alias("class_id"), F.coalesce("root", "id").alias("component_id"))
+    return own.select("id", "digest").join(labelled, "digest").select("id", "class_id", "component_id")

@@ -19,9 +19,9 @@ SLICE_BYTES = 2 << 20
 BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 
-def bound_batches(spark: SparkSession) -> None:
+def bound_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Lower the session's bounds on Arrow batches to these, unless they are lower already."""
-    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
         now = re.fullmatch(r"(\d+)b?", spark.conf.get(key, None) or "")
         if not now or not 0 < int(now[1]) <= most:
             spark.conf.set(key, str(most))

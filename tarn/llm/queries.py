@@ -174,6 +174,31 @@ SELECT doc_id, coalesce(n0, 0)::BIGINT AS n_assign, coalesce(n1, 0)::BIGINT AS n
 """
 
 
-QUERIES = {"op5_mixing": op5_mixing, "op9_token_counts": op9_token_counts, "op6_quality": op6_quality, "op3_ppm": op3_ppm, "op4_embedding_dedup": op4_embedding_dedup, "op8_nearest": op8_nearest, "op2_warc": op2_warc, "op10_secrets": op10_secrets, "op1_simhash": op1_simhash, "op7_byte_bpe": op7_byte_bpe}
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best phrases of every language, scored by their worst cut."""
+    from tarn.llm.collocations import collocations
+
+    return collocations(_table(spark, sf_dir, "documents"), least=100, most=2000, share=100)
+
+
+OP11_SQL = """
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS s FROM documents),
+w AS MATERIALIZED (SELECT lang, list_filter(regexp_split_to_array(s, '[ \\t]+'), lambda x: x <> '') AS w FROM p),
+g AS (SELECT lang, z AS size, unnest(list_transform(range(1, len(w) - z + 2), lambda i: array_to_string(w[i:i + z - 1], ' '))) AS phrase
+  FROM w, (VALUES (1), (2), (3), (4), (5)) AS sizes(z) WHERE len(w) >= z),
+c AS MATERIALIZED (SELECT lang, size, phrase, count(*)::HUGEINT AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(f)::HUGEINT AS n FROM c WHERE size = 1 GROUP BY lang),
+o AS MATERIALIZED (SELECT * FROM c WHERE size >= 2 AND f >= 100),
+k AS (SELECT lang, phrase, size, f AS a, string_split(phrase, ' ') AS w, unnest(range(1, size)) AS k FROM o),
+s AS (SELECT k.lang, k.phrase, k.a, k, x.f AS l, y.f AS r, n, (1000 * a * n) // (x.f * y.f) AS score FROM k JOIN n ON n.lang = k.lang
+  JOIN c x ON x.lang = k.lang AND x.phrase = array_to_string(w[1:k], ' ') JOIN c y ON y.lang = k.lang AND y.phrase = array_to_string(w[k + 1:size], ' ')),
+b AS (SELECT lang, phrase, a, l, r, n, score FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+d AS (SELECT DISTINCT a.lang, a.phrase FROM o a JOIN o b ON a.lang = b.lang AND b.size > a.size AND contains(' ' || b.phrase || ' ', ' ' || a.phrase || ' ') AND 100 * b.f >= 100 * a.f),
+t AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank FROM b ANTI JOIN d ON b.lang = d.lang AND b.phrase = d.phrase)
+SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score FROM t WHERE rank <= 2000
+"""
+
+
+QUERIES = {"op5_mixing": op5_mixing, "op9_token_counts": op9_token_counts, "op6_quality": op6_quality, "op3_ppm": op3_ppm, "op4_embedding_dedup": op4_embedding_dedup, "op8_nearest": op8_nearest, "op2_warc": op2_warc, "op10_secrets": op10_secrets, "op1_simhash": op1_simhash, "op7_byte_bpe": op7_byte_bpe, "op11_collocations": op11_collocations}
 
-ORACLES: dict[str, str] = {"op2_warc": OP2_SQL, "op4_embedding_dedup": OP4_SQL, "op10_secrets": _op10_sql()}
+ORACLES: dict[str, str] = {"op2_warc": OP2_SQL, "op4_embedding_dedup": OP4_SQL, "op10_secrets": _op10_sql(), "op11_collocations": OP11_SQL}

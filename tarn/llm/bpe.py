@@ -19,6 +19,8 @@ from __future__ import annotations
 
 import base64
 import functools
+import json
+import re
 import threading
 import unicodedata
 
@@ -39,7 +41,7 @@ MARGIN = 4
 SPACES = frozenset("\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 YOUNG = range(0x2EBF0, 0x2EE5E)
 
-_loaded: dict[tuple[str, str], ByteBPE] = {}
+_loaded: dict[tuple[str, str, int], ByteBPE] = {}
 _lock = threading.Lock()
 
 
@@ -69,12 +71,39 @@ def certain(text: str, p: int, end: int) -> bool:
     return before != after and "?" not in (before, after) and not (after == "L" and text[p - 1] == "'")
 
 
+def letters() -> dict[str, int]:
+    """The byte that each letter of a byte-level vocabulary stands for: visible Latin-1 for itself, others from U+0100 on."""
+    visible = {b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xFF and b != 0xAD}
+    hidden = [b for b in range(256) if b not in visible]
+    return {chr(b): b for b in visible} | {chr(256 + i): b for i, b in enumerate(hidden)}
+
+
+def read_ranks(path: str) -> tuple[dict[bytes, int], dict[str, int]]:
+    """Ids of byte tokens and of special tokens, from ranks in tiktoken's format or a tokenizer's ``.json``.
+
+    A JSON file must be byte-level BPE whose merges make ids in their order: then an id is a rank, and both formats mean the same.
+    """
+    if not path.endswith(".json"):
+        with open(path, "rb") as f:
+            return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}, {}
+    with open(path, encoding="utf-8") as f:
+        read = json.load(f)
+    model, of = read["model"], letters()
+    merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    made = [model["vocab"][a + b] for a, b in merges]
+    plain = not any(read.get(k) for k in ("normalizer", "truncation", "padding")) and (read["pre_tokenizer"] or {}).get("type") == "ByteLevel" and not read["pre_tokenizer"].get("add_prefix_space")
+    odd = [t for t in read["added_tokens"] if t["lstrip"] or t["rstrip"] or t["single_word"]]
+    if not plain or odd or any(a >= b for a, b in zip(made, made[1:], strict=False)):
+        raise ValueError(f"{path} is not a plain byte-level BPE whose ids follow its merges")
+    special = {t["content"]: t["id"] for t in read["added_tokens"]}
+    return {bytes(of[c] for c in token): i for token, i in model["vocab"].items() if token not in special}, special
+
+
 class ByteBPE:
-    """Encoder and decoder for a rank file in tiktoken's format."""
+    """Encoder and decoder for a file of ranks (``read_ranks``). Special tokens' strings are plain text."""
 
     def __init__(self, ranks_path: str, pattern: str, leaf: int = LEAF):
-        with open(ranks_path, "rb") as f:
-            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+        ranks, self.special = read_ranks(ranks_path)
         self.leaf, self._pattern = leaf, pattern
         self._bytes = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
@@ -97,18 +126,33 @@ class ByteBPE:
         whole = self._encoding._core_bpe.encode_single_piece
         return functools.lru_cache(1 << 16)(lambda a, b: whole(self._bytes[a] + self._bytes[b]) == [a, b])
 
+    @property
+    def tokens(self) -> list[bytes]:
+        """The bytes of every id."""
+        return self._bytes
+
     @classmethod
-    def cached(cls, ranks_path: str, pattern: str) -> ByteBPE:
+    def cached(cls, ranks_path: str, pattern: str, leaf: int = LEAF) -> ByteBPE:
         """One encoder a worker process."""
         with _lock:
-            if (ranks_path, pattern) not in _loaded:
-                _loaded[ranks_path, pattern] = cls(ranks_path, pattern)
-            return _loaded[ranks_path, pattern]
+            if (ranks_path, pattern, leaf) not in _loaded:
+                _loaded[ranks_path, pattern, leaf] = cls(ranks_path, pattern, leaf)
+            return _loaded[ranks_path, pattern, leaf]
 
     def encode(self, text: str) -> list[int]:
         """Token ids of the whole text."""
         return self._range(text, 0, len(text))
 
+    def encode_special(self, text: str) -> list[int]:
+        """Token ids of the whole text, the strings of special tokens as their ids."""
+        if not any(t in text for t in self.special):
+            return self.encode(text)
+        longest = sorted(self.special, key=len, reverse=True)
+        out: list[int] = []
+        for part in re.split("(" + "|".join(map(re.escape, longest)) + ")", text):
+            out += [self.special[part]] if part in self.special else self.encode(part)
+        return out
+
     def _range(self, text: str, lo: int, hi: int) -> list[int]:
         if hi - lo <= self.leaf:
             return self._piece(text[lo:hi])

@@ -191,7 +191,7 @@ n AS (SELECT lang, sum(f)::HUGEINT AS n FROM c WHERE size = 1 GROUP BY lang),
 o AS MATERIALIZED (SELECT * FROM c WHERE size >= 2 AND f >= 100),
 k AS (SELECT lang, phrase, size, f AS a, string_split(phrase, ' ') AS w, unnest(range(1, size)) AS k FROM o),
 s AS (SELECT k.lang, k.phrase, k.a, k, x.f AS l, y.f AS r, n, (1000 * a * n) // (x.f * y.f) AS score FROM k JOIN n ON n.lang = k.lang
-  JOIN c x ON x.lang = k.lang AND x.phrase = array_to_string(w[1:k], ' ') JOIN c y ON y.lang = k.lang AND y.phrase = array_to_string(w[k + 1:size], ' ')),
+  JOIN c x ON x.lang = k.lang AND x.phrase = array_to_string(w[1:k], ' ') JOIN c y ON y.lang = k.lang AND y.phrase = array_to_string(w[k + 1:k.size], ' ')),
 b AS (SELECT lang, phrase, a, l, r, n, score FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
 d AS (SELECT DISTINCT a.lang, a.phrase FROM o a JOIN o b ON a.lang = b.lang AND b.size > a.size AND contains(' ' || b.phrase || ' ', ' ' || a.phrase || ' ') AND 100 * b.f >= 100 * a.f),
 t AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank FROM b ANTI JOIN d ON b.lang = d.lang AND b.phrase = d.phrase)
@@ -199,6 +199,26 @@ SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BI
 """
 
 
-QUERIES = {"op5_mixing": op5_mixing, "op9_token_counts": op9_token_counts, "op6_quality": op6_quality, "op3_ppm": op3_ppm, "op4_embedding_dedup": op4_embedding_dedup, "op8_nearest": op8_nearest, "op2_warc": op2_warc, "op10_secrets": op10_secrets, "op1_simhash": op1_simhash, "op7_byte_bpe": op7_byte_bpe, "op11_collocations": op11_collocations}
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of every document's pieces in sequences of 1,024 tokens."""
+    import public_tokenizers
+
+    from tarn.llm.packing import pack
+
+    packed = pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, capacity=1024)
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links between the tokens of two public vocabularies in every whole text, and how common they are in all texts."""
+    import public_tokenizers
+
+    from tarn.llm.alignment import align
+
+    a, b = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return align(_table(spark, sf_dir, "documents"), a, public_tokenizers.PATTERN, b)
+
+
+QUERIES = {"op5_mixing": op5_mixing, "op9_token_counts": op9_token_counts, "op6_quality": op6_quality, "op3_ppm": op3_ppm, "op4_embedding_dedup": op4_embedding_dedup, "op8_nearest": op8_nearest, "op2_warc": op2_warc, "op10_secrets": op10_secrets, "op1_simhash": op1_simhash, "op7_byte_bpe": op7_byte_bpe, "op11_collocations": op11_collocations, "op12_packing": op12_packing, "op13_alignment": op13_alignment}
 
 ORACLES: dict[str, str] = {"op2_warc": OP2_SQL, "op4_embedding_dedup": OP4_SQL, "op10_secrets": _op10_sql(), "op11_collocations": OP11_SQL}

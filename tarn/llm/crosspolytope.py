@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tarn.functions.components import connected_components
 from tarn.llm.arrow import named
-from tarn.plans.scratch import cut
+from tarn.plans.scratch import cut, sized
 
 #: Stored vectors of a bucket that one task holds at once; larger buckets are dealt to several tasks.
 SLICE = 1024
@@ -34,6 +34,8 @@ REMEMBERED = 1 << 15
 #: Stored rows a bucket should hold on average; more rows get more rotations a table.
 FILL = 4
 ROUNDS = 3
+#: Candidate buckets that are ranked at once, 32 bytes each.
+PROBED = 1 << 21
 #: Queries that one exact scan answers.
 SCANNED = 1024
 #: Bucket sizes are broadcast only where the number of possible buckets is below this.
@@ -68,17 +70,26 @@ class CrossPolytope:
         return np.concatenate([x, -x], 1)
 
     def buckets(self, unit: np.ndarray, table: int, probes: int | None = None) -> np.ndarray:
-        """Nearest buckets of each row, its home first, then probes by the closeness they lose."""
+        """Nearest buckets of each row, its home first, then probes by the closeness they lose.
+
+        Rotations are merged one by one. Of two lists in the order of their losses, the pair of the i-th and the j-th entry comes
+        after at least ``i * j`` others, so only pairs with ``i * j`` up to ``probes`` are looked at: some ``probes * ln(axes)`` of them a row.
+        """
         probes = probes or self.probes
+        rows = max(1, PROBED // (probes * (1 + int(math.log(2 * self.width)))))
+        return np.concatenate([self._merged(unit[lo : lo + rows], table, probes) for lo in range(0, max(1, len(unit)), rows)])
+
+    def _merged(self, unit: np.ndarray, table: int, probes: int) -> np.ndarray:
         axes, loss = np.zeros((len(unit), 1), np.int64), np.zeros((len(unit), 1))
         for part in range(self.parts):
             s = self.scores(unit, table, part)
             best = np.argsort(-s, axis=1, kind="stable")[:, :probes]
             lost = s.max(1, keepdims=True) - np.take_along_axis(s, best, 1)
-            axes = (axes[:, :, None] * (2 * self.width) + best[:, None, :]).reshape(len(unit), -1)
-            loss = (loss[:, :, None] + lost[:, None, :]).reshape(len(unit), -1)
-            order = np.argsort(loss, axis=1, kind="stable")[:, :probes]
-            axes, loss = np.take_along_axis(axes, order, 1), np.take_along_axis(loss, order, 1)
+            i, j = _leading(axes.shape[1], best.shape[1], probes)
+            both = loss[:, i] + lost[:, j]
+            order = np.argsort(both, axis=1, kind="stable")[:, :probes]
+            loss = np.take_along_axis(both, order, 1)
+            axes = np.take_along_axis(axes, i[order], 1) * (2 * self.width) + np.take_along_axis(best, j[order], 1)
         return axes
 
     def homes(self, unit: np.ndarray, table: int) -> np.ndarray:
@@ -103,6 +114,15 @@ class CrossPolytope:
         return out
 
 
+@functools.lru_cache(64)
+def _leading(n: int, m: int, probes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of places, in the order of the first, that may be among the ``probes`` least sums of two ascending lists."""
+    each = np.minimum(m, np.maximum(1, probes // np.arange(1, n + 1)))
+    each[np.arange(n) >= probes] = 0
+    i = np.repeat(np.arange(n), each)
+    return i, np.arange(len(i)) - np.repeat(np.cumsum(each) - each, each)
+
+
 def _below(lost: list[np.ndarray], bound: float) -> int:
     """How many sums of one entry of each array lie below ``bound``, rounding aside."""
     cut_at = (len(lost) + 1) // 2
@@ -278,13 +298,19 @@ def nearest(
     top = cut(_ranked(found, k), "found")
     least = min(k, rows.agg(F.count_distinct("id")).first()[0] - 1)
     whole = top.where(F.col("rank") == least).select(F.col("query_id").alias("id"))
-    short = cut(rows.where("asks").join(whole, "id", "left_anti").select("id", "vector"), "short") if least > 0 else rows.limit(0)
-    waiting = short.select("id", "vector").toLocalIterator()
-    scans = []
-    while held := list(itertools.islice(waiting, SCANNED)):
-        scans.append(cut(_scan(rows, np.array([r["vector"] for r in held]), np.array([r["id"] for r in held]), k, dim), "scanned"))
-    if not scans:
+    if least < 1:
+        return top
+    short = rows.where("asks").join(whole, "id", "left_anti").select("id", "vector")
+    blocks = math.ceil(short.count() / SCANNED)
+    if not blocks:
         return top
+    short = cut(short.withColumn("block", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(blocks))), "short")
+    scans = []
+    for block in range(blocks):
+        held = short.where(F.col("block") == block).select("id", "vector").toArrow()  # some SCANNED queries
+        if held.num_rows:
+            q = held.column("vector").combine_chunks().flatten().to_numpy().reshape(-1, dim)
+            scans.append(cut(_scan(rows, q, held.column("id").to_numpy(), k, dim), "scanned"))
     exact = _ranked(functools.reduce(DataFrame.unionByName, scans), k)
     return top.join(exact.select("query_id").distinct(), "query_id", "left_anti").select(*top.columns).unionByName(exact)
 
@@ -402,7 +428,9 @@ def near_duplicates(
     links = found.groupBy("class").agg(F.sum("links").alias("links"))
     groups = connected_components(found.select(F.col("class").alias("src"), F.col("root").alias("dst")))
     numbered = classes.join(groups, F.col("class") == F.col("vertex"), "left").withColumn("component", F.coalesce("component", "class"))
-    roots = numbered.groupBy("component").agg(F.min("id").alias("root"))
+    numbered = cut(numbered.select("class", "vector", "id", "n", "component"), "numbered")
+    # as a table of known size: broadcast, or joined in a way that splits a component of very many classes
+    roots = sized(cut(numbered.groupBy("component").agg(F.min("id").alias("root")), "roots"))
     labelled = (
         numbered.join(roots, "component")
         .join(links, "class", "left")

@@ -163,3 +163,38 @@ def test_a_cell_of_near_copies_keeps_its_bound():
     assert cp._linked(0, home, slices[0], slices[1], cp.Covers(h), 0.9).num_rows > 1000
     assert tracemalloc.get_traced_memory()[1] < 100 << 20
     tracemalloc.stop()
+
+
+def test_merged_probes_equal_the_whole_product():
+    rng = np.random.default_rng(2)
+    unit = cp._unit(rng.normal(size=(7, 10)))
+    hashes = cp.CrossPolytope(10, 1, 3, 1)
+    lost, best = [], []
+    for part in range(3):
+        s = hashes.scores(unit, 0, part)
+        best.append(np.argsort(-s, axis=1, kind="stable"))
+        lost.append(s.max(1, keepdims=True) - np.take_along_axis(s, best[-1], 1))
+    for probes in (1, 2, 5, 33, 700, 32**3):
+        found = hashes.buckets(unit, 0, probes)
+        for i in range(len(unit)):
+            sums = ((lost[0][i][:, None] + lost[1][i])[:, :, None] + lost[2][i]).ravel()
+            order = np.argsort(sums, kind="stable")[:probes]
+            a, b, c = np.unravel_index(order, (32, 32, 32))
+            want = (best[0][i][a] * 32 + best[1][i][b]) * 32 + best[2][i][c]
+            assert found.shape[1] == len(want) and sorted(found[i]) == sorted(want)
+            assert found[i, 0] == hashes.homes(unit, 0)[i] == want[0]
+
+
+def test_memory_of_many_probes():
+    """Three rotations and some 17,000 probes, as 100,000 loose vectors ask for: memory does not grow with the rows at hand."""
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    hashes = cp.CrossPolytope(64, 1, 3, 1)
+    unit = cp._unit(rng.normal(size=(cp.TILE, 64)))
+    hashes.buckets(unit[:1], 0, 17_000)
+    tracemalloc.start()
+    found = hashes.buckets(unit, 0, 17_000)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found.shape == (cp.TILE, 17_000) and most < 300e6, most

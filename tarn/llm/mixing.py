@@ -3,13 +3,14 @@
 A softmax classifier over hashed byte pairs, fitted on a labelled table, gives every document a posterior
 over the domains. Document rates ``r >= 0`` then minimise
 
-    |a(r) - target|^2 / 2  +  pull / 2 * sum_d w_d (r_d - 1)^2,    a_k(r) = sum_d w_d r_d p_dk,
+    (a(r) - target)' M (a(r) - target) / 2,    a_k(r) = sum_d w_d r_d p_dk,
 
-with ``w_d`` the document's share of all tokens. At the least value ``r_d = max(0, 1 - p_d . dual)`` for one
-vector ``dual`` of ``K`` numbers, which Newton steps find from the ``K x K`` sums over the documents at hand, so
-no state of the documents is kept between steps. Where that least value still misses a target, the pull is
-moved to the last ``dual`` and weakened (method of multipliers) until all targets are met. If they are out of
-reach, the rates of the full pull are returned, and a warning gives the residual.
+with ``w_d`` the document's share of all tokens and ``M`` the inverse of the domains' Gram matrix ``sum_d w_d p_d p_d'``, by
+projected gradient from ``r = 1``. In that metric a step of one is right however rare a domain is; it is taken along the Gram
+matrix of the documents whose rates are not zero, as far as that lessens the squares. Rates stay near one where they can, as
+steps only ever go along the posteriors. A document's rate follows from its posterior and the history of steps, ``K`` numbers each,
+so no state of the documents is kept between passes. If targets are out of reach, the rates of the least squares are returned, and a
+warning tells the largest miss.
 
 Defined results: a null or empty text has no tokens and no features, its posterior is the prior's; repeated
 rows are documents of their own; labelled rows without text or domain are ignored; with no labelled rows
@@ -32,8 +33,10 @@ from tarn.llm.arrow import bound_batches, by_place, large_text, map_texts, named
 from tarn.plans.scratch import cut
 
 FEATURES = 2048
-#: Lengths of a Newton step that one pass over the documents tries, each half the last.
-STEPS = 8
+#: Share of the Gram matrix's mean that is added to its diagonal, and share of that matrix that is added to the active documents' one.
+RIDGE, SHIFT = 1e-9, 1e-3
+#: Squared norm of a projected gradient that has vanished.
+VANISHED = 1e-16
 
 
 def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -110,95 +113,74 @@ def fit_classifier(labelled: DataFrame, domains: list[str], sample: int = 2000,
 
 @dataclass
 class Rates:
-    """What determines every document's rate: the fitted ``dual``, or else a history of projected gradients."""
+    """What determines every document's rate: the history of projected-gradient steps, each a vector over the domains."""
 
-    gaps: list[np.ndarray]
-    step: float
-    pull: float
+    gradients: list[np.ndarray]
     residual: float = np.inf
-    dual: np.ndarray | None = None
 
     def __call__(self, p: np.ndarray) -> np.ndarray:
         """Rates of documents with posteriors ``p``."""
-        return self._fold(p)[0] if self.dual is None else np.maximum(0, 1 - p @ self.dual)
+        return self.last(p)[0]
 
-    def ahead(self, p: np.ndarray) -> np.ndarray:
-        """Where the next gradient is taken."""
-        return self._fold(p)[1]
+    def last(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rates, and how far the last step moved them."""
+        r, before = np.ones(len(p)), np.ones(len(p))
+        for gradient in self.gradients:
+            r, before = np.maximum(0, r - p @ gradient), r
+        return r, before - r
 
-    def _fold(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        r = y = np.ones(len(p))
-        for i, gap in enumerate(self.gaps):
-            new = np.maximum(0, y - self.step * (p @ gap + self.pull * (y - 1)))
-            y = new + i / (i + 3) * (new - r)
-            r = new
-        return r, y
 
+def fit_rates(members: DataFrame, target: list[float], tolerance: float = 1e-4, rounds: int = 80) -> Rates:
+    """Fit rates of at least zero for ``members (n_tokens, p array<double>)`` so that expected token shares match ``target``.
 
-def fit_rates(members: DataFrame, target: list[float], pull: float = 1e-4, tolerance: float = 1e-4, rounds: int = 80) -> Rates:
-    """Fit rates for ``members (n_tokens, p array<double>)`` so that expected token shares match ``target``.
-
-    Warns if a share misses its target by ``tolerance`` or more; ``residual`` of the result is the largest miss.
+    A round is one pass that sums, at the rates so far, what documents add to the domains and the Gram matrix of those whose rates
+    are not zero. The step is scaled by that matrix; while it does not lessen the squares it is quartered, at last the plain step is
+    taken, which always does.
+    It ends where every share is within ``tolerance``, or the projected gradient vanishes; then a warning tells the largest miss,
+    which ``residual`` holds too.
     """
     k = len(target)
     target = np.asarray(target, float) / sum(target)
     total = float(members.agg(F.sum("n_tokens")).first()[0] or 0)
     if not total:
-        return Rates([], 1.0, pull, 0.0)
-
-    def sums(of) -> np.ndarray:
-        def run(batches):
-            out = None
-            for batch in batches:
-                if batch.num_rows:
-                    p = batch.column(1).flatten().to_numpy().reshape(-1, k)
-                    now = of(batch.column(0).to_numpy() / total, p)
-                    out = now if out is None else out + now
-            if out is not None:
-                yield pa.RecordBatch.from_arrays([pa.array(range(len(out))), pa.array(out)], ["i", "v"])
+        return Rates([], 0.0)
+    rates, n = Rates([]), k + k * k + 1
 
+    def run(batches):
+        out = np.zeros(n)
+        for batch in batches:
+            if batch.num_rows:
+                w, p = batch.column(0).to_numpy() / total, batch.column(1).flatten().to_numpy().reshape(-1, k)
+                r, step = rates.last(p)
+                out += np.concatenate([(w * r) @ p, ((p * (w * (r > 0))[:, None]).T @ p).ravel(), [w @ (step * step)]])
+        yield pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array(out)], ["i", "v"])
+
+    metric = best = before = None
+    length, least = 1.0, np.inf
+    for _ in range(rounds + 1):
         found = members.select("n_tokens", "p").mapInArrow(run, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).orderBy("i").collect()
-        return np.array([r["v"] for r in found])
-
-    def at(duals: np.ndarray) -> list[tuple[float, np.ndarray, np.ndarray]]:
-        """Half the square sum of the rates, the shares and their slope, for each of ``duals``."""
-
-        def of(w, p):
-            out = []
-            for dual in duals:
-                r = np.maximum(0, 1 - p @ dual)
-                out += [[w @ (r * r) / 2], (w * r) @ p, ((p * (w * (r > 0))[:, None]).T @ p).ravel()]
-            return np.concatenate(out)
-
-        return [(x[0], x[1 : k + 1], x[k + 1 :].reshape(k, k)) for x in sums(of).reshape(len(duals), -1)]
-
-    def value(dual, half):
-        return target @ dual + weight / 2 * ((dual - centre) ** 2).sum() + half
-
-    dual, centre, weight = np.zeros(k), np.zeros(k), pull
-    half, shares, slope = at(dual[None])[0]
-    pulled = None  # the least value under the full pull
-    for _ in range(rounds):
-        residual = float(np.abs(shares - target).max())
+        sums = np.array([x["v"] for x in found])
+        miss, active = sums[:k] - target, sums[k:-1].reshape(k, k)
+        if metric is None:
+            gram = active + RIDGE * np.trace(active) / k * np.eye(k)  # all rates are one
+            metric = np.linalg.inv(gram)
+        squares, residual = float(miss @ metric @ miss), float(np.abs(miss).max())
+        if squares < least or residual < tolerance:
+            best, least = Rates(list(rates.gradients), residual), squares
         if residual < tolerance:
             break
-        gradient = target - shares + weight * (dual - centre)
-        if np.abs(gradient).max() < tolerance / 10:
-            pulled = pulled or (dual, residual)
-            centre, weight = dual, weight / 10
-            if weight < pull * 1e-8:
-                break
-            gradient = target - shares
-        step = np.linalg.solve(slope + weight * np.eye(k), gradient)
-        tries = dual - np.outer(0.5 ** np.arange(STEPS), step)
-        there = at(tries)
-        best = int(np.argmin([value(d, h) for d, (h, _, _) in zip(tries, there)]))
-        dual, (half, shares, slope) = tries[best], there[best]
-    residual = float(np.abs(shares - target).max())
-    if residual >= tolerance:
-        dual, residual = pulled or (dual, residual)
-        warnings.warn(f"token shares miss their targets by up to {residual:.3g}", stacklevel=2)
-    return Rates([], 1.0, pull, residual, dual)
+        if before and length and squares >= before[1]:  # too far: a quarter of the step, or at last the plain one
+            length = length / 4 if length > SHIFT else 0.0
+            rates.gradients[-1] = length * before[2] if length else metric @ before[0]
+            continue
+        if rates.gradients and sums[-1] < VANISHED:
+            break
+        length = min(1.0, 2 * length) if length else 4 * SHIFT
+        before = miss, squares, np.linalg.solve(active + SHIFT * gram, miss)
+        rates.gradients.append(length * before[2])
+    if best.residual >= tolerance:
+        warnings.warn(f"token shares miss their targets by up to {best.residual:.3g}", stacklevel=2)
+    return best
 
 
 def memberships(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -239,10 +221,23 @@ def draw(docs: DataFrame, model: Classifier, rates: Rates, id_col: str = "doc_id
             for part in slices(batch, text_at):
                 rate = rates(model.posteriors(features(large_text(part.column(text_at)))[0]))
                 copies = np.floor(rate) + (part.column(odds_at).to_numpy() < rate - np.floor(rate))
-                rows = pa.array(np.repeat(np.arange(part.num_rows), copies.astype(np.int64)))
-                yield part.select(range(odds_at)).take(rows)
+                some = pa.array(copies > 0)
+                rows = part.select(range(odds_at)).filter(some)
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(copies.astype(np.int64)).filter(some)], [*rows.schema.names, "copies"])
 
     bound_batches(docs.sparkSession)
     rows = by_place(docs)
     odds = F.pmod(F.xxhash64(rows.columns[docs.columns.index(id_col)], F.lit(5)), F.lit(1 << 20)) / float(1 << 20)
-    return rows.withColumn("odds", odds).mapInArrow(run, rows.schema).toDF(*docs.columns)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    drawn = rows.withColumn("odds", odds).mapInArrow(run, f"{schema}, copies long")
+    # copies are made in the JVM one by one: a batch here never grows with the rates
+    return _copied(drawn).toDF(*docs.columns)
+
+
+def _copied(drawn: DataFrame) -> DataFrame:
+    """Every row as often as its last column says, in runs of 2^16 copies."""
+    run = 1 << 16
+    full = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / run))).alias("run")
+    parts = drawn.select("*", full).withColumn("here", F.least(F.lit(run), F.col("copies") - F.col("run") * run))
+    again = F.explode(F.array_repeat(F.lit(0), F.col("here").cast("int"))).alias("again")
+    return parts.select("*", again).drop("copies", "run", "here", "again")

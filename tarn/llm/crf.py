@@ -41,15 +41,28 @@ CLASSES = [
 TABLES = [f(np.arange(256, dtype=np.uint8)).astype(np.uint8) for f in CLASSES]
 OWN = len(CLASSES) + 6
 WIDTH = 3 * OWN + 3
+#: Lines that are worked on at a time in scoring.
+BLOCK = 1 << 16
 #: Potentials beyond this are cut off, so that products of matrices stay finite.
 BOUND = 30.0
 
 
-def line_features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Features of all lines, each line's length in characters, and where each text's lines begin."""
+def _split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All lines, and where each text's lines begin."""
     split = pc.split_pattern(texts, "\n")
     begins = np.r_[0, np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))].astype(np.int64)
-    lines = split.flatten().combine_chunks() if isinstance(split, pa.ChunkedArray) else split.flatten()
+    return split.flatten().combine_chunks() if isinstance(split, pa.ChunkedArray) else split.flatten(), begins
+
+
+def line_features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features of all lines, each line's length in characters, and where each text's lines begin."""
+    lines, begins = _split(texts)
+    own, chars = _own_features(lines)
+    return _with_neighbours(own, 0, len(own), begins), chars, begins
+
+
+def _own_features(lines: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Features of lines by themselves, and their lengths in characters."""
     n = len(lines)
     offsets = np.frombuffer(lines.buffers()[1], np.int64)[lines.offset : lines.offset + n + 1]
     data = np.frombuffer(lines.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
@@ -76,16 +89,23 @@ def line_features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     own[:, k + 3] = np.log1p(count) / 5
     own[:, k + 4] = np.minimum(chars / full, 40) / 10
     own[:, k + 5] = size == 0
-    x = np.zeros((n, WIDTH))
+    return own, chars
+
+
+def _with_neighbours(own: np.ndarray, lo: int, n: int, begins: np.ndarray) -> np.ndarray:
+    """Features of lines ``lo`` to ``lo + len(own)`` of ``n`` beside those of their neighbours, which are zero beyond a text."""
+    x = np.zeros((len(own), WIDTH))
     x[:, :OWN] = own
-    first, last = np.zeros(n, bool), np.zeros(n, bool)
-    first[begins[:-1]], last[begins[1:] - 1] = True, True
+    marks = np.zeros((2, len(own)), bool)
+    for mark, at in zip(marks, (begins[:-1], begins[1:] - 1), strict=True):
+        mark[at[(at >= lo) & (at < lo + len(own))] - lo] = True
+    first, last = marks
     x[1:, OWN : 2 * OWN] = own[:-1]
     x[:-1, 2 * OWN : 3 * OWN] = own[1:]
     x[first, OWN : 2 * OWN] = 0
     x[last, 2 * OWN : 3 * OWN] = 0
     x[:, -3], x[:, -2], x[:, -1] = first, last, 1
-    return x, chars, begins
+    return x
 
 
 def _products(m: np.ndarray, suffix: bool, longest: int) -> np.ndarray:
@@ -103,23 +123,29 @@ def _products(m: np.ndarray, suffix: bool, longest: int) -> np.ndarray:
     return p
 
 
-def marginals(u: np.ndarray, trans: np.ndarray, begins: np.ndarray):
-    """P(good) of each line, and of each inner line the joint table with the label before it."""
+def _matrices(u: np.ndarray, trans: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """What each line does to the messages of bad and good, scaled to a largest entry of one."""
     u = np.clip(u, -BOUND, BOUND)
-    m = np.empty((len(u), 2, 2))
-    table = np.exp(trans)
     node = np.stack([np.exp(-np.maximum(u, 0)), np.exp(np.minimum(u, 0))], 1)  # of bad and good, at most one
-    m[:] = table[None] * node[:, None, :]
-    first = np.zeros(len(u), bool)
-    first[begins[:-1]] = True
+    m = np.exp(trans)[None] * node[:, None, :]
     m[first] = node[first][:, None, :]
-    m /= m.max((1, 2), keepdims=True)
+    return m / m.max((1, 2), keepdims=True)
+
+
+def _ends(begins: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    first, last = np.zeros(n, bool), np.zeros(n, bool)
+    first[begins[:-1]], last[begins[1:] - 1] = True, True
+    return first, last
+
+
+def marginals(u: np.ndarray, trans: np.ndarray, begins: np.ndarray):
+    """P(good) of each line, and of each inner line the joint table with the label before it."""
+    first, last = _ends(begins, len(u))
+    m = _matrices(u, trans, first)
     longest = int(np.diff(begins).max(initial=1))
     ahead = _products(m, False, longest)[:, 0, :]
     after = np.ones((len(u), 2))
     after[:-1] = _products(m, True, longest)[1:].sum(2)
-    last = np.zeros(len(u), bool)
-    last[begins[1:] - 1] = True
     after[last] = 1
     both = ahead * after
     good = both[:, 1] / both.sum(1)
@@ -131,6 +157,32 @@ def marginals(u: np.ndarray, trans: np.ndarray, begins: np.ndarray):
     return good, joint
 
 
+def goodness(u: np.ndarray, trans: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """P(good) of each line, block by block: messages are carried from block to block, so a text may have any number of lines."""
+    n = len(u)
+    first, last = _ends(begins, n)
+    longest = int(np.diff(begins).max(initial=1))
+    ahead, out, carried = np.empty((n, 2)), np.empty(n), np.ones(2)
+    blocks = [(lo, min(n, lo + BLOCK)) for lo in range(0, n, BLOCK)]
+    for lo, hi in blocks:
+        p = _products(_matrices(u[lo:hi], trans, first[lo:hi]), False, longest)
+        ahead[lo:hi] = carried @ p
+        ahead[lo:hi] /= ahead[lo:hi].max(1, keepdims=True)
+        carried = ahead[hi - 1]
+    carried = np.ones(2)
+    for lo, hi in reversed(blocks):
+        m = _matrices(u[lo:hi], trans, first[lo:hi])
+        after = np.empty((hi - lo, 2))
+        p = _products(m, True, longest)
+        after[-1], after[:-1] = carried, (p[1:] @ carried)
+        carried = p[0] @ carried
+        carried /= carried.max()
+        after[last[lo:hi]] = 1
+        both = ahead[lo:hi] * after
+        out[lo:hi] = both[:, 1] / both.sum(1)
+    return out
+
+
 class Model:
     """Weights of the field."""
 
@@ -139,10 +191,17 @@ class Model:
 
     def score(self, texts: pa.Array) -> np.ndarray:
         """Length-weighted mean of P(good) over each text's lines; a line weighs its characters and its end."""
-        x, chars, begins = line_features(texts)
-        good, _ = marginals((x - self.mean) / self.scale @ self.weights, self.trans, begins)
+        lines, begins = _split(texts)
+        n = len(lines)
+        u, chars = np.empty(n), np.empty(n, np.int64)
+        for lo in range(0, n, BLOCK):
+            start, stop = max(0, lo - 1), min(n, lo + BLOCK + 1)  # with a line of either side
+            hi = min(n, lo + BLOCK)
+            own, long = _own_features(lines.slice(start, stop - start))
+            x = _with_neighbours(own, start, n, begins)[lo - start : hi - start]
+            u[lo:hi], chars[lo:hi] = (x - self.mean) / self.scale @ self.weights, long[lo - start : hi - start]
         weight = chars + 1.0
-        return np.add.reduceat(good * weight, begins[:-1]) / np.add.reduceat(weight, begins[:-1])
+        return np.add.reduceat(goodness(u, self.trans, begins) * weight, begins[:-1]) / np.add.reduceat(weight, begins[:-1])
 
 
 #: Documents of so many lines or fewer are worked on together in training.
@@ -187,13 +246,26 @@ def fit(x: np.ndarray, chars: np.ndarray, begins: np.ndarray, label: np.ndarray,
     return Model(theta[:WIDTH], theta[WIDTH:].reshape(2, 2), mean, scale)
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 3000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
-    """Fit on the ``sample`` labelled rows whose hashed ids come first."""
+def train(docs: DataFrame, labels: DataFrame, sample: int = 3000, lines: int = 300_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
+    """Fit on the ``sample`` labelled rows whose hashed ids come first, as far as they hold ``lines`` lines together.
+
+    Both bounds are of the labelled rows that are learned from, and so of what the driver holds (some 200 bytes a line); a document whose
+    lines no longer fit is passed over. Of several rows of an id the one with the least features is learned from, and the greater label.
+    """
     chosen = labels.select(named(id_col).cast("long").alias("doc_id"), named(label_col).cast("int").alias("label"))
     chosen = chosen.where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.max("label").alias("label"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     own = docs.select(named(id_col).cast("long").alias("doc_id"), named(text_col).cast("string").alias("text"))
-    rows = own.join(F.broadcast(chosen), "doc_id")  # at most ``sample`` rows
+    own = own.join(F.broadcast(chosen), "doc_id")  # at most ``sample`` ids
+    n_lines = F.lit(1) + F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit("")))
+    sizes = own.groupBy("doc_id").agg(F.max(F.coalesce(n_lines, F.lit(1))).alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    left, fitting = lines, []
+    for r in sizes:  # at most ``sample`` rows
+        if r["n"] <= left:
+            left -= r["n"]
+            fitting.append((r["doc_id"],))
+    fits = docs.sparkSession.createDataFrame(fitting, "doc_id long")
+    rows = own.join(F.broadcast(fits), "doc_id")
 
     def setup():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -110,3 +110,30 @@ def test_empty(spark):
     model = crf.train(docs, labels.limit(0))
     assert {r.score for r in crf.score_texts(docs, model).collect()} == {0.5}
     assert crf.score_texts(docs.limit(0), model).count() == 0
+
+
+def test_blocks_equal_the_whole(monkeypatch):
+    """Messages carried over blocks of a few lines, against all lines at once."""
+    rng = np.random.default_rng(6)
+    texts = pa.array(["\n".join(str(rng.choice(GOOD + BAD + [""])) for _ in range(n)) for n in (1, 40, 3, 1, 17, 2, 90)] + [""], pa.large_string())
+    model = crf.Model(rng.normal(size=crf.WIDTH), rng.normal(size=(2, 2)), rng.normal(size=crf.WIDTH), np.ones(crf.WIDTH))
+    x, chars, begins = crf.line_features(texts)
+    u = (x - model.mean) / model.scale @ model.weights
+    good, _ = crf.marginals(u, model.trans, begins)
+    assert np.allclose(crf.goodness(u, model.trans, begins), good)
+    want = [np.average(good[lo:hi], weights=chars[lo:hi] + 1.0) for lo, hi in itertools.pairwise(begins)]
+    for block in (1, 2, 7, 64):
+        monkeypatch.setattr(crf, "BLOCK", block)
+        assert np.allclose(crf.goodness(u, model.trans, begins), good)
+        assert np.allclose(model.score(texts), want)
+
+
+def test_five_million_lines_are_scored_and_passed_over_in_training(spark):
+    docs, labels = tables(spark)
+    whole = spark.range(1).select(F.lit(600).cast("long").alias("doc_id"), F.repeat(F.lit("ab\n"), 5_000_000).alias("text"), F.lit("").alias("score"))
+    model = crf.train(docs.unionByName(whole), labels.unionByName(spark.createDataFrame([(600, 0)], labels.schema)))
+    same = crf.train(docs, labels)
+    assert np.allclose(model.weights, same.weights)
+    assert 0 <= crf.score_texts(whole, model).first().score <= 1
+    few = crf.train(docs, labels, lines=40)
+    assert np.isfinite(few.weights).all() and not np.allclose(few.weights, same.weights)

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from tarn.llm.arrow import bound_batches, map_texts, named
 
 #: Characters of a leaf. Shorter leaves only add joins; the ids never depend on it.
-LEAF = 256
+LEAF = 64
 #: First width, in characters, of the window on either side of a border.
 WINDOW = 32
 #: Characters around an end inside a run that must belong to it too: contractions and a run's last space behave otherwise.

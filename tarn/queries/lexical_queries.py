@@ -26,31 +26,35 @@ def bm25_sql(content: str = "text", k: int = 10) -> str:
     SELECT qid, doc_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) - 1 AS rank FROM r QUALIFY rank < {k})"""
 
 
-#: What an index may cover: the whole text, or a part of it.
-FIELDS = {
-    "text": F.col,
-    "head": lambda c: F.substring(c, 1, 200),
-    "body": lambda c: F.substring(c, 201, 1 << 30),
-    "opening": lambda c: F.substring(c, 1, 500),
+#: Standing indexes of the documents and their fields.
+INDEXES = {
+    "sections": {"slug": F.col, "title": F.col, "heading": F.col, "block_id": lambda _: F.concat_ws("-", "heading", "id"), "content": F.col},
+    "skills": {"head": lambda _: F.substring("content", 1, 200), "body": lambda _: F.substring("content", 201, 1 << 30)},
+    "opening": {"opening": lambda _: F.substring("content", 1, 500)},
 }
+#: The index and the field of it that a search by one field looks at.
+ALONE = {"text": ("sections", "content"), "head": ("skills", "head"), "body": ("skills", "body"), "opening": ("opening", "opening")}
 
 
-def index(spark, sf, field: str = "text") -> L.Index:
-    """The standing index of a field of the documents; it is built if there is none for the files as they are."""
-    digest = versioned.identity(table(spark, sf, "documents"), "bm25", field)
-    path = versioned.ensure(spark, f"index-{field}", digest, lambda p: L.write_index(sections(spark, sf), p, text=FIELDS[field]("content")))
+def index(spark, sf, name: str = "sections") -> L.Index:
+    """A standing index of the documents; it is built if there is none for the files as they are."""
+    digest = versioned.identity(table(spark, sf, "documents"), "blocks", name)
+    fields = {f: column(f) for f, column in INDEXES[name].items()}
+    path = versioned.ensure(spark, f"index-{name}", digest, lambda p: L.write_index(sections(spark, sf), p, fields=fields))
     return L.read_index(spark, path)
 
 
 def bm25(spark, sf, k: int = 10, field: str = "text"):
-    return L.bm25_topk(L.query_terms(text_queries(spark, sf)), index(spark, sf, field), k)
+    name, alone = ALONE[field]
+    return L.bm25_topk(L.query_terms(text_queries(spark, sf)), index(spark, sf, name), k, alone=alone)
 
 
 @query("build_index", f"SELECT count(*)::BIGINT AS docs, sum(dl)::BIGINT AS tokens, (SELECT count(DISTINCT term) FROM (SELECT unnest({SPLIT.format('text')}) AS term FROM documents))::BIGINT AS terms FROM (SELECT len({SPLIT.format('text')}) AS dl FROM documents)")
 def build_index(spark, sf):
     """A fresh index: its documents, their tokens, and distinct terms."""
     made = L.build_index(sections(spark, sf))
-    return made.docs.agg(F.count("*").alias("docs"), F.sum("dl").alias("tokens")).crossJoin(made.terms.agg(F.count("*").alias("terms")))
+    whole = made.rows.where("h is null").agg(F.sum(F.size("docs")).cast("long").alias("docs"), F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)).alias("tokens"))
+    return whole.crossJoin(made.terms.agg(F.count("*").alias("terms")))
 
 
 @query("query_tokens", f"SELECT qid, string_agg(term, ' ' ORDER BY i) AS tokens FROM {TOKENS_SQL} GROUP BY qid")
@@ -75,7 +79,7 @@ def measured_search(spark, sf):
 
     standing, asked = index(spark, sf), text_queries(spark, sf)
     digest = versioned.identity(table(spark, sf, "documents").unionByName(table(spark, sf, "benchmark"), allowMissingColumns=True), "bm25", 10)
-    rows = measured_search(lambda q: L.bm25_topk(L.query_terms(q), standing, 10), asked, "measured", digest, 3)
+    rows = measured_search(lambda q: L.bm25_topk(L.query_terms(q), standing, 10, alone="content"), asked, "measured", digest, 3)
     return rows.select("qid", "hits", (F.col("seconds") > 0).alias("timed"))
 
 
@@ -105,7 +109,7 @@ def bm25_stemmed(spark, sf):
     """BM25 over stems without accents, from a standing index of its own."""
     from tarn.functions.stemming import stemmed_query, stemmed_tokens
 
-    digest = versioned.identity(table(spark, sf, "documents"), "bm25", "stems")
+    digest = versioned.identity(table(spark, sf, "documents"), "blocks", "stems")
     path = versioned.ensure(spark, "index-stems", digest, lambda p: L.write_index(sections(spark, sf), p, tokenise=stemmed_tokens))
     return L.bm25_topk(L.query_terms(text_queries(spark, sf), tokenise=stemmed_query), L.read_index(spark, path), 10)
 
@@ -126,6 +130,35 @@ def bm25_topk(spark, sf):
     return bm25(spark, sf)
 
 
+#: Fixed values of the test: how much a word counts in each field.
+WEIGHTS = {"slug": 2.0, "title": 3.0, "heading": 1.0, "content": 0.5}
+_FIELDS_SQL = {"slug": "slug", "title": "title", "heading": "heading", "block_id": "heading || '-' || id", "content": "content"}
+
+
+@query(
+    "bm25_fields",
+    "WITH t AS ("
+    + " UNION ALL ".join(f"SELECT id AS doc_id, unnest({SPLIT.format('(' + c + ')')}) AS term, {w}::DOUBLE AS w FROM {SECTIONS_SQL}" for c, w in zip(_FIELDS_SQL.values(), (2.0, 3.0, 1.0, 0.0, 0.5), strict=True))
+    + f"""), p AS (SELECT term, doc_id, sum(w) AS tf FROM t GROUP BY ALL), l AS (SELECT id AS doc_id, (SELECT count(*) FROM t WHERE t.doc_id = s.id) AS dl FROM {SECTIONS_SQL} s),
+    s AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM l), f AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+    q AS (SELECT item_id AS qid, unnest(list_distinct({SPLIT.format("text || ' note src1 de'")})) AS term FROM benchmark),
+    r AS (SELECT q.qid, p.doc_id, round(sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score
+      FROM q JOIN p USING (term) JOIN f USING (term) JOIN l USING (doc_id) CROSS JOIN s WHERE tf > 0 GROUP BY q.qid, p.doc_id)
+    SELECT qid, doc_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) - 1 AS rank FROM r QUALIFY rank < 10""",
+)
+def bm25_fields(spark, sf):
+    """All five fields with weights; the block's name has none, but its words count for length and frequency."""
+    asked = text_queries(spark, sf).withColumn("query", F.concat("query", F.lit(" note src1 de")))
+    return L.bm25_topk(L.query_terms(asked), index(spark, sf), 10, weights=WEIGHTS)
+
+
+@query("search_cost", f"SELECT qid, true AS fewer, count(*) > 0 AS found FROM (SELECT * FROM {TOKENS_SQL} JOIN (SELECT DISTINCT unnest({SPLIT.format('text')}) AS term FROM documents) USING (term)) GROUP BY qid")
+def search_cost(spark, sf):
+    """Blocks of postings that each query's terms have and that its search opened: never more than there are."""
+    cost = L.search_cost(L.query_terms(text_queries(spark, sf)), index(spark, sf), 10, alone="content")
+    return cost.select("qid", (F.col("opened") <= F.col("there")).alias("fewer"), (F.col("opened") > 0).alias("found"))
+
+
 DECAYED = f"""(SELECT qid, doc_id, lang || '-' || source AS slug, text, score, row_number() OVER (PARTITION BY qid ORDER BY v DESC, rank) - 1 AS pos FROM (
     SELECT *, round(1.0 / (61 + rank) * pow(0.5, row_number() OVER (PARTITION BY qid, lang, source ORDER BY rank) - 1), 12) AS v FROM {bm25_sql(k=30)} JOIN documents USING (doc_id)) QUALIFY pos < 10)"""
 
@@ -137,7 +170,7 @@ DECAYED = f"""(SELECT qid, doc_id, lang || '-' || source AS slug, text, score, r
     SELECT qid, pos, doc_id, slug, round(score, 3) AS score, CASE WHEN length(text) <= 500 THEN text WHEN len(hits) = 0 THEN left(text, 500) WHEN start > 0 THEN '…' || substr(text, start + 1, 500) ELSE substr(text, start + 1, 500) END AS snippet FROM s""",
 )
 def search_fts(spark, sf):
-    return L.search_fts(text_queries(spark, sf), sections(spark, sf), index(spark, sf), 10, 0.5)
+    return L.search_fts(text_queries(spark, sf), sections(spark, sf), index(spark, sf), 10, 0.5, alone="content")
 
 
 @query(

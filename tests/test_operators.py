@@ -279,3 +279,69 @@ def test_top_k_stays_pruned(spark):
     rows = spark.range(1000).selectExpr("id % 7 AS qid", "id AS doc_id", "rand() AS score")
     plan = fusion.ranked(rows, F.desc("score"), k=3)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2
+
+
+def _scores(words, query, weights, alone):
+    """BM25 of one query over documents of fields, by loops."""
+    of = lambda fields: sum(len(w) for f, w in fields.items() if not alone or f == alone)
+    mean = np.mean([of(f) for f in words.values()])
+    df = lambda t: sum(any(t in w for f, w in fields.items() if not alone or f == alone) for fields in words.values())
+    score = {}
+    for t in set(query):
+        for i, fields in words.items():
+            tf = sum(weights[f] * w.count(t) for f, w in fields.items())
+            if tf > 0:
+                idf = max(np.log((len(words) - df(t) + 0.5) / (df(t) + 0.5)), 1e-6)
+                score[i] = score.get(i, 0) + idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * of(fields) / mean))
+    return sorted((-round(s, 6), i) for i, s in score.items())
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_index_of_fields_equals_loops(spark, monkeypatch, small):
+    """Weights of fields and one field alone; with blocks of four documents and many segments nothing is lost by skipping."""
+    from tarn.operators import lexical
+
+    if small:
+        for name, value in (("SEGMENT", 20), ("LEAST_SEGMENT", 8), ("FEW", 2), ("LITERALS", 5), ("BUCKETS", 3)):
+            monkeypatch.setattr(lexical, name, value)
+    rnd = random.Random(11)
+    word = lambda: rnd.choice("aabbbccdefghij")
+    docs = [(i, *(" ".join(word() for _ in range(rnd.randrange(0, n))) for n in (4, 30))) for i in range(150)] + [(500, None, "a a"), (501, "a", None), (502, None, None)]
+    frame = spark.createDataFrame(docs, "id long, title string, content string").repartition(4)
+    index = lexical.build_index(frame, fields={"title": F.col("title"), "content": F.col("content")}, block=4 if small else 128)
+    assert index.n == 153 and (not small or index.segments > 3)
+    asked = [(q, " ".join(word() for _ in range(rnd.randrange(0, 5)))) for q in range(25)]
+    terms = lexical.query_terms(spark.createDataFrame(asked, "qid long, query string"))
+    words = {i: {"title": (t or "").split(), "content": (c or "").split()} for i, t, c in docs}
+    for weights, alone in ((None, None), ({"title": 3.0, "content": 0.5}, None), ({"title": 2.0}, None), (None, "content"), (None, "title")):
+        full = {f: float(f == alone) if alone else (weights or {"title": 1, "content": 1}).get(f, 0.0) for f in ("title", "content")}
+        got = {}
+        for r in lexical.bm25_topk(terms, index, 5, weights, alone).collect():
+            got.setdefault(r.qid, {})[r["rank"]] = (r.doc_id, r.score)
+        for q, text in asked:
+            assert got.get(q, {}) == {r: (i, -s) for r, (s, i) in enumerate(_scores(words, text.split(), full, alone)[:5])}, (q, text, weights, alone)
+    cost = lexical.search_cost(terms, index, 5).collect()
+    assert all(0 < r.opened <= r.there for r in cost)
+
+
+def test_a_segment_is_read_without_a_shuffle(spark):
+    from tarn.operators import lexical
+
+    index = lexical.build_index(spark.range(5000).selectExpr("id", "concat('w', id % 7, ' x', id % 90) AS content"))
+    scoring = lexical._scoring(index, 3, None, None)
+    block = lexical._arrays([{"qid": 1, "h": 5, "idf": 1.0}])
+    plan = lexical._search(block, index, scoring)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "PushedFilters: [Or(IsNull(h),EqualTo(h,5))]" in plan.replace("In(h, [5])", "EqualTo(h,5)"), plan
+
+
+def test_two_common_terms_open_few_blocks(spark, monkeypatch):
+    """Documents of ten to fifteen hundred words, a tenth of which hold a term: blocks that cannot reach the best stay closed."""
+    from tarn.operators import lexical
+
+    monkeypatch.setattr(lexical, "FEW", 2)
+    size = "cast(exp(2.3 + pmod(xxhash64(id), 1000) / 1000 * 5) as int)"
+    docs = spark.range(20_000).selectExpr("id", f"concat_ws(' ', transform(sequence(1, {size}), i -> concat('w', pmod(xxhash64(id, i), 3000)))) AS content")
+    index = lexical.build_index(docs, block=64)
+    asked = spark.createDataFrame([(q, f"w{q} w{q + 7}") for q in range(12)], "qid long, query string")
+    cost = lexical.search_cost(lexical.query_terms(asked), index, 10).collect()
+    assert len(cost) == 12 and sum(r.opened for r in cost) < 0.9 * sum(r.there for r in cost), [(r.opened, r.there) for r in cost]

@@ -443,11 +443,30 @@ def search_fts(queries: DataFrame, docs: DataFrame, index: Index, limit: int, de
     return shown.select("qid", "pos", "doc_id", "slug", F.round("score", 3).alias("score"), match_snippet(F.col("content"), F.col("query")).alias("snippet"))
 
 
-def trigger(prompt: Column, description: Column) -> Column:
-    """How many key words of the prompt match one of the description, whole or by their first five letters."""
+def trigger_keys(text: Column) -> Column:
+    """Distinct key words of a text by what they match with: their first five letters, or all four."""
     from tarn.functions.text import TRIGGER_STOPWORDS
 
     stop = F.array(*map(F.lit, TRIGGER_STOPWORDS))
-    words = lambda c: F.filter(F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-z]+"), F.lit(0))), lambda w: (F.length(w) > 3) & ~F.array_contains(stop, w))
-    alike = lambda a, b: (a == b) | ((F.length(a) >= 5) & (F.length(b) >= 5) & (F.substring(a, 1, 5) == F.substring(b, 1, 5)))
-    return F.size(F.filter(words(prompt), lambda a: F.exists(words(description), lambda b: alike(a, b)))).cast("long")
+    words = F.filter(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("[a-z]+"), F.lit(0))), lambda w: (F.length(w) > 3) & ~F.array_contains(stop, w))
+    return F.transform(words, lambda w: F.substring(w, 1, 5))
+
+
+def trigger_accuracy(prompts: DataFrame, skills: DataFrame) -> DataFrame:
+    """``skill, overlap, accuracy`` for ``prompts (prompt, item, text)`` that want the skill ``item``, and ``skills (skill, description)``.
+
+    Prompts and skills meet by key words that match. Pairs that share none are not made: how many there are, and how many of
+    them were wanted, follows from the counts.
+    """
+    asked = prompts.select("prompt", "item", F.explode(trigger_keys(F.col("text"))).alias("key")).groupBy("key", "prompt", "item").agg(F.count("*").alias("words"))
+    held = skills.select("skill", F.explode(F.array_distinct(trigger_keys(F.col("description")))).alias("key"))
+    met = asked.join(held, "key").groupBy("skill", "prompt", "item").agg(F.sum("words").alias("words"))
+    right = F.sum((F.col("item") == F.col("skill")).cast("long")).alias("hit")
+    found = met.groupBy("skill").agg(F.sum("words").alias("overlap"), F.count("*").alias("shared"), right)
+    wanted = prompts.groupBy(F.col("item").alias("skill")).agg(F.count("*").alias("wanted"))
+    n = prompts.agg(F.count("*").alias("n"))
+    none = lambda c: F.coalesce(c, F.lit(0))
+    rated = skills.select("skill").join(found, "skill", "left").join(wanted, "skill", "left").crossJoin(F.broadcast(n))  # one row
+    # right are those that share and were wanted, and those that neither share nor were wanted
+    good = F.col("n") - none(F.col("shared")) - none(F.col("wanted")) + 2 * none(F.col("hit"))
+    return rated.select("skill", none(F.col("overlap")).alias("overlap"), F.round(good / F.col("n"), 9).alias("accuracy"))

@@ -5,6 +5,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,6 +33,19 @@ def load_all() -> None:
     from tarn.queries import fusion_queries, joins, lexical_queries, memory_queries, metrics_queries, rank_queries, stats_queries, text_queries, vector_queries  # noqa: F401
 
 
+#: The given tables.
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+def derived(spark: SparkSession, sf_dir: str, rows: str) -> DataFrame:
+    """What a query in parentheses derives from the given tables; it is written once, in the words that both engines share."""
+    used = [t for t in TABLES if re.search(rf"\b(FROM|JOIN) {t}\b", rows)]
+    text = rows.replace("{", "{{").replace("}", "}}")
+    for t in used:
+        text = re.sub(rf"\b(FROM|JOIN) {t}\b", rf"\1 {{{t}}}", text)
+    return spark.sql(f"SELECT * FROM {text}", **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used})
+
+
 def fixture(spark: SparkSession, rows: str) -> DataFrame:
-    """A literal table, written once for both engines: ``(VALUES ...) AS t(a, b)``."""
+    """A small catalogue of literals, written once for both engines: ``(VALUES ...) AS t(a, b)``."""
     return spark.sql(f"SELECT * FROM {rows}")

@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tarn.operators import logs as O
-from tarn.queries import query
+from tarn.queries import derived, query
 from tarn.sources.tables import table
 
 LOG_SQL = "(SELECT event_id, user_id AS sid, ts, event_type, (props::JSON->>'k')::BIGINT AS k FROM events)"
@@ -105,24 +105,20 @@ def sync_pending(spark, sf):
     return old.join(new, ["key", "sha"], "left_anti").select("key")
 
 
-META_A = "(VALUES ('model', 'm1'), ('dims', '64'), ('dtype', 'f32'), ('pool', 'mean')) AS a(key, value)"
-META_B = "(VALUES ('model', 'm1'), ('dims', '128'), ('prefix', 'q:'), ('pool', 'cls')) AS b(key, value)"
+META_A = "(SELECT 'c' || s_nationkey AS key, '' || count(*) AS value FROM supplier GROUP BY s_nationkey) AS a"
+META_B = "(SELECT 'c' || (c_nationkey + 3) AS key, '' || (count(*) % 3) AS value FROM customer GROUP BY c_nationkey) AS b"
 
 
 @query("meta_mismatch", f"SELECT key, a.value AS stored, b.value AS wanted FROM {META_A} JOIN {META_B} USING (key) WHERE a.value <> b.value")
 def meta_mismatch(spark, sf):
     """Only keys that the stored side has are compared."""
-    from tarn.queries import fixture
-
-    a, b = fixture(spark, META_A), fixture(spark, META_B)
+    a, b = derived(spark, sf, META_A), derived(spark, sf, META_B)
     return a.select("key", F.col("value").alias("stored")).join(b.select("key", F.col("value").alias("wanted")), "key").where("stored <> wanted")
 
 
 @query("config_drift", f"SELECT key, CASE WHEN a.value IS NULL THEN 'added' WHEN b.value IS NULL THEN 'dropped' ELSE 'changed' END AS drift FROM {META_A} FULL JOIN {META_B} USING (key) WHERE a.value IS DISTINCT FROM b.value")
 def config_drift(spark, sf):
-    from tarn.queries import fixture
-
-    a, b = fixture(spark, META_A).withColumnRenamed("value", "x"), fixture(spark, META_B).withColumnRenamed("value", "y")
+    a, b = derived(spark, sf, META_A).withColumnRenamed("value", "x"), derived(spark, sf, META_B).withColumnRenamed("value", "y")
     j = a.join(b, "key", "full_outer").where("NOT (x <=> y)")
     return j.select("key", F.when(F.col("x").isNull(), "added").when(F.col("y").isNull(), "dropped").otherwise("changed").alias("drift"))
 
@@ -149,27 +145,14 @@ def merge_shards(spark, sf):
     return O.merge_shards(shards, ["doc_id"]).groupBy(F.col("source").alias("scope")).agg(F.count("*").alias("n"), F.sum("doc_id").alias("ids"))
 
 
-@query("rebuild_decision", "SELECT * FROM (VALUES ('same files', false), ('changed files', true), ('other parameters', true)) AS t(change, rebuilt)")
+@query("rebuild_decision", "SELECT source, count(*)::BIGINT AS n, sum(length(text))::BIGINT AS chars FROM documents GROUP BY source")
 def rebuild_decision(spark, sf):
-    """A version stands as long as its files and parameters do; every change makes a new one beside it."""
+    """A standing summary of the documents: found as long as their files are what they were, else made anew and published whole."""
     from tarn.plans import versioned
-    from tarn.plans.scratch import scratch_path
-
-    path, name = scratch_path(spark, "source"), f"probe-{scratch_path(spark, 'x').rsplit('-', 1)[1]}"
-    built = []
-
-    def ensure(*parameters):
-        before = len(built)
-        source = spark.read.parquet(path)
-        versioned.ensure(spark, name, versioned.identity(source, *parameters), lambda to: (built.append(to), source.write.parquet(to)))
-        return len(built) > before
 
-    d = table(spark, sf, "region")
-    d.write.parquet(path)
-    ensure()
-    same = ensure()
-    d.write.mode("append").parquet(path)
-    return spark.createDataFrame([("same files", same), ("changed files", ensure()), ("other parameters", ensure("p"))], "change string, rebuilt boolean")
+    d = table(spark, sf, "documents")
+    made = lambda path: d.groupBy("source").agg(F.count("*").alias("n"), F.sum(F.length("text")).cast("long").alias("chars")).write.parquet(path)
+    return spark.read.parquet(versioned.ensure(spark, "summary", versioned.identity(d, "by source"), made))
 
 
 @query("shard_coverage", "WITH g AS (SELECT source AS scope, count(DISTINCT doc_id % 3)::BIGINT AS shards, count(*)::BIGINT AS n FROM documents WHERE NOT (source = 'src7' AND doc_id % 3 <> 0) GROUP BY source) SELECT scope, shards, n, CASE WHEN shards < 3 THEN 'missing' ELSE 'duplicate' END AS state FROM g WHERE shards <> 1")
@@ -180,21 +163,13 @@ def shard_coverage(spark, sf):
     return g.where("shards <> 1").withColumn("state", F.when(F.col("shards") < 3, "missing").otherwise("duplicate"))
 
 
-@query("resume_blocks", "SELECT * FROM (VALUES ('first', 3, 25), ('again', 0, 25), ('one changed', 1, 25)) AS t(run, executed, n)")
+@query("resume_blocks", "SELECT source, lang, count(*)::BIGINT AS n FROM documents GROUP BY source, lang")
 def resume_blocks(spark, sf):
-    """Blocks of a run: all are executed once, none again, and only the one whose inputs changed."""
+    """A block a language, each with a receipt: those that were finished are read, the rest are run."""
     from tarn.plans import versioned
-    from tarn.plans.scratch import scratch_path
-
-    name, nations, ran = f"probe-{scratch_path(spark, 'x').rsplit('-', 1)[1]}", table(spark, sf, "nation"), []
 
-    def work(block):
-        ran.append(block)
-        return nations.where(F.col("n_nationkey") % 3 == int(block))
-
-    rows = []
-    for run, digests in (("first", "aaa"), ("again", "aaa"), ("one changed", "aab")):
-        ran.clear()
-        n = versioned.run_blocks(spark, name, {str(i): f"{i}-{d}" for i, d in enumerate(digests)}, work).count()
-        rows.append((run, len(ran), n))
-    return spark.createDataFrame(rows, "run string, executed int, n int")
+    d = table(spark, sf, "documents")
+    digest = versioned.identity(d, "counts")
+    langs = sorted(r["lang"] for r in d.select("lang").distinct().collect() if r["lang"] is not None)
+    count = lambda lang: d.where(F.col("lang") == lang).groupBy("source", "lang").agg(F.count("*").alias("n"))
+    return versioned.run_blocks(spark, "counts", {lang: f"{lang}-{digest}" for lang in langs}, count)

@@ -93,15 +93,16 @@ STEMS = (
     "dependent:depend adoption:adopt communism:commun activate:activ angulariti:angular homologous:homolog effective:effect bowdlerize:bowdler probate:probat rate:rate cease:ceas "
     "controll:control roll:roll café:cafe Über:uber x2s:x2s"
 )
-STEMS_SQL = "(VALUES " + ", ".join("('{}', '{}')".format(*p.split(":")) for p in STEMS.split()) + ") AS s(word, stem)"
+_PAIRS = [p.split(":") for p in STEMS.split()]
 
 
-@query("stem_tokens", f"SELECT word, stem FROM {STEMS_SQL}")
+@query("stem_tokens", "SELECT p_partkey, ({})[p_partkey % {} + 1] AS stem FROM part".format([stem for _, stem in _PAIRS], len(_PAIRS)))
 def stem_tokens(spark, sf):
+    """A published example for every part."""
     from tarn.functions.stemming import stemmed_tokens
-    from tarn.queries import fixture
 
-    return fixture(spark, STEMS_SQL).select("word", F.element_at(stemmed_tokens(F.col("word")), 1).alias("stem"))
+    word = F.element_at(F.array(*(F.lit(w) for w, _ in _PAIRS)), (F.col("p_partkey") % len(_PAIRS) + 1).cast("int"))
+    return table(spark, sf, "part").select("p_partkey", F.element_at(stemmed_tokens(word), 1).alias("stem"))
 
 
 @query("bm25_stemmed")
@@ -225,27 +226,21 @@ def fuzzy_slug(spark, sf):
     return sections(spark, sf).select("slug").distinct().where(F.contains(F.lower("slug"), F.lit("n-src1"))).orderBy("slug").limit(5)
 
 
-SKILLS = [("deploy", "Deploys services with containers and runs migration scripts"), ("write", "Writing papers, drafting paragraphs and reviewing prose"), ("none", "")]
-PROMPTS = [(1, "deploy", "please deploy the containers tonight"), (2, "write", "review my paragraph about migrations"), (3, "deploy", "what time is it"), (4, "none", "anything at all")]
-SKILLS_SQL = "(VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in SKILLS) + ") AS s(skill, description)"
-PROMPTS_SQL = "(VALUES " + ", ".join(f"({i}, '{a}', '{b}')" for i, a, b in PROMPTS) + ") AS p(i, skill, prompt)"
 TSTOP = "[" + ", ".join(f"'{w}'" for w in X.TRIGGER_STOPWORDS) + "]"
+_KEYS = "list_filter(list_distinct(regexp_extract_all(lower({}), '[a-z]+')), lambda x: length(x) > 3 AND NOT list_contains(" + TSTOP + ", x))"
 
 
 @query(
     "trigger_accuracy",
-    f"""WITH w AS (SELECT i, s.skill, p.skill = s.skill AS want, list_filter(list_distinct(regexp_extract_all(lower(prompt), '[a-z]+')), lambda x: length(x) > 3 AND NOT list_contains({TSTOP}, x)) AS a,
-      list_filter(list_distinct(regexp_extract_all(lower(description), '[a-z]+')), lambda x: length(x) > 3 AND NOT list_contains({TSTOP}, x)) AS b FROM {PROMPTS_SQL} CROSS JOIN {SKILLS_SQL}),
-    o AS (SELECT skill, want, len(list_filter(a, lambda x: len(list_filter(b, lambda y: x = y OR (length(x) >= 5 AND length(y) >= 5 AND left(x, 5) = left(y, 5)))) > 0)) AS n FROM w)
-    SELECT skill, sum(n)::BIGINT AS overlap, avg(((n >= 1) = want)::INT) AS accuracy FROM o GROUP BY skill""",
+    f"""WITH p AS (SELECT conv_id, turn, conv_id % 20 AS item, {_KEYS.format('text')} AS a FROM conversations WHERE role = 'user'), s AS (SELECT item_id AS skill, {_KEYS.format('text')} AS b FROM benchmark),
+    w AS (SELECT skill, item = skill AS want, len(list_filter(a, lambda x: len(list_filter(b, lambda y: x = y OR (length(x) >= 5 AND length(y) >= 5 AND left(x, 5) = left(y, 5)))) > 0)) AS n FROM p CROSS JOIN s)
+    SELECT skill, sum(n)::BIGINT AS overlap, round(avg(((n >= 1) = want)::INT), 9) AS accuracy FROM w GROUP BY skill""",
 )
 def trigger_accuracy(spark, sf):
-    from tarn.queries import fixture
-
-    pairs = fixture(spark, PROMPTS_SQL).join(fixture(spark, SKILLS_SQL).select(F.col("skill").alias("of"), "description"), F.lit(True))
-    n = L.trigger(F.col("prompt"), F.col("description"))
-    rated = pairs.select(F.col("of").alias("skill"), (F.col("skill") == F.col("of")).alias("want"), n.alias("n"))
-    return rated.groupBy("skill").agg(F.sum("n").alias("overlap"), F.avg(((F.col("n") >= 1) == F.col("want")).cast("int")).alias("accuracy"))
+    """How many key words prompts share with each skill's description, and how often sharing one is right."""
+    prompts = table(spark, sf, "conversations").where("role = 'user'").select(F.concat_ws("-", "conv_id", "turn").alias("prompt"), (F.col("conv_id") % 20).alias("item"), "text")
+    skills = table(spark, sf, "benchmark").select(F.col("item_id").alias("skill"), F.col("text").alias("description"))
+    return L.trigger_accuracy(prompts, skills)
 
 
 @query(

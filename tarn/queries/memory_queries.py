@@ -7,75 +7,75 @@ from pyspark.sql import functions as F
 
 from tarn.operators import memory as K
 from tarn.operators import metrics as M
-from tarn.queries import fixture, query
+from tarn.queries import derived, fixture, query
 from tarn.queries.rank_queries import EDGES_SQL, edges
 from tarn.queries.text_queries import NOTES, notes
 from tarn.sources.tables import sections, table
 
-MESSAGES = """(VALUES
-('s1', 1, 'The api gateway uses docker and the port is 8080. Short one. Actually the database schema should be version 12 instead of 11!'),
-('s2', 2, 'the api gateway uses docker and the port is 8080'),
-('s2', 3, 'too short api'),
-('s3', 4, 'Nothing of note in this long message about the weather today.'),
-('s3', 5, 'Let me think: maybe the pipeline workflow needs a hack for now
-The search-index service must connect to postgres always'),
-('s4', 6, 'the search-index service must connect to postgres always')) AS m(session, ts, text)"""
+#: Every turn of the conversations with a remark at its end, about one of the nations at times.
+MESSAGES = """(SELECT 's' || conv_id AS session, turn * 1000000 + conv_id AS ts, text || chr(10) || CASE (conv_id + turn) % 7
+WHEN 0 THEN 'The api gateway of ' || replace(lower(n_name), ' ', '-') || ' uses docker and the port is ' || (8080 + conv_id % 9) || '. Short one. Actually the database schema should be version 12 instead of ' || (conv_id % 5) || '!'
+WHEN 1 THEN 'the api gateway of ' || lower(n_name) || ' uses docker and the port is ' || (8080 + conv_id % 9) WHEN 2 THEN 'too short api' WHEN 3 THEN 'Nothing of note in this long message about the weather today.'
+WHEN 4 THEN 'Let me think: maybe the pipeline workflow needs a hack for now' || chr(10) || 'The search-index service must connect to postgres always' WHEN 5 THEN 'the search-index service must connect to postgres always'
+ELSE 'A convention: the schema of ' || n_name || ' requires a migration' END AS text FROM conversations JOIN nation ON n_nationkey = conv_id % 25) AS m"""
 ALL = "|".join(K.CORRECTIONS + K.ARCHITECTURE)
 FIX = "|".join(K.CORRECTIONS)
 FACTS_SQL = f"""(SELECT session, ts::BIGINT AS ts, trim(raw) AS fact, CASE WHEN regexp_matches(lower(trim(raw)), '{FIX}') THEN 0.8 ELSE 0.5 END::DOUBLE AS confidence
     FROM (SELECT session, ts, unnest(string_split_regex(text, '[.!?\\n]')) AS raw FROM {MESSAGES} WHERE length(text) >= 20) WHERE regexp_matches(lower(raw), '{ALL}') AND length(trim(raw)) BETWEEN 21 AND 499)"""
-QUEUE_SQL = f"(SELECT lower(left(fact, 80)) AS fp, arg_min(fact, ts) AS fact, arg_min(confidence, ts) AS confidence, count(DISTINCT session)::BIGINT AS sessions, min(ts) AS first_seen, max(ts) AS last_seen FROM {FACTS_SQL} GROUP BY 1)"
+QUEUE_SQL = f"(SELECT lower(left(fact, 80)) AS fp, arg_min(fact, ts) AS fact, arg_min(confidence, ts) AS confidence, count(DISTINCT session)::BIGINT AS sessions, min(ts) AS first_seen, max(ts) AS last_seen FROM {FACTS_SQL} GROUP BY 1 ORDER BY first_seen DESC, fp DESC LIMIT 100)"
 SIGNIFICANT_SQL = f"(NOT regexp_matches(lower(fact), '{'|'.join(K.TRANSIENT)}') AND regexp_matches(lower(fact), '{'|'.join(K.SIGNIFICANT)}'))"
 
 
-def facts(spark):
-    return K.extract_facts(fixture(spark, MESSAGES).withColumn("ts", F.col("ts").cast("long")))
+def facts(spark, sf):
+    return K.extract_facts(derived(spark, sf, MESSAGES))
 
 
-def queue(spark):
-    return K.fact_queue(facts(spark))
+def queue(spark, sf):
+    return K.fact_queue(facts(spark, sf))
 
 
 @query("extract_facts", f"SELECT session, ts, fact, confidence FROM {FACTS_SQL}")
 def extract_facts(spark, sf):
-    return facts(spark)
+    return facts(spark, sf)
 
 
 @query("fact_queue", f"SELECT * FROM {QUEUE_SQL}")
 def fact_queue(spark, sf):
-    return queue(spark)
+    return queue(spark, sf)
 
 
 @query("stable_facts", f"SELECT fp, sessions FROM {QUEUE_SQL} WHERE sessions >= 2")
 def stable_facts(spark, sf):
-    return queue(spark).where("sessions >= 2").select("fp", "sessions")
+    return queue(spark, sf).where("sessions >= 2").select("fp", "sessions")
 
 
 @query("significant_facts", f"SELECT fp, {SIGNIFICANT_SQL} AS significant FROM {QUEUE_SQL}")
 def significant_facts(spark, sf):
-    return queue(spark).select("fp", K.significant(F.col("fact")).alias("significant"))
+    return queue(spark, sf).select("fp", K.significant(F.col("fact")).alias("significant"))
 
 
-SLUGS = "(VALUES (0, 'api'), (1, 'search-index'), (2, 'database'), (3, 'gateway'), (4, 'post')) AS s(i, slug)"
+SLUGS = "(SELECT n_nationkey AS i, replace(lower(n_name), ' ', '-') AS slug FROM nation) AS s"
 TARGET_SQL = f"""(SELECT fp, fact, arg_min(slug, i) AS target FROM {QUEUE_SQL} CROSS JOIN (SELECT i, slug, unnest([slug, replace(slug, '-', ' '), replace(slug, '-', '_')]) AS c FROM {SLUGS})
     WHERE (length(c) >= 7 OR regexp_matches(c, '[-_ ]')) AND regexp_matches(lower(fact), '(^|[^a-z0-9])' || c || '($|[^a-z0-9])') GROUP BY fp, fact)"""
 
 
-def targets(spark):
-    """The first slug that a fact names, whole words only, generic ones aside. Facts and slugs both are small catalogues."""
-    c = fixture(spark, SLUGS).select("i", "slug", F.explode(F.array("slug", F.translate("slug", "-", " "), F.translate("slug", "-", "_"))).alias("c"))
-    c = c.where((F.length("c") >= 7) | F.col("c").rlike("[-_ ]"))
+def targets(spark, sf):
+    """The first slug that a fact names, whole words only, generic ones aside. Facts meet slugs by the slug's first word."""
+    c = derived(spark, sf, SLUGS).select("i", "slug", F.explode(F.array("slug", F.translate("slug", "-", " "), F.translate("slug", "-", "_"))).alias("c"))
+    c = c.where((F.length("c") >= 7) | F.col("c").rlike("[-_ ]")).withColumn("word", F.regexp_extract("c", "[a-z0-9]+", 0))
+    said = queue(spark, sf).select("fp", "fact", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("fact"), F.lit("[a-z0-9]+"), F.lit(0)))).alias("word"))
     named = F.regexp_like(F.lower("fact"), F.concat(F.lit("(?<![a-z0-9])"), "c", F.lit("(?![a-z0-9])")))
-    return queue(spark).join(F.broadcast(c), named).groupBy("fp", "fact").agg(F.min_by("slug", "i").alias("target"))
+    return said.join(c, "word").where(named).groupBy("fp", "fact").agg(F.min_by("slug", "i").alias("target"))
 
 
 @query("fact_target", f"SELECT fp, target FROM {TARGET_SQL}")
 def fact_target(spark, sf):
-    return targets(spark).select("fp", "target")
+    return targets(spark, sf).select("fp", "target")
 
 
-PAIRS = """(VALUES (1, 'the cache runs on port 6379 in production', 'In production the cache runs on port 6379.'), (2, 'the cache runs on port 6379 in production', 'The cache runs on port 6380 in production'),
-(3, 'the flag is enabled by default now', 'the flag is not enabled by default now'), (4, 'completely different words here', 'nothing alike at all'), (5, '', '')) AS p(id, a, b)"""
+#: Statements about every turn, and what is said of it later: the same in other words, another number, the opposite, or something else.
+PAIRS = """(SELECT conv_id * 1000 + turn AS id, 'the cache of ' || text || ' runs on port ' || turn || ' in production' AS a, CASE conv_id % 5 WHEN 0 THEN 'In production the cache of ' || text || ' runs on port ' || turn || '.'
+WHEN 1 THEN 'The cache of ' || text || ' runs on port ' || (turn + 1) || ' in production' WHEN 2 THEN 'the cache of ' || text || ' not runs on port ' || turn || ' in production' WHEN 3 THEN 'completely different words here' ELSE '' END AS b FROM conversations) AS p"""
 
 
 @query(
@@ -86,7 +86,7 @@ PAIRS = """(VALUES (1, 'the cache runs on port 6379 in production', 'In producti
       AND list_sort(list_filter(x, lambda t: regexp_matches(t, '[0-9]'))) = list_sort(list_filter(y, lambda t: regexp_matches(t, '[0-9]'))) AND list_sort(list_intersect(x, pol)) = list_sort(list_intersect(y, pol)) AS known FROM f""",
 )
 def known_facts(spark, sf):
-    return fixture(spark, PAIRS).select(F.col("id").cast("long").alias("id"), K.same_statement(F.col("a"), F.col("b")).alias("known"))
+    return derived(spark, sf, PAIRS).select(F.col("id").cast("long").alias("id"), K.same_statement(F.col("a"), F.col("b")).alias("known"))
 
 
 @query("find_supersedes", f"""WITH w AS (SELECT id, list_distinct(regexp_extract_all(lower(a), '[a-z0-9]+')) AS x, list_distinct(regexp_extract_all(lower(b), '[a-z0-9]+')) AS y FROM {PAIRS} WHERE a <> '')
@@ -96,14 +96,14 @@ def find_supersedes(spark, sf):
     """Pairs whose words overlap by half and whose numbers differ: the newer statement replaces the older."""
     words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0)))
     numbers = lambda c: F.array_sort(F.filter(words(c), lambda t: t.rlike("[0-9]")))
-    p = fixture(spark, PAIRS).where("a <> ''")
+    p = derived(spark, sf, PAIRS).where("a <> ''")
     jaccard = F.size(F.array_intersect(words(F.col("a")), words(F.col("b")))) / F.size(F.array_union(words(F.col("a")), words(F.col("b"))))
     return p.where((jaccard >= 0.5) & (numbers(F.col("a")) != numbers(F.col("b")))).select(F.col("id").cast("long").alias("id"))
 
 
 @query("provenance", f"SELECT fp, sessions, first_seen FROM {QUEUE_SQL}")
 def provenance(spark, sf):
-    return queue(spark).select("fp", "sessions", "first_seen")
+    return queue(spark, sf).select("fp", "sessions", "first_seen")
 
 
 @query("repeat_request")
@@ -159,7 +159,7 @@ def dangling_links(spark, sf):
     """Every link of the notes and whether its target exists."""
     from tarn.functions.text import wikilinks
 
-    n = notes(spark)
+    n = notes(spark, sf)
     links = n.select(F.col("slug").alias("src"), F.explode(wikilinks(F.col("content"))).alias("dst"))
     return links.join(n.select(F.col("slug").alias("dst"), F.lit(True).alias("there")), "dst", "left").select("src", "dst", F.coalesce("there", F.lit(False)).alias("there"))
 
@@ -169,7 +169,7 @@ def incoming_links(spark, sf):
     return dangling_links(spark, sf).where("there AND src <> dst").select(F.col("dst").alias("slug"), "src")
 
 
-CLAIMED = "(VALUES ('alpha', 'intro'), ('alpha', 'gone'), ('delta', 'lonely'), ('beta', 'x')) AS c(slug, anchor)"
+CLAIMED = "(SELECT 'n' || doc_id AS slug, CASE doc_id % 4 WHEN 0 THEN 'setup' WHEN 1 THEN 'gone' WHEN 2 THEN 'flow-' || lang ELSE 'lonely' END AS anchor FROM documents) AS c"
 
 
 @query("bad_anchors", f"SELECT c.slug, anchor FROM {CLAIMED} LEFT JOIN {NOTES} USING (slug) WHERE NOT list_contains(regexp_extract_all(regexp_replace(regexp_replace(content, '`[^`]*`', '', 'g'), '\\[\\[[^\\]]*\\]\\]', '', 'g'), '\\^([a-z][a-z0-9-]*)', 1), anchor)")
@@ -177,8 +177,8 @@ def bad_anchors(spark, sf):
     """Claimed anchors that their entry does not hold."""
     from tarn.functions.text import anchors
 
-    there = notes(spark).select("slug", F.explode(anchors(F.col("content"))).alias("anchor"))
-    return fixture(spark, CLAIMED).join(there, ["slug", "anchor"], "left_anti")
+    there = notes(spark, sf).select("slug", F.explode(anchors(F.col("content"))).alias("anchor"))
+    return derived(spark, sf, CLAIMED).join(there, ["slug", "anchor"], "left_anti")
 
 
 @query("fact_precision", "WITH s AS (SELECT l.*, d.lang FROM labels l JOIN documents d USING (doc_id) QUALIFY row_number() OVER (ORDER BY md5('11:' || doc_id), doc_id) <= 100) SELECT count(*)::BIGINT AS n, sum(quality)::BIGINT AS correct, round(avg(quality), 6) AS precision FROM s")
@@ -225,19 +225,19 @@ def salient_lines(spark, sf):
     return top.select("doc_id", (F.col("i") + 1).cast("long").alias("i"), F.substring("line", 1, 240).alias("line"))
 
 
-RECORDED = "(VALUES ('the api gateway uses docker and the port is 8080')) AS r(fp)"
+RECORDED = "(SELECT 'the api gateway of ' || lower(n_name) || ' uses docker and the port is 8081' AS fp FROM nation) AS r"
 
 
 @query("promotion_pipeline", f"SELECT t.fp, t.target FROM {TARGET_SQL} t JOIN {QUEUE_SQL} q USING (fp) WHERE q.sessions >= 2 AND regexp_matches(lower(q.fact), '{'|'.join(K.SIGNIFICANT)}') AND NOT regexp_matches(lower(q.fact), '{'|'.join(K.TRANSIENT)}') AND q.confidence >= 0.5 AND fp NOT IN (SELECT fp FROM {RECORDED})")
 def promotion_pipeline(spark, sf):
     """Stable, significant, confident facts that name a target and were not recorded."""
-    q = queue(spark).where("sessions >= 2 AND coalesce(confidence, 1) >= 0.5").where(K.significant(F.col("fact"))).select("fp")
-    return targets(spark).join(q, "fp").join(fixture(spark, RECORDED), "fp", "left_anti").select("fp", "target")
+    q = queue(spark, sf).where("sessions >= 2 AND coalesce(confidence, 1) >= 0.5").where(K.significant(F.col("fact"))).select("fp")
+    return targets(spark, sf).join(q, "fp").join(derived(spark, sf, RECORDED), "fp", "left_anti").select("fp", "target")
 
 
 @query("proposal_new", f"SELECT DISTINCT regexp_replace(trim(fact), '\\s+', ' ', 'g') AS fact FROM {FACTS_SQL} WHERE lower(regexp_replace(trim(fact), '\\s+', ' ', 'g')) NOT IN (SELECT fp FROM {RECORDED})")
 def proposal_new(spark, sf):
     """Facts whose squeezed text the sink does not hold."""
     squeezed = F.regexp_replace(F.trim("fact"), r"\s+", " ")
-    f = facts(spark).select(squeezed.alias("fact")).distinct()
-    return f.join(fixture(spark, RECORDED), F.lower("fact") == F.col("fp"), "left_anti")
+    f = facts(spark, sf).select(squeezed.alias("fact")).distinct()
+    return f.join(derived(spark, sf, RECORDED), F.lower("fact") == F.col("fp"), "left_anti")

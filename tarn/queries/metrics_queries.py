@@ -56,8 +56,8 @@ def golden_metrics(spark, sf):
     return first.groupBy("bucket").agg(F.count("*").alias("n"), hit(1), hit(3), hit(5), F.round(F.avg(F.coalesce(1.0 / (F.col("first") + 1), F.lit(0.0))), 6).alias("mrr"))
 
 
-CASES = "(VALUES (1, 'a', 'b,c'), (2, 'd', ''), (3, 'e', 'f'), (4, 'z', '')) AS c(id, target, more)"
-FAMILIES = "(VALUES (0, 'c,x'), (1, 'x,y'), (2, 'd,g')) AS f(i, members)"
+CASES = "(SELECT doc_id AS id, 'n' || (doc_id % 80) AS target, CASE WHEN doc_id % 3 = 0 THEN '' ELSE 'n' || (doc_id % 11) || ',' || source END AS more FROM documents) AS c"
+FAMILIES = "(SELECT n_nationkey AS i, 'n' || n_nationkey || ',n' || (n_nationkey + 30) || ',src' || (n_nationkey % 12) AS members FROM nation) AS f"
 
 
 @query(
@@ -69,10 +69,10 @@ FAMILIES = "(VALUES (0, 'c,x'), (1, 'x,y'), (2, 'd,g')) AS f(i, members)"
 )
 def accept_set(spark, sf):
     """The target, what else is expected, and every family that shares a member; families are scanned once, in order."""
-    from tarn.queries import fixture
+    from tarn.queries import derived
 
-    cases = fixture(spark, CASES).select(F.col("id").cast("long").alias("id"), F.filter(F.concat(F.array("target"), F.split("more", ",")), lambda s: s != "").alias("s"))
-    families = fixture(spark, FAMILIES).agg(F.array_sort(F.collect_list(F.struct("i", F.split("members", ",").alias("m")))).alias("fs"))
+    cases = derived(spark, sf, CASES).select(F.col("id").cast("long").alias("id"), F.filter(F.concat(F.array("target"), F.split("more", ",")), lambda s: s != "").alias("s"))
+    families = derived(spark, sf, FAMILIES).agg(F.array_sort(F.collect_list(F.struct("i", F.split("members", ",").alias("m")))).alias("fs"))
     grown = F.aggregate("fs", F.col("s"), lambda acc, f: F.when(F.arrays_overlap(acc, f["m"]), F.array_union(acc, f["m"])).otherwise(acc))
     return cases.crossJoin(F.broadcast(families)).select("id", F.array_join(F.array_sort(grown), ",").alias("accepted"))
 

@@ -120,14 +120,14 @@ def freshness_demote(spark, sf):
     return X.ranked(rows, F.desc("score"), "was").select("qid", "doc_id", "score", F.col("rank").alias("pos"))
 
 
-NOTES_REL = "(VALUES ('a.md', 'a', 'b', CAST(NULL AS STRING)), ('b.md', 'b', NULL, NULL), ('c.md', 'c', 'b', NULL), ('d.md', 'd', 'd', NULL), ('e.md', 'e', 'f', NULL), ('f.md', 'f', NULL, 'z')) AS n(path, slug, old, superseded_by)"
+NOTES_REL = "(SELECT 'n' || doc_id || '.md' AS path, 'n' || doc_id AS slug, CASE doc_id % 3 WHEN 0 THEN 'n' || (doc_id + 1 + doc_id % 2) WHEN 1 THEN 'n' || doc_id END AS old, CASE WHEN doc_id % 7 = 0 THEN 'z' END AS superseded_by FROM documents) AS n"
 
 
-@query("supersession", f"WITH n AS (SELECT * FROM {NOTES_REL.replace('STRING', 'VARCHAR')}), h AS (SELECT old AS slug, arg_min(slug, path) AS heir FROM n WHERE old <> slug GROUP BY old) SELECT path, n.slug, coalesce(superseded_by, heir) AS superseded_by FROM n LEFT JOIN h USING (slug)")
+@query("supersession", f"WITH n AS (SELECT * FROM {NOTES_REL}), h AS (SELECT old AS slug, arg_min(slug, path) AS heir FROM n WHERE old <> slug GROUP BY old) SELECT path, n.slug, coalesce(superseded_by, heir) AS superseded_by FROM n LEFT JOIN h USING (slug)")
 def supersession(spark, sf):
-    from tarn.queries import fixture
+    from tarn.queries import derived
 
-    n = fixture(spark, NOTES_REL).withColumn("supersedes", F.when(F.col("old").isNotNull(), F.array("old")))
+    n = derived(spark, sf, NOTES_REL).withColumn("supersedes", F.when(F.col("old").isNotNull(), F.array("old")))
     return R.propagate_supersession(n)
 
 
@@ -206,13 +206,13 @@ def context_assembly(spark, sf):
     return X.ranked(kept.withColumnRenamed("rank", "was"), "was").select("qid", "doc_id", F.col("rank").alias("pos"))
 
 
-LIMITS = "(VALUES ('5', true, 40), ('0', false, 40), ('-1', true, 10), ('1000', true, 40), ('ten', false, 40), (NULL, true, 3)) AS l(asked, rerank, depth)"
+LIMITS = "(SELECT CASE n_chars % 6 WHEN 0 THEN NULL WHEN 1 THEN 'ten' ELSE '' || (n_chars % 130 - 5) END AS asked, n_chars % 2 = 0 AS rerank, n_chars % 50 AS depth FROM documents) AS l"
 
 
 @query("pool_sizes", f"WITH c AS (SELECT *, CASE WHEN try_cast(asked AS BIGINT) IS NULL THEN 10 ELSE greatest(1, least(try_cast(asked AS BIGINT), 100)) END AS n FROM {LIMITS}) SELECT asked, n::BIGINT AS n, (CASE WHEN rerank THEN greatest(2 * n, depth) ELSE 2 * n END)::BIGINT AS pool FROM c")
 def pool_sizes(spark, sf):
     """Limits as asked for, clamped, and the pools that serve them."""
-    from tarn.queries import fixture
+    from tarn.queries import derived
 
-    clamped = fixture(spark, LIMITS).withColumn("n", R.clamp_limit(F.col("asked")))
+    clamped = derived(spark, sf, LIMITS).withColumn("n", R.clamp_limit(F.col("asked")))
     return clamped.select("asked", "n", R.pool_size(F.col("n"), F.col("rerank"), F.col("depth")).alias("pool"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tarn.functions.components import connected_components
 from tarn.operators import metrics as M
 from tarn.operators import stats as S
-from tarn.queries import fixture, query
+from tarn.queries import derived, query
 from tarn.queries.lexical_queries import bm25, bm25_sql
 from tarn.queries.metrics_queries import LABELLED, NDCG_SQL, labelled
 from tarn.plans.scratch import cut
@@ -337,22 +337,22 @@ def components(spark, sf):
     return connected_components(d)
 
 
-CONFIGS = "(VALUES ('base', 0.80, 0.60, 2, true), ('a', 0.82, 0.61, 3, true), ('b', 0.82, 0.61, 2, true), ('c', 0.90, 0.70, 1, false), ('d', 0.82, 0.60, 1, true)) AS c(name, recall3, mrr, knobs, eligible)"
+CONFIGS = "(SELECT source AS name, round(avg(n_chars % 7), 2) AS recall3, round(avg(n_chars % 5), 2) AS mrr, count(DISTINCT lang) AS knobs, min(n_chars) < 1000 AS eligible FROM documents GROUP BY source) AS c"
 
 
 @query("choose_config", f"SELECT name, recall3::DOUBLE AS recall3, mrr::DOUBLE AS mrr FROM {CONFIGS} WHERE eligible ORDER BY recall3 DESC, mrr DESC, knobs, name LIMIT 1")
 def choose_config(spark, sf):
-    c = fixture(spark, CONFIGS).where("eligible").orderBy(F.desc("recall3"), F.desc("mrr"), "knobs", "name").limit(1)
+    c = derived(spark, sf, CONFIGS).where("eligible").orderBy(F.desc("recall3"), F.desc("mrr"), "knobs", "name").limit(1)
     return c.select("name", F.col("recall3").cast("double").alias("recall3"), F.col("mrr").cast("double").alias("mrr"))
 
 
-ARMS = "(VALUES ('fast', 's1', -0.002, 10), ('fast', 's2', -0.02, 10), ('mid', 's1', -0.004, 20), ('mid', 's2', 0.001, 20), ('slow', 's1', 0.01, 90), ('slow', 's2', 0.02, 90)) AS a(arm, dataset, lo, ms)"
+ARMS = "(SELECT lang AS arm, source AS dataset, (min(n_chars) % 7 - 3) / 500.0 AS lo, max(n_chars) % 90 AS ms FROM documents GROUP BY lang, source) AS a"
 
 
 @query("arm_choice", f"WITH g AS (SELECT arm, bool_and(lo >= -0.005) AS passes, max(ms)::BIGINT AS ms FROM {ARMS} GROUP BY arm) SELECT arm, passes, ms, passes AND ms = (SELECT min(ms) FROM g WHERE passes) AS chosen FROM g")
 def arm_choice(spark, sf):
     """Arms that pass on every set; the fastest of them."""
-    g = fixture(spark, ARMS).groupBy("arm").agg(F.bool_and(F.col("lo") >= -0.005).alias("passes"), F.max("ms").cast("long").alias("ms"))
+    g = derived(spark, sf, ARMS).groupBy("arm").agg(F.bool_and(F.col("lo") >= -0.005).alias("passes"), F.max("ms").cast("long").alias("ms"))
     best = g.where("passes").agg(F.min("ms").alias("best"))
     return g.crossJoin(F.broadcast(best)).select("arm", "passes", "ms", (F.col("passes") & (F.col("ms") == F.col("best"))).alias("chosen"))
 
@@ -407,13 +407,13 @@ def pair_runs(spark, sf):
     return j.agg(n("x IS NOT NULL AND y IS NOT NULL").alias("paired"), n("y IS NULL").alias("only_a"), n("x IS NULL").alias("only_b"), F.round(F.avg(F.col("x") - F.col("y")), 6).alias("diff"))
 
 
-PUBLISHED = "(VALUES ('a', 0.5001), ('b', 0.6), ('c', 0.7)) AS p(name, value)"
-REDONE = "(VALUES ('a', 0.5004), ('b', 0.61)) AS r(name, again)"
+PUBLISHED = "(SELECT source AS name, round(avg(n_chars), 4) AS value FROM documents GROUP BY source) AS p"
+REDONE = "(SELECT source AS name, round(avg(n_chars) + CASE WHEN min(doc_id) % 2 = 0 THEN 0.0003 ELSE 0.01 END, 4) AS again FROM documents WHERE source <> 'src3' GROUP BY source) AS r"
 
 
 @query("reproduce_compare", f"SELECT name, coalesce(abs(value - again) <= 0.0005, false) AS reproduced FROM {PUBLISHED} LEFT JOIN {REDONE} USING (name)")
 def reproduce_compare(spark, sf):
-    j = fixture(spark, PUBLISHED).join(fixture(spark, REDONE), "name", "left")
+    j = derived(spark, sf, PUBLISHED).join(derived(spark, sf, REDONE), "name", "left")
     return j.select("name", F.coalesce(F.abs(F.col("value") - F.col("again")) <= 0.0005, F.lit(False)).alias("reproduced"))
 
 

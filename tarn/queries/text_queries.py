@@ -7,63 +7,21 @@ from pyspark.sql import functions as F
 
 from tarn.functions import chunking as C
 from tarn.functions import text as X
-from tarn.queries import fixture, query
+from tarn.queries import derived, query
 from tarn.sources.tables import SECTIONS_SQL, TEXT_QUERIES_SQL, containment_qrels, sections, table, text_queries, QRELS_SQL
 
-#: Markdown notes that both engines read as literals.
-NOTES = """(VALUES
-(1, 'alpha', 'public', '---
-type: note
-title: "Alpha note"
-search: "Exclude"
-sensitivity: public
-supersedes: [beta, dir/gamma.md, [[delta]]]
-superseded_by: 
-valid_until: 2024-05-01
-updated: 2024-01-02
----
-# Alpha one
+#: Every document as a Markdown note: front matter of three kinds or none, links to other notes, anchors, a fence.
+NOTES = """(SELECT doc_id AS id, 'n' || doc_id AS slug, CASE doc_id % 5 WHEN 0 THEN 'public' WHEN 1 THEN 'restricted' WHEN 2 THEN 'odd' WHEN 3 THEN '' ELSE 'unpublished' END AS sensitivity,
+replace(CASE doc_id % 4
+  WHEN 0 THEN '---¶type: note¶title: "Note ' || doc_id || '"¶search: "Exclude"¶sensitivity: public¶supersedes: [n' || (doc_id + 1) || ', dir/n' || (doc_id + 2) || '.md, [[n' || (doc_id + 3) || ']]]¶superseded_by: ¶valid_until: 2024-05-01¶updated: 2024-01-02¶---¶'
+  WHEN 2 THEN '---¶title: Note of ' || source || '¶search: include¶supersedes:¶  - n' || (doc_id - 1) || '¶  - x.md¶modified: 2023-13-40¶updated: 2023-02-' || (10 + doc_id % 10) || '¶---¶'
+  WHEN 3 THEN '---¶superseded_by: [[n' || (doc_id + 4) || ']]¶modified: 2022-03-04¶---¶' ELSE '' END || CASE WHEN doc_id % 3 = 0 THEN '# ' || lang || ' note¶¶' ELSE '' END, '¶', chr(10))
+|| text || replace(CASE WHEN doc_id % 2 = 0 THEN ' ^intro¶¶## Setup steps ^setup¶¶Do it. See [[n' || (doc_id + 1) || '#^x]] and [[n' || (doc_id + 2) || '|G]] and [[n' || (doc_id + 1) || ']] or [[x' || doc_id || ']].¶¶```¶## not a heading¶```¶¶## Usage/Notes¶¶Run it `^code` now ^run-it¶^renamed¶¶## Empty¶¶## Data Flow¶¶### Inner¶' || lang || ' to b ^flow-' || lang
+  ELSE ' [[n' || (doc_id + 1) || ']] ^lonely' END, '¶', chr(10)) AS content FROM documents) AS notes"""
 
-Intro text here ^intro
 
-## Setup steps ^setup
-
-Do it. See [[beta#^x]] and [[gamma|G]] and [[beta]].
-
-```
-## not a heading
-```
-
-## Usage/Notes
-
-Run it `^code` now ^run-it
-^renamed
-
-## Empty
-
-## Data Flow
-
-### Inner
-a to b ^flow-a'),
-(2, 'beta', 'restricted', '# Beta title
-
-Body of beta with [[alpha]] only.'),
-(3, 'gamma', 'odd', '---
-title: Gamma
-search: include
-supersedes:
-  - alpha
-  - x.md
-modified: 2023-13-40
-updated: 2023-02-03
----
-plain gamma text'),
-(4, 'delta', '', 'no title, no heading, ^lonely')
-) AS notes(id, slug, sensitivity, content)"""
-
-
-def notes(spark):
-    return fixture(spark, NOTES).withColumn("id", F.col("id").cast("long"))
+def notes(spark, sf):
+    return derived(spark, sf, NOTES)
 
 
 @query("scan_documents", "SELECT doc_id, lang, source, length(text)::BIGINT AS n FROM documents")
@@ -73,7 +31,7 @@ def scan_documents(spark, sf):
 
 @query("filter_excluded", f"SELECT id::BIGINT AS id, slug FROM {NOTES} WHERE NOT coalesce(content LIKE '---%' AND regexp_matches(lower(content), '\\nsearch: *[\"'']?exclude[\"'']? *\\n'), false)")
 def filter_excluded(spark, sf):
-    return notes(spark).where(~X.excluded(F.col("content"))).select("id", "slug")
+    return notes(spark, sf).where(~X.excluded(F.col("content"))).select("id", "slug")
 
 
 @query("scan_modified_since", "SELECT event_id, event_type FROM events WHERE ts > TIMESTAMP '2024-01-20 00:00:00'")
@@ -83,7 +41,7 @@ def scan_modified_since(spark, sf):
 
 @query("frontmatter_title", f"SELECT id::BIGINT AS id, coalesce(nullif(trim(regexp_extract(content, '\\ntitle: *\"?([^\"\\n]*)\"?\\n', 1)), ''), '') AS title FROM {NOTES}")
 def frontmatter_title(spark, sf):
-    return notes(spark).select("id", F.coalesce(X.front_value(X.front_matter(F.col("content")), "title"), F.lit("")).alias("title"))
+    return notes(spark, sf).select("id", F.coalesce(X.front_value(X.front_matter(F.col("content")), "title"), F.lit("")).alias("title"))
 
 
 @query("first_h1", f"""WITH l AS (SELECT id, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS i FROM {NOTES}),
@@ -91,7 +49,7 @@ def frontmatter_title(spark, sf):
     SELECT id::BIGINT AS id, arg_min(trim(substr(line, 3)), i) AS title FROM f WHERE NOT fence AND line LIKE '# %' GROUP BY id""")
 def first_h1(spark, sf):
     """The first level-one heading outside a fence."""
-    lines = notes(spark).select("id", F.posexplode(F.split("content", "\n")).alias("i", "line"))
+    lines = notes(spark, sf).select("id", F.posexplode(F.split("content", "\n")).alias("i", "line"))
     fence = F.sum(F.ltrim("line").startswith("```").cast("int")).over(W.partitionBy("id").orderBy("i")) % 2 == 1
     hits = lines.withColumn("fence", fence).where(~F.col("fence") & F.col("line").startswith("# "))
     return hits.groupBy("id").agg(F.min_by(F.trim(F.substring(F.col("line"), F.lit(3), F.length("line"))), "i").alias("title"))
@@ -115,7 +73,7 @@ def parse_frontmatter(spark, sf):
     slug = lambda s: F.regexp_replace(F.regexp_replace(F.regexp_replace(F.trim(s), r"^\[\[|\]\]$|[\[\]]", ""), r"^.*/", ""), r"\.md$", "")
     day = lambda key: F.regexp_extract(X.front_value(front, key), r"^\d{4}-\d{2}-\d{2}", 0)
     date = lambda key: F.try_to_timestamp(day(key), F.lit("yyyy-MM-dd")).cast("date").cast("string")
-    return notes(spark).select(
+    return notes(spark, sf).select(
         "id",
         F.coalesce(F.transform(F.when(F.size(inline) > 0, inline).otherwise(block), slug), F.array().cast("array<string>")).alias("supersedes"),
         F.nullif(slug(X.front_value(front, "superseded_by")), F.lit("")).alias("superseded_by"),
@@ -127,11 +85,11 @@ def parse_frontmatter(spark, sf):
 @query("sensitivity_class", f"SELECT id::BIGINT AS id, CASE WHEN sensitivity IN ('public', 'unpublished', 'restricted') THEN sensitivity ELSE 'unpublished' END AS sensitivity FROM {NOTES}")
 def sensitivity_class(spark, sf):
     known = F.col("sensitivity").isin("public", "unpublished", "restricted")
-    return notes(spark).select("id", F.when(known, F.col("sensitivity")).otherwise("unpublished").alias("sensitivity"))
+    return notes(spark, sf).select("id", F.when(known, F.col("sensitivity")).otherwise("unpublished").alias("sensitivity"))
 
 
-JSONL = """(VALUES (1, '{"ts": 5, "q": "a b", "slugs": ["x", "y"], "sid": "s1"}'), (2, '{"ts": 6, "kind": "read", "slug": "x", "sid": "s1"}'),
-(3, 'not json'), (4, '{"ts": 7, "kind": "read"}'), (5, '{"ts": 8, "q": "c"}'), (6, '{"ts": 9, "q": "d", "slugs": []}')) AS log(i, line)"""
+JSONL = """(SELECT event_id AS i, CASE event_id % 6 WHEN 0 THEN '{"ts": ' || event_id || ', "q": "a b", "slugs": ["x", "y"], "sid": "s' || user_id || '"}' WHEN 1 THEN '{"ts": ' || event_id || ', "kind": "read", "slug": "x", "sid": "s1"}'
+WHEN 2 THEN 'not json' WHEN 3 THEN '{"ts": ' || event_id || ', "kind": "read"}' WHEN 4 THEN '{"ts": ' || event_id || ', "q": "c"}' ELSE '{"ts": ' || event_id || ', "q": "d", "slugs": []}' END AS line FROM events) AS log"""
 
 
 @query(
@@ -144,7 +102,7 @@ def hitlog_scan(spark, sf):
     """Well-formed log lines: searches with query and slugs, reads with a slug."""
     from tarn.sources.logs import parse_hit_log
 
-    return parse_hit_log(fixture(spark, JSONL), "line").select(F.col("i").cast("long").alias("i"), "kind", "ts")
+    return parse_hit_log(derived(spark, sf, JSONL), "line").select(F.col("i").cast("long").alias("i"), "kind", "ts")
 
 
 LATEST = "(SELECT user_id AS qid, event_type AS system, event_id AS seq, value AS score FROM events)"
@@ -222,20 +180,21 @@ def flatten_sessions(spark, sf):
     return flat.select("qid", "sid", "t.turn", "t.role", F.length("t.text").cast("long").alias("n"))
 
 
-EVIDENCE = "(VALUES (1, 'D1:3; D:2:11'), (2, 'none'), (3, 'D4:1D5:2, D9:99')) AS e(i, evidence)"
+EVIDENCE = "(SELECT doc_id AS i, CASE doc_id % 3 WHEN 0 THEN 'D' || (doc_id % 7) || ':3; D:' || (doc_id % 5) || ':11' WHEN 1 THEN 'none' ELSE 'D4:' || doc_id || 'D5:2, D9:99' END AS evidence FROM documents) AS e"
 
 
 @query("parse_evidence", f"SELECT i::BIGINT AS i, unnest(regexp_extract_all(evidence, 'D:?(\\d+):(\\d+)', 1))::BIGINT AS session, unnest(regexp_extract_all(evidence, 'D:?(\\d+):(\\d+)', 2))::BIGINT AS turn FROM {EVIDENCE}")
 def parse_evidence(spark, sf):
     pattern = F.lit(r"D:?(\d+):(\d+)")
     both = F.arrays_zip(F.regexp_extract_all("evidence", pattern, F.lit(1)).alias("s"), F.regexp_extract_all("evidence", pattern, F.lit(2)).alias("t"))
-    found = fixture(spark, EVIDENCE).select(F.col("i").cast("long").alias("i"), F.explode(both).alias("p"))
+    found = derived(spark, sf, EVIDENCE).select(F.col("i").cast("long").alias("i"), F.explode(both).alias("p"))
     return found.select("i", F.col("p")["s"].cast("long").alias("session"), F.col("p")["t"].cast("long").alias("turn"))
 
 
-TRANSCRIPT = """(VALUES (1, '{"type": "user", "message": {"content": "hello there"}}'), (2, '{"type": "user", "isMeta": true, "message": {"content": "meta"}}'),
-(3, '{"type": "assistant", "message": {"content": [{"type": "text", "text": "part one"}, {"type": "tool_use", "name": "t"}, {"type": "text", "text": "part two"}]}}'),
-(4, '{"type": "system", "message": {"content": "no"}}'), (5, '{"type": "user", "isSidechain": true, "message": {"content": "side"}}')) AS t(i, line)"""
+_SAID = "replace(replace(replace(text, chr(92), chr(92) || chr(92)), chr(34), chr(92) || chr(34)), chr(10), chr(92) || 'n')"
+#: Every turn of the conversations as a line of a transcript.
+TRANSCRIPT = f"""(SELECT conv_id * 1000 + turn AS i, '{{"type": "' || role || '"' || CASE turn % 4 WHEN 1 THEN ', "isMeta": true' WHEN 2 THEN ', "isSidechain": false' ELSE '' END || ', "message": {{"content": ' ||
+CASE WHEN turn % 3 = 0 THEN '[{{"type": "text", "text": "' || {_SAID} || '"}}, {{"type": "tool_use", "name": "t"}}, {{"type": "text", "text": "part two"}}]' ELSE '"' || {_SAID} || '"' END || '}}}}' AS line FROM conversations) AS t"""
 
 
 @query(
@@ -248,27 +207,25 @@ TRANSCRIPT = """(VALUES (1, '{"type": "user", "message": {"content": "hello ther
 def transcript_user_texts(spark, sf):
     from tarn.sources.logs import parse_transcript
 
-    return parse_transcript(fixture(spark, TRANSCRIPT), "line").select(F.col("i").cast("long").alias("i"), "role", "text")
+    return parse_transcript(derived(spark, sf, TRANSCRIPT), "line").select(F.col("i").cast("long").alias("i"), "role", "text")
 
 
-MANIFEST = """(VALUES (1, 'head
-### one
-type | One title
-Blocks: a, b
-### two
-type | Two
-')) AS m(i, content)"""
+def manifests(spark, sf):
+    """``(manifest, content)``: an entry for each of fifty documents."""
+    entry = F.concat(F.lit("### n"), "doc_id", F.lit("\nnote | Title of "), "source", F.lit("\nBlocks: "), "lang", F.lit(", b\n"))
+    d = table(spark, sf, "documents").groupBy(F.floor(F.col("doc_id") / 50).alias("manifest")).agg(F.array_sort(F.collect_list(F.struct("doc_id", entry.alias("e")))).alias("es"))
+    return d.select("manifest", F.concat(F.lit("head\n"), F.array_join(F.transform("es", lambda e: e["e"]), "")).alias("content"))
 
 
-@query("manifest_blocks", f"""WITH p AS (SELECT unnest(string_split(chr(10) || content, chr(10) || '### ')) AS b, generate_subscripts(string_split(chr(10) || content, chr(10) || '### '), 1) AS i FROM {MANIFEST})
-    SELECT (i - 1 - (SELECT (starts_with(content, '### '))::INT FROM {MANIFEST}))::BIGINT AS pos, trim(regexp_extract(b, '^[^\\n]*')) AS slug, trim('### ' || b || CASE WHEN i < (SELECT max(i) FROM p) THEN chr(10) ELSE '' END) AS block FROM p WHERE i > 1""")
+@query("manifest_blocks", """SELECT doc_id // 50 AS manifest, row_number() OVER (PARTITION BY doc_id // 50 ORDER BY doc_id) AS pos, 'n' || doc_id AS slug,
+    '### n' || doc_id || chr(10) || 'note | Title of ' || source || chr(10) || 'Blocks: ' || lang || ', b' AS block FROM documents""")
 def manifest_blocks(spark, sf):
-    """(slug, block) pairs of a manifest, cut before every level-three heading."""
-    parts = fixture(spark, MANIFEST).select(F.posexplode(F.split("content", r"(?m)^(?=### )")).alias("pos", "block")).where(F.col("block").startswith("### "))
-    return parts.select(F.col("pos").cast("long").alias("pos"), F.trim(F.regexp_extract("block", "^### ([^\n]*)", 1)).alias("slug"), F.trim("block").alias("block"))
+    """(slug, block) pairs of every manifest, cut before every level-three heading."""
+    parts = manifests(spark, sf).select("manifest", F.posexplode(F.split("content", r"(?m)^(?=### )")).alias("pos", "block")).where(F.col("block").startswith("### "))
+    return parts.select("manifest", F.col("pos").cast("long").alias("pos"), F.trim(F.regexp_extract("block", "^### ([^\n]*)", 1)).alias("slug"), F.regexp_replace("block", r"\s+$", "").alias("block"))
 
 
-@query("manifest_titles", f"SELECT x[1] AS slug, x[2] AS title FROM (SELECT unnest(list_zip(regexp_extract_all(content, '### ([^\\n]*)\\n[^|\\n]*\\| ([^\\n]*)', 1), regexp_extract_all(content, '### ([^\\n]*)\\n[^|\\n]*\\| ([^\\n]*)', 2))) AS x FROM {MANIFEST})")
+@query("manifest_titles", "SELECT 'n' || doc_id AS slug, 'Title of ' || source AS title FROM documents")
 def manifest_titles(spark, sf):
     return manifest_blocks(spark, sf).select("slug", F.regexp_extract("block", r"\n[^|\n]*\| ([^\n]*)", 1).alias("title"))
 
@@ -298,7 +255,7 @@ def result_schema_check(spark, sf):
     FROM g WHERE content <> ''""",
 )
 def chunk_headings(spark, sf):
-    return C.heading_sections(notes(spark))
+    return C.heading_sections(notes(spark, sf))
 
 
 @query("split_text")
@@ -318,7 +275,7 @@ def split_text(spark, sf):
     SELECT id::BIGINT AS id, pos::BIGINT AS pos, coalesce(max(own), max(under)) AS anchor, length(string_agg(p, chr(10) || chr(10) ORDER BY i))::BIGINT AS n FROM g GROUP BY id, pos""",
 )
 def anchor_groups(spark, sf):
-    return C.anchor_groups(notes(spark)).select("id", "pos", "anchor", F.length("text").cast("long").alias("n"))
+    return C.anchor_groups(notes(spark, sf)).select("id", "pos", "anchor", F.length("text").cast("long").alias("n"))
 
 
 @query("pack_parts")
@@ -339,7 +296,7 @@ def chunk_ids(spark, sf):
 
 @query("extract_anchors", f"SELECT id::BIGINT AS id, array_to_string(list_sort(list_distinct(regexp_extract_all(regexp_replace(regexp_replace(content, '`[^`]*`', '', 'g'), '\\[\\[[^\\]]*\\]\\]', '', 'g'), '\\^([a-z][a-z0-9-]*)', 1))), ',') AS anchors FROM {NOTES}")
 def extract_anchors(spark, sf):
-    return notes(spark).select("id", F.array_join(X.anchors(F.col("content")), ",").alias("anchors"))
+    return notes(spark, sf).select("id", F.array_join(X.anchors(F.col("content")), ",").alias("anchors"))
 
 
 @query(
@@ -350,7 +307,7 @@ def extract_anchors(spark, sf):
 )
 def extract_wikilinks(spark, sf):
     found = F.regexp_extract_all("content", F.lit(r"\[\[([^\]|#]+)"), F.lit(1))
-    n = notes(spark).select("id", F.explode(X.wikilinks(F.col("content"))).alias("slug"), found.alias("found"))
+    n = notes(spark, sf).select("id", F.explode(X.wikilinks(F.col("content"))).alias("slug"), found.alias("found"))
     return n.select("id", "slug", F.array_position("found", F.col("slug")).cast("long").alias("first_at"))
 
 
@@ -417,14 +374,14 @@ def match_snippet(spark, sf):
 )
 def manifest_build(spark, sf):
     routed = F.when(F.col("slug").startswith("g"), "papers").otherwise("entries")
-    return notes(spark).select("slug", routed.alias("output"), F.array_join(F.array_sort(X.wikilinks(F.col("content"))), ", ").alias("links"))
+    return notes(spark, sf).select("slug", routed.alias("output"), F.array_join(F.array_sort(X.wikilinks(F.col("content"))), ", ").alias("links"))
 
 
 @query("dataflow_section", f"SELECT id::BIGINT AS id, trim(regexp_replace(regexp_extract(content || chr(10) || '## ', '(?s)## Data Flow\\n(.*?)\\n## ', 1), '(^|\\n)###', '\\1####', 'g')) AS flow FROM {NOTES} WHERE content LIKE '%## Data Flow%'")
 def dataflow_section(spark, sf):
     """What stands under the data-flow heading, inner headings one level down."""
     flow = F.regexp_extract(F.concat("content", F.lit("\n## ")), r"(?s)## Data Flow\n(.*?)\n## ", 1)
-    return notes(spark).where(F.col("content").contains("## Data Flow")).select("id", F.trim(F.regexp_replace(flow, r"(^|\n)###", "$1####")).alias("flow"))
+    return notes(spark, sf).where(F.col("content").contains("## Data Flow")).select("id", F.trim(F.regexp_replace(flow, r"(^|\n)###", "$1####")).alias("flow"))
 
 
 def _redact_sql() -> str:
@@ -457,12 +414,12 @@ def redact_counts(spark, sf):
     return table(spark, sf, "documents").select("doc_id", X.redact(F.concat("text", F.lit(" "), more))[1].alias("n"))
 
 
-BLOCKS = "(VALUES ('setup-p2'), ('setup'), ('a-p'), ('x-p10-p3')) AS b(block)"
+BLOCKS = "(SELECT source || '-p' || (doc_id % 12) || CASE WHEN doc_id % 2 = 0 THEN '-p3' WHEN doc_id % 3 = 0 THEN '-part' ELSE '' END AS block FROM documents) AS b"
 
 
 @query("base_block", f"SELECT block, regexp_replace(block, '-p[0-9]+$', '') AS base FROM {BLOCKS}")
 def base_block(spark, sf):
-    return fixture(spark, BLOCKS).select("block", X.base_block(F.col("block")).alias("base"))
+    return derived(spark, sf, BLOCKS).select("block", X.base_block(F.col("block")).alias("base"))
 
 
 @query("slugify", "SELECT page_id, regexp_replace(regexp_replace(lower(url), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM pages")

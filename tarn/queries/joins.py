@@ -39,6 +39,39 @@ def preceding_query(spark, sf):
     return last.select("read_id", F.col("s.event_id").alias("search_id"))
 
 
+VIEWS = f"(SELECT event_id, sid, ts, k % 5 AS slug FROM {LOG_SQL} WHERE event_type = 'view')"
+CLICKS = f"(SELECT event_id, sid, ts, k % 5 AS slug FROM {LOG_SQL} WHERE event_type = 'click')"
+#: One view for each time, so that an as-of join has one answer.
+VIEWS_ONCE = f"(SELECT sid, slug, ts, max(event_id) AS event_id FROM {VIEWS} GROUP BY ALL)"
+
+
+@query("asof_view", f"SELECT r.event_id AS read_id, s.event_id AS search_id FROM {CLICKS} r ASOF LEFT JOIN {VIEWS_ONCE} s ON r.sid = s.sid AND r.slug = s.slug AND r.ts >= s.ts")
+def asof_view(spark, sf):
+    """Every read with the latest search before it that showed its slug, however long ago."""
+    h = hits(spark, sf)
+    return O.asof(h.where("event_type = 'click'"), h.where("event_type = 'view'"), ["sid", "slug"]).select(F.col("event_id").alias("read_id"), "search_id")
+
+
+@query("asof_kind", f"SELECT r.event_id AS read_id, s.event_id AS search_id FROM {CLICKS} r ASOF LEFT JOIN (SELECT slug, ts, max(event_id) AS event_id FROM {VIEWS} GROUP BY ALL) s ON r.slug = s.slug AND r.ts >= s.ts")
+def asof_kind(spark, sf):
+    """The same by five keys alone, each of which goes over many ranges."""
+    h = hits(spark, sf)
+    return O.asof(h.where("event_type = 'click'"), h.where("event_type = 'view'"), ["slug"]).select(F.col("event_id").alias("read_id"), "search_id")
+
+
+@query(
+    "preceding_in_ring",
+    f"""WITH n AS (SELECT event_id, sid, ts, slug, row_number() OVER (PARTITION BY sid ORDER BY ts, event_id) AS n FROM {VIEWS}),
+    s AS (SELECT r.event_id AS read_id, r.ts AS rts, n.*, (SELECT count(*) FROM n x WHERE x.sid = r.sid AND x.ts <= r.ts) AS so_far FROM {CLICKS} r LEFT JOIN n ON n.sid = r.sid AND n.slug = r.slug AND n.ts <= r.ts
+      QUALIFY row_number() OVER (PARTITION BY r.event_id ORDER BY n.ts DESC NULLS LAST, n.event_id DESC) = 1)
+    SELECT read_id, CASE WHEN so_far - n < 3 AND rts - ts <= INTERVAL 360000 SECOND THEN event_id END AS search_id FROM s""",
+)
+def preceding_in_ring(spark, sf):
+    """Read attribution by a ring of three searches a session and a bound in time, as a batch."""
+    h = hits(spark, sf)
+    return O.preceding_in_ring(h.where("event_type = 'view'"), h.where("event_type = 'click'"), most=3, seconds=360_000)
+
+
 @query("join_meta", "SELECT d.doc_id, l.quality, d.lang FROM documents d JOIN labels l USING (doc_id)")
 def join_meta(spark, sf):
     return table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id").select("doc_id", "quality", "lang")

@@ -345,3 +345,29 @@ def test_two_common_terms_open_few_blocks(spark, monkeypatch):
     asked = spark.createDataFrame([(q, f"w{q} w{q + 7}") for q in range(12)], "qid long, query string")
     cost = lexical.search_cost(lexical.query_terms(asked), index, 10).collect()
     assert len(cost) == 12 and sum(r.opened for r in cost) < 0.9 * sum(r.there for r in cost), [(r.opened, r.there) for r in cost]
+
+
+def test_asof_goes_over_ranges(spark):
+    """Few keys over very many ranges, ties in time and rows before any search, against a loop."""
+    from tarn.operators import logs
+
+    rnd = random.Random(4)
+    rows = [(i, rnd.randrange(400), rnd.choice("aaab"), rnd.random() < 0.1) for i in range(3000)]
+    frame = spark.createDataFrame(rows, "event_id long, ts long, k string, search boolean").repartition(5)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = logs.carried(frame, F.col("k"), F.col("ts"), F.col("search"), F.col("event_id")).collect()
+        joined = logs.asof(frame.where("NOT search"), frame.where("search"), ["k"]).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(got) == len(rows)
+    marked = {k: sorted((t, i) for i, t, key, m in rows if m and key == k) for k in "ab"}
+    for r in got:
+        own = [x for x in marked[r.k] if x[0] < r.ts or x[0] == r.ts and (not r.search or x[1] <= r.event_id)]
+        assert (r["last"], r.seen) == ((own[-1][1], len(own)) if own else (None, 0)), r
+    for r in joined:
+        own = [x for x in marked[r.k] if x[0] <= r.ts]
+        assert r.search_id == (own[-1][1] if own else None)

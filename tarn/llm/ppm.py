@@ -328,7 +328,7 @@ class Shard:
             split = min(SPLIT, self.order)
             self.levels = _levels(*self.tally.settle(), range(split, self.order + 1), _levels(*self.low, range(split), []))
         totals = [self.total.get(w, 0) for w in words.split(b" ")] if words else []
-        return np.array(totals, "<i8").tobytes(), _squeezed(_costs(np.cumsum(_spread(grams, "<i8")), self.levels).astype("<f4"))
+        return np.array(totals, "<i8").tobytes(), _squeezed(_costs(np.cumsum(_spread(grams, "<i8")), self.levels).astype("<f8"))
 
 
 class Sums:
@@ -342,13 +342,13 @@ class Sums:
     def add(self, totals: bytes, costs: bytes) -> None:
         """The answer of the next shard."""
         self.totals.append(np.frombuffer(totals, "<i8"))
-        self.costs.append(_spread(costs, "<f4"))
+        self.costs.append(_spread(costs, "<f8"))
 
     def of(self, row: dict) -> pa.RecordBatch:
         """The documents of a piece."""
         if isinstance(self.totals, list):
             self.totals = np.concatenate([np.empty(0, np.int64), *self.totals])
-            self.costs = np.concatenate([np.empty(0, np.float32), *self.costs])
+            self.costs = np.concatenate([np.empty(0), *self.costs])
             self.places = Places(self.keys)
         lengths, data = _spread(row["lengths"], "<i8"), _spread(row["texts"], "u1")
         n = len(lengths)

@@ -75,7 +75,7 @@ def test_equals_brute_force(spark):
     for g, w in zip(sorted(map(tuple, got), key=key), sorted(want, key=key), strict=True):
         assert g[:5] == w[:5]
         assert math.isclose(g[5], w[5], rel_tol=1e-9)
-        assert math.isclose(g[6], w[6], rel_tol=1e-5), (w, g)
+        assert math.isclose(g[6], w[6], rel_tol=1e-9), (w, g)
     assert any(w[1] for w in want)
     assert ppm.score_texts(docs.limit(0), out, ORDER).count() == 0
 
@@ -89,7 +89,7 @@ def test_probabilities_sum_to_one(spark):
     every = docs.unionByName(spark.createDataFrame(asked, "doc_id long, text string"))
     got = {r.doc_id: r.score for r in ppm.score_texts(every, F.col("doc_id") >= 0, ORDER).collect()}
     for i, t in asked[:128:7]:
-        assert math.isclose(got[i], brute.score(t), rel_tol=1e-5)
+        assert math.isclose(got[i], brute.score(t), rel_tol=1e-9)
     for tail in tails:
         s = [ppm.PAD] * ORDER + list(tail)
         assert math.isclose(sum(brute.p(s, x) for x in range(257)), 1, rel_tol=1e-9)
@@ -98,7 +98,7 @@ def test_probabilities_sum_to_one(spark):
 def test_without_training(spark):
     docs = spark.createDataFrame([(1, "ab"), (2, None)], "doc_id long, text string")
     got = {r.doc_id: r for r in ppm.score_texts(docs, F.lit(True), 2).collect()}
-    assert math.isclose(got[1].score, 3 * math.log10(1 / 257), rel_tol=1e-5)
+    assert math.isclose(got[1].score, 3 * math.log10(1 / 257), rel_tol=1e-9)
     assert got[2].n_known == 0 and got[2].train_tokens == 0
 
 
@@ -113,7 +113,7 @@ def test_every_context_counts(spark, monkeypatch):
     got = {r.doc_id: r.score for r in ppm.score_texts(docs, out, ORDER).collect() if r.held_out}
     assert len(want) > 3 and got.keys() == want.keys()
     for i, score in want.items():
-        assert math.isclose(got[i], score, rel_tol=1e-5), i
+        assert math.isclose(got[i], score, rel_tol=1e-9), i
 
 
 def test_places():

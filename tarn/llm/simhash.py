@@ -5,7 +5,7 @@ fingerprints form BK-trees whose children are keyed by their Hamming distance to
 only edges within the radius of the distance at hand. A shard of more than ``cell`` fingerprints is cut into
 slices of a tree each: a slice is searched where it is built, and its tree, as bytes of a proven bound, meets the
 other slices of its shard, broadcast where all such trees together stay below ``TREES_BYTES`` (measured before),
-joined otherwise. What a search sends on is a spanning forest of the links it found, never all pairs.
+by tiles of slices otherwise. What a search sends on is a spanning forest of the links it found, never all pairs.
 
 ``near_duplicates`` links fingerprints within ``radius`` bits. They agree on at least ``blocks - radius`` of
 ``blocks`` bit blocks (pigeonhole), and each choice of that many blocks is a table, so no link is lost.
@@ -45,6 +45,8 @@ FOREST = 1 << 15
 FRONT = 1 << 20
 #: Trees of sliced shards are broadcast up to this size.
 TREES_BYTES = 64 << 20
+#: Slices of a row of tiles.
+TILE = 8
 #: Shingles that a slice of sets holds, unless a single text has more.
 SET_SIZE = 1 << 20
 
@@ -228,13 +230,13 @@ def shard_links(keyed: DataFrame, radius: int, cell: int = 1024, least: float =
             places = np.stack([cols[c] for c in cells], 1)
             src, dst = _own_links(places, fps, cols["rep"], cols["n"], radius, least)
             none = pa.nulls(len(src), pa.int64())
-            yield pa.RecordBatch.from_arrays([*_edges(src, dst), none.cast(pa.int32()), none, none.cast(pa.int32()), pa.nulls(len(src), pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([*_edges(src, dst), none.cast(pa.int32()), none, none.cast(pa.int32()), none.cast(pa.int32()), pa.nulls(len(src), pa.binary())], names)
             starts = np.flatnonzero(np.r_[True, (places[1:] != places[:-1]).any(1)])
             for lo, hi in zip(starts, np.r_[starts[1:], len(places)]):
                 if cols["slices"][lo] > 1:
                     tree = _packed_tree(fps[lo:hi], cols["rep"][lo:hi], cols["n"][lo:hi])
                     t, key, part = places[lo].tolist()
-                    row = [pa.nulls(1, pa.int64())] * 2 + [pa.array([t], pa.int32()), pa.array([key], pa.int64()), pa.array([part], pa.int32()), pa.array([tree], pa.binary())]
+                    row = [pa.nulls(1, pa.int64())] * 2 + [pa.array([t], pa.int32()), pa.array([key], pa.int64()), pa.array([part], pa.int32()), pa.array([cols["slices"][lo]], pa.int32()), pa.array([tree], pa.binary())]
                     yield pa.RecordBatch.from_arrays(row, names)
 
         for batch in batches:
@@ -251,16 +253,16 @@ def shard_links(keyed: DataFrame, radius: int, cell: int = 1024, least: float =
         if rows:
             yield from found(pa.Table.from_batches(kept))
 
-    names = ["src", "dst", "t", "key", "slice", "tree"]
-    built = cut(dealt.mapInArrow(build, "src long, dst long, t int, key long, slice int, tree binary"), "trees")
-    edges, trees = built.where("tree is null").select("src", "dst"), built.where("tree is not null").select("t", "key", "slice", "tree")
+    names = ["src", "dst", "t", "key", "slice", "slices", "tree"]
+    built = cut(dealt.mapInArrow(build, "src long, dst long, t int, key long, slice int, slices int, tree binary"), "trees")
+    edges, trees = built.where("tree is null").select("src", "dst"), built.where("tree is not null").select("t", "key", "slice", "slices", "tree")
     size = trees.agg(F.sum(F.octet_length("tree"))).first()[0]
     if not size:
         return edges
     bound_batches(keyed.sparkSession)
-    asked = trees.select("t", "key", F.col("slice").alias("of"), F.col("tree").alias("other"))
-    if size <= TREES_BYTES:
-        asked = F.broadcast(asked)
+    if size > TREES_BYTES:
+        return edges.unionByName(_tiled(trees, radius, least))
+    asked = F.broadcast(trees.select("t", "key", F.col("slice").alias("of"), F.col("tree").alias("other")))
     met = trees.repartition(*cells).join(asked, ["t", "key"]).where("of < slice").select("other", "tree")
 
     def cross(batches):
@@ -271,6 +273,33 @@ def shard_links(keyed: DataFrame, radius: int, cell: int = 1024, least: float =
     return edges.unionByName(met.mapInArrow(cross, "src long, dst long"))
 
 
+def _tiled(trees: DataFrame, radius: int, least: float) -> DataFrame:
+    """Links between slices of a shard where the trees are too many to broadcast.
+
+    ``TILE`` slices are a row of a square, and a tile is two such rows: the key that its trees travel by. So a shard's slices
+    spread over as many tasks as it has tiles, a task holds the trees of one, and a tree is sent once for every row.
+    """
+    row, last = F.floor(F.col("slice") / TILE), F.floor((F.col("slices") - 1) / TILE)
+    other = F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("other")
+    sent = trees.withColumn("row", row).select("*", other)
+    tile = ["t", "key", F.least("row", "other").alias("lo"), F.greatest("row", "other").alias("hi")]
+    keys = ["t", "key", "lo", "hi"]
+    dealt = sent.select(*tile, "slice", "tree").repartition(*keys).sortWithinPartitions(*keys, "slice")
+
+    def run(batches):
+        at, held = None, []
+        for batch in batches:
+            for t, key, lo, hi, part, tree in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (t, key, lo, hi) != at:
+                    at, held = (t, key, lo, hi), []
+                for of, earlier in held:
+                    if lo == hi or (of // TILE, part // TILE) == (lo, hi):
+                        yield pa.RecordBatch.from_arrays(_edges(*_cross_links(earlier, tree, radius, least)), ["src", "dst"])
+                held.append((part, tree))
+
+    return dealt.mapInArrow(run, "src long, dst long")
+
+
 def links(fps: DataFrame, radius: int, blocks: int = 6, cell: int = 1024) -> DataFrame:
     """``(src, dst)`` over ``rep`` ids that connect all of ``fps (fp, rep)`` within ``radius`` bits.
 
@@ -303,7 +332,8 @@ def near_duplicates(
     groups = connected_components(links(distinct, radius, blocks, cell))
     labelled = distinct.join(groups, distinct.rep == groups.vertex, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     hexed = F.lpad(F.lower(F.hex("fp")), 16, "0")
-    return own.join(labelled, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
+    # a table of known size, so that very many rows of one fingerprint (texts without words) do not meet under one key
+    return own.join(sized(cut(labelled, "labelled")), "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
 
 
 # --- similarity of shingle sets --------------------------------------------------------------------
@@ -503,4 +533,4 @@ def similar(
     roots = sized(cut(grouped.groupBy("component").agg(F.min("id").alias("root")), "roots"))
     own_root = sized(cut(grouped.join(roots, "component").select("vertex", "root"), "roots"))
     labelled = classes.join(own_root, F.col("rep") == F.col("vertex"), "left").select("digest", F.col("id").alias("class_id"), F.coalesce("root", "id").alias("component_id"))
-    return own.select("id", "digest").join(labelled, "digest").select("id", "class_id", "component_id")
+    return own.select("id", "digest").join(sized(cut(labelled, "labelled")), "digest").select("id", "class_id", "component_id")

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 import xxhash
 
 from tarn.llm import simhash
@@ -103,6 +104,27 @@ def test_broadcast_and_joined_trees_agree(spark, monkeypatch):
         assert label.tolist() == [want[i] for i in range(len(rows))]
 
 
+def test_one_large_shard_spreads_over_tiles(spark, monkeypatch):
+    """Twelve thousand fingerprints under one key, beyond the broadcast: the same links, no task with more than two rows of slices."""
+    rnd = np.random.default_rng(3)
+    centres = rnd.integers(0, 1 << 62, 300)
+    fps = np.unique(np.concatenate([c ^ (np.int64(1) << rnd.integers(0, 62, 40)) for c in centres]))
+    frame = spark.createDataFrame([(0, 0, int(f), i, 0) for i, f in enumerate(fps)], "t int, key long, fp long, rep long, n int")
+    labels, seen = [], []
+    deal = simhash._tiled
+    monkeypatch.setattr(simhash, "_tiled", lambda trees, *rest: seen.append(trees) or deal(trees, *rest))
+    for bound in (0, 1 << 26):
+        monkeypatch.setattr(simhash, "TREES_BYTES", bound)
+        found = simhash.shard_links(frame, 2, cell=256).toPandas()
+        labels.append(simhash._fold(np.arange(len(fps)), found.src.to_numpy(), found.dst.to_numpy()))
+    assert (labels[0] == labels[1]).all() and len(set(labels[0])) <= 300
+    slices = seen[0].count()
+    assert len(seen) == 1 and slices == -(-len(fps) // 256)
+    rows = -(-slices // simhash.TILE)
+    tiles = seen[0].selectExpr("explode(sequence(0, cast((slices - 1) div 8 as int))) AS other", "slice div 8 AS row").groupBy(F.least("row", "other"), F.greatest("row", "other")).count()
+    assert tiles.count() == rows * (rows + 1) // 2 and tiles.agg(F.max("count")).first()[0] <= 2 * simhash.TILE
+
+
 def brute_sets(text, k=5):
     words = "".join(c.lower() if "A" <= c <= "Z" else c for c in text).translate({i: " " for i in range(9, 14)}).split(" ")
     words = [w for w in words if w]

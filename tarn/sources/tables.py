@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.plans.scratch import cut
+from tarn.plans.scratch import cut, sized
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,10 +51,13 @@ def containment_qrels(spark: SparkSession, sf_dir: str, most: int = 6) -> DataFr
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
     split = d.select("doc_id", words(F.col("text")).alias("w"))
     pairs = d.join(F.broadcast(b.where("k < 1")) if b.where("k < 1").count() <= 10_000 else b.where("k < 1"), F.contains("text", F.col("passage"))).select("qid", "doc_id")
-    for k in sorted(r["k"] for r in b.where("k >= 1").select("k").distinct().collect()):
-        asked = b.where(F.col("k") == k).select("qid", "passage", F.xxhash64(F.slice("w", 2, k)).alias("g"))
-        found = split.where(F.size("w") >= k).select("doc_id", F.explode(_grams(k)).alias("g")).join(asked.select("qid", "g"), "g").select("doc_id", "qid").distinct()
-        whole = found.join(asked.select("qid", "passage"), "qid").join(d, "doc_id").where(F.contains("text", F.col("passage")))
+    lengths = sorted(r["k"] for r in b.where("k >= 1").select("k").distinct().collect())  # ``most`` at most
+    if lengths:
+        # the texts are read once for the shingles of all lengths, and once more where one of them is asked for
+        grams = F.flatten(F.array(*(F.when(F.size("w") >= k, _grams(k)).otherwise(F.array().cast("array<bigint>")) for k in lengths)))
+        asked = sized(cut(b.where("k >= 1").select("qid", F.xxhash64(F.expr("slice(w, 2, k)")).alias("g")), "asked"))
+        found = cut(split.select("doc_id", F.explode(F.array_distinct(grams)).alias("g")).join(asked, "g").select("doc_id", "qid").distinct(), "candidates")
+        whole = d.join(sized(found), "doc_id").join(sized(b.select("qid", "passage")), "qid").where(F.contains("text", F.col("passage")))
         pairs = pairs.unionByName(whole.select("qid", "doc_id"))
     return cut(pairs.select("qid", "doc_id", F.lit(1).cast("long").alias("grade")), "qrels")
 

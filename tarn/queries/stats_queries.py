@@ -480,18 +480,42 @@ def split_assignment(spark, sf):
     SELECT round(max(a) FILTER (WHERE r = 5), 4) AS lo, round(max(a) FILTER (WHERE r = 94), 4) AS hi, (SELECT k FROM k)::BIGINT AS clusters FROM o""",
 )
 def auroc_cluster_bootstrap(spark, sf):
-    """Ninety-per-cent interval of the AUROC by whole clusters: counts a cluster and score value are drawn, not rows."""
+    """Ninety-per-cent interval of the AUROC by whole clusters, from the pair-win matrix of clusters; scores are ranked once."""
+    drawn, k = cluster_draws(spark, sf)
+    means = drawn.select("b", F.col("auroc").alias("mean")).where("mean IS NOT NULL")
+    return _ends(means).withColumn("clusters", F.lit(k).cast("long"))
+
+
+def cluster_draws(spark, sf):
+    """A hundred draws of sources, with the area under the curve and the counts of each, and how many sources there are."""
     rows = labelled(spark, sf)
-    counts = cut(rows.groupBy("source", "s").agg(F.sum("quality").alias("pos"), F.count("*").alias("n")), "counts")
-    names = S.numbered(counts.select("source").distinct(), "source").select("i", "source")
-    k = names.count()
-    at = F.floor(S.draw(F.col("b"), F.col("i")) * k).cast("long")
-    drawn = names.select("i").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(99)))).select("b", at.alias("i")).join(names, "i")
-    values = drawn.join(counts, "source").groupBy("b", "s").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n"))
-    upto = W.partitionBy("b").orderBy("s").rowsBetween(W.unboundedPreceding, W.currentRow)
-    ranked = values.withColumn("rank", F.sum("n").over(upto) - (F.col("n") - 1) / 2.0)
-    pos, n = F.sum("pos"), F.sum("n")
-    area = (F.sum(F.col("pos") * F.col("rank")) - pos * (pos + 1) / 2.0) / F.nullif((pos * (n - pos)).cast("double"), F.lit(0.0))
-    means = ranked.groupBy("b").agg(area.alias("mean")).where("mean IS NOT NULL").withColumn("r", F.row_number().over(W.orderBy("mean")) - 1)
+    counts = rows.groupBy("source", "s").agg(F.sum("quality").alias("pos"), F.count("*").alias("n"))
+    names = S.numbered(rows.select("source").distinct(), "source").select("i", "source")
+    numbered = counts.join(names, "source").select("i", "s", "pos", (F.col("n") - F.col("pos")).alias("neg"), F.col("pos").alias("good"), "n")
+    return S.shared_draws(cut(numbered, "counts"), ["good", "n"], 100), names.count()
+
+
+def _ends(means):
+    """The sorted means at places five and ninety-four, rounded."""
+    r = means.withColumn("r", F.row_number().over(W.orderBy("mean")) - 1)  # a row a draw
     end = lambda i: F.round(F.max(F.when(F.col("r") == i, F.col("mean"))), 4)
-    return means.agg(end(5).alias("lo"), end(94).alias("hi")).withColumn("clusters", F.lit(k).cast("long"))
+    return r.agg(end(5).alias("lo"), end(94).alias("hi"))
+
+
+@query(
+    "shared_metrics",
+    f"""WITH g AS (SELECT source, row_number() OVER (ORDER BY source) - 1 AS i FROM (SELECT DISTINCT source FROM {LABELLED})), k AS (SELECT count(*) AS k FROM g),
+    d AS (SELECT b, g2.source FROM range(100) r(b) CROSS JOIN g g1 CROSS JOIN k JOIN g g2 ON g2.i = floor({DRAW.format("b || ':' || g1.i")} * k.k)::BIGINT),
+    w AS (SELECT x.b, sum(CASE WHEN p.s > q.s THEN 1.0 WHEN p.s = q.s THEN 0.5 ELSE 0.0 END) / count(*)::DOUBLE AS a FROM d x JOIN {LABELLED} p ON p.source = x.source AND p.quality = 1
+      JOIN d y ON y.b = x.b JOIN {LABELLED} q ON q.source = y.source AND q.quality = 0 GROUP BY x.b),
+    h AS (SELECT b, sum(quality) / count(*)::DOUBLE AS h FROM d JOIN {LABELLED} USING (source) GROUP BY b),
+    v AS (SELECT 'auroc' AS metric, b, a AS v FROM w UNION ALL SELECT 'share', b, h FROM h UNION ALL SELECT 'gap', b, a - h FROM w JOIN h USING (b)),
+    o AS (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY v) - 1 AS r FROM v)
+    SELECT metric, round(max(v) FILTER (WHERE r = 5), 4) AS lo, round(max(v) FILTER (WHERE r = 94), 4) AS hi FROM o GROUP BY metric""",
+)
+def shared_metrics(spark, sf):
+    """Intervals of the area under the curve, the share of good rows and their difference, from one set of draws of clusters."""
+    drawn = cut(cluster_draws(spark, sf)[0], "draws")
+    share = F.col("good") / F.col("n")
+    of = lambda name, value: _ends(drawn.select("b", value.alias("mean")).where("mean IS NOT NULL")).select(F.lit(name).alias("metric"), "lo", "hi")
+    return of("auroc", F.col("auroc")).unionAll(of("share", share)).unionAll(of("gap", F.col("auroc") - share))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tarn.plans.scratch import cut
+from tarn.plans.scratch import cut, sized
 
 
 def bounded_join(searches: DataFrame, reads: DataFrame, seconds: int) -> DataFrame:
@@ -113,6 +113,24 @@ def hash_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     return j.select("key", state.alias("state"))
 
 
+def contiguous_shards(rows: DataFrame, scope: str, n: int, *order) -> DataFrame:
+    """``rows`` with ``shard``: whole scopes, in the order of their first rows, in ``n`` contiguous groups whose numbers of scopes differ by one at most.
+
+    Raises if there are fewer scopes than shards. Scopes are numbered in ranges and meet their rows as a table of known size.
+    """
+    from tarn.operators.stats import numbered
+
+    first = rows.groupBy(scope).agg(F.min(F.struct(*order)).alias("at"))
+    placed = numbered(first, "at", scope).select(scope, "i")
+    total = placed.count()
+    if n > total:
+        raise ValueError(f"{total} scopes do not make {n} shards")
+    base, extra = divmod(total, n)
+    long = extra * (base + 1)
+    shard = F.when(F.col("i") < long, F.floor(F.col("i") / (base + 1))).otherwise(extra + F.floor((F.col("i") - long) / base))
+    return rows.join(sized(cut(placed.select(scope, shard.cast("int").alias("shard")), "scopes")), scope)
+
+
 def merge_shards(shards: list[tuple[DataFrame, dict]], keys: list[str]) -> DataFrame:
     """The rows of all shards, each given with its configuration. Raises if configurations differ or a key is in two rows."""
     if len({repr(sorted(config.items())) for _, config in shards}) > 1:

@@ -172,12 +172,20 @@ def seal_counts(spark, sf):
 
 @query("merge_shards", "SELECT source AS scope, count(*)::BIGINT AS n, sum(doc_id)::BIGINT AS ids FROM documents GROUP BY source")
 def merge_shards(spark, sf):
-    """Three shards of whole scopes pooled; the merge checks that they share a configuration and no row."""
-    d = table(spark, sf, "documents")
-    shards = [(d.where(F.pmod(F.xxhash64("source"), F.lit(3)) == i), {"model": "m", "k": 10}) for i in range(3)]
+    """Three contiguous shards of whole scopes pooled; the merge checks that they share a configuration and no row."""
+    d = O.contiguous_shards(table(spark, sf, "documents").select("doc_id", "source"), "source", 3, "doc_id")
+    shards = [(d.where(F.col("shard") == i), {"model": "m", "k": 10}) for i in range(3)]
     return O.merge_shards(shards, ["doc_id"]).groupBy(F.col("source").alias("scope")).agg(F.count("*").alias("n"), F.sum("doc_id").alias("ids"))
 
 
+@query("contiguous_shards", """WITH s AS (SELECT url[1:24] AS scope, min(page_id) AS first FROM pages GROUP BY 1), t AS (SELECT scope, ntile(7) OVER (ORDER BY first, scope) - 1 AS shard FROM s)
+    SELECT page_id, shard::INTEGER AS shard FROM pages JOIN t ON t.scope = url[1:24]""")
+def contiguous_shards(spark, sf):
+    """Pages in seven shards of whole scopes (what their addresses begin with), in the order of the pages."""
+    p = table(spark, sf, "pages").select("page_id", F.substring("url", 1, 24).alias("scope"))
+    return O.contiguous_shards(p, "scope", 7, "page_id").select("page_id", "shard")
+
+
 @query("rebuild_decision", "SELECT source, count(*)::BIGINT AS n, sum(length(text))::BIGINT AS chars FROM documents GROUP BY source")
 def rebuild_decision(spark, sf):
     """A standing summary of the documents: found as long as their files are what they were, else made anew and published whole."""

@@ -133,9 +133,21 @@ def macro_mean(spark, sf):
 
 @query("latency_percentiles", "SELECT event_type, count(*)::BIGINT AS n, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(count(*) / sum(value), 6) AS per_second FROM events GROUP BY event_type")
 def latency_percentiles(spark, sf):
-    e = table(spark, sf, "events").groupBy("event_type")
-    p = lambda q: F.round(F.percentile("value", F.lit(q)), 6)
-    return e.agg(F.count("*").alias("n"), p(0.5).alias("p50"), p(0.95).alias("p95"), F.round(F.count("*") / F.sum("value"), 6).alias("per_second"))
+    """Percentiles by places in one order of all rows; nothing of a group is gathered."""
+    from tarn.operators.stats import percentiles
+
+    e = table(spark, sf, "events")
+    p = percentiles(e, "event_type", "value", [0.5, 0.95]).groupBy("event_type").agg(*(F.round(F.max(F.when(F.col("share") == q, F.col("v"))), 6).alias(n) for q, n in ((0.5, "p50"), (0.95, "p95"))))
+    return e.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.count("*") / F.sum("value"), 6).alias("per_second")).join(p, "event_type").select("event_type", "n", "p50", "p95", "per_second")
+
+
+@query("percentiles_whole", "SELECT round(quantile_cont(l_extendedprice, 0.05), 4) AS p5, round(quantile_cont(l_extendedprice, 0.5), 4) AS p50, round(quantile_cont(l_extendedprice, 0.99), 4) AS p99 FROM (SELECT l_extendedprice::DOUBLE AS l_extendedprice FROM lineitem)")
+def percentiles_whole(spark, sf):
+    """The same of a whole table as one group."""
+    from tarn.operators.stats import percentiles
+
+    p = percentiles(table(spark, sf, "lineitem").withColumn("all", F.lit(1)), "all", "l_extendedprice", [0.05, 0.5, 0.99])
+    return p.agg(*(F.round(F.max(F.when(F.col("share") == q, F.col("v"))), 4).alias(n) for q, n in ((0.05, "p5"), (0.5, "p50"), (0.99, "p99"))))
 
 
 @query("replay_jaccard", """WITH s AS (SELECT user_id AS q, ts::DATE AS day, list(DISTINCT (props::JSON->>'k')::BIGINT) AS ids, max(event_id) AS seq FROM events WHERE event_type = 'view' GROUP BY ALL),

@@ -373,12 +373,8 @@ def _tune_sql() -> str:
 ALPHAS = (0.0, 0.25, 0.5, 0.75, 1.0)
 
 
-@query("tune_grid", _tune_sql())
-def tune_grid(spark, sf):
-    """The weight of the lexical leg with the best macro mean over the dev queries of two sets; of equals the lower weight.
-
-    Both legs are read once; every fusion of the grid is rated on them.
-    """
+def _rated(spark, sf):
+    """``alpha, qid, ndcg`` of the dev queries: both legs are read once, every fusion of the grid is rated on them."""
     from tarn.queries.fusion_queries import both
 
     pools, qrels = cut(both(spark, sf), "pools"), cut(containment_qrels(spark, sf), "qrels")
@@ -387,12 +383,48 @@ def tune_grid(spark, sf):
         run = _convex(pools, alpha).where("rank < 10")
         one = M.ndcg(run, qrels).select(F.lit(alpha).alias("alpha"), "qid", "ndcg")
         rated = one if rated is None else rated.unionAll(one)
-    sets = rated.where("qid % 3 <> 0").groupBy("alpha", (F.col("qid") % 2).alias("dataset")).agg(F.avg("ndcg").alias("ndcg"))
-    macro = sets.groupBy("alpha").agg(F.avg("ndcg").alias("macro"))
+    return rated.where("qid % 3 <> 0")
+
+
+def _macro(rated):
+    """``alpha, macro``: the mean over two sets of the mean over their queries."""
+    sets = rated.groupBy("alpha", (F.col("qid") % 2).alias("dataset")).agg(F.avg("ndcg").alias("ndcg"))
+    return sets.groupBy("alpha").agg(F.avg("ndcg").alias("macro"))
+
+
+@query("tune_grid", _tune_sql())
+def tune_grid(spark, sf):
+    """The weight of the lexical leg with the best macro mean over the dev queries of two sets; of equals the lower weight."""
+    macro = _macro(_rated(spark, sf))
     first = F.row_number().over(W.orderBy(F.desc(F.round("macro", 9)), "alpha")) == 1  # one row a weight
     return macro.select("alpha", F.round("macro", 6).alias("macro"), first.alias("chosen"))
 
 
+def _decision_sql() -> str:
+    return f"""WITH n AS ({' UNION ALL '.join(map(_dev_sql, ALPHAS))}), v AS (SELECT * FROM n WHERE qid % 3 <> 0), d AS (SELECT alpha, qid % 2 AS dataset, avg(ndcg) AS ndcg FROM v GROUP BY ALL),
+    m AS (SELECT alpha, avg(ndcg) AS macro FROM d GROUP BY alpha),
+    best AS (SELECT alpha FROM m WHERE alpha > 0 AND alpha < 1 ORDER BY round(macro, 4) DESC, alpha LIMIT 1), leg AS (SELECT alpha FROM m WHERE alpha IN (0, 1) ORDER BY round(macro, 9) DESC, alpha DESC LIMIT 1),
+    f AS (SELECT a.qid, a.ndcg - b.ndcg AS v, row_number() OVER (ORDER BY a.qid) - 1 AS i FROM v a JOIN v b USING (qid) WHERE a.alpha = (SELECT alpha FROM best) AND b.alpha = (SELECT alpha FROM leg)),
+    k AS (SELECT count(*) AS n FROM f),
+    b AS (SELECT r.b, avg(y.v) AS mean FROM range(200) r(b) CROSS JOIN f x CROSS JOIN k JOIN f y ON y.i = floor({DRAW.format("r.b || ':' || x.i")} * k.n)::BIGINT GROUP BY r.b),
+    r AS (SELECT mean, row_number() OVER (ORDER BY mean) - 1 AS r FROM b), c AS (SELECT round(max(mean) FILTER (WHERE r = 5), 4) AS lo, round(max(mean) FILTER (WHERE r = 194), 4) AS hi FROM r)
+    SELECT best.alpha AS best, leg.alpha AS leg, round((SELECT avg(v) FROM f), 4) AS gain, lo, hi, lo > 0 AS passed, CASE WHEN lo > 0 THEN best.alpha ELSE leg.alpha END AS chosen FROM c, best, leg"""
+
+
+@query("tune_decision", _decision_sql())
+def tune_decision(spark, sf):
+    """The best fusion is kept only if the interval of its gain over the best single leg lies above zero; else that leg is chosen."""
+    rated = cut(_rated(spark, sf), "rated")
+    macro = {r["alpha"]: r["macro"] for r in _macro(rated).collect()}  # a row a weight
+    best = min((a for a in macro if 0 < a < 1), key=lambda a: (-round(macro[a], 4), a))
+    leg = min((a for a in macro if a in (0.0, 1.0)), key=lambda a: (-round(macro[a], 9), -a))
+    gain = rated.groupBy("qid").agg(*(F.max(F.when(F.col("alpha") == a, F.col("ndcg"))).alias(n) for n, a in (("x", best), ("y", leg)))).select("qid", (F.col("x") - F.col("y")).alias("v"))
+    gain = cut(gain, "gain")
+    ends = S.interval(S.bootstrap_hash(gain, "v", 200), 200).crossJoin(gain.agg(F.round(F.avg("v"), 4).alias("gain")))
+    passed = F.col("lo") > 0
+    return ends.select(F.lit(best).alias("best"), F.lit(leg).alias("leg"), "gain", "lo", "hi", passed.alias("passed"), F.when(passed, F.lit(best)).otherwise(F.lit(leg)).alias("chosen"))
+
+
 def _convex(pools, alpha):
     from tarn.operators import fusion as X
 

@@ -8,6 +8,7 @@ from tarn.operators import fusion as X
 from tarn.operators import rank as R
 from tarn.queries import query
 from tarn.queries.lexical_queries import SPLIT, bm25, bm25_sql
+from tarn.plans.scratch import cut
 from tarn.sources.tables import SECTIONS_SQL, TEXT_QUERIES_SQL, sections, table, text_queries
 
 B = bm25_sql(k=20)
@@ -39,6 +40,19 @@ def rerank_stub(spark, sf):
     return reranked(spark, sf).select("qid", "doc_id", "pos", F.col("rerank").alias("score"))
 
 
+@query("rerank_model")
+def rerank_model(spark, sf):
+    """The pool by a linear model that learned from the judgements of every other query; scores rounded."""
+    from tarn.operators.rerank import LinearModel, rerank
+    from tarn.sources.tables import containment_qrels
+
+    rows = pool(spark, sf).select("qid", "rank", "doc_id", F.col("content").alias("text")).join(text_queries(spark, sf), "qid")
+    rows = cut(rows, "pool")
+    judged = rows.where("qid % 2 = 1").join(containment_qrels(spark, sf), ["qid", "doc_id"], "left").withColumn("label", F.coalesce("grade", F.lit(0)))
+    model = LinearModel.fit(judged)
+    return rerank(rows, lambda: model).select("qid", "doc_id", "rank", "pos", F.round("rerank", 6).alias("score"), "fallback")
+
+
 @query("rerank_text", f"SELECT id, title || ' — ' || heading || chr(10) || left(content, 2000) AS text FROM {SECTIONS_SQL}")
 def rerank_text(spark, sf):
     named = F.coalesce(F.nullif("title", F.lit("")), F.col("slug"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -298,6 +300,23 @@ def aurc(spark, sf):
     return own.crossJoin(S.risk_coverage(rows, "quality", "loss").agg(F.round(F.avg("risk"), 6).alias("oracle")))
 
 
+@query(
+    "selective_accuracy",
+    f"""WITH r AS (SELECT row_number() OVER (ORDER BY p DESC, qid) AS k, count(*) OVER () AS n, avg(1 - quality) OVER (ORDER BY p DESC, qid ROWS UNBOUNDED PRECEDING) AS risk, avg(1 - quality) OVER (ORDER BY quality DESC, qid ROWS UNBOUNDED PRECEDING) AS best, avg(1 - quality) OVER () AS whole FROM {PROBS})
+    SELECT {', '.join(f'round(1 - max(risk) FILTER (WHERE k = greatest(1, ceil({c} * n - 1e-9))), 6) AS at{int(c * 100)}' for c in (0.9, 0.8, 0.7))}, round((max(whole) - avg(risk)) / nullif(max(whole) - avg(best), 0), 6) AS gap_closed FROM r""",
+)
+def selective_accuracy(spark, sf):
+    """Accuracy of the most confident nine, eight and seven tenths, and how far the order goes from a random one to the oracle's."""
+    rows = probs(spark, sf).withColumn("loss", 1 - F.col("quality"))
+    n, whole = rows.agg(F.count("*"), F.avg("loss")).first()
+    place = {c: max(1, math.ceil(c * n - 1e-9)) - 1 for c in (0.9, 0.8, 0.7)}
+    at = [F.round(1 - F.max(F.when(F.round(F.col("coverage") * n) == i + 1, F.col("risk"))), 6).alias(f"at{int(c * 100)}") for c, i in place.items()]
+    own = S.risk_coverage(rows, "p", "loss").agg(*at, F.avg("risk").alias("area"))
+    best = S.risk_coverage(rows, "quality", "loss").agg(F.avg("risk").alias("best"))
+    gap = (F.lit(whole) - F.col("area")) / F.nullif(F.lit(whole) - F.col("best"), F.lit(0.0))
+    return own.crossJoin(best).select(*(f"at{int(c * 100)}" for c in place), F.round(gap, 6).alias("gap_closed"))
+
+
 @query("confidence_signals", f"""WITH r AS {RUN_A}, e AS (SELECT *, exp(score - max(score) OVER (PARTITION BY qid)) AS e FROM r), p AS (SELECT *, e / sum(e) OVER (PARTITION BY qid) AS p FROM e)
     SELECT qid, max(score) AS top1, round(max(score) - coalesce(max(score) FILTER (WHERE rank = 1), 0), 6) AS margin, round(sum(p * ln(p)), 6) + 0.0 AS neg_entropy, round(median(score), 7) AS med FROM p GROUP BY qid""")
 def confidence_signals(spark, sf):

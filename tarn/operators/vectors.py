@@ -18,6 +18,8 @@ BLOCK = 4096
 TILE = 1024
 #: Pairs up to which the declarative form serves.
 PAIRS = 1 << 20
+#: Queries that the declarative form sends to every task at most.
+MOST_SENT = 10_000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -55,8 +57,12 @@ def non_finite(v: Column) -> Column:
 def knn_sql(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
     """Declarative form: every query against every vector. ``knn`` takes it for few pairs only.
 
-    ``queries (qid, qvec)``, ``corpus (id, vector)``; returns ``qid, id, rank (from 0), distance``, ties by id.
+    ``queries (qid, qvec)``, ``corpus (id, vector)``; returns ``qid, id, rank (from 0), distance``, ties by id. Raises where the
+    queries are too many to be sent to every task.
     """
+    asked = queries.count()
+    if asked > MOST_SENT:
+        raise ValueError(f"{asked} queries are for the blocked form")
     pairs = corpus.join(F.broadcast(queries), F.lit(True)).select("qid", "id", F.round(l2(F.col("qvec"), F.col("vector")), 9).alias("distance"))
     return top(pairs, k, "distance", "id").select("qid", "id", "rank", "distance")
 
@@ -204,3 +210,29 @@ def plan_subbatches(lengths: list[int], most: int, budget: int, attention: int)
         out.append(order[at : at + n])
         at += n
     return out
+
+
+def subbatches(rows: DataFrame, by: str, length: str, key: str, most: int, budget: int, attention: int) -> DataFrame:
+    """``rows (by, length, key)`` with ``batch``: the longest first, a batch of one ``by`` and within its budgets.
+
+    Rows are sorted in ranges of (by, length) and planned where they stand, so a large group is planned by many tasks; a batch
+    ends where its range does.
+    """
+    order = [F.col(by), F.desc(length), F.col(key)]
+    ranged = rows.select(by, length, key).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("range", F.spark_partition_id())
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+
+    def run(batches):
+        of, size, longest, number = None, 0, 1, -1
+        for batch in batches:
+            groups, lengths = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            out = np.empty(batch.num_rows, np.int64)
+            start = batch.column(3)[0].as_py() << 32 if batch.num_rows else 0
+            for i, (group, n) in enumerate(zip(groups, lengths, strict=True)):
+                if number < 0 or group != of or size >= max(1, min(most, budget // longest, attention // longest**2)):
+                    of, size, longest, number = group, 0, max(1, n or 0), number + 1
+                size += 1
+                out[i] = start + number
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out)], [by, length, key, "batch"])
+
+    return ranged.mapInArrow(run, f"`{by}` {kinds[by]}, `{length}` {kinds[length]}, `{key}` {kinds[key]}, batch long")

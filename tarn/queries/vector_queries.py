@@ -126,16 +126,8 @@ def donor_reuse(spark, sf):
 @query("plan_subbatches")
 def plan_subbatches(spark, sf):
     """Batches of the documents of each source, longest first, under a token and an attention budget."""
-    import pandas as pd
-
-    def plan(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("doc_id").reset_index(drop=True)
-        batches = V.plan_subbatches(pdf["n"].tolist(), 16, 8192, 1 << 22)
-        rows = [(int(pdf.doc_id[i]), pdf.source[i], b) for b, members in enumerate(batches) for i in members]
-        return pd.DataFrame(rows, columns=["doc_id", "source", "batch"])
-
-    d = table(spark, sf, "documents").select("doc_id", "source", F.size(F.split("text", " ")).alias("n"))
-    return d.groupBy("source").applyInPandas(plan, "doc_id long, source string, batch long")
+    d = table(spark, sf, "documents").select("doc_id", "source", F.size(F.split("text", " ")).cast("long").alias("n"))
+    return V.subbatches(d, "source", "n", "doc_id", 16, 8192, 1 << 22).select("doc_id", "source", "batch")
 
 
 @query("nonfinite_rows", "SELECT vec_id, vec_id % 50 = 0 AS bad FROM embeddings")

@@ -371,3 +371,20 @@ def test_asof_goes_over_ranges(spark):
     for r in joined:
         own = [x for x in marked[r.k] if x[0] <= r.ts]
         assert r.search_id == (own[-1][1] if own else None)
+
+
+def test_ranged_batches_hold_their_budgets(spark):
+    """One group and small ones over several ranges: every row is in one batch, of one group, the longest first, within the budgets."""
+    rnd = random.Random(9)
+    data = [(i, rnd.choice("aaaab") if i % 7 else None, rnd.randrange(0, 300)) for i in range(600)]
+    frame = spark.createDataFrame(data, "doc_id long, source string, n long").repartition(3)
+    got = vectors.subbatches(frame, "source", "n", "doc_id", 8, 1000, 90_000).collect()
+    assert sorted((r.doc_id, r.source, r.n) for r in got) == sorted(data)
+    whole = {}
+    for r in got:
+        whole.setdefault(r.batch, []).append(r)
+    for rows in whole.values():
+        longest = max(1, max(r.n for r in rows))
+        assert len({r.source for r in rows}) == 1 and len(rows) <= max(1, min(8, 1000 // longest, 90_000 // longest**2))
+    planned = sum(len(vectors.plan_subbatches([n for _, s, n in data if s == g], 8, 1000, 90_000)) for g in ("a", "b", None))
+    assert len(whole) <= planned + 12

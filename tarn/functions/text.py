@@ -155,7 +155,7 @@ REDACTIONS = [
         "$1$2[REDACTED]",
     ),
     ("email", r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+\b", "[REDACTED:email]"),
-    ("long-secret", r"\b[A-Za-z0-9_-]{40,}\b", "[REDACTED:long-secret]"),
+    ("long-secret", r"\b(?=[A-Za-z0-9_-]*\d)(?=[A-Za-z0-9_-]*[A-Za-z])[A-Za-z0-9_-]{40,}\b", "[REDACTED:long-secret]"),
 ]
 #: Addresses that name nobody.
 GENERIC_DOMAINS = ("example.com", "example.org", "example.net", "users.noreply.github.com")
@@ -163,13 +163,13 @@ GENERIC_LOCALS = ("noreply", "no-reply", "user", "you", "name", "someone")
 
 
 def _spared(family: str, match: Column) -> Column:
-    """Whether a match of a family that has exceptions is one: generic addresses; long words without a digit or a letter, of many
-    hyphens, or that begin like an address of the web or a model's name."""
+    """Whether a match of a family that has exceptions is one: generic addresses; long words of many hyphens, or that begin like an
+    address of the web or a model's name."""
     if family == "email":
         local, domain = F.substring_index(F.lower(match), "@", 1), F.substring_index(F.lower(match), "@", -1)
         return domain.isin(*GENERIC_DOMAINS) | local.isin(*GENERIC_LOCALS)
     hyphens = F.length(match) - F.length(F.translate(match, "-", ""))
-    return ~match.rlike("[0-9]") | ~match.rlike("[A-Za-z]") | (hyphens > 6) | match.startswith("http") | match.startswith("claude-")
+    return (hyphens > 6) | match.startswith("http") | match.startswith("claude-")
 
 
 def once(value: Column, body) -> Column:

@@ -34,6 +34,26 @@ def filter_excluded(spark, sf):
     return notes(spark, sf).where(~X.excluded(F.col("content"))).select("id", "slug")
 
 
+@query(
+    "scan_notes",
+    f"""SELECT slug, length(content)::BIGINT AS n, coalesce(nullif(trim(regexp_extract(content, '\ntitle: *\"?([^\"\n]*)\"?\n', 1)), ''), '') AS title FROM {NOTES} JOIN documents d ON d.doc_id = notes.id WHERE d.lang = 'de' AND NOT coalesce(content LIKE '---%' AND regexp_matches(lower(content), '\nsearch: *["'']?exclude["'']? *\n'), false)""",
+)
+def scan_notes(spark, sf):
+    """The documents written as files of notes, a folder a language, and those of one folder read back that searches may see.
+
+    The folder is a condition on the path, so no file of another one is opened.
+    """
+    from tarn.plans.scratch import scratch_path
+    from tarn.sources.notes import read_notes, write_notes
+
+    folder = scratch_path(spark, "notes")
+    langs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "lang")
+    write_notes(notes(spark, sf).join(langs, "id").select(F.concat_ws("/", "lang", "slug").alias("slug"), "content"), folder)
+    there = read_notes(spark, folder).where(F.contains("path", F.lit("/de/")))
+    title = F.coalesce(X.front_value(X.front_matter(F.col("content")), "title"), F.lit(""))
+    return there.where(~X.excluded(F.col("content"))).select("slug", F.length("content").cast("long").alias("n"), title.alias("title"))
+
+
 @query("scan_modified_since", "SELECT event_id, event_type FROM events WHERE ts > TIMESTAMP '2024-01-20 00:00:00'")
 def scan_modified_since(spark, sf):
     return table(spark, sf, "events").where("ts > timestamp_ntz'2024-01-20 00:00:00'").select("event_id", "event_type")

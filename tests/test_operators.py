@@ -388,3 +388,18 @@ def test_ranged_batches_hold_their_budgets(spark):
         assert len({r.source for r in rows}) == 1 and len(rows) <= max(1, min(8, 1000 // longest, 90_000 // longest**2))
     planned = sum(len(vectors.plan_subbatches([n for _, s, n in data if s == g], 8, 1000, 90_000)) for g in ("a", "b", None))
     assert len(whole) <= planned + 12
+
+
+def test_seeded_draws_equal_python_s_own():
+    """Exactly what loops over Python's generator give, block borders included."""
+    rnd = random.Random(31)
+    for n, resamples in ((1, 40), (7, 300), (64, 200), (1000, 60)):
+        values = [round(rnd.uniform(-1, 1), 3) for _ in range(n)]
+        own = random.Random(12345)
+        means = sorted(sum(values[own.randrange(n)] for _ in range(n)) / n for _ in range(resamples))
+        assert stats.bootstrap_mt(values, resamples) == (round(means[int(0.025 * resamples)], 4), round(means[int(0.975 * resamples) - 1], 4))
+        own, observed = random.Random(12345), abs(sum(values) / n)
+        hits = sum(abs(sum(d if own.random() < 0.5 else -d for d in values) / n) >= observed - 1e-15 for _ in range(resamples))
+        assert stats.permutation_mt(values, resamples) == (hits + 1) / (resamples + 1)
+    drawn, own = next(stats._below(1000, 7)), random.Random(7)
+    assert [own.randrange(1000) for _ in range(50_000)] == drawn[:50_000].tolist()

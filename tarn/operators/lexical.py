@@ -38,6 +38,8 @@ BLOCK_TERMS = 1 << 18
 BLOCK, SEGMENT, LEAST_SEGMENT = 32, 1 << 14, 1 << 10
 #: Blocks of each segment that are opened first, for the score that all others have to reach, where there are more than ``FEW`` segments.
 FIRST, FEW = 2, 16
+#: Terms of a query from which on its blocks cannot be told apart by bounds, so that all are opened at once.
+LONG = 8
 #: Distinct terms up to which they go to the scan as literals, which leaves out parts of files.
 LITERALS = 256
 #: Files of an index at most.
@@ -77,10 +79,20 @@ class Index:
     block: int
 
 
-def _forward(docs: DataFrame, doc_id: str, fields: Mapping[str, Column], tokenise, segments: int) -> DataFrame:
+def _numbers(spark: SparkSession, segments: int, buckets: int) -> list[int]:
+    """Numbers of segments; where there are no more than files, such that each has a file of its own."""
+    if segments > buckets:
+        return list(range(segments))
+    tried = spark.range(32 * buckets).select(F.col("id").cast("int").alias("id")).groupBy(F.pmod(F.hash("id"), F.lit(buckets))).agg(F.min("id").alias("id")).collect()
+    found = sorted(r["id"] for r in tried)  # one a file at most
+    return found + [-1 - i for i in range(segments - len(found))]
+
+
+def _forward(docs: DataFrame, doc_id: str, fields: Mapping[str, Column], tokenise, segments: list[int]) -> DataFrame:
     """``seg, doc_id, lengths, terms, fields, tfs``: distinct terms of each document and field, by their 64-bit hashes."""
     hashed = [F.coalesce(F.transform(tokenise(text), lambda t: F.xxhash64(t)), F.array().cast("array<bigint>")).alias(f"t{i}") for i, text in enumerate(fields.values())]
-    seg = F.pmod(F.xxhash64(F.col(doc_id).cast("long"), F.lit(1)), F.lit(segments)).cast("int").alias("seg")
+    nth = F.pmod(F.xxhash64(F.col(doc_id).cast("long"), F.lit(1)), F.lit(len(segments))).cast("int")
+    seg = (nth if segments == list(range(len(segments))) else F.element_at(F.array(*map(F.lit, segments)), nth + 1)).cast("int").alias("seg")
     rows = docs.where(F.col(doc_id).isNotNull()).select(seg, F.col(doc_id).cast("long").alias("doc_id"), *hashed)
     width = len(hashed)
 
@@ -162,10 +174,10 @@ def write_index(docs: DataFrame, path: str, doc_id: str = "id", fields: Mapping[
     spark = docs.sparkSession
     fields = fields or {"content": F.col("content")}
     n = docs.count()
-    each = min(SEGMENT, max(LEAST_SEGMENT, math.ceil(n / (2 * spark.sparkContext.defaultParallelism))))
+    each = min(SEGMENT, max(LEAST_SEGMENT, math.ceil(n / spark.sparkContext.defaultParallelism)))
     segments = max(1, math.ceil(n / each))
     buckets = min(segments, BUCKETS)
-    forward = _forward(docs, doc_id, fields, tokenise, segments)
+    forward = _forward(docs, doc_id, fields, tokenise, _numbers(spark, segments, buckets))
     rows = forward.repartition(buckets, "seg").groupBy("seg").applyInArrow(lambda part: _invert(part, block), ROW)
     name = _table_name(path)
     spark.sql(f"DROP TABLE IF EXISTS {name}")
@@ -242,7 +254,8 @@ class _Segment:
         self._lists = [column(c).values.to_numpy() for c in ("places", "fields", "tfs")]
         self._tops = [column(c).values.to_numpy() for c in ("blocks", "block_fields", "tops")]
         self._bounds: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        self._opened: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self._opened: dict[int, np.ndarray] = {}
+        self._whole: dict[int, tuple[np.ndarray, np.ndarray, int]] = {}
 
     def _summed(self, at: np.ndarray, field: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Weighted counts of places (or blocks) that come in order, fields put together; those of no weight are left out."""
@@ -276,6 +289,26 @@ class _Segment:
         places, f = self._summed(*(x[at] for x in self._lists))
         return places, f * (K1 + 1) / (f + self.norm[places])
 
+    def whole(self, row: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """All places of a term, what it adds to them before its idf, and how many blocks they are in."""
+        if row not in self._whole:
+            places, f = self._summed(*(x[self._ends[row] : self._ends[row + 1]] for x in self._lists))
+            self._whole[row] = places, f * (K1 + 1) / (f + self.norm[places]), len(_starts(places // self.block))
+        return self._whole[row]
+
+    def _all(self, rows: list[tuple[int, float]]) -> tuple[np.ndarray, np.ndarray, int, int]:
+        """The best of all places of a long query."""
+        found, k = [self.whole(row) for row, _ in rows], self.scoring.k
+        total = np.bincount(np.concatenate([p for p, _, _ in found]), np.concatenate([weight * add for (_, add, _), (_, weight) in zip(found, rows, strict=True)]), len(self.docs))
+        places = np.flatnonzero(total)
+        values = np.round(total[places], DIGITS)
+        if len(values) > k:
+            near = values >= np.partition(values, len(values) - k)[len(values) - k]
+            places, values = places[near], values[near]
+        keep = np.lexsort((self.docs[places], -values))[:k]
+        blocks = sum(n for _, _, n in found)
+        return places[keep], values[keep], blocks, blocks
+
     def best(self, hashes: np.ndarray, idf: np.ndarray, least: float | None) -> tuple[np.ndarray, np.ndarray, int, int]:
         """Places and scores of one query's best documents; how many of its terms' blocks there are and were opened.
 
@@ -285,6 +318,8 @@ class _Segment:
         at = np.searchsorted(self.h, hashes)
         there = np.flatnonzero((at < len(self.h)) & (self.h[np.minimum(at, len(self.h) - 1)] == hashes)) if len(self.h) else at[:0]
         rows, k = [(int(self._order[at[i]]), idf[i]) for i in there], self.scoring.k
+        if len(rows) >= LONG and least is not None and least < 0:
+            return self._all(rows)
         most, terms_in = np.zeros(self.n_blocks), np.zeros(self.n_blocks, np.int64)
         for row, weight in rows:
             blocks, bound = self.bound(row)

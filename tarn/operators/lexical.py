@@ -3,7 +3,7 @@
 BM25 is Robertson and Zaragoza's, k1 = 1.2 and b = 0.75, with an idf floor; scores are rounded so that ties
 are ties in every engine. A document has named fields; a search weighs their counts, or looks at one field alone.
 
-Documents are dealt to segments by the hashes of their ids and numbered in a segment by their length. A row of the index is a
+Documents are dealt to segments, bounded in documents and text, by the hashes of their ids and numbered in a segment by their length. A row of the index is a
 term's list in a segment: where it stands and how often, and for every block of documents (``BLOCK``) the most that it occurs in each
 field. Files are bucketed by segment and sorted by term, so a search reads the rows of its own terms and a segment's rows
 meet in one task without a shuffle. There the blocks of a query are taken in the order of what they can score at most, and
@@ -17,12 +17,11 @@ import functools
 import hashlib
 import itertools
 import math
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -36,6 +35,8 @@ K1, B, IDF_FLOOR, DIGITS = 1.2, 0.75, 1e-6, 6
 BLOCK_TERMS = 1 << 18
 #: Documents of a block and of a segment at most, and of a segment at least where there are many cores to use.
 BLOCK, SEGMENT, LEAST_SEGMENT = 32, 1 << 14, 1 << 10
+#: Bytes of text of a segment, about, where documents are long; counts of terms that are inverted at once; counts that a search keeps weighed.
+TEXT, SLICE, WEIGHED = 64 << 20, 1 << 18, 1 << 20
 #: Blocks of each segment that are opened first, for the score that all others have to reach, where there are more than ``FEW`` segments.
 FIRST, FEW = 2, 16
 #: Terms of a query from which on its blocks cannot be told apart by bounds, so that all are opened at once.
@@ -127,18 +128,45 @@ def _ends(sizes: np.ndarray) -> pa.Array:
     return pa.array(np.r_[0, np.cumsum(sizes)], pa.int32())
 
 
-def _invert(part: pa.Table, per_block: int) -> pa.Table:
-    """The rows of one segment: a term each, and one without a term that holds the documents in the order of their length."""
-    part = part.combine_chunks()
-    column = lambda name: part.column(name).chunk(0) if part.num_rows else part.column(name).combine_chunks()
-    lengths = column("lengths").flatten().to_numpy().reshape(part.num_rows, -1)
-    ids, width = column("doc_id").to_numpy(), lengths.shape[1]
+def _invert(batches: Iterator[pa.RecordBatch], per_block: int) -> Iterator[pa.RecordBatch]:
+    """The rows of one segment: one without a term that holds the documents in the order of their length, and a term each.
+
+    Batches are held as counts in the order of their terms' hashes; ranges of hashes are inverted in turn, about ``SLICE`` counts at a time.
+    """
+    seg, ids, lengths, held = None, [], [], []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        column = lambda name, batch=batch: batch.column(batch.schema.get_field_index(name))
+        seg, first = column("seg")[0].as_py(), sum(map(len, ids))
+        ids.append(column("doc_id").to_numpy().copy())
+        lengths.append(column("lengths").flatten().to_numpy().reshape(batch.num_rows, -1).copy())
+        term = column("terms").flatten().to_numpy()
+        order = np.argsort(term, kind="stable").astype(np.int32)
+        doc = np.repeat(np.arange(first, first + batch.num_rows, dtype=np.int32), np.diff(column("terms").offsets.to_numpy()))
+        held.append((term[order], doc[order], *(column(c).flatten().to_numpy()[order] for c in ("fields", "tfs"))))
+        del batch, column, term, order, doc
+    if seg is None:
+        return
+    ids, lengths = np.concatenate(ids), np.concatenate(lengths)
     order = np.lexsort((ids, lengths.sum(1)))
     place_of = np.empty(len(ids), np.int32)
     place_of[order] = np.arange(len(ids))
-    sizes = np.diff(column("terms").offsets.to_numpy())
-    place = np.repeat(place_of, sizes)
-    term, field, tf = (column(c).flatten().to_numpy() for c in ("terms", "fields", "tfs"))
+    names, width = [f.split(" ")[0] for f in ROW.split(", ")], lengths.shape[1]
+    whole = _term_rows(seg, *(x[:0] for x in (held[0][0], place_of, *held[0][2:])), width, per_block)
+    whole = [pa.array([v], r.type) for v, r in zip([seg, *[None] * 8, ids[order].tolist(), lengths[order].ravel().tolist()], whole, strict=True)]
+    yield pa.RecordBatch.from_arrays(whole, names)
+    slices = 1 << max(0, math.ceil(sum(len(h[0]) for h in held) / SLICE) - 1).bit_length()  # hashes spread evenly
+    bounds = [-(1 << 63) + i * ((1 << 64) // slices) for i in range(1, slices)]
+    cuts = [[0, *np.searchsorted(h[0], np.array(bounds, np.int64)), len(h[0])] for h in held]
+    for i in range(slices):
+        term, doc, field, tf = (np.concatenate([h[c][lo[i] : lo[i + 1]] for h, lo in zip(held, cuts, strict=True)]) for c in range(4))
+        if len(term):
+            yield pa.RecordBatch.from_arrays(_term_rows(seg, term, place_of[doc], field, tf, width, per_block), names)
+
+
+def _term_rows(seg: int, term: np.ndarray, place: np.ndarray, field: np.ndarray, tf: np.ndarray, width: int, per_block: int) -> list[pa.Array]:
+    """Columns of ``ROW``, a term each, of all counts of these terms in a segment."""
     order_p = np.lexsort((field, place, term))
     place, term, field, tf = place[order_p], term[order_p], field[order_p], tf[order_p]
     begins = _starts(term)
@@ -158,27 +186,28 @@ def _invert(part: pa.Table, per_block: int) -> pa.Table:
     top_ends = _ends(np.bincount(owner[kept], minlength=len(begins)))
     own_ends = pa.array(np.r_[begins, len(term)], pa.int32())
     lists = lambda ends, *values: [pa.ListArray.from_arrays(ends, pa.array(v)) for v in values]
-    seg = part.column("seg")[0].as_py()
-    names = [f.split(" ")[0] for f in ROW.split(", ")]
     none = [pa.nulls(len(begins), pa.list_(pa.int64())), pa.nulls(len(begins), pa.list_(pa.int32()))]
-    rows = [
+    return [
         pa.array(np.full(len(begins), seg, np.int32)), pa.array(term[begins]), *lists(_ends(np.full(len(begins), 1 + width)), dfs.ravel()),
         *lists(own_ends, place, field, tf), *lists(top_ends, *(x[order_b][tops_at][kept].astype(t) for x, t in ((block, np.int32), (field, np.int8))), tops[kept]), *none,
     ]
-    whole = [pa.array([v], r.type) for v, r in zip([seg, *[None] * 8, ids[order].tolist(), lengths[order].ravel().tolist()], rows, strict=True)]
-    return pa.concat_tables([pa.table(whole, names), pa.table(rows, names)])
 
 
 def write_index(docs: DataFrame, path: str, doc_id: str = "id", fields: Mapping[str, Column] | None = None, tokenise=tokens, block: int = BLOCK) -> None:
     """Build an index of ``docs`` below ``path``: one scan of the texts, one shuffle of counted terms by segment."""
     spark = docs.sparkSession
     fields = fields or {"content": F.col("content")}
-    n = docs.count()
+    size = functools.reduce(lambda a, b: a + b, (F.coalesce(F.octet_length(text), F.lit(0)).cast("long") for text in fields.values()))
+    n, held = docs.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
     each = min(SEGMENT, max(LEAST_SEGMENT, math.ceil(n / spark.sparkContext.defaultParallelism)))
-    segments = max(1, math.ceil(n / each))
+    segments = max(1, math.ceil(n / each), min(n, math.ceil(held / TEXT)))
     buckets = min(segments, BUCKETS)
     forward = _forward(docs, doc_id, fields, tokenise, _numbers(spark, segments, buckets))
-    rows = forward.repartition(buckets, "seg").groupBy("seg").applyInArrow(lambda part: _invert(part, block), ROW)
+
+    def invert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _invert(batches, block)
+
+    rows = forward.repartition(buckets, "seg").groupBy("seg").applyInArrow(invert, ROW)
     name = _table_name(path)
     spark.sql(f"DROP TABLE IF EXISTS {name}")
     rows.write.bucketBy(buckets, "seg").sortBy("seg", "h").option("path", f"{path}/rows").option("parquet.block.size", 8 << 20).saveAsTable(name)
@@ -236,26 +265,25 @@ class _Segment:
     """The rows of one segment that a block of queries asks for."""
 
     def __init__(self, rows: pa.Table, scoring: _Scoring):
-        self.scoring, self.block, rows = scoring, scoring.block, rows.combine_chunks()
-        whole = rows.filter(pc.is_null(rows.column("h"))).combine_chunks()
-        rows = rows.filter(pc.is_valid(rows.column("h"))).combine_chunks()
-        width = len(scoring.weights)
-        self.docs = whole.column("docs").combine_chunks().flatten().to_numpy()
-        lengths = whole.column("lengths").combine_chunks().flatten().to_numpy().reshape(-1, width)
+        self.scoring, self.block, width = scoring, scoring.block, len(scoring.weights)
+        column = lambda name: rows.column(name).combine_chunks()  # noqa: E731 - each list is copied once
+        self.docs = column("docs").flatten().to_numpy()  # of the one row without a term
+        lengths = column("lengths").flatten().to_numpy().reshape(-1, width)
         length = lengths.sum(1) if scoring.alone is None else lengths[:, scoring.alone]
         self.norm = K1 * (1 - B + B * length / scoring.avgdl)
         self.n_blocks = -(-len(self.docs) // self.block)
         self.least = np.minimum.reduceat(self.norm, np.arange(0, len(self.docs), self.block)) if len(self.docs) else self.norm
-        h = rows.column("h").to_numpy()
-        self._order = np.argsort(h, kind="stable")
-        self.h = h[self._order]
-        column = lambda name: rows.column(name).combine_chunks()
+        known = np.flatnonzero(column("h").is_valid().to_numpy(zero_copy_only=False))
+        h = column("h").fill_null(0).to_numpy()[known]
+        order = np.argsort(h, kind="stable")
+        self._order, self.h = known[order], h[order]
         self._ends, self._top_ends = column("places").offsets.to_numpy(), column("blocks").offsets.to_numpy()
         self._lists = [column(c).values.to_numpy() for c in ("places", "fields", "tfs")]
         self._tops = [column(c).values.to_numpy() for c in ("blocks", "block_fields", "tops")]
         self._bounds: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         self._opened: dict[int, np.ndarray] = {}
         self._whole: dict[int, tuple[np.ndarray, np.ndarray, int]] = {}
+        self._weighed = 0
 
     def _summed(self, at: np.ndarray, field: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Weighted counts of places (or blocks) that come in order, fields put together; those of no weight are left out."""
@@ -276,14 +304,14 @@ class _Segment:
                 places, f = self._summed(*(x[self._ends[row] : self._ends[row + 1]] for x in self._lists))
                 starts = _starts(places // self.block)
                 blocks, f = places[starts] // self.block, np.maximum.reduceat(f, starts) if len(starts) else f
-            self._bounds[row] = blocks, f * (K1 + 1) / (f + self.least[blocks])
+            self._bounds[row] = blocks.astype(np.int32), f * (K1 + 1) / (f + self.least[blocks])
         return self._bounds[row]
 
     def scores(self, row: int, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places of a term in ascending ``blocks``, and what it adds to them before its idf."""
         if row not in self._opened:
             places = self._lists[0][self._ends[row] : self._ends[row + 1]]
-            self._opened[row] = np.searchsorted(places, np.arange(self.n_blocks + 1) * self.block)
+            self._opened[row] = np.searchsorted(places, np.arange(self.n_blocks + 1) * self.block).astype(np.int32)
         cuts = self._opened[row] + self._ends[row]
         at = _ranges(cuts[blocks], cuts[blocks + 1])
         places, f = self._summed(*(x[at] for x in self._lists))
@@ -293,6 +321,9 @@ class _Segment:
         """All places of a term, what it adds to them before its idf, and how many blocks they are in."""
         if row not in self._whole:
             places, f = self._summed(*(x[self._ends[row] : self._ends[row + 1]] for x in self._lists))
+            self._weighed += len(places)
+            if self._weighed > WEIGHED:
+                self._whole, self._weighed = {}, len(places)
             self._whole[row] = places, f * (K1 + 1) / (f + self.norm[places]), len(_starts(places // self.block))
         return self._whole[row]
 

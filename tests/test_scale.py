@@ -1,10 +1,13 @@
 """Work and memory that must not grow faster than the input."""
 
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tarn.operators import vectors
+from tarn.operators import lexical, vectors
 
 
 @pytest.mark.parametrize("odd", [False, True])
@@ -29,3 +32,42 @@ def test_declarative_search_takes_any_number_of_queries_and_ranks_few_pairs(spar
     assert got == want
     if not odd:
         assert vectors._near(asked, corpus, 6, 5, 400).count() < 20 * 400 / 4
+
+
+def _counted(docs: int, each: int) -> list[pa.RecordBatch]:
+    """Documents of one segment as counts of ``each`` terms, in two batches."""
+    rng = np.random.default_rng(5)
+    terms = rng.integers(-(1 << 63), (1 << 63) - 1, 3000)
+    out = []
+    for part in np.array_split(np.arange(docs), 2):
+        own = np.sort(np.stack([rng.choice(terms, each, replace=False) for _ in part]), 1).ravel()
+        ends = pa.array(np.arange(len(part) + 1, dtype=np.int32) * each)
+        lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (own, np.zeros(len(own), np.int8), rng.integers(1, 4, len(own)).astype(np.int32))]
+        lengths = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype=np.int32)), pa.array(rng.integers(1, 99, len(part)).astype(np.int32)))
+        out.append(pa.RecordBatch.from_arrays([pa.array(np.full(len(part), 7, np.int32)), pa.array(part), lengths, *lists], ["seg", "doc_id", "lengths", "terms", "fields", "tfs"]))
+    return out
+
+
+def test_a_segment_is_inverted_in_slices_of_bounded_size(monkeypatch):
+    batches = _counted(4000, 100)
+    monkeypatch.setattr(lexical, "SLICE", 1 << 30)
+    whole = pa.Table.from_batches(list(lexical._invert(iter(batches), 32)))
+    monkeypatch.setattr(lexical, "SLICE", 10_000)
+    parts = list(lexical._invert(iter(batches), 32))
+    assert pa.Table.from_batches(parts).equals(whole) and whole.num_rows == 3001
+    assert max(len(p.column(3).flatten()) for p in parts) < 20_000
+    tracemalloc.start()
+    for _ in lexical._invert(iter(batches), 32):
+        pass
+    assert tracemalloc.get_traced_memory()[1] < 40 * 400_000  # bytes a count; all at once they are some hundred
+    tracemalloc.stop()
+
+
+def test_long_documents_make_more_segments(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"w{i} " + "long words " * 50 * (i % 3)) for i in range(60)], "id long, content string")
+    monkeypatch.setattr(lexical, "TEXT", 4000, raising=False)
+    index = lexical.build_index(docs)
+    assert index.n == 60 and 7 <= index.segments <= 20
+    asked = spark.createDataFrame([(1, "w7"), (1, "long"), (2, "w8")], "qid long, term string")
+    got = {(r["qid"], r["rank"], r["doc_id"]) for r in lexical.bm25_topk(asked, index, 3).collect()}
+    assert {(1, 0, 7), (2, 0, 8)} <= got and len(got) == 4

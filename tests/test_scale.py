@@ -7,6 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from tarn.functions import text
 from tarn.operators import lexical, vectors
 
 
@@ -71,3 +72,17 @@ def test_long_documents_make_more_segments(spark, monkeypatch):
     asked = spark.createDataFrame([(1, "w7"), (1, "long"), (2, "w8")], "qid long, term string")
     got = {(r["qid"], r["rank"], r["doc_id"]) for r in lexical.bm25_topk(asked, index, 3).collect()}
     assert {(1, 0, 7), (2, 0, 8)} <= got and len(got) == 4
+
+
+def test_redaction_runs_a_pattern_only_where_it_may_match(spark):
+    rows = [
+        "", "plain words only", "-----BEGIN PRIVATE KEY----- no end", "x sk-" + "a1" * 12 + " ghp_" + "b2" * 12, "BeArEr abcdefghijklmnopq and bASIC ABCDEFGHIJKLMNOPQ=", "NTFY.sh/topic_1 ntfy_topic = 'abcdef'",
+        "h.a.ts.net", "FD7A:115C:A1E0:1 100.64.0.1 100.1.2.3", "my_Api_Key: 'abcdefgh' PRIVATEKEY=abcdefgh", "a@b.co user@b.co", "Ab1-" * 12 + " " + "z" * 50, "İ TOKEN=abcdefgh KEY", None,
+    ]
+    docs = spark.createDataFrame(list(enumerate(rows)), "id long, t string").repartition(1)
+    got = {r["id"]: (r["o"], r["n"]) for r in docs.select("id", text.redact(F.col("t"))[0].alias("o"), text.redact(F.col("t"))[1].alias("n")).collect()}
+    assert [got[i][1] for i in range(len(rows))] == [0, 0, 1, 2, 2, 2, 1, 2, 2, 1, 0, 1, None]
+    assert got[9][0] == "[REDACTED:email] user@b.co" and got[12][0] is None and got[6][0] == "[REDACTED:tailnet-host]"
+    for family, pattern, _ in text.REDACTIONS:  # what tells where a pattern may match holds wherever it does
+        told = docs.select(F.col("t").rlike(pattern).alias("does"), text._may_match(F.col("t"), family).alias("may")).where("t is not null")
+        assert told.where("does and not may").count() == 0 and told.where("not may").count() > 5

@@ -80,3 +80,11 @@ def test_a_linear_model_learns(spark):
     x, y = R.LinearModel.features([d[:2] for d in data]), np.array([d[2] for d in data])
     assert np.allclose(model.weights, np.linalg.solve(x.T @ x + 1e-3 * np.eye(5), x.T @ y))
     assert np.mean((model([d[:2] for d in data]) > 0.5) == y) > 0.95
+
+
+def test_equal_pairs_score_alike_in_batches_of_any_size():
+    rnd = np.random.default_rng(4)
+    for n in range(2, 40):
+        pair = (f"a b c{n}", " ".join(rnd.choice(list("abcdefgh"), n)))
+        model = R.LinearModel(rnd.normal(size=5))
+        assert len({float(s) for size in range(1, 24) for s in model([pair] * size)}) == 1, n

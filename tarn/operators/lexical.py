@@ -28,17 +28,18 @@ from pyspark.sql import functions as F
 
 from tarn.functions.text import query_tokens, query_tokens_stop, tokens
 from tarn.functions.topk import top
+from tarn.plans.batches import bound_batches
 from tarn.plans.scratch import cut, scratch_path
 
 K1, B, IDF_FLOOR, DIGITS = 1.2, 0.75, 1e-6, 6
 #: Distinct (query, term) pairs of a block of queries; a block is what is broadcast.
 BLOCK_TERMS = 1 << 18
 #: Documents of a block and of a segment at most, and of a segment at least where there are many cores to use.
-BLOCK, SEGMENT, LEAST_SEGMENT = 32, 1 << 14, 1 << 10
+BLOCK, SEGMENT, LEAST_SEGMENT = 32, 1 << 13, 1 << 10
 #: Bytes of text of a segment, about, where documents are long; counts of terms that are inverted at once; counts that a search keeps weighed.
-TEXT, SLICE, WEIGHED = 64 << 20, 1 << 18, 1 << 20
+TEXT, SLICE, WEIGHED = 32 << 20, 1 << 18, 1 << 20
 #: Blocks of each segment that are opened first, for the score that all others have to reach, where there are more than ``FEW`` segments.
-FIRST, FEW = 2, 16
+FIRST, FEW = 2, 32
 #: Terms of a query from which on its blocks cannot be told apart by bounds, so that all are opened at once.
 LONG = 8
 #: Distinct terms up to which they go to the scan as literals, which leaves out parts of files.
@@ -193,14 +194,20 @@ def _term_rows(seg: int, term: np.ndarray, place: np.ndarray, field: np.ndarray,
     ]
 
 
+def _segments(n: int, held: int, cores: int) -> int:
+    """How many segments ``n`` documents of ``held`` bytes are dealt to."""
+    each = min(SEGMENT, max(LEAST_SEGMENT, math.ceil(n / cores)))
+    return max(1, math.ceil(n / each), min(n, math.ceil(held / TEXT)))
+
+
 def write_index(docs: DataFrame, path: str, doc_id: str = "id", fields: Mapping[str, Column] | None = None, tokenise=tokens, block: int = BLOCK) -> None:
     """Build an index of ``docs`` below ``path``: one scan of the texts, one shuffle of counted terms by segment."""
     spark = docs.sparkSession
+    bound_batches(spark)
     fields = fields or {"content": F.col("content")}
     size = functools.reduce(lambda a, b: a + b, (F.coalesce(F.octet_length(text), F.lit(0)).cast("long") for text in fields.values()))
     n, held = docs.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
-    each = min(SEGMENT, max(LEAST_SEGMENT, math.ceil(n / spark.sparkContext.defaultParallelism)))
-    segments = max(1, math.ceil(n / each), min(n, math.ceil(held / TEXT)))
+    segments = _segments(n, held, spark.sparkContext.defaultParallelism)
     buckets = min(segments, BUCKETS)
     forward = _forward(docs, doc_id, fields, tokenise, _numbers(spark, segments, buckets))
 
@@ -401,6 +408,7 @@ def _rated(terms: DataFrame, index: Index, scoring: _Scoring):
 def _search(block: tuple[np.ndarray, ...], index: Index, scoring: _Scoring, least: np.ndarray | None = None) -> DataFrame:
     """Every segment's best documents of each query of a block, with blocks of its terms there and opened."""
     spark, segments = index.rows.sparkSession, index.rows
+    bound_batches(spark)
     sent = spark.sparkContext.broadcast((*block, least))
 
     def run(rows: pa.Table) -> pa.Table:

@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tarn.plans.batches import bound_batches
+
 Scorer = Callable[[list[tuple[str, str]]], Sequence[float]]
 #: Tokens of a batch (the longest pair times its pairs), and characters that count as one.
 TOKENS, CHARS = 8192, 4
@@ -54,6 +56,7 @@ def _tried(score: Scorer, pairs: list[tuple[str, str]], halvings: int) -> list[t
 
 def scored(rows: DataFrame, load: Callable[[], Scorer], tokens: int = TOKENS, query: str = "query", text: str = "text") -> DataFrame:
     """``rows`` with ``rerank`` and ``reason``; null texts and queries are empty."""
+    bound_batches(rows.sparkSession)
     names = rows.columns
     at, schema = (names.index(query), names.index(text)), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
 
@@ -110,6 +113,7 @@ class LinearModel:
     @classmethod
     def fit(cls, judged: DataFrame, ridge: float = 1e-3) -> LinearModel:
         """Learn from ``judged (query, text, label)``."""
+        bound_batches(judged.sparkSession)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums = np.zeros((5, 6))

@@ -74,6 +74,38 @@ def test_long_documents_make_more_segments(spark, monkeypatch):
     assert {(1, 0, 7), (2, 0, 8)} <= got and len(got) == 4
 
 
+def test_segments_hardly_grow_with_the_table():
+    each = {n: n / lexical._segments(n, 3300 * n, 12) for n in (50_000, 500_000, 3_000_000)}
+    assert each[3_000_000] <= 1.05 * each[500_000] and each[500_000] <= 2 * each[50_000]
+    assert 10**10 / lexical._segments(100_000, 10**10, 12) <= 32 << 20
+
+
+@pytest.mark.parametrize("step", ["index", "search", "score", "fit"])
+def test_a_worker_gets_batches_of_bounded_size(spark, step):
+    from tarn.operators import rerank
+
+    asked = spark.createDataFrame([(1, "w1")], "qid long, term string")
+    index = lexical.build_index(spark.range(50).selectExpr("id", "concat('w', id) AS content"))
+    long = spark.range(3000, numPartitions=1).selectExpr("id AS qid", "id AS rank", "'w' AS query", "repeat('w x ', 5000) AS text", "0 AS label")
+    for key, most in (("maxRecordsPerBatch", "10000"), ("maxBytesPerBatch", "64MB")):
+        spark.conf.set(f"spark.sql.execution.arrow.{key}", most)
+    if step == "index":
+        lexical.build_index(spark.range(5).selectExpr("id", "'w' AS content"))
+    elif step == "search":
+        lexical.bm25_topk(asked, index, 1)
+    elif step == "score":
+        rerank.rerank(long, lambda: lambda pairs: [0.0 for _ in pairs])
+    else:
+        rerank.LinearModel.fit(long.limit(10))
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.get_total_buffer_size()])], ["n", "bytes"])
+
+    got = long.select("text").mapInArrow(sizes, "n long, bytes long").agg(F.max("n"), F.max("bytes"), F.sum("n")).first()
+    assert got[0] <= 1000 and got[1] <= 9 << 20 and got[2] == 3000
+
+
 def test_redaction_runs_a_pattern_only_where_it_may_match(spark):
     rows = [
         "", "plain words only", "-----BEGIN PRIVATE KEY----- no end", "x sk-" + "a1" * 12 + " ghp_" + "b2" * 12, "BeArEr abcdefghijklmnopq and bASIC ABCDEFGHIJKLMNOPQ=", "NTFY.sh/topic_1 ntfy_topic = 'abcdef'",
